@@ -109,7 +109,7 @@ def tokenize(text: Column, analyzer: str = "english") -> Column:
 
 def clean_query(text: Column) -> Column:
     """Words of a query joined by `` | ``, everything but word characters and spaces removed."""
-    spaced = F.regexp_replace(text, r"(?U)[^\w\s]", " ")
+    spaced = F.regexp_replace(text, r"(?U)[^\p{L}\p{N}_\s]", " ")
     return F.array_join(F.regexp_extract_all(spaced, F.lit(r"(?U)\S+"), F.lit(0)), " | ")
 
 
