@@ -1,0 +1,36 @@
+"""Every registered query against its SQL on the given tables."""
+
+import compare
+import pytest
+
+import __spark_entry__ as entry
+
+QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    return compare.connect(sf_dir)
+
+
+def test_every_statement_belongs_to_a_query():
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLES) == {"porter_stem", "tokenize_english"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, con, sf_dir, name):
+    names, rows = compare.spark_rows(QUERIES[name](spark, sf_dir))
+    expected_names, expected = compare.sql_rows(con, ORACLES[name])
+    assert names == expected_names
+    assert rows == expected
+    assert rows
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_without_sql_has_rows(spark, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_entry(spark):
+    assert entry.entry(spark).columns == ["qid", "id", "score", "rank"]

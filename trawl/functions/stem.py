@@ -72,8 +72,8 @@ def _longest(word: str, suffixes) -> str | None:
     return None
 
 
-def _plural(word: str) -> str:
-    if word.endswith(("sses", "ies")):
+def _plural(word: str, bare: bool) -> str:
+    if word.endswith(("sses", "ies")) and (bare or word not in ("sses", "ies")):
         return word[:-2]
     if word.endswith("s") and not word.endswith("ss"):
         return word[:-1]
@@ -123,40 +123,44 @@ def _tidy(word: str) -> str:
     return word
 
 
-def porter(word: str) -> str:
-    """Stem one lower-cased word; words of one or two letters stay as they are."""
+def porter(word: str, bare: bool = True) -> str:
+    """Stem one lower-cased word; words of one or two letters stay as they are.
+
+    ``bare`` tells whether a word that is nothing but the suffix ``ies`` or ``sses`` counts as
+    having it: Lucene says yes, FTS5 no.
+    """
     if len(word) < 3:
         return word
-    word = _past(_plural(word))
+    word = _past(_plural(word, bare))
     if word.endswith("y") and _has_vowel(word[:-1]):
         word = word[:-1] + "i"
     return _tidy(_drop(_replace(_replace(word, STEP_2), STEP_3)))
 
 
-def _stem_words(words: list[str], known: dict[str, str]) -> list[str]:
+def _stem_words(words: list[str], known: dict[str, str], bare: bool) -> list[str]:
     if len(known) > KNOWN_WORDS:
         known.clear()
     for word in words:
         if word not in known:
-            known[word] = porter(word)
+            known[word] = porter(word, bare)
     return [known[word] for word in words]
 
 
-def _stem_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _stem_batches(batches: Iterator[pa.Array], bare: bool) -> Iterator[pa.Array]:
     known: dict[str, str] = {}
     for tokens in batches:
         words = tokens.flatten().dictionary_encode()
-        stems = pa.array(_stem_words(words.dictionary.to_pylist(), known), pa.string())
+        stems = pa.array(_stem_words(words.dictionary.to_pylist(), known, bare), pa.string())
         ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(tokens), 0).cast(pa.int32()))
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
         yield pa.ListArray.from_arrays(offsets, stems.take(words.indices))
 
 
-def stem_tokens(tokens: Column) -> Column:
+def stem_tokens(tokens: Column, bare: bool = True) -> Column:
     """Porter stems of an ``array<string>`` column, order and repeats kept."""
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def stem(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from _stem_batches(batches)
+        yield from _stem_batches(batches, bare)
 
     return stem(tokens)

@@ -73,8 +73,8 @@ def folded_tokens(text: Column) -> Column:
 
 
 def porter_tokens(text: Column) -> Column:
-    """``folded_tokens``, stemmed."""
-    return stem_tokens(folded_tokens(text))
+    """``folded_tokens``, stemmed the way FTS5 does."""
+    return stem_tokens(folded_tokens(text), bare=False)
 
 
 def drop_stop_words(tokens: Column) -> Column:
