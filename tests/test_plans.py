@@ -1,0 +1,57 @@
+"""Physical plans: what is shuffled, what is pushed down, what runs in Python."""
+
+import re
+
+import pytest
+from conftest import topics_of
+
+from trawl.operators.dense import cosine_top_k
+from trawl.operators.index import build_index, doc_freq, postings_of
+from trawl.operators.lexical import bm25, ts_rank
+from trawl.operators.topk import top_k
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def index(toy_docs):
+    return build_index(toy_docs, "simple")
+
+
+@pytest.mark.parametrize("scorer", [bm25, ts_rank])
+def test_scores_are_summed_without_shuffling_postings(spark, index, scorer):
+    plan = plan_of(top_k(scorer(index, topics_of(spark, "cat dog")), 3))
+    assert "Bucketed: true" in plan
+    shuffles = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    # By query after the row limit, and of the query terms themselves; never by (query, document).
+    assert not [s for s in shuffles if re.search(r"\bid#", s)]
+    assert "SortMergeJoin" not in plan
+    assert "Partial" in plan and "WindowGroupLimit" in plan
+
+
+def test_scoring_stays_out_of_python_and_off_cross_joins(spark, index):
+    plan = plan_of(top_k(bm25(index, topics_of(spark, "cat dog")), 3))
+    for word in ("ArrowEvalPython", "MapInArrow", "BatchEvalPython", "CartesianProduct", "NestedLoop"):
+        assert word not in plan
+
+
+def test_dense_search_has_no_pairs(spark):
+    docs = spark.createDataFrame([("a", [1.0])], "id string, embedding array<double>")
+    topics = spark.createDataFrame([("q", [1.0])], "qid string, vector array<double>")
+    plan = plan_of(cosine_top_k(docs, topics, 3))
+    assert "MapInArrow" in plan and "Join" not in plan and "CartesianProduct" not in plan
+
+
+def test_text_is_analysed_once(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("contents")
+    )
+    for df in (postings_of(docs), doc_freq(docs)):
+        plan = plan_of(df)
+        assert plan.count("regexp_extract_all") == 1
+        assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan or "ReadSchema: struct<text:string>" in plan
+    assert "Exchange" not in plan_of(postings_of(docs))
