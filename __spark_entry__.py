@@ -19,9 +19,10 @@ from trawl.operators.dense import cosine_top_k
 from trawl.operators.evaluate import combine_topics, mean_ndcg, ndcg
 from trawl.operators.fusion import rrf
 from trawl.operators.index import Index, build_index, corpus_stats, doc_freq, doc_lengths, postings_of
-from trawl.operators.lexical import bm25, bm25_fts5, match_any, match_phrases, pad, ts_rank
-from trawl.operators.topk import drop_self, top_k
-from trawl.plans.search import search
+from trawl.operators.lexical import bm25_terms, match_any, match_phrases, ts_rank_terms
+from trawl.operators.pruned import best
+from trawl.operators.topk import drop_self
+from trawl.plans.search import search, sparse_hits
 from trawl.sources.corpus import load_dense, load_sparse, num_rows, parse_json_lines, parse_tsv_lines, read_parquet_rows
 from trawl.sources.trec import run_lines, run_tag
 
@@ -165,18 +166,16 @@ def q_match_any(spark, sf):
 
 
 def q_bm25_topk(spark, sf):
-    return top_k(bm25(_index(spark, sf), _topics(spark, sf)), HITS)
+    return sparse_hits(_index(spark, sf), _topics(spark, sf), "bm25", HITS)
 
 
 def q_bm25_padded(spark, sf):
-    index, topics = _index(spark, sf), _topics(spark, sf)
-    hits = top_k(bm25(index, topics), DEEP_HITS)
-    return top_k(pad(hits, index, topics, DEEP_HITS), DEEP_HITS)
+    return sparse_hits(_index(spark, sf), _topics(spark, sf), "bm25", DEEP_HITS, padded=True)
 
 
 def q_bm25_by_group(spark, sf):
     index = build_index(_docs(spark, sf, "lang"), by=("lang",))
-    return top_k(bm25(index, _topics(spark, sf)), HITS, by=("lang",))
+    return best(index, bm25_terms(index, _topics(spark, sf)), HITS)
 
 
 def q_phrase_match(spark, sf):
@@ -188,15 +187,16 @@ def q_phrase_match(spark, sf):
 
 def q_bm25_fts5(spark, sf):
     index = _index(spark, sf, analyzer="folded", with_id=True, with_tokens=True)
-    return top_k(bm25_fts5(index, _topics(spark, sf)), HITS)
+    return sparse_hits(index, _topics(spark, sf), "fts5", HITS)
 
 
 def q_ts_rank_topk(spark, sf):
-    return top_k(ts_rank(_index(spark, sf, analyzer="simple"), _topics(spark, sf)), HITS)
+    return sparse_hits(_index(spark, sf, analyzer="simple"), _topics(spark, sf), "ts_rank", HITS)
 
 
 def q_ts_rank_norm(spark, sf):
-    return top_k(ts_rank(_index(spark, sf, analyzer="simple"), _topics(spark, sf), norm=1), HITS)
+    index = _index(spark, sf, analyzer="simple")
+    return best(index, ts_rank_terms(index, _topics(spark, sf), norm=1), HITS)
 
 
 def q_search_sparse(spark, sf):
@@ -216,13 +216,13 @@ def q_self_filter(spark, sf):
 
 def q_rrf_row_number(spark, sf):
     index, topics = _index(spark, sf), _full_topics(spark, sf)
-    sparse = top_k(pad(top_k(bm25(index, topics), DEEP_HITS), index, topics, DEEP_HITS), DEEP_HITS)
+    sparse = sparse_hits(index, topics, "bm25", DEEP_HITS, padded=True)
     return rrf(sparse, cosine_top_k(_vectors(spark, sf), topics, DEEP_HITS), HITS)
 
 
 def q_rrf_rank(spark, sf):
     topics = _full_topics(spark, sf)
-    sparse = top_k(ts_rank(_index(spark, sf, analyzer="simple"), topics), DEEP_HITS)
+    sparse = sparse_hits(_index(spark, sf, analyzer="simple"), topics, "ts_rank", DEEP_HITS)
     return rrf(sparse, cosine_top_k(_vectors(spark, sf), topics, DEEP_HITS), HITS, ties="rank")
 
 
@@ -241,7 +241,7 @@ def q_combine_topics(spark, sf):
 
 
 def q_trec_run(spark, sf):
-    hits = top_k(bm25(_index(spark, sf), _topics(spark, sf)), HITS)
+    hits = sparse_hits(_index(spark, sf), _topics(spark, sf), "bm25", HITS)
     lines = run_lines(hits, run_tag("sparse", "bm25"))
     return lines.orderBy(natural_key(F.col("qid")), "rank").select("line")
 

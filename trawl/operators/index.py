@@ -16,16 +16,22 @@ from pyspark.sql import functions as F
 from trawl.functions.text import ANALYZERS
 from trawl.session import scratch_dir, shuffle_partitions
 
+# An index of at least this many documents gets a sample of one document in SAMPLE_RATE.
+SAMPLE_FROM = 1_000_000
+SAMPLE_RATE = 64
+
 
 @dataclass(frozen=True)
 class Index:
     """Tables of one index; ``by`` names the columns that tell corpora apart.
 
     postings  by, id, term, tf, len         one row per distinct term of a document
-    doclens   by, id, len                   every document, empty ones included
+    doclens   by, id, len, terms            every document, empty ones included
     vocab     by, term, df, n, avgdl        n and avgdl repeat the statistics of the corpus
     stats     by, n, avgdl, postings        one row per corpus
     tokens    by, id, tokens                token order, for phrases only; else None
+    sample    by, id, term, tf, len         all postings of some documents, for score bounds;
+                                            None for a small index
     """
 
     postings: DataFrame
@@ -35,6 +41,7 @@ class Index:
     analyzer: str
     by: tuple[str, ...] = ()
     tokens: DataFrame | None = None
+    sample: DataFrame | None = None
 
 
 def analyse(docs: DataFrame, analyzer: str, by: tuple[str, ...] = (), with_id: bool = False) -> DataFrame:
@@ -78,13 +85,11 @@ def _flat(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def _doclens(flat: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    return flat.groupBy(*by, "id").agg(F.max("len").alias("len"))
+    return flat.groupBy(*by, "id").agg(F.max("len").alias("len"), F.count("term").alias("terms"))
 
 
-def _stats(doclens: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    return doclens.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum("len").alias("total"), (F.sum("len") / F.count("*")).alias("avgdl")
-    )
+def _stats(doclens: DataFrame, by: tuple[str, ...], *more: Column) -> DataFrame:
+    return doclens.groupBy(*by).agg(F.count("*").alias("n"), (F.sum("len") / F.count("*")).alias("avgdl"), *more)
 
 
 def _vocab(postings: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -109,7 +114,7 @@ def doc_freq(docs: DataFrame, analyzer: str = "plain", by: tuple[str, ...] = ())
 
 def corpus_stats(docs: DataFrame, analyzer: str = "plain", by: tuple[str, ...] = ()) -> DataFrame:
     """``(by, n, avgdl)``."""
-    return _stats(doc_lengths(docs, analyzer, by), by).select(*by, "n", "avgdl")
+    return _stats(doc_lengths(docs, analyzer, by), by)
 
 
 def _register(spark: SparkSession, path: str, name: str, schema: str, buckets: int) -> DataFrame:
@@ -131,6 +136,11 @@ def _write_bucketed(df: DataFrame, path: str, name: str, buckets: int, sort: lis
     return df.sparkSession.table(table)
 
 
+def _write(df: DataFrame, path: str, name: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(f"{path}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
 def build_index(
     docs: DataFrame,
     analyzer: str = "plain",
@@ -161,25 +171,24 @@ def build_index(
     if not with_tokens:
         counts = counts.repartition(buckets, "id")
     flat = _write_bucketed(_flat(counts, by), path, "postings", buckets, ["term"])
-
-    _doclens(flat, by).write.mode("overwrite").parquet(f"{path}/doclens")
-    doclens = spark.read.parquet(f"{path}/doclens")
     postings = flat.filter("term IS NOT NULL")
+
+    doclens = _write(_doclens(flat, by), path, "doclens")
+    facts = {"analyzer": F.lit(analyzer), "buckets": F.lit(buckets), "with_tokens": F.lit(with_tokens)}
+    stats = _write(_stats(doclens, by, F.sum("terms").alias("postings")).withColumns(facts), path, "stats")
     if by:
-        stats = _stats(doclens, by)
         vocab = _vocab(postings, by).join(stats.select(*by, "n", "avgdl"), list(by))
+        documents = stats.agg(F.sum("n")).first()[0]
     else:
-        one = _stats(doclens, by).first()
-        vocab = _vocab(postings, by).withColumns({"n": F.lit(one.n), "avgdl": F.lit(one.avgdl)})
-    vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-    vocab = spark.read.parquet(f"{path}/vocab")
-    totals = vocab.groupBy(*by, "n", "avgdl").agg(F.sum("df").alias("postings"))
-    totals = totals.withColumns({
-        "analyzer": F.lit(analyzer), "buckets": F.lit(buckets), "with_tokens": F.lit(with_tokens),
-    })
-    totals.write.mode("overwrite").parquet(f"{path}/stats")
-    stats = spark.read.parquet(f"{path}/stats")
-    return Index(postings, doclens, vocab, stats, analyzer, by, tokens)
+        one = stats.first()
+        vocab = _vocab(postings, by).withColumns({"n": F.lit(one.n).cast("long"), "avgdl": F.lit(one.avgdl)})
+        documents = one.n
+    vocab = _write(vocab, path, "vocab")
+    sample = None
+    if documents >= SAMPLE_FROM:
+        picked = F.pmod(F.xxhash64("id"), F.lit(SAMPLE_RATE)) == 0
+        sample = _write(postings.filter(picked), path, "sample")
+    return Index(postings, doclens, vocab, stats, analyzer, by, tokens, sample)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
@@ -193,6 +202,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         return _register(spark, path, name, schema, facts.buckets)
 
+    sampled = (stats.agg(F.sum("n")).first()[0] or 0) >= SAMPLE_FROM
     return Index(
         bucketed("postings").filter("term IS NOT NULL"),
         spark.read.parquet(f"{path}/doclens"),
@@ -201,4 +211,5 @@ def open_index(spark: SparkSession, path: str) -> Index:
         facts.analyzer,
         by,
         bucketed("tokens") if facts.with_tokens else None,
+        spark.read.parquet(f"{path}/sample") if sampled else None,
     )

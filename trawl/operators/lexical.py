@@ -8,13 +8,14 @@ Each scorer turns topics into weighted terms, joins them to the postings, and su
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.text import ANALYZERS, clean_query, query_words
 from trawl.operators.index import Index
-from trawl.session import BROADCAST_BYTES, fits_broadcast
+from trawl.session import BROADCAST_BYTES, measure
 
 # Term-frequency cap, weight and normaliser of ts_rank.
 MAX_POSITIONS = 255
@@ -26,6 +27,29 @@ MIN_IDF = 1e-6
 # In a shuffled join a term with more than this share of all postings is split. At most
 # 1 / HOT_SHARE terms can exceed it, so the list of hot terms is always small.
 HOT_SHARE = 1e-4
+# Up to this many query terms are pushed down to the Parquet pages of the postings.
+FEW_TERMS = 10
+
+
+@dataclass(frozen=True)
+class Weighted:
+    """Query terms ready to be scored.
+
+    terms     by, qid, term, ceiling and whatever ``part`` reads; the ceiling is the most a
+              document can get from the term
+    part      what a posting adds to the score of its document
+    rows      number of query terms before they met the vocabulary
+    small     whether the terms were measured to fit a broadcast
+    few       the terms themselves if there are only a few
+    prunable  whether no part can be negative
+    """
+
+    terms: DataFrame
+    part: Column
+    rows: int
+    small: bool
+    few: list[str] | None = None
+    prunable: bool = True
 
 
 def query_terms(topics: DataFrame, analyzer: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -36,26 +60,36 @@ def query_terms(topics: DataFrame, analyzer: str, by: tuple[str, ...] = ()) -> D
     return words.groupBy(*keys, "term").agg(F.count("*").alias("qtf"))
 
 
-def weigh(terms: DataFrame, index: Index) -> tuple[DataFrame, bool]:
-    """Query terms with ``df, n, avgdl``, and whether the result is small enough to broadcast.
+def weigh(index: Index, terms: DataFrame, part: Column, ceiling: Column, prunable: bool = True, **weights: Column) -> Weighted:
+    """Measure query terms, attach ``df, n, avgdl`` and the computed ``weights`` to them.
 
     Terms of no document drop out. A topic without corpus columns is copied to every corpus.
     """
     shared = [c for c in index.by if c in terms.columns]
-    copies = 1 if len(shared) == len(index.by) else index.stats.count()
-    small = fits_broadcast(terms, BROADCAST_BYTES // (2 * max(1, copies)))
-    return index.vocab.join(F.broadcast(terms) if small else terms, [*shared, "term"]), small
-
-
-def join_postings(index: Index, weights: DataFrame, on: list[str], small: bool) -> DataFrame:
-    """Postings of the weighted terms.
-
-    A ``small`` (measured) weights table is broadcast and the postings stay where they are. A large
+    copies = 1 if len(shared) == len(index.by) else max(1, index.stats.count())
+    rows, size = measure(terms)
+    small = 2 * size * copies <= BROADCAST_BYTES
+    few = None
+    if 0 < rows <= FEW_TERMS:
+        few = sorted({r.term for r in terms.select("term").collect()})
+    known = index.vocab if few is None else index.vocab.filter(F.col("term").isin(few))
+    known = known.join(F.broadcast(terms) if small else terms, [*shared, "term"])
+    weighed = known.withColumns(weights).withColumn("ceiling", ceiling)
+    return Weighted(weighed, part, rows * copies, small, few, prunable)
+
+
+def join_postings(index: Index, weighted: Weighted, on: list[str], columns: list[str]) -> DataFrame:
+    """Postings of the weighted terms, with the given columns of the terms.
+
+    A small (measured) table of terms is broadcast and the postings stay where they are. A large
     one meets the postings in a shuffle, with the postings of hot terms salted by document and the
     weights of those terms copied once per salt.
     """
-    if small:
-        return index.postings.join(F.broadcast(weights), on)
+    postings, weights = index.postings, weighted.terms.select(*dict.fromkeys([*on, *columns]))
+    if weighted.few is not None:
+        postings = postings.filter(F.col("term").isin(weighted.few))
+    if weighted.small:
+        return postings.join(F.broadcast(weights), on)
     total = index.stats.agg(F.sum("postings")).first()[0] or 0
     share = max(1, int(total * HOT_SHARE))
     hot = (
@@ -64,7 +98,7 @@ def join_postings(index: Index, weights: DataFrame, on: list[str], small: bool)
     )
     one = F.coalesce("salts", F.lit(1))
     salted = (
-        index.postings.join(F.broadcast(hot), "term", "left")
+        postings.join(F.broadcast(hot), "term", "left")
         .withColumn("salt", F.pmod(F.xxhash64("id"), one).cast("int")).drop("salts")
     )
     copies = (
@@ -74,14 +108,33 @@ def join_postings(index: Index, weights: DataFrame, on: list[str], small: bool)
     return salted.join(copies, [*on, "salt"]).drop("salt")
 
 
-def _sum_scores(matches: DataFrame, contribution: Column, by: tuple[str, ...]) -> DataFrame:
-    return matches.groupBy(*by, "qid", "id").agg(F.sum(contribution).alias("score"))
+# Columns of the weighted terms that the parts of the scorers read.
+PART_COLUMNS = ["weight", "avgdl"]
+
+
+def score_all(index: Index, weighted: Weighted) -> DataFrame:
+    """``(by, qid, id, score)`` of every matching document."""
+    matches = join_postings(index, weighted, [*index.by, "term"], ["qid", *PART_COLUMNS])
+    return matches.groupBy(*index.by, "qid", "id").agg(F.sum(weighted.part).alias("score"))
 
 
-def _saturation(tf: Column, k1: float, b: float) -> Column:
+def _saturation(k1: float, b: float) -> Column:
+    tf = F.col("tf")
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
 
 
+def bm25_terms(
+    index: Index, topics: DataFrame, k1: float = 0.9, b: float = 0.4, idf: str = "plus_one"
+) -> Weighted:
+    """Query terms for ``bm25``."""
+    odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    return weigh(
+        index, query_terms(topics, index.analyzer, index.by), F.col("weight") * _saturation(k1, b),
+        F.col("weight") * (k1 + 1), prunable=idf == "plus_one",
+        weight=F.log10(odds + 1 if idf == "plus_one" else odds),
+    )
+
+
 def bm25(
     index: Index, topics: DataFrame, k1: float = 0.9, b: float = 0.4, idf: str = "plus_one"
 ) -> DataFrame:
@@ -89,12 +142,7 @@ def bm25(
 
     ``idf`` is ``plus_one`` (never negative) or ``classic``.
     """
-    odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
-    weight = F.log10(odds + 1 if idf == "plus_one" else odds)
-    weights, small = weigh(query_terms(topics, index.analyzer, index.by), index)
-    weights = weights.select(*index.by, "qid", "term", "avgdl", weight.alias("weight"))
-    matches = join_postings(index, weights, [*index.by, "term"], small)
-    return _sum_scores(matches, F.col("weight") * _saturation(F.col("tf"), k1, b), index.by)
+    return score_all(index, bm25_terms(index, topics, k1, b, idf))
 
 
 def fts5_idf() -> Column:
@@ -120,16 +168,16 @@ def match_phrases(index: Index, phrases: DataFrame) -> DataFrame:
     """
     distinct = phrases.select("phrase").distinct()
     parts = distinct.select("phrase", F.posexplode("phrase").alias("offset", "term"))
-    small = fits_broadcast(parts)
-    if small:
-        parts = F.broadcast(parts)
-    known = index.vocab.join(parts, "term").groupBy("phrase").agg(
+    rows, size = measure(parts.select(F.array_join("phrase", " ").alias("phrase"), "offset", "term"))
+    small = size <= BROADCAST_BYTES
+    known = index.vocab.join(F.broadcast(parts) if small else parts, "term").groupBy("phrase").agg(
         F.min_by(F.struct("term", "offset"), F.struct("df", "offset")).alias("anchor"),
         F.count("*").alias("found"),
     )
     anchors = known.filter(F.col("found") == F.size("phrase")).select("phrase", "anchor.term", "anchor.offset")
-    candidates = join_postings(index, anchors, ["term"], small).select("phrase", "id", "len", "term", "offset")
-    checked = candidates.join(index.tokens, "id")
+    anchored = Weighted(anchors, F.lit(0.0), rows, small)
+    candidates = join_postings(index, anchored, ["term"], ["phrase", "offset"])
+    checked = candidates.select("phrase", "id", "len", "term", "offset").join(index.tokens, "id")
     last = F.size("tokens") - F.size("phrase")
     starts = F.filter(
         F.sequence(F.lit(0), last),
@@ -142,6 +190,21 @@ def match_phrases(index: Index, phrases: DataFrame) -> DataFrame:
     return counted.filter("tf > 0")
 
 
+def fts5_terms(index: Index, phrases: DataFrame, k1: float = 1.2, b: float = 0.75) -> Weighted:
+    """Query terms for ``bm25_fts5``: the phrases of one token."""
+    single = phrases.filter(F.size("phrase") == 1).select("qid", F.col("phrase")[0].alias("term"), "qtf")
+    return weigh(
+        index, single, F.col("weight") * _saturation(k1, b), F.col("weight") * (k1 + 1),
+        weight=F.col("qtf") * fts5_idf(),
+    )
+
+
+def long_phrases(index: Index, phrases: DataFrame) -> DataFrame | None:
+    """The phrases of several tokens, or None if the index has no token lists or there are none."""
+    several = phrases.filter(F.size("phrase") > 1)
+    return None if index.tokens is None or several.isEmpty() else several
+
+
 def bm25_fts5(index: Index, topics: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``(qid, id, score)`` in the manner of FTS5's bm25, sign turned so that more is better.
 
@@ -149,21 +212,19 @@ def bm25_fts5(index: Index, topics: DataFrame, k1: float = 1.2, b: float = 0.75)
     several tokens: such a word is a phrase. A repeated query word counts each time.
     """
     phrases = query_phrases(topics, index.analyzer)
-    single = phrases.filter(F.size("phrase") == 1).select("qid", F.col("phrase")[0].alias("term"), "qtf")
-    weights, small = weigh(single, index)
-    weights = weights.select("qid", "term", "avgdl", (F.col("qtf") * fts5_idf()).alias("weight"))
-    matches = join_postings(index, weights, ["term"], small).select("qid", "id", "tf", "len", "avgdl", "weight")
-    several = phrases.filter(F.size("phrase") > 1)
-    if index.tokens is not None and not several.isEmpty():
-        found = match_phrases(index, several)
-        one = index.stats.select("n", "avgdl").first()
-        freq = found.groupBy("phrase").agg(F.count("*").alias("df"))
-        weighed = several.join(freq, "phrase").withColumns({"n": F.lit(one.n), "avgdl": F.lit(one.avgdl)})
-        weighed = weighed.select("qid", "phrase", "avgdl", (F.col("qtf") * fts5_idf()).alias("weight"))
-        matches = matches.unionByName(
-            found.join(weighed, "phrase").select("qid", "id", "tf", "len", "avgdl", "weight")
-        )
-    return _sum_scores(matches, F.col("weight") * _saturation(F.col("tf"), k1, b), ())
+    weighted = fts5_terms(index, phrases, k1, b)
+    several = long_phrases(index, phrases)
+    if several is None:
+        return score_all(index, weighted)
+    columns = ["qid", "id", "tf", "len", *PART_COLUMNS]
+    matches = join_postings(index, weighted, ["term"], columns[:1] + PART_COLUMNS).select(*columns)
+    found = match_phrases(index, several)
+    one = index.stats.select("n", "avgdl").first()
+    freq = found.groupBy("phrase").agg(F.count("*").alias("df"))
+    weighed = several.join(freq, "phrase").withColumns({"n": F.lit(one.n), "avgdl": F.lit(one.avgdl)})
+    weighed = weighed.withColumn("weight", F.col("qtf") * fts5_idf())
+    matches = matches.unionByName(found.join(weighed, "phrase").select(*columns))
+    return matches.groupBy("qid", "id").agg(F.sum(weighted.part).alias("score"))
 
 
 def _inverse_squares() -> Column:
@@ -172,7 +233,7 @@ def _inverse_squares() -> Column:
     for j in range(1, MAX_POSITIONS + 1):
         total += 1.0 / (j * j)
         sums.append(total)
-    return F.lit(sums)
+    return F.from_json(F.lit(json.dumps(sums)), "array<double>")
 
 
 def ts_query(topics: DataFrame) -> DataFrame:
@@ -182,42 +243,49 @@ def ts_query(topics: DataFrame) -> DataFrame:
     return sized.select("qid", "terms", F.explode_outer("words").alias("term")).filter("term IS NOT NULL")
 
 
-def ts_rank(index: Index, topics: DataFrame, norm: int = 0) -> DataFrame:
-    """``(qid, id, score)`` by term repetition alone; ``norm=1`` divides by log2(len + 1).
-
-    Meant for an index analysed as ``simple``.
-    """
-    terms = ts_query(topics)
-    matches = join_postings(index, terms, ["term"], fits_broadcast(terms))
+def ts_rank_terms(index: Index, topics: DataFrame, norm: int = 0) -> Weighted:
+    """Query terms for ``ts_rank``."""
     squares = F.element_at(_inverse_squares(), F.least(F.col("tf"), F.lit(MAX_POSITIONS)).cast("int"))
-    part = LABEL_WEIGHT * squares / SQUARES_LIMIT / F.col("terms")
+    part = F.col("weight") * squares
     if norm == 1:
         part = part / F.log2(F.col("len") + 1.0)
     elif norm != 0:
         raise ValueError(f"norm must be 0 or 1, got {norm}")
-    return _sum_scores(matches, part, ())
+    weight = LABEL_WEIGHT / SQUARES_LIMIT / F.col("terms")
+    return weigh(index, ts_query(topics), part, F.lit(LABEL_WEIGHT) / F.col("terms"), weight=weight)
+
+
+def ts_rank(index: Index, topics: DataFrame, norm: int = 0) -> DataFrame:
+    """``(qid, id, score)`` by term repetition alone; ``norm=1`` divides by log2(len + 1).
+
+    Meant for an index analysed as ``simple``.
+    """
+    return score_all(index, ts_rank_terms(index, topics, norm))
 
 
 def match_any(index: Index, topics: DataFrame) -> DataFrame:
     """``(by, qid, id)`` of the documents that share a term with the query."""
     terms = query_terms(topics, index.analyzer, index.by).drop("qtf")
-    shared = [c for c in index.by if c in terms.columns]
-    matches = join_postings(index, terms, [*shared, "term"], fits_broadcast(terms))
-    return matches.select(*index.by, "qid", "id").distinct()
+    weighted = weigh(index, terms, F.lit(0.0), F.lit(0.0))
+    return join_postings(index, weighted, [*index.by, "term"], ["qid"]).select(*index.by, "qid", "id").distinct()
 
 
 def pad(hits: DataFrame, index: Index, topics: DataFrame, n: int) -> DataFrame:
-    """Fill the hit lists up to n with documents scored 0, smallest ids first.
+    """``(qid, id, score, rank)``: hit lists filled up to n with documents scored 0.
 
-    A query short of hits has fewer than n, so the ids it needs lie among the 2n smallest of the
-    corpus. Hits scoring below 0 sort after the padding. Queries without any hit are padded too.
+    A list of m hits needs n - m other ids, and the n smallest of those lie among the 2n smallest
+    ids of the corpus. Hits scoring below 0 sort after the padding. Topics without hits are padded
+    too. Lists hold at most n hits, so each is handled as one array.
     """
     first = [r.id for r in index.doclens.select("id").orderBy("id").limit(2 * n).collect()]
     first_ids = F.from_json(F.lit(json.dumps(first)), "array<string>")
-    none = F.array().cast("array<string>")
-    mine = hits.groupBy("qid").agg(F.collect_list("id").alias("ids"))
-    lists = topics.select("qid").distinct().join(mine, "qid", "left")
-    lists = lists.select("qid", F.coalesce("ids", none).alias("ids")).filter(F.size("ids") < n)
-    missing = F.slice(F.array_except(first_ids, F.col("ids")), 1, F.lit(n) - F.size("ids"))
-    zeros = lists.select("qid", F.explode_outer(missing).alias("id")).filter("id IS NOT NULL")
-    return hits.select("qid", "id", "score").unionByName(zeros.withColumn("score", F.lit(0.0)))
+    entry = F.struct((F.lit(0.0) - F.col("score")).alias("cost"), "id")
+    lists = hits.groupBy("qid").agg(F.collect_list(entry).alias("hits"))
+    lists = topics.select("qid").distinct().join(lists, "qid", "left")
+    lists = lists.select("qid", F.coalesce("hits", F.array().cast("array<struct<cost:double,id:string>>")).alias("hits"))
+    others = F.array_except(first_ids, F.transform("hits", lambda h: h["id"]))
+    zeros = F.transform(F.slice(others, 1, F.lit(n) - F.size("hits")), lambda i: F.struct(F.lit(0.0).alias("cost"), i.alias("id")))
+    padded = lists.select("qid", F.sort_array(F.concat("hits", zeros)).alias("hits"))
+    ranked = padded.select("qid", F.posexplode_outer("hits").alias("nth", "hit")).filter("nth IS NOT NULL")
+    score = F.lit(0.0) - F.col("hit.cost")
+    return ranked.select("qid", "hit.id", score.alias("score"), (F.col("nth") + 1).alias("rank"))

@@ -9,7 +9,8 @@ from trawl.functions.text import tokenize
 from trawl.operators.dense import cosine_top_k
 from trawl.operators.fusion import rrf
 from trawl.operators.index import Index, build_index
-from trawl.operators.lexical import bm25, bm25_fts5, pad, ts_rank
+from trawl.operators.lexical import bm25_fts5, bm25_terms, fts5_terms, long_phrases, pad, query_phrases, ts_rank_terms
+from trawl.operators.pruned import best
 from trawl.operators.topk import drop_self, top_k
 from trawl.sources.corpus import DENSE, SPARSE, kind_of
 
@@ -48,15 +49,18 @@ def sparse_hits(
 ) -> DataFrame:
     """``(qid, id, score, rank)`` of one lexical flavour."""
     if flavour == "bm25":
-        scored = bm25(index, topics)
+        hits = best(index, bm25_terms(index, topics), n, digits)
     elif flavour == "fts5":
-        scored = bm25_fts5(index, topics)
+        phrases = query_phrases(topics, index.analyzer)
+        if long_phrases(index, phrases) is None:
+            hits = best(index, fts5_terms(index, phrases), n, digits)
+        else:
+            hits = top_k(bm25_fts5(index, topics), n, index.by, digits)
     elif flavour == "ts_rank":
-        scored = ts_rank(index, topics)
+        hits = best(index, ts_rank_terms(index, topics), n, digits)
     else:
         raise ValueError(f"unknown flavour: {flavour}")
-    hits = top_k(scored, n, digits=digits)
-    return top_k(pad(hits, index, topics, n), n, digits=digits) if padded else hits
+    return pad(hits, index, topics, n) if padded else hits
 
 
 def search(

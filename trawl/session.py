@@ -47,13 +47,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
-    """Measure ``df`` (one small aggregate job) and compare it with the broadcast bound."""
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and the bytes it would take as a broadcast table: one aggregate job."""
     size = F.lit(ROW_OVERHEAD)
     for name, dtype in df.dtypes:
         size = size + (F.coalesce(F.octet_length(name), F.lit(0)) if dtype == "string" else F.lit(8))
-    measured = df.agg(F.sum(size.cast("long"))).first()[0] or 0
-    return measured <= (BROADCAST_BYTES if limit is None else limit)
+    measured = df.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return measured[0], measured[1]
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
