@@ -119,9 +119,9 @@ def q_stopwords(spark, sf):
 
 
 def q_porter_stem(spark, sf):
-    tokens = _docs(spark, sf).select(F.array_distinct(plain_tokens(F.col("contents"))).alias("tokens"))
-    words = tokens.select(F.explode_outer("tokens").alias("word")).filter("word IS NOT NULL").distinct()
-    return words.select("word", stem_tokens(F.array("word"))[0].alias("stem"))
+    words = _docs(spark, sf).select(F.array_distinct(plain_tokens(F.col("contents"))).alias("word"))
+    pairs = words.select("word", stem_tokens(F.col("word")).alias("stem"))
+    return pairs.select(F.inline_outer(F.arrays_zip("word", "stem"))).filter("word IS NOT NULL").distinct()
 
 
 def q_tokenize_english(spark, sf):

@@ -2,6 +2,7 @@ import math
 
 import pytest
 from conftest import topics_of
+from pyspark.sql import functions as F
 
 from trawl.operators.evaluate import combine_topics, mean_ndcg, ndcg
 from trawl.operators.fusion import rrf
@@ -63,3 +64,16 @@ def test_combine_topics(spark):
     assert sorted(combine_topics(topics, vectors).collect()) == [("q1", "cat", [1.0]), ("q2", "dog", [2.0])]
     with pytest.raises(Exception, match="no vector for topic q2"):
         combine_topics(topics, vectors.filter("qid = 'q1'")).collect()
+
+
+def test_corpora_are_averaged_apart(spark):
+    run = hits(spark, [("q", "a", 1.0)])
+    both = run.withColumn("corpus", F.lit("x")).unionByName(run.withColumns({"corpus": F.lit("y"), "id": F.lit("b")}))
+    judged = spark.createDataFrame([("x", "q", "a", 1), ("y", "q", "a", 1)], "corpus string, qid string, id string, rel int")
+    got = {r.corpus: r.ndcg for r in mean_ndcg(both, judged, by=("corpus",)).collect()}
+    assert got == {"x": 1.0, "y": 0.0}
+
+
+def test_unknown_tie_rule(spark):
+    with pytest.raises(ValueError):
+        rrf(hits(spark, [("q", "a", 1.0)]), hits(spark, [("q", "a", 1.0)]), 3, ties="dense_rank")

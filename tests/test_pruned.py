@@ -17,6 +17,7 @@ def always(monkeypatch):
     monkeypatch.setattr(index_module, "SAMPLE_FROM", 1)
     monkeypatch.setattr(index_module, "SAMPLE_RATE", 4)
     monkeypatch.setattr(pruned, "PRUNE_FROM", 0)
+    monkeypatch.setattr(pruned, "SAMPLE_MARGIN", 0)
 
 
 def corpus(spark, size, seed=1):
@@ -36,7 +37,8 @@ def queries(spark, count, seed=2):
     return topics_of(spark, *texts, "w90", "w91 w2 w1", "", "unseen", "w1")
 
 
-def same(index, weighted, n):
+def same(index, weighted, n, used=True):
+    assert pruned._worth_it(index, weighted, n) == used
     got = best(index, weighted, n).orderBy("qid", "rank").collect()
     want = top_k(score_all(index, weighted), n, index.by).orderBy("qid", "rank").collect()
     assert sorted(got) == sorted(want) and got
@@ -88,8 +90,7 @@ def test_frequent_words_are_not_essential(spark, always):
 def test_negative_weights_are_not_pruned(spark, always):
     index = build_index(corpus(spark, 300))
     weighted = bm25_terms(index, queries(spark, 5), idf="classic")
-    assert not pruned._worth_it(index, weighted)
-    same(index, weighted, 5)
+    same(index, weighted, 5, used=False)
 
 
 def test_small_indexes_have_no_sample(spark, tmp_path, always, monkeypatch):

@@ -23,13 +23,17 @@ SIMPLE_TOKEN = r"[\p{L}\p{N}_]+"
 # Combining marks belong to the letter before them and are dropped when accents are folded.
 FOLDED_TOKEN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*"
 
-# Word rule close to Unicode word segmentation: a Han or Hiragana character stands alone; other
-# letters and digits run on, across ' . : between letters and ' . , ; between digits.
+# Word rule close to Unicode word segmentation, for lower-cased text: a Han or Hiragana character
+# stands alone; other letters and digits run on, across ' . : between letters and ' . , ; between
+# digits; underscores alone are no word.
 _WORD = r"[\p{L}\p{N}_&&[^\p{IsHan}\p{IsHiragana}]]\p{M}*"
 ENGLISH_TOKEN = (
     r"[\p{IsHan}\p{IsHiragana}]\p{M}*"
-    rf"|(?:{_WORD})+(?:(?:(?<=[\p{{L}}\p{{M}}])['’‘.:·](?=\p{{L}})|(?<=\p{{Nd}})['’‘.,;](?=\p{{Nd}}))(?:{_WORD})+)*"
+    rf"|(?=_*+[\p{{L}}\p{{N}}])(?:{_WORD})+"
+    rf"(?:(?:(?<=[\p{{L}}\p{{M}}])['’‘.:·](?=\p{{L}})|(?<=\p{{Nd}})['’‘.,;](?=\p{{Nd}}))(?:{_WORD})+)*"
 )
+# Possessive endings.
+POSSESSIVES = ["'s", "’s", "＇s"]
 
 
 def _extract(text: Column, pattern: str) -> Column:
@@ -81,10 +85,14 @@ def drop_stop_words(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(STOP_WORDS))
 
 
+def _drop_possessive(token: Column) -> Column:
+    size = F.length(token)
+    return F.when(F.substr(token, size - 1).isin(POSSESSIVES), F.substr(token, F.lit(1), size - 2)).otherwise(token)
+
+
 def english_words(text: Column) -> Column:
-    """English analysis up to the stemmer: words, possessive 's removed, lower case, stop words out."""
-    words = F.filter(_extract(text, ENGLISH_TOKEN), lambda t: t.rlike(r"[^_]"))
-    return drop_stop_words(F.transform(words, lambda t: F.lower(F.regexp_replace(t, r"['’＇][sS]$", ""))))
+    """English analysis up to the stemmer: lower-case words, possessive 's removed, stop words out."""
+    return drop_stop_words(F.transform(_extract(F.lower(text), ENGLISH_TOKEN), _drop_possessive))
 
 
 def english_tokens(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,30 +15,34 @@ def combine_topics(topics: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
-def _dcg(ranked: DataFrame, name: str) -> DataFrame:
-    return ranked.groupBy("qid").agg(F.sum(F.col("gain") / F.log2(F.col("at") + 1.0)).alias(name))
+def _dcg(ranked: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return ranked.groupBy(*keys).agg(F.sum(F.col("gain") / F.log2(F.col("place") + 1.0)).alias(name))
 
 
-def _first(df: DataFrame, cut: int, *order) -> DataFrame:
-    return df.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("at") <= cut)
+def _first(df: DataFrame, cut: int, keys: list[str], *order: Column) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("place", place).filter(F.col("place") <= cut)
 
 
-def ndcg(run: DataFrame, qrels: DataFrame, cut: int = 10) -> DataFrame:
-    """``(qid, ndcg)`` of every judged query, 0 for one without hits.
+def ndcg(run: DataFrame, qrels: DataFrame, cut: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(by, qid, ndcg)`` of every judged query, 0 for one without hits.
 
     As trec_eval does, hits are put in order again by score at single precision, ties by document
     id descending as text; the ranks of the run are not used. Gain is the judgement, not below 0.
     """
+    keys = [*by, "qid"]
     gain = F.greatest("rel", F.lit(0)).cast("double")
-    judged = qrels.select("qid", "id", gain.alias("gain"))
-    hits = _first(run.select("qid", "id", "score"), cut, F.desc(F.col("score").cast("float")), F.desc("id"))
+    judged = qrels.select(*keys, "id", gain.alias("gain"))
+    score = F.col("score").cast("float")
+    hits = _first(run.select(*keys, "id", "score"), cut, keys, score.desc(), F.desc("id"))
     # Only the first hits of each query meet the judgements.
-    found = _dcg(hits.join(judged, ["qid", "id"]), "dcg")
-    ideal = _dcg(_first(judged.filter("gain > 0"), cut, F.desc("gain")), "ideal")
-    scores = judged.select("qid").distinct().join(ideal, "qid", "left").join(found, "qid", "left")
-    return scores.select("qid", F.coalesce(F.try_divide("dcg", "ideal"), F.lit(0.0)).alias("ndcg"))
+    found = _dcg(hits.join(judged, [*keys, "id"]), keys, "dcg")
+    ideal = _dcg(_first(judged.filter("gain > 0"), cut, keys, F.desc("gain")), keys, "ideal")
+    scores = judged.select(*keys).distinct().join(ideal, keys, "left").join(found, keys, "left")
+    return scores.select(*keys, F.coalesce(F.try_divide("dcg", "ideal"), F.lit(0.0)).alias("ndcg"))
 
 
-def mean_ndcg(run: DataFrame, qrels: DataFrame, cut: int = 10) -> DataFrame:
-    """``(queries, ndcg)``: the mean over all judged queries."""
-    return ndcg(run, qrels, cut).agg(F.count("*").alias("queries"), F.avg("ndcg").alias("ndcg"))
+def mean_ndcg(run: DataFrame, qrels: DataFrame, cut: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(by, queries, ndcg)``: the mean over all judged queries, per corpus if ``by`` tells them apart."""
+    scores = ndcg(run, qrels, cut, by)
+    return scores.groupBy(*by).agg(F.count("*").alias("queries"), F.avg("ndcg").alias("ndcg"))

@@ -9,22 +9,27 @@ from trawl.operators.topk import top_k
 
 
 def rrf(
-    sparse: DataFrame, dense: DataFrame, n: int, k: int = 60, ties: str = "row_number", digits: int | None = 6
+    sparse: DataFrame,
+    dense: DataFrame,
+    n: int,
+    k: int = 60,
+    ties: str = "row_number",
+    digits: int | None = 6,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(qid, id, score, rank)``: sum of 1 / (k + rank) over the lists a document is in.
+    """``(by, qid, id, score, rank)``: sum of 1 / (k + rank) over the lists a document is in.
 
     Both lists are cut to n already. ``ties="rank"`` lets equal scores share a rank; a cut list
     gives the same shared ranks as the whole one, since all better documents are in it.
-    The lists are stacked and summed, the full outer join of two lists without joining.
+    The lists are stacked and summed: the full outer join of two lists without joining.
     """
-    lists = sparse.select("qid", "id", "score", "rank").unionByName(
-        dense.select("qid", "id", "score", "rank")
-    ) if ties == "row_number" else _shared_ranks(sparse).unionByName(_shared_ranks(dense))
+    if ties not in ("row_number", "rank"):
+        raise ValueError(f"ties must be row_number or rank, got {ties}")
+    keys = [*by, "qid"]
+    lists = [hits.select(*keys, "id", "score", "rank") for hits in (sparse, dense)]
+    if ties == "rank":
+        best_first = Window.partitionBy(*keys).orderBy(F.desc("score"))
+        lists = [hits.withColumn("rank", F.rank().over(best_first)) for hits in lists]
     part = 1.0 / (F.lit(float(k)) + F.col("rank"))
-    fused = lists.groupBy("qid", "id").agg(F.sum(part).alias("score"))
-    return top_k(fused, n, digits=digits)
-
-
-def _shared_ranks(hits: DataFrame) -> DataFrame:
-    best_first = Window.partitionBy("qid").orderBy(F.desc("score"))
-    return hits.select("qid", "id", "score", F.rank().over(best_first).alias("rank"))
+    fused = lists[0].unionByName(lists[1]).groupBy(*keys, "id").agg(F.sum(part).alias("score"))
+    return top_k(fused, n, by, digits)

@@ -13,20 +13,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.operators.index import Index
+from trawl.operators.index import SAMPLE_RATE, Index
 from trawl.operators.lexical import PART_COLUMNS, Weighted, join_postings, score_all
 from trawl.operators.topk import top_k
-from trawl.session import BROADCAST_BYTES, measure
+from trawl.session import BROADCAST_BYTES, checkpoint, measure
 
 # Below this bound on (query term, posting) pairs scoring every match is quicker.
 PRUNE_FROM = 1_000_000_000
+# The sample has to hold this many times n documents, or it says little about the n-th best.
+SAMPLE_MARGIN = 10
 
 
-def _worth_it(index: Index, weighted: Weighted) -> bool:
+def _worth_it(index: Index, weighted: Weighted, n: int) -> bool:
     if index.sample is None or not weighted.prunable or not weighted.small:
         return False
     documents = index.stats.agg(F.max("n")).first()[0] or 0
-    return weighted.rows * documents >= PRUNE_FROM
+    return weighted.rows * documents >= PRUNE_FROM and documents >= SAMPLE_MARGIN * SAMPLE_RATE * n
 
 
 def split_terms(index: Index, weighted: Weighted, n: int, slack: float) -> DataFrame:
@@ -70,8 +72,8 @@ def pruned_scores(index: Index, weighted: Weighted, n: int, slack: float) -> Dat
     computed again.
     """
     keys = [*index.by, "qid"]
-    split = split_terms(index, weighted, n, slack).checkpoint()
-    found = _candidates(index, weighted, split).checkpoint()
+    split = checkpoint(split_terms(index, weighted, n, slack))
+    found = checkpoint(_candidates(index, weighted, split))
     open_ones = found.filter("rest > 0").select(*keys, "id")
     _, size = measure(open_ones)
     if size <= BROADCAST_BYTES:
@@ -87,7 +89,7 @@ def pruned_scores(index: Index, weighted: Weighted, n: int, slack: float) -> Dat
 
 def best(index: Index, weighted: Weighted, n: int, digits: int | None = 6) -> DataFrame:
     """``(by, qid, id, score, rank)``: the n best documents of each query."""
-    if _worth_it(index, weighted):
+    if _worth_it(index, weighted, n):
         # Wide enough for scores that only rounding makes equal to the floor.
         slack = 1e-9 if digits is None else 10.0 ** -digits + 1e-9
         scored = pruned_scores(index, weighted, n, slack)

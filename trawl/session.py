@@ -43,6 +43,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/trawl-{uuid.uuid4().hex}"
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` in the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
