@@ -18,7 +18,7 @@ from trawl.session import scratch_dir, shuffle_partitions
 
 # An index of at least this many documents gets a sample of one document in SAMPLE_RATE.
 SAMPLE_FROM = 1_000_000
-SAMPLE_RATE = 64
+SAMPLE_RATE = 32
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,9 @@ as the weakest of them together stay below the floor, a document holding none of
 be a hit. So only the other, essential terms bring candidates; of those, only documents that can
 still reach the floor get the weak terms added. Frequent words never turn into one row per
 (query, document).
+
+The weak terms are held below half the floor rather than just below it: that reads more postings
+of middling terms, but a candidate then has to earn the other half from essential terms alone.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from trawl.session import BROADCAST_BYTES, checkpoint, measure
 PRUNE_FROM = 1_000_000_000
 # The sample has to hold this many times n documents, or it says little about the n-th best.
 SAMPLE_MARGIN = 10
+# Weak terms together stay below this share of the floor.
+WEAK_SHARE = 0.5
 
 
 def _worth_it(index: Index, weighted: Weighted, n: int) -> bool:
@@ -45,7 +50,7 @@ def split_terms(index: Index, weighted: Weighted, n: int, slack: float) -> DataF
     floors = best.groupBy(*keys).agg(F.min("score").alias("floor"), F.count("*").alias("held"))
     floors = floors.filter(F.col("held") == n).select(*keys, (F.col("floor") - slack).alias("floor"))
     terms = weighted.terms.withColumn("upto", upto).join(floors, keys, "left")
-    essential = F.col("floor").isNull() | (F.col("upto") >= F.col("floor"))
+    essential = F.col("floor").isNull() | (F.col("upto") >= WEAK_SHARE * F.col("floor"))
     marked = terms.withColumn("essential", essential)
     rest = F.max(F.when(F.col("essential"), 0.0).otherwise(F.col("upto"))).over(Window.partitionBy(*keys))
     return marked.withColumn("rest", rest).select(
