@@ -264,6 +264,17 @@ def q_ndcg_mean(spark, sf):
     return mean_ndcg(*_judged_run(spark, sf)).select("queries", F.round("ndcg", 6).alias("ndcg"))
 
 
+def q_ndcg_by_group(spark, sf):
+    """Mean nDCG of the lexical run in each language; the pool is judged by document quality."""
+    index = build_index(_docs(spark, sf, "lang"), by=("lang",))
+    run = best(index, bm25_terms(index, _topics(spark, sf)), 3 * HITS)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    quality = labels.select(F.col("doc_id").cast("string").alias("id"), F.col("quality").alias("rel"))
+    qrels = run.select("lang", "qid", "id").join(quality, "id")
+    means = mean_ndcg(run.filter(F.col("rank") <= HITS), qrels, by=("lang",))
+    return means.select("lang", "queries", F.round("ndcg", 6).alias("ndcg"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: BM25 top 10 of every topic."""
     return q_bm25_topk(spark, SMALL)

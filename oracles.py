@@ -176,4 +176,16 @@ ORACLES: dict[str, str] = {
         SELECT qid || ' Q0 ' || id || ' ' || rank || ' ' || printf('%.6f', score) || ' sparse_bm25' AS line FROM hits""",
     "ndcg_at_10": f"WITH {NDCG} SELECT qid, round(ndcg, 6) AS ndcg FROM scores",
     "ndcg_mean": f"WITH {NDCG} SELECT count(*) AS queries, round(avg(ndcg), 6) AS ndcg FROM scores",
+    "ndcg_by_group": f"""WITH {BM25_BY_GROUP},
+        run AS ({top('bm25', 30, 'lang, qid')}),
+        qrels AS (SELECT r.lang, r.qid, r.id, l.quality AS rel FROM run r JOIN labels l ON l.doc_id::VARCHAR = r.id),
+        ranked AS (SELECT lang, qid, id, row_number() OVER
+            (PARTITION BY lang, qid ORDER BY score::FLOAT DESC, id DESC) AS place FROM run WHERE rank <= 10),
+        dcg AS (SELECT r.lang, r.qid, sum(q.rel / log2(r.place + 1)) AS dcg FROM ranked r
+            JOIN qrels q ON q.lang = r.lang AND q.qid = r.qid AND q.id = r.id WHERE r.place <= 10 GROUP BY r.lang, r.qid),
+        best AS (SELECT lang, qid, rel, row_number() OVER (PARTITION BY lang, qid ORDER BY rel DESC) AS place FROM qrels),
+        ideal AS (SELECT lang, qid, sum(rel / log2(place + 1)) AS ideal FROM best WHERE place <= 10 GROUP BY lang, qid),
+        scores AS (SELECT i.lang, i.qid, coalesce(CASE WHEN i.ideal > 0 THEN d.dcg / i.ideal END, 0) AS ndcg
+            FROM ideal i LEFT JOIN dcg d ON d.lang = i.lang AND d.qid = i.qid)
+        SELECT lang, count(*) AS queries, round(avg(ndcg), 6) AS ndcg FROM scores GROUP BY lang""",
 }

@@ -6,7 +6,7 @@ from conftest import TOY, as_dict, topics_of
 from pyspark.sql import functions as F
 
 from trawl.operators import lexical
-from trawl.operators.index import build_index, count_terms, analyse, doc_lengths, open_index, postings_of
+from trawl.operators.index import analyse, build_index, count_terms, default_buckets, doc_lengths, extend_index, open_index, postings_of
 from trawl.operators.lexical import bm25, bm25_fts5, match_any, match_phrases, pad, ts_rank
 from trawl.operators.topk import top_k
 
@@ -212,3 +212,37 @@ def test_phrases_need_order_and_adjacency(spark):
     got = {("".join(r.phrase), r.id): r.tf for r in match_phrases(index, phrases).collect()}
     # The id "a" and the contents "b" of the last document are not next to each other.
     assert got == {("ab", "1"): 2, ("aa", "4"): 2, ("aba", "1"): 2}
+
+
+def test_extended_index_equals_one_built_at_once(spark, toy_docs, tmp_path):
+    old, new = toy_docs.filter("id < 'd3'"), toy_docs.filter("id >= 'd3'")
+    topics = topics_of(spark, "cat run dog", "u.s fox", "bee")
+    path = str(tmp_path / "index")
+    build_index(old, "folded", with_id=True, with_tokens=True, path=path)
+    extended = extend_index(new, path)
+    whole = build_index(toy_docs, "folded", with_id=True, with_tokens=True)
+    for index in (extended, open_index(spark, path)):
+        close(as_dict(bm25(index, topics), ("qid", "id"), "score"), as_dict(bm25(whole, topics), ("qid", "id"), "score"))
+        close(as_dict(bm25_fts5(index, topics), ("qid", "id"), "score"), as_dict(bm25_fts5(whole, topics), ("qid", "id"), "score"))
+        assert sorted(index.doclens.collect()) == sorted(whole.doclens.collect())
+        assert index.tokens.count() == 7
+
+
+def test_padding_by_corpus(spark):
+    rows = [("x", "1", "a"), ("x", "2", "b"), ("x", "3", "b"), ("y", "7", "c"), ("y", "8", "a c")]
+    docs = spark.createDataFrame(rows, "corpus string, id string, contents string")
+    index = build_index(docs, by=("corpus",))
+    topics = spark.createDataFrame([("x", "q", "b"), ("y", "q", "z")], "corpus string, qid string, contents string")
+    hits = top_k(bm25(index, topics), 3, by=("corpus",))
+    got = pad(hits, index, topics, 3).orderBy("corpus", "rank").collect()
+    assert [(r.corpus, r.id, r["rank"]) for r in got] == [("x", "2", 1), ("x", "3", 2), ("x", "1", 3), ("y", "7", 1), ("y", "8", 2)]
+
+
+def test_buckets_follow_the_input_size(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert default_buckets(docs) == 4
+    monkeypatch.setattr("trawl.operators.index.BUCKET_BYTES", 10_000)
+    assert 10 < default_buckets(docs) < 100
+    monkeypatch.setattr("trawl.operators.index.MAX_BUCKETS", 9)
+    assert default_buckets(docs) == 9
+    assert default_buckets(spark.createDataFrame([("1",)], "id string")) == 4

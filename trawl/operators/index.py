@@ -7,6 +7,7 @@ document lie in one bucket, and the per-(query, document) sum of a search needs
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -19,6 +20,9 @@ from trawl.session import scratch_dir, shuffle_partitions
 # An index of at least this many documents gets a sample of one document in SAMPLE_RATE.
 SAMPLE_FROM = 1_000_000
 SAMPLE_RATE = 32
+# Default number of buckets: one per so many bytes of input files, up to a limit.
+BUCKET_BYTES = 1 << 30
+MAX_BUCKETS = 20_000
 
 
 @dataclass(frozen=True)
@@ -117,16 +121,6 @@ def corpus_stats(docs: DataFrame, analyzer: str = "plain", by: tuple[str, ...] =
     return _stats(doc_lengths(docs, analyzer, by), by)
 
 
-def _register(spark: SparkSession, path: str, name: str, schema: str, buckets: int) -> DataFrame:
-    """Name a bucketed folder in the session catalog and read it."""
-    table = f"trawl_{uuid.uuid4().hex}_{name}"
-    spark.sql(
-        f"CREATE TABLE {table} ({schema}) USING parquet "
-        f"CLUSTERED BY (id) INTO {buckets} BUCKETS LOCATION '{path}/{name}'"
-    )
-    return spark.table(table)
-
-
 def _write_bucketed(df: DataFrame, path: str, name: str, buckets: int, sort: list[str]) -> DataFrame:
     table = f"trawl_{uuid.uuid4().hex}_{name}"
     (
@@ -136,6 +130,17 @@ def _write_bucketed(df: DataFrame, path: str, name: str, buckets: int, sort: lis
     return df.sparkSession.table(table)
 
 
+def default_buckets(docs: DataFrame) -> int:
+    """Buckets for an index of ``docs``: by the size of its input files, if it reads any."""
+    spark, files = docs.sparkSession, docs.inputFiles()
+    least = shuffle_partitions(spark)
+    if not files:
+        return least
+    # Only the file listing is read for this.
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] or 0
+    return max(least, min(MAX_BUCKETS, math.ceil(size / BUCKET_BYTES)))
+
+
 def _write(df: DataFrame, path: str, name: str) -> DataFrame:
     df.write.mode("overwrite").parquet(f"{path}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
@@ -152,13 +157,12 @@ def build_index(
 ) -> Index:
     """Analyse ``docs (by, id, contents)`` once and write the index tables.
 
-    ``path`` defaults to a new folder under the shared checkpoint folder. ``buckets`` defaults to
-    the shuffle partitions of the session; size it so that one bucket fits a task. Document ids
-    must be unique within a corpus (``require_unique``).
+    ``path`` defaults to a new folder under the shared checkpoint folder. Document ids must be
+    unique within a corpus (``require_unique``).
     """
     spark = docs.sparkSession
     path = path or scratch_dir(spark)
-    buckets = buckets or shuffle_partitions(spark)
+    buckets = buckets or default_buckets(docs)
     by = tuple(by)
 
     analysed = analyse(docs, analyzer, by, with_id)
@@ -171,14 +175,19 @@ def build_index(
     if not with_tokens:
         counts = counts.repartition(buckets, "id")
     flat = _write_bucketed(_flat(counts, by), path, "postings", buckets, ["term"])
-    postings = flat.filter("term IS NOT NULL")
+    facts = {"analyzer": analyzer, "buckets": buckets, "with_id": with_id, "with_tokens": with_tokens}
+    return _summarise(flat, path, by, facts, tokens)
 
+
+def _summarise(flat: DataFrame, path: str, by: tuple[str, ...], facts: dict, tokens: DataFrame | None) -> Index:
+    """Write everything that follows from the postings: lengths, statistics, vocabulary, sample."""
+    postings = flat.filter("term IS NOT NULL")
     doclens = _write(_doclens(flat, by), path, "doclens")
-    facts = {"analyzer": F.lit(analyzer), "buckets": F.lit(buckets), "with_tokens": F.lit(with_tokens)}
-    stats = _write(_stats(doclens, by, F.sum("terms").alias("postings")).withColumns(facts), path, "stats")
+    stats = _stats(doclens, by, F.sum("terms").alias("postings"))
+    stats = _write(stats.withColumns({name: F.lit(fact) for name, fact in facts.items()}), path, "stats")
     if by:
         vocab = _vocab(postings, by).join(stats.select(*by, "n", "avgdl"), list(by))
-        documents = stats.agg(F.sum("n")).first()[0]
+        documents = stats.agg(F.sum("n")).first()[0] or 0
     else:
         one = stats.first()
         vocab = _vocab(postings, by).withColumns({"n": F.lit(one.n).cast("long"), "avgdl": F.lit(one.avgdl)})
@@ -188,28 +197,59 @@ def build_index(
     if documents >= SAMPLE_FROM:
         picked = F.pmod(F.xxhash64("id"), F.lit(SAMPLE_RATE)) == 0
         sample = _write(postings.filter(picked), path, "sample")
-    return Index(postings, doclens, vocab, stats, analyzer, by, tokens, sample)
+    return Index(postings, doclens, vocab, stats, facts["analyzer"], by, tokens, sample)
 
 
-def open_index(spark: SparkSession, path: str) -> Index:
-    """Read an index written by ``build_index``."""
+def _facts(spark: SparkSession, path: str) -> tuple[dict, tuple[str, ...]]:
     stats = spark.read.parquet(f"{path}/stats")
     by = tuple(stats.columns[: stats.columns.index("n")])
-    facts = stats.select("analyzer", "buckets", "with_tokens").first()
+    return stats.select("analyzer", "buckets", "with_id", "with_tokens").first().asDict(), by
 
-    def bucketed(name: str) -> DataFrame:
-        fields = spark.read.parquet(f"{path}/{name}").schema.fields
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-        return _register(spark, path, name, schema, facts.buckets)
 
+def _bucketed(spark: SparkSession, path: str, name: str, buckets: int, sort: str) -> str:
+    """Name of a catalog table over a bucketed folder."""
+    fields = spark.read.parquet(f"{path}/{name}").schema.fields
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    table = f"trawl_{uuid.uuid4().hex}_{name}"
+    spark.sql(
+        f"CREATE TABLE {table} ({schema}) USING parquet "
+        f"CLUSTERED BY (id) SORTED BY ({sort}) INTO {buckets} BUCKETS LOCATION '{path}/{name}'"
+    )
+    return table
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """Read an index written by ``build_index``."""
+    facts, by = _facts(spark, path)
+    stats = spark.read.parquet(f"{path}/stats")
     sampled = (stats.agg(F.sum("n")).first()[0] or 0) >= SAMPLE_FROM
     return Index(
-        bucketed("postings").filter("term IS NOT NULL"),
+        spark.table(_bucketed(spark, path, "postings", facts["buckets"], "term")).filter("term IS NOT NULL"),
         spark.read.parquet(f"{path}/doclens"),
         spark.read.parquet(f"{path}/vocab"),
         stats,
-        facts.analyzer,
+        facts["analyzer"],
         by,
-        bucketed("tokens") if facts.with_tokens else None,
+        spark.table(_bucketed(spark, path, "tokens", facts["buckets"], "id")) if facts["with_tokens"] else None,
         spark.read.parquet(f"{path}/sample") if sampled else None,
     )
+
+
+def extend_index(docs: DataFrame, path: str) -> Index:
+    """Add documents to a written index: their postings are appended, the statistics made anew.
+
+    The texts indexed before are not read again. Ids must be new to the index.
+    """
+    spark = docs.sparkSession
+    facts, by = _facts(spark, path)
+    buckets = facts["buckets"]
+    analysed = analyse(docs, facts["analyzer"], by, facts["with_id"]).repartition(buckets, "id")
+
+    def append(df: DataFrame, name: str, sort: str) -> DataFrame:
+        table = _bucketed(spark, path, name, buckets, sort)
+        df.select(*spark.table(table).columns).write.insertInto(table)
+        return spark.table(table)
+
+    tokens = append(analysed, "tokens", "id") if facts["with_tokens"] else None
+    flat = append(_flat(count_terms(analysed, by), by), "postings", "term")
+    return _summarise(flat, path, by, facts, tokens)

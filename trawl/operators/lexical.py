@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.text import ANALYZERS, clean_query, query_words
@@ -270,22 +270,40 @@ def match_any(index: Index, topics: DataFrame) -> DataFrame:
     return join_postings(index, weighted, [*index.by, "term"], ["qid"]).select(*index.by, "qid", "id").distinct()
 
 
+def _first_ids(index: Index, n: int) -> DataFrame:
+    """``(by, first)``: the n smallest ids of each corpus as one array."""
+    ids = index.doclens.select(*index.by, "id")
+    if index.by:
+        smallest = F.row_number().over(Window.partitionBy(*index.by).orderBy("id"))
+        ids = ids.withColumn("nth", smallest).filter(F.col("nth") <= n)
+    else:
+        ids = ids.orderBy("id").limit(n)
+    return ids.groupBy(*index.by).agg(F.sort_array(F.collect_list("id")).alias("first"))
+
+
 def pad(hits: DataFrame, index: Index, topics: DataFrame, n: int) -> DataFrame:
-    """``(qid, id, score, rank)``: hit lists filled up to n with documents scored 0.
+    """``(by, qid, id, score, rank)``: hit lists filled up to n with documents scored 0.
 
     A list of m hits needs n - m other ids, and the n smallest of those lie among the 2n smallest
     ids of the corpus. Hits scoring below 0 sort after the padding. Topics without hits are padded
-    too. Lists hold at most n hits, so each is handled as one array.
+    too. Lists hold at most n hits, so each is handled as one array. With a multi-corpus index the
+    topics must name their corpus.
     """
-    first = [r.id for r in index.doclens.select("id").orderBy("id").limit(2 * n).collect()]
-    first_ids = F.from_json(F.lit(json.dumps(first)), "array<string>")
+    keys = [*index.by, "qid"]
     entry = F.struct((F.lit(0.0) - F.col("score")).alias("cost"), "id")
-    lists = hits.groupBy("qid").agg(F.collect_list(entry).alias("hits"))
-    lists = topics.select("qid").distinct().join(lists, "qid", "left")
-    lists = lists.select("qid", F.coalesce("hits", F.array().cast("array<struct<cost:double,id:string>>")).alias("hits"))
-    others = F.array_except(first_ids, F.transform("hits", lambda h: h["id"]))
-    zeros = F.transform(F.slice(others, 1, F.lit(n) - F.size("hits")), lambda i: F.struct(F.lit(0.0).alias("cost"), i.alias("id")))
-    padded = lists.select("qid", F.sort_array(F.concat("hits", zeros)).alias("hits"))
-    ranked = padded.select("qid", F.posexplode_outer("hits").alias("nth", "hit")).filter("nth IS NOT NULL")
+    lists = hits.groupBy(*keys).agg(F.collect_list(entry).alias("hits"))
+    lists = topics.select(*keys).distinct().join(lists, keys, "left")
+    none = F.array().cast("array<struct<cost:double,id:string>>")
+    lists = lists.select(*keys, F.coalesce("hits", none).alias("hits"))
+    if index.by:
+        lists = lists.join(_first_ids(index, 2 * n), list(index.by))
+    else:
+        first = _first_ids(index, 2 * n).first()["first"]
+        lists = lists.withColumn("first", F.from_json(F.lit(json.dumps(first)), "array<string>"))
+    others = F.array_except("first", F.transform("hits", lambda h: h["id"]))
+    zero = F.lit(0.0).alias("cost")
+    zeros = F.transform(F.slice(others, 1, F.lit(n) - F.size("hits")), lambda i: F.struct(zero, i.alias("id")))
+    padded = lists.select(*keys, F.sort_array(F.concat("hits", zeros)).alias("hits"))
+    ranked = padded.select(*keys, F.posexplode_outer("hits").alias("nth", "hit")).filter("nth IS NOT NULL")
     score = F.lit(0.0) - F.col("hit.cost")
-    return ranked.select("qid", "hit.id", score.alias("score"), (F.col("nth") + 1).alias("rank"))
+    return ranked.select(*keys, "hit.id", score.alias("score"), (F.col("nth") + 1).alias("rank"))
