@@ -42,6 +42,7 @@ def data(spark):
 def test_equals_brute_force(spark, data, n, monkeypatch):
     docs, topics = data
     monkeypatch.setattr(dense, "BLOCK_SCORES", 300)
+    monkeypatch.setattr(dense, "WAITING_HITS", 50)
     got = result(cosine_top_k(table(spark, docs).repartition(5), table(spark, topics, "qid", "vector"), n))
     assert got == brute(docs, topics, n)
 

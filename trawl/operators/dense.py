@@ -22,9 +22,11 @@ from trawl.operators.topk import top_k
 
 # Bounds of one chunk of queries: bytes of its matrix, and hits a task may hold for it.
 QUERY_BYTES = 64 * 1024 * 1024
-HELD_HITS = 2_000_000
+HELD_HITS = 4_000_000
 # Scores computed at once in a task.
 BLOCK_SCORES = 2_000_000
+# New hits wait until there are this many, or as many as are held, before they are sorted in.
+WAITING_HITS = 100_000
 
 HITS = pa.schema([("q", pa.int32()), ("id", pa.string()), ("score", pa.float64())])
 
@@ -59,31 +61,38 @@ def _block_hits(unit: np.ndarray, ids: pa.Array, queries: np.ndarray, floor: np.
     scores = unit @ queries.T
     if digits is not None:
         scores = np.round(scores, digits) + 0.0
-    if len(scores) > n:
+    if len(scores) > n and np.isneginf(floor).any():
         floor = np.maximum(floor, np.partition(scores, len(scores) - n, axis=0)[len(scores) - n])
     row, q = np.nonzero(scores >= floor)
     return pa.table([pa.array(q, pa.int32()), ids.take(pa.array(row)), pa.array(scores[row, q])], schema=HITS)
 
 
-def _local_top_k(batches: Iterator[pa.RecordBatch], queries: np.ndarray, n: int, digits) -> pa.Table:
-    """The n best documents per query within one partition; memory is bounded by queries x n."""
-    held = HITS.empty_table()
-    floor = np.full(len(queries), -np.inf)
-    step = max(1, BLOCK_SCORES // max(1, len(queries)))
+def _blocks(batches: Iterator[pa.RecordBatch], dim: int, size: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Unit vectors and ids of the documents, at most ``size`` at a time."""
     for batch in batches:
         batch = batch.filter(pc.is_valid(batch.column("embedding")))
         if not batch.num_rows:
             continue
-        unit, usable = _unit_rows(_matrix(batch.column("embedding"), queries.shape[1]))
+        unit, usable = _unit_rows(_matrix(batch.column("embedding"), dim))
         ids = batch.column("id").filter(pa.array(usable)).cast(pa.string())
-        for at in range(0, len(unit), step):
-            found = _block_hits(unit[at : at + step], ids[at : at + step], queries, floor, n, digits)
-            held = _n_best(pa.concat_tables([held, found]).combine_chunks(), n)
-            q, scores = held["q"].to_numpy(), held["score"].to_numpy()
-            count = np.bincount(q, minlength=len(queries))
-            full = np.flatnonzero(count >= n)
-            floor[full] = scores[np.cumsum(count)[full] - 1]
-    return held
+        for at in range(0, len(unit), size):
+            yield unit[at : at + size], ids[at : at + size]
+
+
+def _local_top_k(batches: Iterator[pa.RecordBatch], queries: np.ndarray, n: int, digits) -> pa.Table:
+    """The n best documents per query within one partition; memory is bounded by queries x n."""
+    held, waiting, count = HITS.empty_table(), [], 0
+    floor = np.full(len(queries), -np.inf)
+    for unit, ids in _blocks(batches, queries.shape[1], max(1, BLOCK_SCORES // len(queries))):
+        waiting.append(_block_hits(unit, ids, queries, floor, n, digits))
+        count += len(waiting[-1])
+        if count < max(WAITING_HITS, len(held)):
+            continue
+        held, waiting, count = _n_best(pa.concat_tables([held, *waiting]).combine_chunks(), n), [], 0
+        sizes = np.bincount(held["q"].to_numpy(), minlength=len(queries))
+        full = np.flatnonzero(sizes >= n)
+        floor[full] = held["score"].to_numpy()[np.cumsum(sizes)[full] - 1]
+    return _n_best(pa.concat_tables([held, *waiting]).combine_chunks(), n)
 
 
 def _chunk_scores(docs: DataFrame, chunk: DataFrame, n: int, digits) -> DataFrame:

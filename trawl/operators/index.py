@@ -59,12 +59,14 @@ def analyse(docs: DataFrame, analyzer: str, by: tuple[str, ...] = (), with_id: b
     return docs.select(*by, F.col("id").cast("string").alias("id"), tokens.alias("tokens"))
 
 
-def count_terms(analysed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def count_terms(analysed: DataFrame, by: tuple[str, ...] = (), with_id: bool = False) -> DataFrame:
     """``(by, id, len, counts)``, counts being ``array<struct<term, tf>>``: a narrow step.
 
     Equal tokens lie side by side once sorted; a term's count is the distance between run starts.
+    ``with_id`` says that the tokens hold the separator of ``analyse``.
     """
-    kept = analysed.select(*by, "id", F.sort_array(F.filter("tokens", lambda t: t != "")).alias("sorted"))
+    tokens = F.filter("tokens", lambda t: t != "") if with_id else F.col("tokens")
+    kept = analysed.select(*by, "id", F.sort_array(tokens).alias("sorted"))
     sized = kept.select(*by, "id", "sorted", F.size("sorted").alias("len"))
     run_starts = F.filter(
         F.sequence(F.lit(1), F.col("len")),
@@ -171,7 +173,7 @@ def build_index(
         tokens = _write_bucketed(analysed.repartition(buckets, "id"), path, "tokens", buckets, ["id"])
         analysed = tokens
     # Counted before the shuffle: one row per document travels, holding each term once.
-    counts = count_terms(analysed, by)
+    counts = count_terms(analysed, by, with_id)
     if not with_tokens:
         counts = counts.repartition(buckets, "id")
     flat = _write_bucketed(_flat(counts, by), path, "postings", buckets, ["term"])
@@ -251,5 +253,5 @@ def extend_index(docs: DataFrame, path: str) -> Index:
         return spark.table(table)
 
     tokens = append(analysed, "tokens", "id") if facts["with_tokens"] else None
-    flat = append(_flat(count_terms(analysed, by), by), "postings", "term")
+    flat = append(_flat(count_terms(analysed, by, facts["with_id"]), by), "postings", "term")
     return _summarise(flat, path, by, facts, tokens)
