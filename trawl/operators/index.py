@@ -21,7 +21,7 @@ from trawl.session import scratch_dir, shuffle_partitions
 SAMPLE_FROM = 1_000_000
 SAMPLE_RATE = 32
 # Default number of buckets: one per so many bytes of input files, up to a limit.
-BUCKET_BYTES = 1 << 30
+BUCKET_BYTES = 256 * 1024 * 1024
 MAX_BUCKETS = 20_000
 
 
@@ -135,11 +135,12 @@ def _write_bucketed(df: DataFrame, path: str, name: str, buckets: int, sort: lis
 def default_buckets(docs: DataFrame) -> int:
     """Buckets for an index of ``docs``: by the size of its input files, if it reads any."""
     spark, files = docs.sparkSession, docs.inputFiles()
-    least = shuffle_partitions(spark)
+    partitions = shuffle_partitions(spark)
     if not files:
-        return least
+        return partitions
     # Only the file listing is read for this.
     size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] or 0
+    least = min(partitions, spark.sparkContext.defaultParallelism)
     return max(least, min(MAX_BUCKETS, math.ceil(size / BUCKET_BYTES)))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.text import ANALYZERS, clean_query, query_words
 from trawl.operators.index import Index
-from trawl.session import BROADCAST_BYTES, measure
+from trawl.session import BROADCAST_BYTES, checkpoint, measure
 
 # Term-frequency cap, weight and normaliser of ts_rank.
 MAX_POSITIONS = 255
@@ -218,7 +218,8 @@ def bm25_fts5(index: Index, topics: DataFrame, k1: float = 1.2, b: float = 0.75)
         return score_all(index, weighted)
     columns = ["qid", "id", "tf", "len", *PART_COLUMNS]
     matches = join_postings(index, weighted, ["term"], columns[:1] + PART_COLUMNS).select(*columns)
-    found = match_phrases(index, several)
+    # Read twice below: for the document frequencies and for the scores.
+    found = checkpoint(match_phrases(index, several))
     one = index.stats.select("n", "avgdl").first()
     freq = found.groupBy("phrase").agg(F.count("*").alias("df"))
     weighed = several.join(freq, "phrase").withColumns({"n": F.lit(one.n), "avgdl": F.lit(one.avgdl)})
