@@ -6,11 +6,15 @@ of the topics are the embeddings with their ids. Every query reads its whole tab
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from oracles import ORACLES
 from trawl.functions.stem import stem_tokens
 from trawl.functions.text import clean_query, drop_stop_words, natural_key, plain_tokens, tokenize
@@ -23,6 +27,7 @@ from trawl.operators.lexical import bm25_terms, match_any, match_phrases, ts_ran
 from trawl.operators.pruned import best
 from trawl.operators.topk import drop_self
 from trawl.plans.search import search, sparse_hits
+from trawl.session import checkpoint
 from trawl.sources.corpus import load_dense, load_sparse, num_rows, parse_json_lines, parse_tsv_lines, read_parquet_rows
 from trawl.sources.trec import run_lines, run_tag
 
@@ -248,7 +253,7 @@ def q_trec_run(spark, sf):
 
 def _judged_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """A dense run, and the judgements of its deeper pool: same label as the topic, or not."""
-    run = cosine_top_k(_vectors(spark, sf), _full_topics(spark, sf), 3 * HITS)
+    run = checkpoint(cosine_top_k(_vectors(spark, sf), _full_topics(spark, sf), 3 * HITS))
     labels = _labels(spark, sf)
     wanted = labels.select(F.col("id").alias("qid"), F.col("label").alias("wanted"))
     pool = run.select("qid", "id").join(labels, "id").join(wanted, "qid")
@@ -267,7 +272,7 @@ def q_ndcg_mean(spark, sf):
 def q_ndcg_by_group(spark, sf):
     """Mean nDCG of the lexical run in each language; the pool is judged by document quality."""
     index = build_index(_docs(spark, sf, "lang"), by=("lang",))
-    run = best(index, bm25_terms(index, _topics(spark, sf)), 3 * HITS)
+    run = checkpoint(best(index, bm25_terms(index, _topics(spark, sf)), 3 * HITS))
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     quality = labels.select(F.col("doc_id").cast("string").alias("id"), F.col("quality").alias("rel"))
     qrels = run.select("lang", "qid", "id").join(quality, "id")
