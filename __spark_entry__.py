@@ -280,14 +280,28 @@ def q_ndcg_by_group(spark, sf):
     return means.select("lang", "queries", F.round("ndcg", 6).alias("ndcg"))
 
 
+try:  # optional: the subpackage and its pipeline may be absent
+    import corpus_pipeline
+    from trawl.llm import queries as llm
+except ImportError:
+    LLM_QUERIES, LLM_ORACLES = {}, {}
+else:
+    LLM_QUERIES = llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    LLM_ORACLES = llm.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: BM25 top 10 of every topic."""
     return q_bm25_topk(spark, SMALL)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: query for name, query in globals().items() if name.startswith("q_")}
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return own_queries() | LLM_QUERIES
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | LLM_ORACLES

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.own_queries(), entry.ORACLES
 
 
 @pytest.fixture(scope="module")
