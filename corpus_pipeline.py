@@ -7,22 +7,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import exact_dedup, mixing
-from trawl.llm.queries import DEFAULT_SHARE, SHARES
+from trawl.llm import crf, dart_minhash, exact_dedup, mixing, packing
+from trawl.llm.queries import DEFAULT_SHARE, PACKING_TOKENIZER, SHARES
 from trawl.llm.tables import stored
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a clear language stay; texts without a letter and hopeless mixtures go."""
+    return crf.drop_unclear(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, that with the largest id."""
     return exact_dedup.drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays, that with the smallest id."""
+    return dart_minhash.drop_near_copies(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order that mixes the sources to their target shares."""
     return mixing.mixed(docs, SHARES, DEFAULT_SHARE)
 
 
-STAGES = [("exact", exact), ("mix", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences."""
+    return packing.packed_digests(docs, PACKING_TOKENIZER)
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
 
 #: The language model and the near-copy search have no SQL.
 ORACLE_SQL = None

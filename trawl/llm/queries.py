@@ -5,31 +5,71 @@ Every query reads its whole table.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from trawl.llm.crf import languages
+from trawl.llm.dart_minhash import near_classes
 from trawl.llm.exact_dedup import exact_classes
+from trawl.llm.learned_partitions import nearest
+from trawl.llm.license_scan import licenses
 from trawl.llm.mixing import mix
+from trawl.llm.packing import packed_digests
 from trawl.llm.ring import shard
-from trawl.sources.corpus import read_parquet_rows
+from trawl.llm.token_cache import count_tokens
+from trawl.llm.warc_zip import archived
+from trawl.session import scratch_dir
 
 #: Target shares of the sources; a source that is not listed shares DEFAULT_SHARE with the other unlisted ones.
 SHARES = {"src0": 24} | {f"src{i}": 4 for i in range(1, 20)}
 DEFAULT_SHARE = 4
 SHARDS = 16
+PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+COUNTING_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
+TOKEN_LIMIT = 4096
 
 
 def _documents(spark, sf):
-    return read_parquet_rows(spark, f"{sf}/documents.parquet")
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def op1_warc_packages(spark, sf):
+    return archived(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
 def op2_pfair_mix(spark, sf):
     return mix(_documents(spark, sf), SHARES, DEFAULT_SHARE)
 
 
+def op3_best_fit_packing(spark, sf):
+    return packed_digests(_documents(spark, sf), PACKING_TOKENIZER)
+
+
+def op4_dart_minhash(spark, sf):
+    return near_classes(_documents(spark, sf))
+
+
+def op5_learned_partitions(spark, sf):
+    return nearest(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op6_crf_languages(spark, sf):
+    return languages(_documents(spark, sf))
+
+
 def op7_exact_copies(spark, sf):
     return exact_classes(_documents(spark, sf))
 
 
+def op8_license_scan(spark, sf):
+    return licenses(_documents(spark, sf)).drop("starts")
+
+
+def op9_token_counts(spark, sf):
+    """With a cache of its own, so that every run does all the work."""
+    return count_tokens(_documents(spark, sf), scratch_dir(spark), COUNTING_TOKENIZER, limit=TOKEN_LIMIT)
+
+
 def op10_bounded_ring(spark, sf):
     """No slack, so the law is ``rows``: counts of shards are at most one apart."""
     return shard(_documents(spark, sf), SHARDS).select(
