@@ -17,8 +17,6 @@ from trawl.llm.tables import RECORD, stored, whole_text
 COUNTERS = 2048
 #: Digests treated as heavy at most; more than COUNTERS / 3.5, so every such digest has a place.
 HEAVY = 600
-#: Summaries of input partitions are merged in this many groups before the last merge.
-POOLS = 32
 
 
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", record: bool = False) -> DataFrame:
@@ -33,13 +31,12 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def heavy_digests(keyed: DataFrame) -> DataFrame:
-    """At most ``HEAVY`` 64-bit digest keys that may be frequent, by mergeable Misra-Gries counters."""
-    item = F.xxhash64("digest").alias("item")
-    pool = (F.spark_partition_id() % POOLS).alias("pool")
-    pooled = keyed.select(item, pool).groupBy("pool").agg(
-        F.expr(f"approx_top_k_accumulate(item, {COUNTERS})").alias("counters"))
-    merged = pooled.agg(F.expr(f"approx_top_k_combine(counters, {COUNTERS})").alias("counters"))
-    top = merged.select(F.inline(F.expr(f"approx_top_k_estimate(counters, {HEAVY})")))
+    """At most ``HEAVY`` 64-bit digest keys that may be frequent, by mergeable Misra-Gries counters.
+
+    Every input partition sends one summary of at most ``COUNTERS`` numbers to the last merge.
+    """
+    items = keyed.select(F.xxhash64("digest").alias("item"))
+    top = items.agg(F.expr(f"approx_top_k(item, {HEAVY}, {COUNTERS})").alias("top")).select(F.inline("top"))
     return top.filter((F.col("count") > 1) & F.col("item").isNotNull()).select("item")
 
 
