@@ -1,0 +1,47 @@
+from __future__ import annotations
+
+import pytest
+
+CLASHES = "row, digest, record, slot, stream, label, bucket, start, kept, place, part, key, node"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
+    f"{name} string" for name in CLASHES.split(", "))
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+
+
+def odd_rows() -> list[tuple]:
+    """Nulls in every column, empty, blank and very long texts, repeated rows, repeated and missing ids."""
+    long_text = " ".join(WORDS[i * i % 12] + str(i % 977) for i in range(40_000))
+    texts = [
+        (1, "The mit license of the house", "en", "src0"), (2, None, "en", None), (3, "", None, "src1"), (4, " \n\t ", "de", "src1"),
+        (5, long_text, "en", "src0"), (6, long_text, "en", "src2"), (7, "123 456 !?", "fr", "src2"),
+        (8, "ein zwei drei vier fünf sechs", "de", "src0"), (8, "ein zwei drei vier fünf sechs", "de", "src0"),
+        (8, "other text under one id", "en", "src0"), (None, "ein zwei drei vier fünf sechs", "de", "*"),
+        (None, None, None, None), (None, "nameless text of its own", None, "src9"), (9, "one", "en", "src0"),
+        (10, "Ünïcödé \U0001f600 été 漢字かな", "fr", "src3"), (-4, "negative id", "en", "src0"),
+        (11, "a\x00b nul and   separators", "en", "src0"),
+    ]
+    extra = tuple("x" for _ in CLASHES.split(", "))
+    return [(i, t, lang, source, None if t is None else len(t), *extra) for i, t, lang, source in texts]
+
+
+@pytest.fixture(scope="session")
+def odd_docs(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("odd") / "documents.parquet")
+    spark.createDataFrame(odd_rows(), SCHEMA).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def texts(documents):
+    return {r.doc_id: r.text for r in documents.collect()}

@@ -1,0 +1,98 @@
+from itertools import product
+
+import numpy as np
+import pytest
+from trawl.llm import crf
+from trawl.llm.crf import bare, drop_unclear, fit, label_texts, languages, marginals, words_of
+
+
+def test_marginals_equal_summing_over_all_paths():
+    rng = np.random.default_rng(5)
+    lengths, labels = np.array([5, 3, 1]), 3
+    scores, start, moves = rng.normal(size=(3, 5, labels)), rng.normal(size=labels), rng.normal(size=(labels, labels))
+    got, expected = marginals(scores, lengths, start, moves)
+    want, pairs = np.zeros_like(got), np.zeros((labels, labels))
+    for chain, length in enumerate(lengths):
+        total, here, counts = 0.0, np.zeros((5, labels)), np.zeros((labels, labels))
+        for path in product(range(labels), repeat=int(length)):
+            weight = start[path[0]] + sum(scores[chain, t, y] for t, y in enumerate(path))
+            weight = np.exp(weight + sum(moves[a, b] for a, b in zip(path, path[1:])))
+            total += weight
+            for t, y in enumerate(path):
+                here[t, y] += weight
+            for a, b in zip(path, path[1:]):
+                counts[a, b] += weight
+        want[chain] = here / total
+        pairs += counts / total
+    assert np.allclose(got, want) and np.allclose(expected, pairs)
+
+
+def test_words():
+    assert [bare(t) for t in ('"Und,', "l'été!", "123", "...", "A1b", "", "ÉTÉ")] == ["und", "l'été", "", "", "a1b", "", "été"]
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return crf.sample(docs, "doc_id", "text", "lang")
+
+
+@pytest.fixture(scope="module")
+def model(sample):
+    return fit(sample)
+
+
+def test_sample_is_bounded_and_skips_held_out_rows(spark, sample):
+    counts = {lang: sum(x == lang for _, x in sample) for lang in {x for _, x in sample}}
+    assert max(counts.values()) <= crf.SAMPLE_ROWS and set(counts) == {"en", "de", "fr", "es"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = {r.text for r in docs.filter(crf.held_out(docs.doc_id)).collect()}
+    learned = {r.text for r in docs.filter(~crf.held_out(docs.doc_id)).collect()}
+    assert {t for t, _ in sample} <= learned and held
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert len(rows) == 1000 and len(held) > 250
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) >= 0.97
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_code_switched_words_are_labelled_one_by_one(model):
+    english, german = "the of and this that with for", "der die und das nicht mit ein"
+    text = f"{english} {german} {english}"
+    places, table = crf._scored(model, words_of(text))
+    scores = table[places][None].astype(float)
+    found = marginals(scores, np.array([21]), model.start, model.transitions)[0][0].argmax(axis=1)
+    names = [model.languages[i] for i in found]
+    assert names[:7] == ["en"] * 7 and names[8:13] == ["de"] * 5 and names[15:] == ["en"] * 6
+
+
+def test_batches_do_not_matter(model, sample):
+    texts = [t for t, _ in sample[:60]] + ["", "12", "a"]
+    together, alone = label_texts(model, texts), [label_texts(model, [t])[0] for t in texts]
+    assert [a for a, _ in together] == [a for a, _ in alone]
+    assert np.allclose([s for _, s in together], [s for _, s in alone])
+
+
+def test_odd_rows(odd_docs):
+    rows = languages(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    for r in rows:
+        if r.doc_id in (2, 3, 4, 7):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+    assert {r.lang_pred for r in rows} <= {"und", "en", "de", "fr"}
+    assert all(not r.held_out for r in rows if r.doc_id is None)
+    kept = drop_unclear(odd_docs, least=0.0)
+    assert kept.columns == odd_docs.columns
+    assert kept.count() == sum(r.lang_pred != "und" for r in rows)
+
+
+def test_nothing_to_learn_from(spark, no_docs):
+    assert languages(no_docs).collect() == [] and drop_unclear(no_docs).collect() == []
+    rows = languages(spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")).collect()
+    assert [(r.lang_pred, r.score) for r in rows] == [("und", 0.0)]
+    only = spark.createDataFrame([(i, "some text", "en") for i in range(9)], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in languages(only).collect()} == {("en", 1.0)}

@@ -1,0 +1,109 @@
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+from trawl.llm import packing
+from trawl.llm.packing import best_fit, pack_documents, packed_digests, place, token_bytes
+from trawl.llm.queries import PACKING_TOKENIZER
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PACKING_TOKENIZER)
+
+
+def plainly(lengths, window):
+    """Best fit by looking at every open window."""
+    rooms, numbers, offsets = [], [], []
+    for length in lengths:
+        fits = [(room, i) for i, room in enumerate(rooms) if room >= length]
+        if fits:
+            number = min(fits)[1]
+        else:
+            rooms.append(window)
+            number = len(rooms) - 1
+        numbers.append(number)
+        offsets.append(window - rooms[number])
+        rooms[number] -= length
+    return sorted(rooms), numbers, offsets
+
+
+@pytest.mark.parametrize("window", [1, 7, 64, 2048])
+def test_tree_finds_what_a_scan_finds(window):
+    rng = random.Random(window)
+    for _ in range(20):
+        lengths = sorted((rng.randrange(1, window + 1) for _ in range(rng.randrange(200))), reverse=True)
+        numbers, offsets = best_fit(lengths, window)
+        used = defaultdict(int)
+        for length, number, offset in zip(lengths, numbers, offsets):
+            assert used[number] == offset
+            used[number] += length
+        rooms = sorted(window - n for n in used.values())
+        assert rooms == plainly(lengths, window)[0]
+
+
+def test_words_on_their_own_give_the_ids_of_whole_texts(tokenizer, texts, odd_docs):
+    every = [*texts.values(), *(r.text or "" for r in odd_docs.collect()), "it's  I'LL x\r\ný ́z Σς ΑΣ don't\x1cs",
+             "<|endoftext|> a <|startoftext|>", " <|endoftext|>"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(every, add_special_tokens=False)]
+    memo = {}
+    assert token_bytes(every, tokenizer, memo) == want
+    assert token_bytes(every, tokenizer, memo) == want  # from the memo
+
+
+def check(rows, ids_of, window=2048):
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    for own in sequences.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= window
+    for doc_id, own in pieces.items():
+        at, ids = 0, ids_of(doc_id)
+        for r in sorted(own, key=lambda r: r.start):
+            assert r.start == at and r.length > 0 and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at:at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    return sequences
+
+
+def test_given_table(documents, texts, tokenizer):
+    rows = packed_digests(documents, PACKING_TOKENIZER).collect()
+    sequences = check(rows, lambda i: [*tokenizer.encode(texts[i], add_special_tokens=False).ids, 1])
+    assert {r.doc_id for r in rows} == set(texts)
+    tokens = sum(r.length for r in rows)
+    assert len(sequences) <= tokens / 2048 + 2  # no more than the last window half empty
+
+
+def test_odd_rows(spark, odd_docs, tokenizer):
+    rows = pack_documents(odd_docs, PACKING_TOKENIZER).collect()
+    whole = sum(len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in odd_docs.collect())
+    assert sum(r.length for r in rows) == whole
+    assert all(len(r.ids) == 4 * r.length for r in rows)
+    assert len([r for r in rows if r.doc_id is None]) == 3
+    assert [(r.length, bytes(r.ids)) for r in rows if r.doc_id == 2] == [(1, b"\x01\0\0\0")]
+
+
+def test_no_rows(no_docs):
+    assert packed_digests(no_docs, PACKING_TOKENIZER).collect() == []
+
+
+def test_many_buckets_and_other_columns(spark):
+    rows = [(i if i % 3 else None, 0, 1 + i * 37 % 2048, "x") for i in range(4000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, more string")
+    packed = place(pieces, bucket_pieces=500).collect()
+    assert len(packed) == 4000 and {r.more for r in packed} == {"x"}
+    used = defaultdict(int)
+    for r in packed:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048
+    assert len(used) <= 1.03 * sum(used.values()) / 2048 + 8
+    assert packing.BUCKET_PIECES == 4096

@@ -1,0 +1,61 @@
+import sentencepiece
+from tokenizers import Tokenizer
+from trawl.llm import token_cache
+from trawl.llm.queries import COUNTING_TOKENIZER, PACKING_TOKENIZER
+from trawl.llm.token_cache import count_tokens
+
+
+def result(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def by_hand(rows, count, limit=4096):
+    found = [(i, len((t or "").encode()), count(t or "")) for i, t in rows]
+    return sorted(((i, size, n, n > limit) for i, size, n in found), key=repr)
+
+
+def counter():
+    model = sentencepiece.SentencePieceProcessor(model_file=COUNTING_TOKENIZER)
+    return lambda text: len(model.encode(text))
+
+
+def test_given_table(documents, texts, tmp_path):
+    assert result(count_tokens(documents, str(tmp_path / "c"), COUNTING_TOKENIZER)) == by_hand(texts.items(), counter())
+
+
+def test_odd_rows(odd_docs, no_docs, tmp_path):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    cache = str(tmp_path / "c")
+    assert result(count_tokens(no_docs, cache, COUNTING_TOKENIZER)) == []
+    assert result(count_tokens(odd_docs, cache, COUNTING_TOKENIZER)) == by_hand(rows, counter())
+    few = count_tokens(odd_docs, cache, COUNTING_TOKENIZER, limit=3)
+    assert result(few) == by_hand(rows, counter(), 3)
+
+
+def test_special_strings_are_text(spark, tmp_path):
+    rows = [(1, "<s> a </s> <unk>"), (2, "</s>"), (3, "  two  blanks ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(count_tokens(df, str(tmp_path / "c"), COUNTING_TOKENIZER)) == by_hand(rows, counter())
+
+
+def test_only_distinct_misses_are_encoded(spark, tmp_path, monkeypatch):
+    encoded = []
+    encode = token_cache.encode_misses
+
+    def spy(texts, model, kind):
+        encoded.append(sorted(r.text for r in texts.collect()))
+        return encode(texts, model, kind)
+
+    monkeypatch.setattr(token_cache, "encode_misses", spy)
+    cache, schema = str(tmp_path / "c"), "doc_id long, text string"
+    first = spark.createDataFrame([(i, f"text {i % 3}") for i in range(30)], schema)
+    more = spark.createDataFrame([(1, "text 1"), (2, "text new"), (3, None)], schema)
+    count_tokens(first, cache, COUNTING_TOKENIZER)
+    rows = result(count_tokens(more, cache, COUNTING_TOKENIZER))
+    assert encoded == [["text 0", "text 1", "text 2"], ["", "text new"]]
+    assert rows == by_hand([(1, "text 1"), (2, "text new"), (3, None)], counter())
+    # Another tokenizer is another version: nothing of the first one's counts is taken.
+    other = Tokenizer.from_file(PACKING_TOKENIZER)
+    rows = result(count_tokens(more, cache, PACKING_TOKENIZER, kind="tokenizers"))
+    assert rows == by_hand([(1, "text 1"), (2, "text new"), (3, None)], lambda t: len(other.encode(t, add_special_tokens=False).ids))
+    assert len(encoded) == 3 and len(encoded[2]) == 3

@@ -1,0 +1,131 @@
+import hashlib
+import io
+import json
+import struct
+import zipfile
+import zlib
+
+import pytest
+from trawl.llm import warc_zip
+from trawl.llm.warc_zip import DATA, INDEX, archived, data_start, members, parse_record, read_packages, write_packages
+
+
+class Bytes:
+    def __init__(self, data):
+        self.data, self.size = data, len(data)
+
+    def read(self, start, length):
+        assert 0 <= start and start + length <= self.size
+        return self.data[start:start + length]
+
+
+def package(entries, comment=b"", force=False):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, data in entries.items():
+            with z.open(zipfile.ZipInfo(name), "w", force_zip64=force) as f:
+                f.write(data)
+        z.comment = comment
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("comment", [b"", b"hello", b"PK\x05\x06" + b"x" * 40])
+def test_members_are_found_by_ranges(comment):
+    entries = {"a/b.txt": b"abc", "été": b"", DATA: b"z" * 1000}
+    data = package(entries, comment)
+    reader = Bytes(data)
+    found = members(reader)
+    for name, content in entries.items():
+        start = data_start(reader, found[name])
+        assert reader.read(start, found[name]["size"]) == content
+
+
+def test_zip64_directories(monkeypatch):
+    # Low limits make the standard library write every ZIP64 form without gigabytes of data.
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 10)
+    monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 2)
+    entries = {f"m{i}": bytes([i]) * (20 + i) for i in range(5)}
+    data = package(entries, force=True)
+    assert b"PK\x06\x06" in data and b"PK\x06\x07" in data
+    end = data.rindex(b"PK\x05\x06")
+    data = data[:end + 8] + b"\xff" * 12 + data[end + 20:]  # the 32-bit fields are full
+    reader = Bytes(data)
+    found = members(reader)
+    assert {n: reader.read(data_start(reader, m), m["size"]) for n, m in found.items()} == entries
+
+
+def test_broken_packages():
+    with pytest.raises(ValueError):
+        members(Bytes(b"no zip"))
+    with pytest.raises(ValueError):
+        members(Bytes(b""))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x", b"a" * 100)
+    reader = Bytes(out.getvalue())
+    with pytest.raises(ValueError):
+        data_start(reader, members(reader)["x"])
+
+
+def by_hand(rows):
+    first = {}
+    for page_id, html in rows:
+        if page_id is not None and len((html or "").encode()) >= 100:
+            first[html] = min(first.get(html, page_id), page_id)
+    repeats = {h for h in first if sum(x == h for _, x in rows) > 1}
+    found = []
+    for page_id, html in rows:
+        raw = (html or "").encode()
+        again = html in repeats and page_id != first[html]
+        found.append((page_id, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first[html] if again else None))
+    return sorted(found, key=repr)
+
+
+def result(df):
+    return sorted(map(tuple, archived(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr)
+
+
+def test_given_table(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    assert result(pages) == by_hand([(r.page_id, r.html) for r in pages.collect()])
+
+
+SCHEMA = "page_id long, url string, html string, digest string, first string, package string, revisit string"
+
+
+def test_odd_pages(spark):
+    long = "é" * 50
+    rows = [(1, "http://a", "x" * 99), (2, None, "x" * 99), (3, "u\r\nX: y", long), (4, "http://b", long), (5, "http://b", None), (6, "", ""),
+            (None, "http://c", long), (None, None, None), (7, "http://d", "a\r\n\r\nb\x00" * 30), (3, "u", long),
+            (8, "http://e", "lone page " * 20), (9, "http://e", "y" * 3_000_000), (10, "http://e", "y" * 3_000_000)]
+    df = spark.createDataFrame([(*r, "p", "q", "r", "s") for r in rows], SCHEMA).repartition(3)
+    assert result(df) == by_hand([(i, h) for i, _, h in rows])
+    assert archived(df.limit(0)).collect() == []
+
+
+def test_a_payload_that_many_pages_share(spark):
+    rows = [(i, "http://a", "hot " * 50 if i % 3 == 0 else f"page {i} " * 20) for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert result(df) == by_hand([(i, h) for i, _, h in rows])
+
+
+def test_packages_roll_over_and_records_stand_where_the_index_says(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc_zip, "PACKAGE_RECORDS", 7)
+    rows = [(i, f"http://a/{i}", f"<p>page {i}</p>" * 20) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    packages = write_packages(df, f"file://{tmp_path}/packages")
+    uris = [r.package for r in packages.collect()]
+    assert len(uris) == 6 and sum(r.records for r in packages.collect()) == 40
+    for uri in uris:
+        with zipfile.ZipFile(uri.removeprefix("file://")) as z:  # readable for others, too
+            assert z.testzip() is None and set(z.namelist()) == {DATA, INDEX, "datapackage.json"}
+            data = z.read(DATA)
+            for line in z.read(INDEX).decode().split("\n"):
+                entry = json.loads(line)
+                record = zlib.decompress(data[entry["offset"]:entry["offset"] + entry["length"]], 31)
+                headers, payload = parse_record(record)
+                assert int(headers["X-Page-ID"]) == entry["page"] and payload.decode() == rows[entry["page"]][2]
+                assert headers["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(payload).hexdigest()
+    read = {r.page_id: (r.url, bytes(r.payload).decode()) for r in read_packages(packages).collect()}
+    assert read == {i: (u, h) for i, u, h in rows}
+    assert struct.calcsize("<Q") == 8
