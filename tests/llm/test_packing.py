@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 from trawl.llm import packing
-from trawl.llm.packing import best_fit, pack_documents, packed_digests, place, token_bytes
+from trawl.llm.packing import WordIds, best_fit, pack_documents, packed_digests, place
 from trawl.llm.queries import PACKING_TOKENIZER
 
 
@@ -46,12 +46,24 @@ def test_tree_finds_what_a_scan_finds(window):
 
 
 def test_words_on_their_own_give_the_ids_of_whole_texts(tokenizer, texts, odd_docs):
-    every = [*texts.values(), *(r.text or "" for r in odd_docs.collect()), "it's  I'LL x\r\ný ́z Σς ΑΣ don't\x1cs",
-             "<|endoftext|> a <|startoftext|>", " <|endoftext|>"]
+    every = [*texts.values(), *(r.text or "" for r in odd_docs.collect()), "it's  I'LL x\r\ný ́z Σς ΑΣ don't\x1cs",
+             "<|endoftext|> a <|startoftext|>", " <|endoftext|>", "İstanbul ıI ÀÉ ª. ß, ẞ ŉ ǅ ǆ ſ. K É É, é́. a., ., , . x.. 1. ²."]
     want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(every, add_special_tokens=False)]
-    memo = {}
-    assert token_bytes(every, tokenizer, memo) == want
-    assert token_bytes(every, tokenizer, memo) == want  # from the memo
+    with open(PACKING_TOKENIZER, encoding="utf-8") as file:
+        text = file.read()
+    words, whole = WordIds(text), WordIds(text)
+    assert words.plain
+    whole.plain = False
+    assert words.ids(every) == want and whole.ids(every) == want
+    assert words.ids(every) == want  # from the memo
+
+
+def test_every_latin_letter(tokenizer):
+    with open(PACKING_TOKENIZER, encoding="utf-8") as file:
+        words = WordIds(file.read())
+    every = [f"{chr(c)}a b{chr(c)}. {chr(c)}{chr(c)}" for c in range(1, 0x2B0)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(every, add_special_tokens=False)]
+    assert words.ids(every) == want
 
 
 def check(rows, ids_of, window=2048):

@@ -9,6 +9,8 @@ a segment tree over remaining capacities.
 from __future__ import annotations
 
 import hashlib
+import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,10 @@ END_ID = 1
 #: Pieces packed together; more buckets mean more half-filled last windows, one or two per bucket.
 BUCKET_PIECES = 4096
 #: Words a Python worker remembers with their ids, and characters it works on at a time.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 CHUNK_CHARS = 500_000
 
-_memos: dict[str, tuple] = {}
+_memos: dict[str, WordIds] = {}
 
 
 class OpenWindows:
@@ -79,45 +81,98 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
     return numbers, offsets
 
 
-def _memo(text: str):
-    """The tokenizer and the word memo of this Python worker."""
-    key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _memos:
-        from tokenizers import Tokenizer
+class WordIds:
+    """Token ids of words as little-endian 32-bit numbers, each distinct word encoded once.
 
-        tokenizer = Tokenizer.from_str(text)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _memos.clear()
-        _memos[key] = (tokenizer, {})
-    return _memos[key]
+    For tokenizers that drop white space and never join what stands on two sides of it. Where the
+    tokenizer lower-cases, splits runs of letters from all else and works on bytes, as its own
+    description tells, Latin words go straight to its merges, and a full stop or comma behind a word
+    is looked up apart.
+    """
 
+    #: Letters up to here have one lower-case form each, the same in every library, but for one.
+    LATIN = 0x250
+    ODD = "\u0130"
 
-def token_bytes(texts: list[str], tokenizer, memo: dict[str, bytes]) -> list[bytes]:
-    """Token ids of each text as little-endian 32-bit numbers.
+    def __init__(self, text: str):
+        from tokenizers import Tokenizer
 
-    For tokenizers that drop white space and never join what stands on two sides of it: texts are
-    split at blanks and line ends, and each distinct word is encoded once.
-    """
-    split = [text.replace("\n", " ").split(" ") for text in texts]
-    words = [word for parts in split for word in parts]
-    ids = list(map(memo.get, words))
-    unknown = [i for i, found in enumerate(ids) if found is None]
-    if unknown:
-        new = list({words[i] for i in unknown})
-        encoded = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {word: np.array(e.ids, "<u4").tobytes() for word, e in zip(new, encoded)}
-        for i in unknown:
-            ids[i] = fresh[words[i]]
-        if len(memo) + len(fresh) > MEMO_WORDS:
+        self.tokenizer = Tokenizer.from_str(text)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.memo: dict[str, bytes] = {}
+        described = json.loads(text)
+        normal = [n.get("type") for n in (described.get("normalizer") or {}).get("normalizers", [])]
+        split = [p.get("type") for p in (described.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.plain = normal == ["NFC", "Replace", "Lowercase"] and split == ["Split", "ByteLevel"]
+        self.model = self.tokenizer.model
+        # The printable form in which byte-level models write bytes.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+    def _whole(self, words: list[str]) -> dict[str, bytes]:
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {word: array("I", e.ids).tobytes() for word, e in zip(words, encoded)}
+
+    def _latin(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters, else None."""
+        if not word.isalpha():
+            return None
+        lower = word.lower()
+        found = self.memo.get(lower)
+        if found is None:
+            if word.isascii():
+                written = lower
+            elif max(word) < chr(self.LATIN) and self.ODD not in word:
+                written = "".join(map(self.letters.__getitem__, lower.encode()))
+            else:
+                return None
+            found = array("I", [token.id for token in self.model.tokenize(written)]).tobytes()
+            self.memo[lower] = found
+        return found
+
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        if not self.plain:
+            return self._whole(list(words))
+        fresh, rest, ends = {}, [], self._whole([".", ","])
+        for word in words:
+            end = ends.get(word[-1:], b"")
+            found = self._latin(word[:-1] if end else word)
+            if found is None:
+                rest.append(word)
+            else:
+                fresh[word] = found + end
+        return fresh | self._whole(rest)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        memo = self.memo
+        if len(memo) > MEMO_WORDS:
             memo.clear()
-        if len(fresh) <= MEMO_WORDS:
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        words = [word for parts in split for word in parts]
+        ids = list(map(memo.get, words))
+        unknown = [i for i, found in enumerate(ids) if found is None]
+        if unknown:
+            fresh = self._new({words[i] for i in unknown})
+            for i in unknown:
+                ids[i] = fresh[words[i]]
             memo.update(fresh)
-    found, at = [], 0
-    for parts in split:
-        found.append(b"".join(ids[at:at + len(parts)]))
-        at += len(parts)
-    return found
+        found, at = [], 0
+        for parts in split:
+            found.append(b"".join(ids[at:at + len(parts)]))
+            at += len(parts)
+        return found
+
+
+def _word_ids(text: str) -> WordIds:
+    """The memo of this Python worker."""
+    key = hashlib.sha256(text.encode()).hexdigest()
+    if key not in _memos:
+        _memos.clear()
+        _memos[key] = WordIds(text)
+    return _memos[key]
 
 
 def _chunks(texts: pa.Array) -> Iterator[list[str]]:
@@ -147,12 +202,12 @@ def cut(
     kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, memo = _memo(shared.value)
+        words = _word_ids(shared.value)
         for batch in batches:
             at = 0
             for texts in _chunks(batch.column("text")):
                 rows, starts, lengths, totals, ids = [], [], [], [], []
-                for row, found in enumerate(token_bytes(texts, tokenizer, memo), at):
+                for row, found in enumerate(words.ids(texts), at):
                     found += end
                     total = len(found) // 4
                     for start in range(0, total, window):
