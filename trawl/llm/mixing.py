@@ -101,17 +101,16 @@ def schedule(rows: DataFrame, shares: dict[str, int], default_share: int = 1, bl
         plan.setdefault(name, []).append(
             {"phase": phase, "first": first, "base": base, "period": period, "slots": slots})
     pieces = "array<struct<phase: int, first: bigint, base: bigint, period: int, slots: array<int>>>"
-    planned = constant_table(spark, [(name, p) for name, p in plan.items()], f"stream string, pieces {pieces}")
+    rows_of_plan = [(name, blocks[name] - 1, p) for name, p in plan.items()]
+    planned = constant_table(spark, rows_of_plan, f"stream string, last bigint, pieces {pieces}")
 
     in_cell = Window.partitionBy("stream", "cell").orderBy("key", "doc_id", "row")
     running = F.coalesce(F.sum("size").over(in_cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("running", running).join(F.broadcast(offsets), ["stream", "cell"])
-    placed = placed.withColumn("before", F.col("offset") + F.col("running"))
+    # The rows already lie by stream and cell, so this join moves only the offsets.
+    placed = rows.withColumn("running", running).join(offsets, ["stream", "cell"])
+    placed = placed.withColumn("before", F.col("offset") + F.col("running")).join(F.broadcast(planned), "stream")
     # Empty rows at the very end of a stream belong to its last block.
-    last = constant_table(spark, [(n, b - 1) for n, b in blocks.items()], "stream string, last bigint")
-    placed = placed.join(F.broadcast(last), "stream")
     placed = placed.withColumn("block", F.least(F.floor(F.col("before") / block), F.col("last")))
-    placed = placed.join(F.broadcast(planned), "stream")
     placed = placed.withColumn("piece", F.element_at(F.filter("pieces", lambda p: p["first"] <= F.col("block")), -1))
     place, share = F.col("block") - F.col("piece.first"), F.size("piece.slots")
     in_period = F.element_at("piece.slots", (place % share + 1).cast("int"))
