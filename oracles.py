@@ -21,13 +21,13 @@ FULL_TOPICS = (
 )
 
 
-def index_ctes(pattern: str, by: str = "", with_id: bool = False) -> str:
+def index_ctes(pattern: str, by: str = "", with_id: bool = False, docs: str = DOCS) -> str:
     """tokens, postings, doclens, vocab and stats; ``by`` is '' or 'lang, '."""
     tokens = pattern.format("contents")
     if with_id:
         tokens = f"list_concat({pattern.format('id')}, {tokens})"
     group = f"GROUP BY {by[:-2]}" if by else ""
-    return f"""{DOCS},
+    return f"""{docs},
     doc_tokens AS (SELECT {by} id, {tokens} AS tokens FROM docs),
     doclens AS (SELECT {by} id, len(tokens) AS len FROM doc_tokens),
     exploded AS (SELECT {by} id, unnest(tokens) AS term FROM doc_tokens),
@@ -36,52 +36,83 @@ def index_ctes(pattern: str, by: str = "", with_id: bool = False) -> str:
     stats AS (SELECT {by} count(*)::DOUBLE AS n, avg(len) AS avgdl FROM doclens {group})"""
 
 
-def top(scored: str, n: int, keys: str = "qid") -> str:
+def ranked(scored: str, n: int, keys: str = "qid", digits: int | None = 10) -> str:
+    """The n best of each query; ties are scores equal in so many decimals."""
+    score = "score" if digits is None else f"round(score, {digits})"
     return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, id) AS rank
-    FROM (SELECT {keys}, id, round(score, 6) AS score FROM {scored})) WHERE rank <= {n}"""
+    FROM (SELECT {keys}, id, {score} AS score FROM {scored})) WHERE rank <= {n}"""
+
+
+def top(scored: str, n: int, keys: str = "qid") -> str:
+    """The same, with scores as they are printed."""
+    return f"SELECT * REPLACE (round(score, 6) AS score) FROM ({ranked(scored, n, keys)})"
 
 
 QUERY_TERMS = f"""{TOPICS},
     qwords AS (SELECT qid, unnest({PLAIN.format('contents')}) AS term FROM topics),
     qterms AS (SELECT DISTINCT qid, term FROM qwords)"""
 
-BM25 = f"""{index_ctes(PLAIN)}, {QUERY_TERMS},
-    bm25 AS (SELECT q.qid, p.id, sum(log10((s.n - v.df + 0.5) / (v.df + 0.5) + 1)
+def bm25(by: str = "", docs: str = DOCS, classic: bool = False) -> str:
+    """CTE ``bm25``; ``by`` is '' or 'lang'."""
+    keys, same = (f"p.{by}, ", f" AND {{}}.{by} = p.{by}") if by else ("", "")
+    stats = f"JOIN stats s ON s.{by} = p.{by}" if by else ", stats s"
+    idf = "log10((s.n - v.df + 0.5) / (v.df + 0.5))" if classic else "log10((s.n - v.df + 0.5) / (v.df + 0.5) + 1)"
+    return f"""{index_ctes(PLAIN, f"{by}, " if by else "", docs=docs)}, {QUERY_TERMS},
+    bm25 AS (SELECT {keys}q.qid, p.id, sum({idf}
             * p.tf * 1.9 / (p.tf + 0.9 * (0.6 + 0.4 * d.len / s.avgdl))) AS score
-        FROM qterms q JOIN postings p USING (term) JOIN vocab v USING (term) JOIN doclens d ON d.id = p.id, stats s
-        GROUP BY q.qid, p.id)"""
+        FROM qterms q JOIN postings p USING (term) JOIN vocab v ON v.term = p.term{same.format("v")}
+        JOIN doclens d ON d.id = p.id{same.format("d")} {stats}
+        GROUP BY {keys}q.qid, p.id)"""
+
 
-BM25_PADDED = f"""{BM25},
-    padded AS (SELECT t.qid, d.id, coalesce(b.score, 0) AS score
+BM25 = bm25()
+PADDED = """padded AS (SELECT t.qid, d.id, coalesce(b.score, 0) AS score
         FROM topics t CROSS JOIN docs d LEFT JOIN bm25 b ON b.qid = t.qid AND b.id = d.id)"""
+BM25_PADDED = f"{BM25}, {PADDED}"
+BM25_BY_GROUP = bm25("lang")
+PADDED_BY_GROUP = """padded AS (SELECT d.lang, t.qid, d.id, coalesce(b.score, 0) AS score FROM topics t CROSS JOIN docs d
+        LEFT JOIN bm25 b ON b.qid = t.qid AND b.id = d.id AND b.lang = d.lang)"""
+MORE_DOCS = """docs AS (SELECT doc_id::VARCHAR AS id, text AS contents FROM documents
+        UNION ALL SELECT conv_id || '-' || turn AS id, text AS contents FROM conversations)"""
+DOTTED = r"topics AS (SELECT item_id::VARCHAR AS qid, regexp_replace(text, '^(\S+) (\S+)', '\1.\2') AS contents FROM benchmark)"
 
-BM25_BY_GROUP = f"""{index_ctes(PLAIN, 'lang, ')}, {QUERY_TERMS},
-    bm25 AS (SELECT p.lang, q.qid, p.id, sum(log10((s.n - v.df + 0.5) / (v.df + 0.5) + 1)
-            * p.tf * 1.9 / (p.tf + 0.9 * (0.6 + 0.4 * d.len / s.avgdl))) AS score
-        FROM qterms q JOIN postings p USING (term) JOIN vocab v ON v.term = p.term AND v.lang = p.lang
-        JOIN doclens d ON d.id = p.id AND d.lang = p.lang JOIN stats s ON s.lang = p.lang
-        GROUP BY p.lang, q.qid, p.id)"""
 
-FTS5 = f"""{index_ctes(FOLDED, with_id=True)}, {TOPICS},
-    qwords AS (SELECT qid, unnest({FOLDED.format('contents')}) AS term FROM topics),
-    qterms AS (SELECT qid, term, count(*) AS qtf FROM qwords GROUP BY qid, term),
-    idf AS (SELECT term, CASE WHEN w <= 0 THEN 1e-6 ELSE w END AS w FROM
-        (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS w FROM vocab, stats)),
-    fts5 AS (SELECT q.qid, p.id, sum(q.qtf * i.w * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * d.len / s.avgdl))) AS score
-        FROM qterms q JOIN postings p USING (term) JOIN idf i USING (term) JOIN doclens d ON d.id = p.id, stats s
-        GROUP BY q.qid, p.id)"""
+def fts5(topics: str = TOPICS, by: str = "") -> str:
+    """CTE ``fts5``: every word of a query is a phrase, most of one token; ``by`` is '' or 'lang, '."""
+    same = " AND {0}.lang = {1}.lang" if by else ""
+    stats = "JOIN stats s ON s.lang = m.lang" if by else ", stats s"
+    return rf"""{index_ctes(FOLDED, by, with_id=True)}, {topics},
+    qwords AS (SELECT qid, unnest(regexp_extract_all(contents, '\S+')) AS word FROM topics),
+    qphrases AS (SELECT qid, {FOLDED.format('word')} AS phrase FROM qwords),
+    qcounts AS (SELECT qid, phrase, count(*) AS qtf FROM qphrases WHERE len(phrase) > 0 GROUP BY qid, phrase),
+    parts AS (SELECT phrase, unnest(phrase) AS term, generate_subscripts(phrase, 1) AS at
+        FROM (SELECT DISTINCT phrase FROM qcounts)),
+    fenced AS (SELECT {by}id, list_concat({FOLDED.format('id')}, [''], {FOLDED.format('contents')}) AS tokens FROM docs),
+    places AS (SELECT {by}id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS at FROM fenced),
+    starts AS (SELECT {by}phrase, id, p.at - q.at AS start FROM parts q JOIN places p USING (term)
+        GROUP BY {by}phrase, id, p.at - q.at HAVING count(*) = len(phrase)),
+    matches AS (SELECT {by}phrase, id, count(*) AS tf FROM starts GROUP BY {by}phrase, id),
+    freq AS (SELECT {by}phrase, count(*) AS df FROM matches GROUP BY {by}phrase),
+    fts5 AS (SELECT {"m.lang, " if by else ""}q.qid, m.id, sum(q.qtf
+            * CASE WHEN s.n - f.df + 0.5 <= f.df + 0.5 THEN 1e-6 ELSE ln((s.n - f.df + 0.5) / (f.df + 0.5)) END
+            * m.tf * 2.2 / (m.tf + 1.2 * (0.25 + 0.75 * d.len / s.avgdl))) AS score
+        FROM qcounts q JOIN matches m USING (phrase) JOIN freq f ON f.phrase = m.phrase{same.format("f", "m")}
+        JOIN doclens d ON d.id = m.id{same.format("d", "m")} {stats}
+        GROUP BY {"m.lang, " if by else ""}q.qid, m.id)"""
 
 
-def ts_rank(norm: int) -> str:
+def ts_rank(norm: int, by: str = "") -> str:
+    """CTE ``ts``; ``by`` is '' or 'lang, '."""
     divisor = "/ log2(any_value(d.len) + 1)" if norm else ""
-    return f"""{index_ctes(SIMPLE)}, {TOPICS},
+    group = "p.lang, " if by else ""
+    return f"""{index_ctes(SIMPLE, by)}, {TOPICS},
     qwords AS (SELECT DISTINCT qid, unnest({SIMPLE.format('contents')}) AS term FROM topics),
     qsize AS (SELECT qid, count(*) AS terms FROM qwords GROUP BY qid),
-    parts AS (SELECT id, term, 0.1 / 1.64493406685
+    parts AS (SELECT {by}id, term, 0.1 / 1.64493406685
         * list_sum(list_transform(range(1, least(tf, 255) + 1), lambda j: 1.0::DOUBLE / (j * j))) AS part FROM postings),
-    ts AS (SELECT q.qid, p.id, sum(p.part) / any_value(z.terms) {divisor} AS score
+    ts AS (SELECT {group}q.qid, p.id, sum(p.part) / any_value(z.terms) {divisor} AS score
         FROM qwords q JOIN parts p USING (term) JOIN qsize z ON z.qid = q.qid JOIN doclens d ON d.id = p.id
-        GROUP BY q.qid, p.id)"""
+        GROUP BY {group}q.qid, p.id)"""
 
 
 COSINE = f"""{TOPICS}, {VECTORS}, {FULL_TOPICS},
@@ -92,33 +123,54 @@ COSINE_TAIL = f"""{VECTORS}, {FULL_TOPICS},
         FROM full_topics t, vectors v)"""
 
 
-def fused(sparse: str, n: int, rank: str) -> str:
+COSINE_BY_GROUP = f"""{VECTORS}, {FULL_TOPICS},
+    cosine AS (SELECT g.lang, t.qid, v.id, list_cosine_similarity(v.embedding, t.vector) AS score
+        FROM full_topics t, vectors v JOIN docs g ON g.id = v.id)"""
+
+
+def fused(sparse: str, n: int, rank: str, keys: str = "qid") -> str:
     """CTEs fusing ``sparse`` and ``cosine``, each cut to n; ``rank`` is row_number or rank."""
-    score_rank = "rank" if rank == "row_number" else "rank() OVER (PARTITION BY qid ORDER BY score DESC)"
-    return f"""list_a AS (SELECT qid, id, {score_rank} AS r FROM ({top(sparse, n)})),
-    list_b AS (SELECT qid, id, {score_rank} AS r FROM ({top('cosine', n)})),
-    fused AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id,
-        coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0) AS score
-        FROM list_a a FULL OUTER JOIN list_b b ON a.qid = b.qid AND a.id = b.id)"""
+    score_rank = "rank" if rank == "row_number" else f"rank() OVER (PARTITION BY {keys} ORDER BY score DESC)"
+    return f"""list_a AS (SELECT {keys}, id, {score_rank} AS r FROM ({ranked(sparse, n, keys)})),
+    list_b AS (SELECT {keys}, id, {score_rank} AS r FROM ({ranked('cosine', n, keys)})),
+    fused AS (SELECT {keys}, id, coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0) AS score
+        FROM list_a a FULL OUTER JOIN list_b b USING ({keys}, id))"""
 
 
-def without_self(hits: str) -> str:
-    return f"""SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank
+def without_self(hits: str, keys: str = "qid") -> str:
+    return f"""SELECT {keys}, id, score, row_number() OVER (PARTITION BY {keys} ORDER BY rank) AS rank
     FROM ({hits}) WHERE id <> qid"""
 
 
-NDCG = f"""{COSINE},
-    pool AS ({top('cosine', 30)}),
-    qrels AS (SELECT p.qid, p.id, (a.label = b.label)::INT AS rel
-        FROM pool p JOIN vectors a ON a.id = p.id JOIN vectors b ON b.id = p.qid),
-    run AS (SELECT qid, id, score FROM pool WHERE rank <= 10 AND id <> qid),
-    ranked AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score::FLOAT DESC, id DESC) AS place FROM run),
-    dcg AS (SELECT r.qid, sum(q.rel / log2(r.place + 1)) AS dcg
-        FROM ranked r JOIN qrels q ON q.qid = r.qid AND q.id = r.id WHERE r.place <= 10 GROUP BY r.qid),
-    best AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC) AS place FROM qrels),
-    ideal AS (SELECT qid, sum(rel / log2(place + 1)) AS ideal FROM best WHERE place <= 10 GROUP BY qid),
-    scores AS (SELECT i.qid, coalesce(CASE WHEN i.ideal > 0 THEN d.dcg / i.ideal END, 0) AS ndcg
-        FROM ideal i LEFT JOIN dcg d ON d.qid = i.qid)"""
+RUNS = "CASE WHEN len(tokens) >= 8 THEN list_transform(range(1, len(tokens) - 6), lambda i: array_to_string(tokens[i:i + 7], ' ')) ELSE [] END"
+
+
+def judged(by: str = "") -> str:
+    """CTE ``judged``: documents that share eight neighbouring words with a topic; needs doc_tokens and topics."""
+    return f"""topic_tokens AS (SELECT qid, {PLAIN.format('contents')} AS tokens FROM topics),
+    topic_runs AS (SELECT DISTINCT qid, unnest({RUNS}) AS run FROM topic_tokens),
+    doc_runs AS (SELECT DISTINCT {by}id, unnest({RUNS}) AS run FROM doc_tokens),
+    judged AS (SELECT DISTINCT {by}qid, id, 1 AS rel FROM topic_runs JOIN doc_runs USING (run))"""
+
+
+def ndcg(by: str = "") -> str:
+    """CTE ``scores`` of CTEs ``run`` and ``qrels``; ``by`` is '' or 'lang, '."""
+    keys = f"{by}qid"
+    return f"""placed AS (SELECT {keys}, id, row_number() OVER
+            (PARTITION BY {keys} ORDER BY score::FLOAT DESC, id DESC) AS place FROM run),
+    dcg AS (SELECT {keys}, sum(rel / log2(place + 1)) AS dcg
+        FROM placed JOIN qrels USING ({keys}, id) WHERE place <= 10 GROUP BY {keys}),
+    best AS (SELECT {keys}, rel, row_number() OVER (PARTITION BY {keys} ORDER BY rel DESC) AS place FROM qrels),
+    ideal AS (SELECT {keys}, sum(rel / log2(place + 1)) AS ideal FROM best WHERE place <= 10 GROUP BY {keys}),
+    scores AS (SELECT {keys}, coalesce(CASE WHEN ideal > 0 THEN dcg / ideal END, 0) AS ndcg
+        FROM ideal LEFT JOIN dcg USING ({keys}))"""
+
+
+def run_and_judgements(hits: str) -> str:
+    return f"{BM25}, {judged()}, run AS ({hits}), qrels AS (SELECT * FROM judged), {ndcg()}"
+
+
+SPARSE_RUN = run_and_judgements(without_self(ranked("bm25", 10)))
 
 ORACLES: dict[str, str] = {
     "load_sparse": f"SELECT doc_id::VARCHAR AS id, array_to_string({PLAIN.format('text')}, ' ') AS contents FROM documents",
@@ -148,7 +200,14 @@ ORACLES: dict[str, str] = {
     "match_any": f"""WITH {index_ctes(PLAIN)}, {QUERY_TERMS}
         SELECT q.qid, count(DISTINCT p.id) AS matches FROM qterms q JOIN postings p USING (term) GROUP BY q.qid""",
     "bm25_topk": f"WITH {BM25} {top('bm25', 10)}",
+    "bm25_deep": f"WITH {BM25} {top('bm25', 1500)}",
+    "bm25_pruned": f"WITH {BM25} {top('bm25', 10)}",
     "bm25_padded": f"WITH {BM25_PADDED} {top('padded', 1000)}",
+    "bm25_padded_classic": f"WITH {bm25(classic=True)}, {PADDED} {top('padded', 1000)}",
+    "bm25_padded_by_group": f"WITH {BM25_BY_GROUP}, {PADDED_BY_GROUP} {top('padded', 1500, 'lang, qid')}",
+    "index_reopened": f"WITH {BM25} {top('bm25', 10)}",
+    "index_extended": f"WITH {bm25(docs=MORE_DOCS)} {top('bm25', 10)}",
+    "index_whitespace": f"WITH {BM25} {without_self(top('bm25', 10))}",
     "bm25_by_group": f"WITH {BM25_BY_GROUP} {top('bm25', 10, 'lang, qid')}",
     "phrase_match": rf"""WITH {index_ctes(PLAIN)}, {TOPICS},
         clauses AS (SELECT unnest(string_split_regex(contents, '[.,\n]+')) AS clause FROM topics),
@@ -160,32 +219,50 @@ ORACLES: dict[str, str] = {
             GROUP BY q.phrase, p.id, p.at - q.at HAVING count(*) = len(q.phrase))
         SELECT array_to_string(s.phrase, ' ') AS phrase, s.id, count(*) AS tf, any_value(d.len) AS len
         FROM starts s JOIN doclens d ON d.id = s.id GROUP BY s.phrase, s.id""",
-    "bm25_fts5": f"WITH {FTS5} {top('fts5', 10)}",
+    "bm25_fts5": f"WITH {fts5()} {top('fts5', 10)}",
+    "fts5_phrases": f"WITH {fts5(DOTTED)} {top('fts5', 10)}",
+    "fts5_by_group": f"WITH {fts5(DOTTED, 'lang, ')} {top('fts5', 10, 'lang, qid')}",
+    "ts_rank_by_group": f"WITH {ts_rank(0, 'lang, ')} {top('ts', 10, 'lang, qid')}",
+    "search_by_group": f"WITH {BM25_BY_GROUP} {without_self(top('bm25', 10, 'lang, qid'), 'lang, qid')}",
+    "dense_by_group": f"""WITH {DOCS}, {TOPICS}, {COSINE_BY_GROUP}
+        {without_self(top('cosine', 10, 'lang, qid'), 'lang, qid')}""",
+    "hybrid_by_group": f"""WITH {BM25_BY_GROUP}, {PADDED_BY_GROUP}, {COSINE_BY_GROUP},
+        {fused('padded', 10, 'row_number', 'lang, qid')}
+        {without_self(ranked('fused', 10, 'lang, qid', None), 'lang, qid')}""",
     "ts_rank_topk": f"WITH {ts_rank(0)} {top('ts', 10)}",
     "ts_rank_norm": f"WITH {ts_rank(1)} {top('ts', 10)}",
     "search_sparse": f"WITH {BM25} {without_self(top('bm25', 10))}",
     "dense_topk": f"WITH {COSINE} {top('cosine', 10)}",
     "self_filter": f"WITH {COSINE} {without_self(top('cosine', 10))}",
-    "rrf_row_number": f"WITH {BM25_PADDED}, {COSINE_TAIL}, {fused('padded', 1000, 'row_number')} {top('fused', 10)}",
-    "rrf_rank": f"WITH {ts_rank(0)}, {COSINE_TAIL}, {fused('ts', 1000, 'rank')} {top('fused', 10)}",
+    "rrf_row_number": f"""WITH {BM25_PADDED}, {COSINE_TAIL}, {fused('padded', 1000, 'row_number')}
+        {ranked('fused', 1000, digits=None)}""",
+    "rrf_rank": f"WITH {ts_rank(0)}, {COSINE_TAIL}, {fused('ts', 1000, 'rank')} {ranked('fused', 1000, digits=None)}",
     "search_hybrid": f"""WITH {BM25_PADDED}, {COSINE_TAIL}, {fused('padded', 10, 'row_number')}
-        {without_self(top('fused', 10))}""",
+        {without_self(ranked('fused', 10, digits=None))}""",
     "combine_topics": f"""WITH {TOPICS}, {VECTORS}, {FULL_TOPICS} SELECT qid, contents, len(vector) AS dim,
         round(sqrt(list_sum(list_transform(vector, lambda x: x * x))), 6) AS norm FROM full_topics""",
-    "trec_run": f"""WITH {BM25}, hits AS ({top('bm25', 10)})
+    "trec_run": f"""WITH {BM25}, hits AS ({ranked('bm25', 10)})
         SELECT qid || ' Q0 ' || id || ' ' || rank || ' ' || printf('%.6f', score) || ' sparse_bm25' AS line FROM hits""",
-    "ndcg_at_10": f"WITH {NDCG} SELECT qid, round(ndcg, 6) AS ndcg FROM scores",
-    "ndcg_mean": f"WITH {NDCG} SELECT count(*) AS queries, round(avg(ndcg), 6) AS ndcg FROM scores",
-    "ndcg_by_group": f"""WITH {BM25_BY_GROUP},
-        run AS ({top('bm25', 30, 'lang, qid')}),
-        qrels AS (SELECT r.lang, r.qid, r.id, l.quality AS rel FROM run r JOIN labels l ON l.doc_id::VARCHAR = r.id),
-        ranked AS (SELECT lang, qid, id, row_number() OVER
-            (PARTITION BY lang, qid ORDER BY score::FLOAT DESC, id DESC) AS place FROM run WHERE rank <= 10),
-        dcg AS (SELECT r.lang, r.qid, sum(q.rel / log2(r.place + 1)) AS dcg FROM ranked r
-            JOIN qrels q ON q.lang = r.lang AND q.qid = r.qid AND q.id = r.id WHERE r.place <= 10 GROUP BY r.lang, r.qid),
-        best AS (SELECT lang, qid, rel, row_number() OVER (PARTITION BY lang, qid ORDER BY rel DESC) AS place FROM qrels),
-        ideal AS (SELECT lang, qid, sum(rel / log2(place + 1)) AS ideal FROM best WHERE place <= 10 GROUP BY lang, qid),
-        scores AS (SELECT i.lang, i.qid, coalesce(CASE WHEN i.ideal > 0 THEN d.dcg / i.ideal END, 0) AS ndcg
-            FROM ideal i LEFT JOIN dcg d ON d.lang = i.lang AND d.qid = i.qid)
+    "judgements": f"WITH {index_ctes(PLAIN)}, {TOPICS}, {judged()} SELECT qid, id, rel FROM judged",
+    "ndcg_at_10": f"WITH {SPARSE_RUN} SELECT qid, round(ndcg, 6) AS ndcg FROM scores",
+    "run_roundtrip": f"WITH {run_and_judgements(ranked('bm25', 10))} SELECT qid, round(ndcg, 6) AS ndcg FROM scores",
+    "ndcg_mean": f"WITH {SPARSE_RUN} SELECT count(*) AS queries, round(avg(ndcg), 6) AS ndcg FROM scores",
+    "ndcg_by_group": f"""WITH {BM25_BY_GROUP}, {judged('lang, ')},
+        run AS ({ranked('bm25', 10, 'lang, qid')}),
+        qrels AS (SELECT j.lang, j.qid, j.id, j.rel + coalesce(l.quality, 0) AS rel
+            FROM judged j LEFT JOIN labels l ON l.doc_id::VARCHAR = j.id),
+        {ndcg('lang, ')}
         SELECT lang, count(*) AS queries, round(avg(ndcg), 6) AS ndcg FROM scores GROUP BY lang""",
+    "read_folder": rf"""WITH {TURNS} SELECT doc_id::VARCHAR AS id, source || ' ' || text AS contents FROM documents
+        UNION ALL SELECT id, regexp_replace(role || ' ' || regexp_replace(text, '\s+', ' ', 'g'), '\s+$', '') FROM turns""",
+    "read_parsed": f"SELECT doc_id::VARCHAR AS id, array_to_string({PLAIN.format('text')}, ' ') AS contents FROM documents",
+    "read_dense_jsonl": """SELECT vec_id::VARCHAR AS id, len(embedding) AS dim,
+        round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings""",
+    "eight_decimals": """SELECT vec_id::VARCHAR AS id, printf('%.8f', embedding[1]::DOUBLE) AS first,
+        printf('%.8f', embedding[-1]::DOUBLE) AS last FROM embeddings""",
+    "table_appended": f"""WITH {TURNS} SELECT doc_id::VARCHAR AS id, length(text) AS chars FROM documents
+        UNION ALL SELECT id, length(text) FROM turns""",
+    "nul_replaced": "SELECT doc_id::VARCHAR AS id, lang || chr(65533) || text AS contents FROM documents",
+    "read_topics": f"""WITH {TOPICS}, {VECTORS}, {FULL_TOPICS} SELECT qid, contents, len(vector) AS dim,
+        round(sqrt(list_sum(list_transform(vector, lambda x: x * x))), 6) AS norm FROM full_topics""",
 }

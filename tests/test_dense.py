@@ -23,7 +23,7 @@ def brute(docs, topics, n):
 
 
 def result(df):
-    return {(r.qid, r.id): (r.score, r["rank"]) for r in df.collect()}
+    return {(r.qid, r.id): (round(r.score, 6), r["rank"]) for r in df.collect()}
 
 
 @pytest.fixture
@@ -42,7 +42,7 @@ def data(spark):
 def test_equals_brute_force(spark, data, n, monkeypatch):
     docs, topics = data
     monkeypatch.setattr(dense, "BLOCK_SCORES", 300)
-    monkeypatch.setattr(dense, "WAITING_HITS", 50)
+    monkeypatch.setattr(dense, "SLAB_BYTES", 50 * 8 * 8)
     got = result(cosine_top_k(table(spark, docs).repartition(5), table(spark, topics, "qid", "vector"), n))
     assert got == brute(docs, topics, n)
 
@@ -54,8 +54,52 @@ def test_chunks_of_queries_change_nothing(spark, data, monkeypatch):
     assert got == brute(docs, topics, 5)
 
 
+def test_no_chunk_passes_the_driver_and_topics_are_computed_once(spark, data, monkeypatch):
+    docs, topics = data
+    monkeypatch.setattr(dense, "QUERY_BYTES", 3 * 8 * 8)
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    asked = table(spark, topics, "qid", "vector")
+    for name in ("collect", "toArrow", "toPandas"):
+        whole = getattr(type(asked), name)
+        monkeypatch.setattr(type(asked), name, lambda df, whole=whole: whole(df) if "vector" not in df.columns else pytest.fail("vectors on the driver"))
+    hits = cosine_top_k(table(spark, docs), asked.mapInArrow(count, asked.schema), 5)
+    assert hits.count() == 50 and runs.value == len(topics)
+
+
+def test_corpora_have_rankings_of_their_own(spark, data):
+    docs, topics = data
+    parted = [(*d, "even" if i % 2 else "odd") for i, d in enumerate(docs)]
+    df = spark.createDataFrame(parted, "id string, embedding array<double>, lang string").repartition(3)
+    rows = cosine_top_k(df, table(spark, topics, "qid", "vector"), 7, by=("lang",)).collect()
+    for lang in ("even", "odd"):
+        own = {(r.qid, r.id): (round(r.score, 6), r["rank"]) for r in rows if r.lang == lang}
+        assert own == brute([d[:2] for d in parted if d[2] == lang], topics, 7)
+    named = spark.createDataFrame([(*t, "odd" if i % 2 else "none") for i, t in enumerate(topics)], "qid string, vector array<double>, lang string")
+    rows = cosine_top_k(df, named, 7, by=("lang",)).collect()
+    got = {(r.qid, r.id): (round(r.score, 6), r["rank"]) for r in rows}
+    assert got == brute([d[:2] for d in parted if d[2] == "odd"], topics[1::2], 7) and {r.lang for r in rows} == {"odd"}
+
+
+def test_stored_norms_are_used(spark, tmp_path):
+    from trawl.sources.corpus import write_table
+
+    docs = table(spark, [("a", [3.0, 4.0]), ("b", [0.0, 2.0])])
+    write_table(docs, str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert {r.id: r.norm for r in stored.collect()} == {"a": 5.0, "b": 2.0}
+    topics = table(spark, [("q", [1.0, 0.0])], "qid", "vector")
+    assert result(cosine_top_k(stored, topics, 2)) == result(cosine_top_k(docs, topics, 2))
+
+
 def test_zero_vectors_have_no_score(spark):
-    docs = table(spark, [("a", [1.0, 0.0]), ("z", [0.0, 0.0]), ("n", None)])
+    rows = [("a", [1.0, 0.0]), ("z", [0.0, 0.0]), ("n", None), ("nan", [float("nan"), 1.0]), ("hole", [None, 1.0]), ("inf", [float("inf"), 1.0])]
+    docs = table(spark, rows)
     got = cosine_top_k(docs, table(spark, [("q", [2.0, 0.0]), ("zero", [0.0, 0.0])], "qid", "vector"), 5)
     assert result(got) == {("q", "a"): (1.0, 1)}
 

@@ -14,7 +14,7 @@ def hits(spark, rows):
 
 
 def fuse(spark, a, b, **options):
-    return {(r.qid, r.id): r.score for r in rrf(hits(spark, a), hits(spark, b), 10, digits=None, **options).collect()}
+    return {(r.qid, r.id): r.score for r in rrf(hits(spark, a), hits(spark, b), 10, **options).collect()}
 
 
 def test_rrf_adds_shared_documents(spark):
@@ -77,3 +77,22 @@ def test_corpora_are_averaged_apart(spark):
 def test_unknown_tie_rule(spark):
     with pytest.raises(ValueError):
         rrf(hits(spark, [("q", "a", 1.0)]), hits(spark, [("q", "a", 1.0)]), 3, ties="dense_rank")
+
+
+def test_every_rank_of_a_deep_list_survives(spark):
+    from trawl.operators.topk import top_k as cut
+
+    rows = spark.range(1000).select(F.lit("q").alias("qid"), F.format_string("d%04d", "id").alias("id"), (-F.col("id")).cast("double").alias("score"))
+    fused = rrf(cut(rows, 1000), cut(rows.limit(0), 1000), 1000).orderBy("rank").collect()
+    assert [r.id for r in fused] == [f"d{i:04d}" for i in range(1000)]
+    assert len({r.score for r in fused}) == 1000
+
+
+def test_judgements_by_shared_runs(spark):
+    from trawl.operators.evaluate import judge_by_runs
+
+    docs = spark.createDataFrame([("x", "1", "A b, c d e"), ("x", "2", "a b x c d"), ("y", "1", "z b c d z b c d"), ("y", "5", None)],
+                                 "corpus string, id string, contents string")
+    topics = topics_of(spark, "b c d", "a b c d", "c d", "")
+    got = sorted(tuple(r) for r in judge_by_runs(docs, topics, 3, ("corpus",)).collect())
+    assert got == [("x", "q1", "1", 1), ("x", "q2", "1", 1), ("y", "q1", "1", 1), ("y", "q2", "1", 1)]

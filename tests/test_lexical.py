@@ -1,10 +1,12 @@
 import math
+import os
 import sqlite3
 
 import pytest
 from conftest import TOY, as_dict, topics_of
 from pyspark.sql import functions as F
 
+from trawl.operators import index as index_module
 from trawl.operators import lexical
 from trawl.operators.index import analyse, build_index, count_terms, default_buckets, doc_lengths, extend_index, open_index, postings_of
 from trawl.operators.lexical import bm25, bm25_fts5, match_any, match_phrases, pad, ts_rank
@@ -138,12 +140,12 @@ def test_counts_equal_an_ordinary_group_by(spark, sf_dir):
 
 def test_reopened_index_scores_the_same(spark, toy_docs, tmp_path):
     path = str(tmp_path / "index")
-    built = build_index(toy_docs, "folded", with_tokens=True, path=path)
+    built = build_index(toy_docs, "folded", positional=True, path=path)
     opened = open_index(spark, path)
     assert (opened.analyzer, opened.by) == ("folded", ())
     topics = topics_of(spark, "cat dog", "u.s")
     close(as_dict(bm25(opened, topics), ("qid", "id"), "score"), as_dict(bm25(built, topics), ("qid", "id"), "score"))
-    assert opened.tokens.count() == 7
+    assert opened.positional and "positions" in opened.postings.columns
     replaced = build_index(toy_docs.limit(2), "folded", path=path)
     assert replaced.doclens.count() == 2
 
@@ -179,7 +181,7 @@ def test_negative_hits_sort_after_the_padding(spark):
     docs = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", "b")], "id string, contents string")
     index, topics = build_index(docs), topics_of(spark, "a")
     hits = top_k(bm25(index, topics, idf="classic"), 3)
-    assert [r.id for r in pad(hits, index, topics, 3).orderBy("rank").collect()] == ["3", "1", "2"]
+    assert [r.id for r in pad(hits, index, topics, 3, hits).orderBy("rank").collect()] == ["3", "1", "2"]
 
 
 def test_ts_rank_by_hand(spark):
@@ -207,7 +209,7 @@ def test_phrases_need_order_and_adjacency(spark):
     docs = spark.createDataFrame(
         [("1", "a b a b a"), ("2", "b a"), ("3", "a x b"), ("4", "a a a"), ("a", "b")], "id string, contents string"
     )
-    index = build_index(docs, with_id=True, with_tokens=True)
+    index = build_index(docs, with_id=True, positional=True)
     phrases = spark.createDataFrame([(["a", "b"],), (["a", "a"],), (["a", "b", "a"],), (["z", "a"],)], "phrase array<string>")
     got = {("".join(r.phrase), r.id): r.tf for r in match_phrases(index, phrases).collect()}
     # The id "a" and the contents "b" of the last document are not next to each other.
@@ -218,14 +220,14 @@ def test_extended_index_equals_one_built_at_once(spark, toy_docs, tmp_path):
     old, new = toy_docs.filter("id < 'd3'"), toy_docs.filter("id >= 'd3'")
     topics = topics_of(spark, "cat run dog", "u.s fox", "bee")
     path = str(tmp_path / "index")
-    build_index(old, "folded", with_id=True, with_tokens=True, path=path)
+    build_index(old, "folded", with_id=True, positional=True, path=path)
     extended = extend_index(new, path)
-    whole = build_index(toy_docs, "folded", with_id=True, with_tokens=True)
+    whole = build_index(toy_docs, "folded", with_id=True, positional=True)
     for index in (extended, open_index(spark, path)):
         close(as_dict(bm25(index, topics), ("qid", "id"), "score"), as_dict(bm25(whole, topics), ("qid", "id"), "score"))
         close(as_dict(bm25_fts5(index, topics), ("qid", "id"), "score"), as_dict(bm25_fts5(whole, topics), ("qid", "id"), "score"))
         assert sorted(index.doclens.collect()) == sorted(whole.doclens.collect())
-        assert index.tokens.count() == 7
+        assert index.positional
 
 
 def test_padding_by_corpus(spark):
@@ -243,6 +245,125 @@ def test_buckets_follow_the_input_size(spark, sf_dir, monkeypatch):
     assert default_buckets(docs) == 4
     monkeypatch.setattr("trawl.operators.index.BUCKET_BYTES", 10_000)
     assert 10 < default_buckets(docs) < 100
-    monkeypatch.setattr("trawl.operators.index.MAX_BUCKETS", 9)
-    assert default_buckets(docs) == 9
-    assert default_buckets(spark.createDataFrame([("1",)], "id string")) == 4
+    assert default_buckets(spark.range(1).rdd.toDF()) == 4
+
+
+def test_hits_give_way_to_documents_scored_zero(spark):
+    docs = spark.createDataFrame(
+        [*((str(i), "a b" if i == 1 else "a") for i in range(1, 7)), ("7", "c"), ("8", "c")], "id string, contents string")
+    index, topics = build_index(docs), topics_of(spark, "a b")
+    scores = {**{r.id: r.score for r in bm25(index, topics, idf="classic").collect()}, "7": 0.0, "8": 0.0}
+    for n in range(1, 10):
+        every = bm25(index, topics, idf="classic")
+        got = [r.id for r in pad(top_k(every, n), index, topics, n, every).orderBy("rank").collect()]
+        assert got == sorted(scores, key=lambda i: (-round(scores[i], 10), i))[:n]
+
+
+@pytest.mark.parametrize("path", ["quo'ted index", "plain"])
+def test_relative_paths_and_quotes(spark, toy_docs, tmp_path, monkeypatch, path):
+    folder = f"{tmp_path}/it's/{path}" if path != "plain" else os.path.relpath(f"{tmp_path}/index")
+    build_index(toy_docs.limit(3), path=folder, positional=True)
+    extend_index(toy_docs.exceptAll(toy_docs.limit(3)), folder)
+    topics = topics_of(spark, "cat dog")
+    whole = as_dict(bm25(build_index(toy_docs), topics), ("id",), "score")
+    close(as_dict(bm25(open_index(spark, folder), topics), ("id",), "score"), whole)
+    assert sorted(os.listdir(folder)) == ["doclens", "postings", "sample", "stats", "vocab"]
+    with pytest.raises(ValueError, match="no index"):
+        open_index(spark, folder + "/vocab")
+
+
+def test_one_catalog_table_for_each_folder(spark, toy_docs, tmp_path):
+    before = {t.name for t in spark.catalog.listTables()}
+    for _ in range(3):
+        build_index(toy_docs, path=str(tmp_path / "i"))
+        open_index(spark, str(tmp_path / "i"))
+    assert len({t.name for t in spark.catalog.listTables()} - before) == 1
+
+
+def test_an_id_that_occurs_twice_is_an_error(spark, toy_docs, tmp_path):
+    path = str(tmp_path / "index")
+    with pytest.raises(ValueError, match="duplicate id.*d1"):
+        build_index(toy_docs.unionByName(toy_docs.filter("id = 'd1'")), path=path)
+    with pytest.raises(ValueError, match="no index"):
+        open_index(spark, path)
+    more = toy_docs.select(F.concat(F.lit("new-"), "id").alias("id"), "contents")
+    build_index(toy_docs, path=path)
+    for wrong in (toy_docs.limit(1), more.unionByName(more)):
+        with pytest.raises(ValueError, match="duplicate id"):
+            extend_index(wrong, path)
+    assert open_index(spark, path).stats.first().n == 7
+    # The same id in another corpus is another document.
+    both = toy_docs.withColumn("lang", F.lit("en")).unionByName(toy_docs.withColumn("lang", F.lit("de")))
+    assert build_index(both, by=("lang",)).doclens.count() == 14
+
+
+def test_an_extension_that_breaks_off_changes_nothing(spark, toy_docs, tmp_path, monkeypatch):
+    path, topics = str(tmp_path / "index"), topics_of(spark, "cat dog fish run")
+    old, new = toy_docs.filter("id < 'd3'"), toy_docs.filter("id >= 'd3'")
+    want = as_dict(bm25(build_index(old, path=path), topics), ("id",), "score")
+    write = index_module._write
+
+    def fails(df, folder, name, version):
+        if name == "stats":
+            raise RuntimeError("lost")
+        return write(df, folder, name, version)
+
+    monkeypatch.setattr(index_module, "_write", fails)
+    with pytest.raises(RuntimeError):
+        extend_index(new, path)
+    monkeypatch.undo()
+    close(as_dict(bm25(open_index(spark, path), topics), ("id",), "score"), want)
+    extend_index(new, path)
+    close(as_dict(bm25(open_index(spark, path), topics), ("id",), "score"), as_dict(bm25(build_index(toy_docs), topics), ("id",), "score"))
+
+
+GROUPED = [("en", "1", "u.s market a b"), ("en", "2", "s u market"), ("en", "4", "a b c"), ("de", "1", "u.s u.s b"), ("de", "3", "d u s"),
+           ("de", "4", "market b")]
+
+
+@pytest.mark.parametrize("named", [False, True])
+@pytest.mark.parametrize("scorer", ["bm25", "fts5", "ts_rank"])
+def test_every_flavour_keeps_corpora_apart(spark, scorer, named):
+    from trawl.plans.search import sparse_hits
+
+    docs = spark.createDataFrame(GROUPED, "lang string, id string, contents string")
+    topics = topics_of(spark, "u.s market", "b u.s d")
+    options = {"analyzer": "folded", "with_id": True, "positional": True} if scorer == "fts5" else {"analyzer": "simple"}
+    index = build_index(docs, by=("lang",), **options)
+    want = {}
+    for lang in ("en", "de"):
+        alone = build_index(docs.filter(F.col("lang") == lang).drop("lang"), **options)
+        for r in sparse_hits(alone, topics, scorer, 3).collect():
+            want[lang, r.qid, r.id] = (r.score, r["rank"])
+    if named:
+        topics = topics.withColumn("lang", F.when(F.col("qid") == "q1", "de").otherwise("en"))
+        want = {k: v for k, v in want.items() if k[:2] in (("de", "q1"), ("en", "q2"))}
+    got = {(r.lang, r.qid, r.id): (r.score, r["rank"]) for r in sparse_hits(index, topics, scorer, 3).collect()}
+    assert got == want and got
+
+
+def test_ts_rank_reads_queries_as_its_index_does(spark):
+    docs = spark.createDataFrame([("1", "running cats"), ("2", "the cat"), ("3", "dog")], "id string, contents string")
+    index = build_index(docs, analyzer="english")
+    got = as_dict(ts_rank(index, topics_of(spark, "the cats", "runs")), ("qid", "id"), "score")
+    assert set(got) == {("q1", "1"), ("q1", "2"), ("q2", "1")}
+
+
+def test_repetitions_without_a_cap(spark):
+    docs = spark.createDataFrame([("1", "x " * 300)], "id string, contents string")
+    index, topics = build_index(docs, analyzer="simple"), topics_of(spark, "x")
+    unit = 0.1 / 1.64493406685
+    close(as_dict(ts_rank(index, topics, cap=None), ("id",), "score"), {("1",): unit * sum(1 / j**2 for j in range(1, 301))})
+    close(as_dict(ts_rank(index, topics, cap=2), ("id",), "score"), {("1",): unit * 1.25})
+
+
+def test_hundreds_of_terms_are_pushed_down_and_places_read_once(spark, toy_docs):
+    index = build_index(toy_docs, positional=True)
+    topics = topics_of(spark, " ".join(f"w{i}" for i in range(300)) + " cat")
+    plan = bm25(index, topics)._jdf.queryExecution().executedPlan().toString()
+    pushed = [line for line in plan.split("\n") if "PushedFilters" in line]
+    assert any("In(term" in line for line in pushed)
+    assert "positions" not in plan.split("ReadSchema")[-1]
+    phrases = spark.createDataFrame([(["bird", "run"],)], "phrase array<string>")
+    plan = match_phrases(index, phrases)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_intersect") <= 2 and "Bucketed: true" in plan

@@ -14,10 +14,8 @@ from trawl.operators.topk import top_k
 
 @pytest.fixture
 def always(monkeypatch):
-    monkeypatch.setattr(index_module, "SAMPLE_FROM", 1)
-    monkeypatch.setattr(index_module, "SAMPLE_RATE", 4)
+    monkeypatch.setattr(index_module, "SAMPLE_DOCUMENTS", 200)
     monkeypatch.setattr(pruned, "PRUNE_FROM", 0)
-    monkeypatch.setattr(pruned, "SAMPLE_MARGIN", 0)
 
 
 def corpus(spark, size, seed=1):
@@ -38,7 +36,7 @@ def queries(spark, count, seed=2):
 
 
 def same(index, weighted, n, used=True):
-    assert pruned._worth_it(index, weighted, n) == used
+    assert pruned._worth_it(index, weighted) == used
     got = best(index, weighted, n).orderBy("qid", "rank").collect()
     want = top_k(score_all(index, weighted), n, index.by).orderBy("qid", "rank").collect()
     assert sorted(got) == sorted(want) and got
@@ -93,10 +91,30 @@ def test_negative_weights_are_not_pruned(spark, always):
     same(index, weighted, 5, used=False)
 
 
-def test_small_indexes_have_no_sample(spark, tmp_path, always, monkeypatch):
-    path = str(tmp_path / "index")
-    built = build_index(corpus(spark, 300), path=path)
-    assert 0 < built.sample.select("id").distinct().count() < 150
-    assert open_index(spark, path).sample is not None
-    monkeypatch.setattr(index_module, "SAMPLE_FROM", 1000)
-    assert build_index(corpus(spark, 300)).sample is None
+def test_the_sample_is_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index_module, "SAMPLE_DOCUMENTS", 100)
+    for size in (300, 1500):
+        path = str(tmp_path / str(size))
+        built = build_index(corpus(spark, size), path=path)
+        assert 30 < built.sample.select("id").distinct().count() < 200
+        assert open_index(spark, path).sample.count() == built.sample.count()
+
+
+def test_large_topic_tables_are_pruned_in_chunks(spark, always, monkeypatch):
+    index = build_index(corpus(spark, 600))
+    weighted = bm25_terms(index, queries(spark, 20))
+    monkeypatch.setattr(pruned, "CHUNK_TERMS", 15)
+    same(index, weighted, 5)
+    monkeypatch.setattr("trawl.operators.lexical.BROADCAST_BYTES", -1)
+    same(index, bm25_terms(index, queries(spark, 20)), 5)
+
+
+def test_phrases_leave_pruning_on(spark, always):
+    from trawl.operators.lexical import bm25_fts5
+    from trawl.plans.search import sparse_hits
+
+    index = build_index(corpus(spark, 500), "folded", with_id=True, positional=True)
+    topics = topics_of(spark, "w1.w2 w90", "w2 w3.w1 w5 w7", "w90.w91 w1 w2", "w1")
+    want = sorted(top_k(bm25_fts5(index, topics), 8).collect())
+    for prune in (True, False):
+        assert sorted(sparse_hits(index, topics, "fts5", 8, prune=prune).collect()) == want

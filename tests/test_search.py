@@ -74,3 +74,51 @@ def test_errors(sparse, vectors, topics):
         search(topics, [index], method="graph")
     with pytest.raises(ValueError):
         search(topics, [index], flavour="other")
+
+
+def test_corpora_are_searched_and_ranked_apart(spark, sparse, vectors, topics):
+    def both(df):
+        return df.withColumn("corpus", F.lit("x")).unionByName(df.withColumn("corpus", F.lit("y")))
+
+    index = index_contents(both(sparse), "bm25", by=("corpus",))
+    for tables, alone in (
+        ([index], [index_contents(sparse, "bm25")]), ([both(vectors)], [vectors]),
+        ([index, both(vectors)], [vectors, index_contents(sparse, "bm25")]),
+    ):
+        want = sorted((r.qid, r.id, r.score, r["rank"]) for r in search(topics, alone, n=4).collect())
+        rows = search(topics, tables, n=4, by=("corpus",)).collect()
+        for corpus in ("x", "y"):
+            assert sorted((r.qid, r.id, r.score, r["rank"]) for r in rows if r.corpus == corpus) == want
+        own = topics.withColumn("corpus", F.when(F.col("qid") == "q2", "x").otherwise("none"))
+        got = search(own, tables, n=4, by=("corpus",)).collect()
+        assert sorted((r.qid, r.id, r.score, r["rank"]) for r in got if r.corpus == "x") == [w for w in want if w[0] == "q2"]
+    with pytest.raises(ValueError, match="corpus columns"):
+        search(topics, [index, vectors])
+
+
+def test_readme_example(spark, tmp_path, monkeypatch):
+    import json
+    import os
+
+    from trawl.operators.evaluate import mean_ndcg
+    from trawl.operators.index import open_index
+    from trawl.sources.corpus import parse_corpus, read_raw, read_table, read_topics
+    from trawl.sources.trec import read_qrels, run_tag, write_run
+
+    folder = os.path.relpath(tmp_path)  # relative, as in the README
+    (tmp_path / "corpus").mkdir()
+    (tmp_path / "embeddings").mkdir()
+    texts = {"1": "A cat runs", "2": "Dogs run", "3": "Fish"}
+    (tmp_path / "corpus/a.jsonl").write_text("".join(json.dumps({"_id": i, "title": "T", "text": t}) + "\n" for i, t in texts.items()))
+    (tmp_path / "embeddings/v.jsonl").write_text("".join(json.dumps({"id": i, "vector": [float(i), 1.0]}) + "\n" for i in texts))
+    (tmp_path / "topics.jsonl").write_text(json.dumps({"id": "q", "contents": "running cats", "vector": [1.0, 1.0]}) + "\n")
+    (tmp_path / "qrels.txt").write_text("q 0 1 1\n")
+    corpus = parse_corpus(read_raw(spark, f"{folder}/corpus/"))
+    index_contents(corpus, "bm25", path=f"{folder}/index/")
+    index = open_index(spark, f"{folder}/index/")
+    topics = read_topics(spark, f"{folder}/topics.jsonl")
+    assert ids(search(topics, [index], n=1000), "q") == ["1", "2"]
+    vectors = read_table(spark, f"{folder}/embeddings/", "dense", dim=2)
+    hybrid = search(topics, [index, vectors], n=1000)
+    write_run(hybrid, f"{folder}/run/", run_tag("hybrid", "bm25"))
+    assert mean_ndcg(hybrid, read_qrels(spark, f"{folder}/qrels.txt")).first() == (1, 1.0)

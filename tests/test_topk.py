@@ -12,7 +12,7 @@ def scored(spark, rows):
 
 
 def test_ties_go_to_the_smaller_id(spark):
-    rows = [("q", "b", 1.0), ("q", "a", 1.0 + 1e-9), ("q", "c", 2.0), ("q", "d", 1.0)]
+    rows = [("q", "b", 1.0), ("q", "a", 1.0 + 1e-12), ("q", "c", 2.0), ("q", "d", 1.0)]
     got = top_k(scored(spark, rows), 3).orderBy("rank").collect()
     assert [(r.id, r["rank"]) for r in got] == [("c", 1), ("a", 2), ("b", 3)]
 
@@ -28,7 +28,7 @@ def test_two_levels_equal_one(spark, monkeypatch, n):
     rows = [(f"q{rng.randrange(4)}", f"d{i}", rng.randrange(30) / 7) for i in range(4000)]
     df = scored(spark, rows).repartition(16)
     one = sorted(top_k(df, n).collect())
-    monkeypatch.setattr(topk, "CANDIDATES_PER_TASK", 0)
+    monkeypatch.setattr(topk, "ONE_LEVEL", 0)
     assert sorted(top_k(df, n).collect()) == one
     assert all(r["rank"] <= n for r in one)
 
@@ -54,3 +54,14 @@ def test_integer_ids_equal_text_ids(spark):
 def test_rerank_keeps_order(spark):
     hits = top_k(scored(spark, [("q", c, float(i)) for i, c in enumerate("abcde")]), 5).filter(F.col("rank") % 2 == 1)
     assert [r.id for r in rerank(hits).orderBy("rank").collect()] == ["e", "c", "a"]
+
+
+@pytest.mark.parametrize("n", [10, 1001, 5000])
+def test_the_row_limit_stands_before_every_shuffle(spark, n):
+    rows = spark.range(0, 100_000, 1, 5000)
+    df = rows.select((F.col("id") % 3).alias("qid"), F.col("id").cast("string").alias("id"), F.rand(1).alias("score"))
+    plan = top_k(df, n)._jdf.queryExecution().executedPlan().toString()
+    first = plan[:plan.index("Range")].rindex("Exchange")
+    assert "WindowGroupLimit" in plan[first:]
+    # Partitions are pooled by their number, not by the shuffle setting.
+    assert ("pool" in plan) == (n > topk.ONE_LEVEL)

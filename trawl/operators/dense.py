@@ -1,8 +1,9 @@
 """Exact cosine top-k over embeddings.
 
-Every document vector has to meet every query vector, but no pair becomes a row: the query matrix
-is broadcast in chunks of bounded size, each task multiplies it with blocks of document vectors
-and keeps the n best documents per query, and only those are shuffled.
+Every document vector has to meet every query vector, but no pair becomes a row. The queries are
+written once to the shared scratch folder, in chunks of bounded size. A task reads its documents in
+slabs, multiplies each with one chunk after the other, and passes on the rows that beat the n-th
+best score it has seen for their query; the driver sees no vector at all.
 """
 
 from __future__ import annotations
@@ -14,42 +15,43 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.operators.topk import top_k
+from trawl.operators.topk import DIGITS, top_k
+from trawl.session import scratch_dir
 
-# Bounds of one chunk of queries: bytes of its matrix, and hits a task may hold for it.
+# Bytes of the query matrix of one chunk, and of the documents a task holds at a time.
 QUERY_BYTES = 64 * 1024 * 1024
-HELD_HITS = 4_000_000
+SLAB_BYTES = 64 * 1024 * 1024
 # Scores computed at once in a task.
 BLOCK_SCORES = 2_000_000
-# New hits wait until there are this many, or as many as are held, before they are sorted in.
-WAITING_HITS = 100_000
-
-HITS = pa.schema([("q", pa.int32()), ("id", pa.string()), ("score", pa.float64())])
 
 # Executors get these functions inside the task, not by import.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Rows of doubles; a null component becomes NaN, another length than ``dim`` fails the job."""
     lengths = pc.unique(pc.list_value_length(vectors)).to_pylist()
     if lengths != [dim]:
         raise ValueError(f"embedding lengths {lengths} differ from query length {dim}")
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows divided by their norms, and which rows have a usable norm (zero vectors have none)."""
-    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+def _unit_rows(matrix: np.ndarray, norms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by their norms, and which rows have one: not zero, no null, NaN or infinity."""
+    if norms is None:
+        norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
     usable = np.isfinite(norms) & (norms > 0)
     return matrix[usable] / norms[usable, None], usable
 
 
 def _n_best(hits: pa.Table, n: int) -> pa.Table:
-    """The first n rows of each query by (score desc, id asc), sorted by query."""
+    """The first n rows of each query by (score desc, id asc)."""
     hits = hits.sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
     q = hits["q"].to_numpy()
     first = np.searchsorted(q, q, side="left")
@@ -57,79 +59,133 @@ def _n_best(hits: pa.Table, n: int) -> pa.Table:
 
 
 def _block_hits(unit: np.ndarray, ids: pa.Array, queries: np.ndarray, floor: np.ndarray, n: int, digits) -> pa.Table:
-    """Rows of one block that can still be among the n best of their query."""
+    """``q, id, score`` of what can be among the n best; raises ``floor`` to the n-th best score seen."""
     scores = unit @ queries.T
     if digits is not None:
         scores = np.round(scores, digits) + 0.0
-    if len(scores) > n and np.isneginf(floor).any():
-        floor = np.maximum(floor, np.partition(scores, len(scores) - n, axis=0)[len(scores) - n])
+    if len(scores) >= n:
+        np.maximum(floor, np.partition(scores, len(scores) - n, axis=0)[len(scores) - n], out=floor)
     row, q = np.nonzero(scores >= floor)
-    return pa.table([pa.array(q, pa.int32()), ids.take(pa.array(row)), pa.array(scores[row, q])], schema=HITS)
+    # Copies of one vector tie; no more than n of them pass.
+    return _n_best(pa.table({"q": q, "id": ids.take(pa.array(row)), "score": scores[row, q]}), n).combine_chunks()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], dim: int, size: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """Unit vectors and ids of the documents, at most ``size`` at a time."""
+def _slabs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches as tables of about ``rows`` rows."""
+    waiting, count = [], 0
     for batch in batches:
-        batch = batch.filter(pc.is_valid(batch.column("embedding")))
-        if not batch.num_rows:
-            continue
-        unit, usable = _unit_rows(_matrix(batch.column("embedding"), dim))
-        ids = batch.column("id").filter(pa.array(usable)).cast(pa.string())
-        for at in range(0, len(unit), size):
-            yield unit[at : at + size], ids[at : at + size]
-
-
-def _local_top_k(batches: Iterator[pa.RecordBatch], queries: np.ndarray, n: int, digits) -> pa.Table:
-    """The n best documents per query within one partition; memory is bounded by queries x n."""
-    held, waiting, count = HITS.empty_table(), [], 0
-    floor = np.full(len(queries), -np.inf)
-    for unit, ids in _blocks(batches, queries.shape[1], max(1, BLOCK_SCORES // len(queries))):
-        waiting.append(_block_hits(unit, ids, queries, floor, n, digits))
-        count += len(waiting[-1])
-        if count < max(WAITING_HITS, len(held)):
-            continue
-        held, waiting, count = _n_best(pa.concat_tables([held, *waiting]).combine_chunks(), n), [], 0
-        sizes = np.bincount(held["q"].to_numpy(), minlength=len(queries))
-        full = np.flatnonzero(sizes >= n)
-        floor[full] = held["score"].to_numpy()[np.cumsum(sizes)[full] - 1]
-    return _n_best(pa.concat_tables([held, *waiting]).combine_chunks(), n)
-
-
-def _chunk_scores(docs: DataFrame, chunk: DataFrame, n: int, digits) -> DataFrame:
-    rows = chunk.toArrow().combine_chunks()
-    dim = pc.max(pc.list_value_length(rows["vector"])).as_py()
-    unit, usable = _unit_rows(_matrix(rows["vector"].combine_chunks(), dim))
-    qids = rows["qid"].filter(pa.array(usable)).combine_chunks().cast(pa.string())
-    shared = docs.sparkSession.sparkContext.broadcast((qids, unit))
-
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            waiting.append(part)
+            count += part.num_rows
+            if count >= rows:
+                yield pa.Table.from_batches(waiting).combine_chunks()
+                waiting, count = [], 0
+    if count:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def _corpora(table: pa.Table, by: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each corpus."""
+    if not by:
+        yield (), table
+        return
+    for key in table.select(by).group_by(by).aggregate([]).to_pylist():
+        mask = None
+        for name in by:
+            same = pc.is_null(table[name]) if key[name] is None else pc.fill_null(pc.equal(table[name], key[name]), False)
+            mask = same if mask is None else pc.and_(mask, same)
+        yield tuple(key[name] for name in by), table.filter(mask)
+
+
+class _Queries:
+    """Chunks of queries, read from the scratch folder when their turn comes."""
+
+    def __init__(self, uri: str, chunks: int, shared: list[str], dim: int):
+        self.system, self.path = fs.FileSystem.from_uri(uri)
+        self.chunks, self.shared, self.dim = chunks, shared, dim
+        self.held: tuple = (None, None)
+
+    def corpora(self, chunk: int) -> dict[tuple, tuple[pa.Array, np.ndarray]]:
+        """Names and unit vectors of the chunk's queries, by the corpus they are meant for."""
+        if self.held[0] != chunk:
+            folder = f"{self.path}/chunk={chunk}"
+            found = {}
+            if self.system.get_file_info(folder).type == fs.FileType.Directory:
+                table = pq.read_table(folder, filesystem=self.system, partitioning=None).combine_chunks()
+                for key, part in _corpora(table, self.shared):
+                    unit, usable = _unit_rows(_matrix(part["vector"].combine_chunks(), self.dim))
+                    found[key] = part["qid"].combine_chunks().filter(pa.array(usable)), unit
+            self.held = chunk, found
+        return self.held[1]
+
+
+def _search(uri: str, chunks: int, dim: int, by: list[str], shared: list[str], n: int, digits, kinds: pa.Schema):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, queries = shared.value
-        if not len(names):
-            return
-        hits = _local_top_k(batches, queries, n, digits)
-        named = pa.table({"qid": names.take(hits["q"].combine_chunks()), "id": hits["id"], "score": hits["score"]})
-        yield from named.to_batches(max_chunksize=65536)
-
-    return docs.select("id", "embedding").mapInArrow(search, "qid string, id string, score double")
-
-
-def cosine_top_k(docs: DataFrame, topics: DataFrame, n: int, digits: int | None = 6) -> DataFrame:
-    """``(qid, id, score, rank)``: the n documents closest to each topic ``(qid, vector)``.
-
-    Vectors of norm zero have no cosine and are left out. A document vector whose length differs
-    from the query's fails the job. Topics beyond one chunk are searched in several passes.
+        queries = _Queries(uri, chunks, shared, dim)
+        floors: dict[tuple, np.ndarray] = {}
+        for slab in _slabs(batches, max(1, SLAB_BYTES // (8 * dim))):
+            for corpus, rows in _corpora(slab.filter(pc.is_valid(slab["embedding"])), by):
+                if not len(rows):
+                    continue
+                norms = rows["norm"].to_numpy(zero_copy_only=False) if "norm" in rows.column_names else None
+                unit, usable = _unit_rows(_matrix(rows["embedding"].combine_chunks(), dim), norms)
+                rows = rows.filter(pa.array(usable)).combine_chunks()
+                meant = tuple(corpus[by.index(name)] for name in shared)
+                for chunk in range(chunks):
+                    names, vectors = queries.corpora(chunk).get(meant, ((), None))
+                    if not len(names):
+                        continue
+                    floor = floors.setdefault((corpus, chunk), np.full(len(names), -np.inf))
+                    size = max(1, BLOCK_SCORES // len(names))
+                    for at in range(0, len(unit), size):
+                        ids = rows["id"].slice(at, size).combine_chunks()
+                        hits = _block_hits(unit[at:at + size], ids, vectors, floor, n, digits)
+                        where = {name: pa.array([value] * len(hits), kinds.field(name).type) for name, value in zip(by, corpus)}
+                        named = where | {"qid": names.take(hits["q"].combine_chunks()), "id": hits["id"], "score": hits["score"]}
+                        yield from pa.table(named, schema=kinds).to_batches(max_chunksize=65536)
+
+    return search
+
+
+def cosine_top_k(
+    docs: DataFrame, topics: DataFrame, n: int, digits: int | None = DIGITS, by: tuple[str, ...] = (),
+) -> DataFrame:
+    """``(by, qid, id, score, rank)``: the n documents closest to each topic ``(qid, vector)``.
+
+    ``by`` names columns of ``docs`` that tell corpora apart, each with a ranking of its own; topics
+    that carry such columns are put to their corpus only. Null vectors, vectors of norm zero and
+    vectors that hold a null, NaN or infinite number have no cosine and are left out. A document
+    vector whose length differs from the query's fails the job. A ``norm`` column of ``docs``, as
+    ``write_table`` stores it, saves computing the norms.
     """
-    wanted = topics.select("qid", F.col("vector").cast("array<double>").alias("vector")).filter("vector IS NOT NULL")
-    size = wanted.agg(F.count("*").alias("rows"), F.max(F.size("vector")).alias("dim")).first()
+    spark, by = docs.sparkSession, list(by)
+    shared = [name for name in by if name in topics.columns]
+    kinds = {name: kind for name, kind in docs.dtypes if name in by}
+    wanted = topics.select(
+        *shared, F.col("qid").cast("string").alias("qid"), F.col("vector").cast("array<double>").alias("vector"))
+    folder = scratch_dir(spark)
+    # The topics are computed once; all that follows reads what was written.
+    wanted.filter("vector IS NOT NULL").write.parquet(f"{folder}/topics")
+    written = spark.read.schema(wanted.schema).parquet(f"{folder}/topics")
+    lengths = F.size("vector")
+    size = written.agg(F.count("*").alias("rows"), F.min(lengths).alias("least"), F.max(lengths).alias("dim")).first()
+    schema = ", ".join([*(f"`{name}` {kinds[name]}" for name in by), "qid string, id string, score double"])
     if not size.rows:
-        none = docs.sparkSession.createDataFrame([], "qid string, id string, score double")
-        return top_k(none, n, digits=None)
-    chunks = max(math.ceil(size.rows * size.dim * 8 / QUERY_BYTES), math.ceil(size.rows * n / HELD_HITS))
-    scored = None
-    for nth in range(chunks):
-        chunk = wanted if chunks == 1 else wanted.filter(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == nth)
-        if chunks > 1 and chunk.isEmpty():
-            continue
-        part = _chunk_scores(docs, chunk, n, digits)
-        scored = part if scored is None else scored.unionByName(part)
-    return top_k(scored, n, digits=None)
+        return top_k(spark.createDataFrame([], schema), n, by, digits=None)
+    if size.least != size.dim:
+        raise ValueError(f"embedding lengths of topics run from {size.least} to {size.dim}")
+    chunks = math.ceil(size.rows * size.dim * 8 / QUERY_BYTES)
+    dealt = written.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)))
+    dealt.repartition(chunks, "chunk").write.partitionBy("chunk").parquet(f"{folder}/chunks")
+    uri = f"{folder}/chunks" if ":" in folder.split("/")[0] else f"file://{folder}/chunks"
+    extra = ["norm"] if "norm" in docs.columns else []
+    rows = docs.select(*by, F.col("id").cast("string").alias("id"), "embedding", *extra)
+    arrow = pa.schema([*(pa.field(name, _arrow_type(kinds[name])) for name in by),
+                       ("qid", pa.string()), ("id", pa.string()), ("score", pa.float64())])
+    search = _search(uri, chunks, int(size.dim), by, shared, n, digits, arrow)
+    return top_k(rows.mapInArrow(search, schema), n, by, digits=None)
+
+
+def _arrow_type(kind: str) -> pa.DataType:
+    return {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[kind]

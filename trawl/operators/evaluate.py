@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.functions.text import plain_tokens
+from trawl.session import BROADCAST_BYTES, measure
+
 
 def combine_topics(topics: DataFrame, vectors: DataFrame) -> DataFrame:
     """``(qid, contents, vector)``; a topic without a vector fails the job."""
@@ -15,6 +18,28 @@ def combine_topics(topics: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
+def word_runs(words: Column, length: int) -> Column:
+    """Distinct runs of ``length`` neighbouring words, joined by blanks."""
+    starts = F.sequence(F.lit(1), F.size(words) - length + 1)
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, length), " "))
+    return F.when(F.size(words) >= length, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def judge_by_runs(docs: DataFrame, topics: DataFrame, length: int = 8, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(by, qid, id, rel)``, rel being 1: documents that share a run of ``length`` words with a topic.
+
+    ``docs`` are ``(by, id, contents)``, ``topics`` ``(qid, contents)``. The runs of the topics go to
+    the documents if they were measured to fit a broadcast, so a run that many documents share
+    gathers nowhere; else the runs of the documents are shuffled, and a run is no key of a group but
+    of a join that Spark can split.
+    """
+    wanted = topics.select("qid", F.explode(word_runs(plain_tokens(F.col("contents")), length)).alias("run"))
+    _, size = measure(wanted)
+    wanted = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
+    held = docs.select(*by, "id", F.explode(word_runs(plain_tokens(F.col("contents")), length)).alias("run"))
+    return held.join(wanted, "run").select(*by, "qid", "id", F.lit(1).alias("rel")).distinct()
+
+
 def _dcg(ranked: DataFrame, keys: list[str], name: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.sum(F.col("gain") / F.log2(F.col("place") + 1.0)).alias(name))
 

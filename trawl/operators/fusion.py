@@ -14,14 +14,14 @@ def rrf(
     n: int,
     k: int = 60,
     ties: str = "row_number",
-    digits: int | None = 6,
     by: tuple[str, ...] = (),
 ) -> DataFrame:
     """``(by, qid, id, score, rank)``: sum of 1 / (k + rank) over the lists a document is in.
 
     Both lists are cut to n already. ``ties="rank"`` lets equal scores share a rank; a cut list
     gives the same shared ranks as the whole one, since all better documents are in it.
-    The lists are stacked and summed: the full outer join of two lists without joining.
+    The lists are stacked and summed: the full outer join of two lists without joining. A sum of two
+    numbers does not depend on their order, so nothing is rounded and every rank counts.
     """
     if ties not in ("row_number", "rank"):
         raise ValueError(f"ties must be row_number or rank, got {ties}")
@@ -32,4 +32,4 @@ def rrf(
         lists = [hits.withColumn("rank", F.rank().over(best_first)) for hits in lists]
     part = 1.0 / (F.lit(float(k)) + F.col("rank"))
     fused = lists[0].unionByName(lists[1]).groupBy(*keys, "id").agg(F.sum(part).alias("score"))
-    return top_k(fused, n, by, digits)
+    return top_k(fused, n, by, digits=None)

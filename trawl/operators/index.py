@@ -3,39 +3,42 @@
 ``len`` sits in every posting and the corpus statistics in every vocabulary row, so a search is one
 join and one aggregate. A written index buckets its postings by document id: all postings of a
 document lie in one bucket, and the per-(query, document) sum of a search needs no shuffle.
+
+Postings are appended under a version number; everything that follows from them is written anew
+under the same number, the statistics last. They name the versions that count, so an extension that
+breaks off leaves the index as it was.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.text import ANALYZERS
-from trawl.session import scratch_dir, shuffle_partitions
+from trawl.session import plan_bytes, qualified, quoted, scratch_dir, shuffle_partitions
 
-# An index of at least this many documents gets a sample of one document in SAMPLE_RATE.
-SAMPLE_FROM = 1_000_000
-SAMPLE_RATE = 32
-# Default number of buckets: one per so many bytes of input files, up to a limit.
+# Documents of the sample that score bounds are taken from, about; a smaller index is sampled whole.
+SAMPLE_DOCUMENTS = 50_000
+# Default number of buckets: one per so many bytes of input.
 BUCKET_BYTES = 256 * 1024 * 1024
-MAX_BUCKETS = 20_000
+# Sizes above this are no estimate: Spark knows nothing about the input.
+UNKNOWN_BYTES = 1 << 60
 
 
 @dataclass(frozen=True)
 class Index:
     """Tables of one index; ``by`` names the columns that tell corpora apart.
 
-    postings  by, id, term, tf, len         one row per distinct term of a document
+    postings  by, id, term, tf, len         one row per distinct term of a document; with
+                                            ``positional`` also positions, its places in the text
     doclens   by, id, len, terms            every document, empty ones included
     vocab     by, term, df, n, avgdl        n and avgdl repeat the statistics of the corpus
     stats     by, n, avgdl, postings        one row per corpus
-    tokens    by, id, tokens                token order, for phrases only; else None
-    sample    by, id, term, tf, len         all postings of some documents, for score bounds;
-                                            None for a small index
+    sample    by, id, term, tf, len         all postings of some documents, for score bounds
     """
 
     postings: DataFrame
@@ -44,8 +47,8 @@ class Index:
     stats: DataFrame
     analyzer: str
     by: tuple[str, ...] = ()
-    tokens: DataFrame | None = None
     sample: DataFrame | None = None
+    positional: bool = False
 
 
 def analyse(docs: DataFrame, analyzer: str, by: tuple[str, ...] = (), with_id: bool = False) -> DataFrame:
@@ -59,18 +62,28 @@ def analyse(docs: DataFrame, analyzer: str, by: tuple[str, ...] = (), with_id: b
     return docs.select(*by, F.col("id").cast("string").alias("id"), tokens.alias("tokens"))
 
 
-def count_terms(analysed: DataFrame, by: tuple[str, ...] = (), with_id: bool = False) -> DataFrame:
-    """``(by, id, len, counts)``, counts being ``array<struct<term, tf>>``: a narrow step.
+def count_terms(
+    analysed: DataFrame, by: tuple[str, ...] = (), with_id: bool = False, positional: bool = False
+) -> DataFrame:
+    """``(by, id, len, counts)``, counts being ``array<struct<term, tf[, positions]>>``: a narrow step.
 
     Equal tokens lie side by side once sorted; a term's count is the distance between run starts.
     ``with_id`` says that the tokens hold the separator of ``analyse``.
     """
-    tokens = F.filter("tokens", lambda t: t != "") if with_id else F.col("tokens")
+    tokens = F.col("tokens")
+    if positional:
+        tokens = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at")))
+    if with_id:
+        tokens = F.filter(tokens, lambda t: (t["term"] if positional else t) != "")
     kept = analysed.select(*by, "id", F.sort_array(tokens).alias("sorted"))
     sized = kept.select(*by, "id", "sorted", F.size("sorted").alias("len"))
+
+    def term(place: Column) -> Column:
+        found = F.get("sorted", place)
+        return found["term"] if positional else found
+
     run_starts = F.filter(
-        F.sequence(F.lit(1), F.col("len")),
-        lambda i: (i == 1) | (F.get("sorted", i - 1) != F.get("sorted", i - 2)),
+        F.sequence(F.lit(1), F.col("len")), lambda i: (i == 1) | (term(i - 1) != term(i - 2)),
     )
     starts = sized.select(
         *by, "id", "len", "sorted",
@@ -79,19 +92,26 @@ def count_terms(analysed: DataFrame, by: tuple[str, ...] = (), with_id: bool = F
 
     def run(start: Column, nth: Column) -> Column:
         end = F.coalesce(F.get("starts", nth + 1), F.col("len") + 1)
-        return F.struct(F.get("sorted", start - 1).alias("term"), (end - start).alias("tf"))
+        parts = [term(start - 1).alias("term"), (end - start).alias("tf")]
+        if positional:
+            places = F.transform(F.slice("sorted", start, end - start), lambda t: t["at"])
+            parts.append(places.alias("positions"))
+        return F.struct(*parts)
 
     return starts.select(*by, "id", "len", F.transform("starts", run).alias("counts"))
 
 
 def _flat(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """One row per term, or one with a null term; ``head`` marks one row of each document."""
     # The outer form keeps a null-term row for an empty document, and keeps Catalyst from inferring
     # a filter on the array, which would run the whole analysis a second time below.
-    return counts.select(*by, "id", F.inline_outer("counts"), "len")
+    flat = counts.select(*by, "id", F.posexplode_outer("counts").alias("nth", "count"), "len")
+    return flat.select(*by, "id", "count.*", "len", (F.coalesce("nth", F.lit(0)) == 0).alias("head"))
 
 
 def _doclens(flat: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    return flat.groupBy(*by, "id").agg(F.max("len").alias("len"), F.count("term").alias("terms"))
+    return flat.groupBy(*by, "id").agg(
+        F.max("len").alias("len"), F.count("term").alias("terms"), F.count_if("head").alias("documents"))
 
 
 def _stats(doclens: DataFrame, by: tuple[str, ...], *more: Column) -> DataFrame:
@@ -104,7 +124,7 @@ def _vocab(postings: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def postings_of(docs: DataFrame, analyzer: str = "plain", by: tuple[str, ...] = ()) -> DataFrame:
     """``(by, id, term, tf, len)`` without writing anything."""
-    return _flat(count_terms(analyse(docs, analyzer, by), by), by).filter("term IS NOT NULL")
+    return _flat(count_terms(analyse(docs, analyzer, by), by), by).filter("term IS NOT NULL").drop("head")
 
 
 def doc_lengths(docs: DataFrame, analyzer: str = "plain", by: tuple[str, ...] = ()) -> DataFrame:
@@ -123,30 +143,36 @@ def corpus_stats(docs: DataFrame, analyzer: str = "plain", by: tuple[str, ...] =
     return _stats(doc_lengths(docs, analyzer, by), by)
 
 
-def _write_bucketed(df: DataFrame, path: str, name: str, buckets: int, sort: list[str]) -> DataFrame:
-    table = f"trawl_{uuid.uuid4().hex}_{name}"
-    (
-        df.write.mode("overwrite").format("parquet").option("path", f"{path}/{name}")
-        .bucketBy(buckets, "id").sortBy(*sort).saveAsTable(table)
-    )
-    return df.sparkSession.table(table)
-
-
 def default_buckets(docs: DataFrame) -> int:
-    """Buckets for an index of ``docs``: by the size of its input files, if it reads any."""
-    spark, files = docs.sparkSession, docs.inputFiles()
+    """Buckets for an index of ``docs``, by the size of its input as Catalyst knows it."""
+    spark, size = docs.sparkSession, plan_bytes(docs)
     partitions = shuffle_partitions(spark)
-    if not files:
+    if size > UNKNOWN_BYTES:
         return partitions
-    # Only the file listing is read for this.
-    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] or 0
     least = min(partitions, spark.sparkContext.defaultParallelism)
-    return max(least, min(MAX_BUCKETS, math.ceil(size / BUCKET_BYTES)))
+    return max(least, math.ceil(size / BUCKET_BYTES))
 
 
-def _write(df: DataFrame, path: str, name: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(f"{path}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+def _table_name(path: str) -> str:
+    """The catalog name of an index's postings; one per folder, so that it is replaced, not added to."""
+    return f"trawl_{hashlib.md5(path.encode()).hexdigest()}_postings"
+
+
+def _append(flat: DataFrame, path: str, version: int, buckets: int) -> DataFrame:
+    """Write postings under a version; gives the rows of that version."""
+    table = _table_name(path)
+    (
+        flat.withColumn("version", F.lit(version)).write.mode("append").format("parquet")
+        .option("path", f"{path}/postings").partitionBy("version")
+        .bucketBy(buckets, "id").sortBy("term").saveAsTable(table)
+    )
+    return flat.sparkSession.table(table)
+
+
+def _write(df: DataFrame, path: str, name: str, version: int) -> DataFrame:
+    folder = f"{path}/{name}/version={version}"
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def build_index(
@@ -154,105 +180,131 @@ def build_index(
     analyzer: str = "plain",
     by: tuple[str, ...] = (),
     with_id: bool = False,
-    with_tokens: bool = False,
+    positional: bool = False,
     path: str | None = None,
     buckets: int | None = None,
 ) -> Index:
     """Analyse ``docs (by, id, contents)`` once and write the index tables.
 
-    ``path`` defaults to a new folder under the shared checkpoint folder. Document ids must be
-    unique within a corpus (``require_unique``).
+    ``path`` defaults to a new folder under the shared checkpoint folder; an index that stands there
+    is replaced. ``positional`` stores the places of terms, for phrases. An id that occurs twice in
+    a corpus is an error.
     """
     spark = docs.sparkSession
-    path = path or scratch_dir(spark)
+    path = qualified(spark, path or scratch_dir(spark))
     buckets = buckets or default_buckets(docs)
     by = tuple(by)
-
-    analysed = analyse(docs, analyzer, by, with_id)
-    tokens = None
-    if with_tokens:
-        tokens = _write_bucketed(analysed.repartition(buckets, "id"), path, "tokens", buckets, ["id"])
-        analysed = tokens
+    counts = count_terms(analyse(docs, analyzer, by, with_id), by, with_id, positional)
     # Counted before the shuffle: one row per document travels, holding each term once.
-    counts = count_terms(analysed, by, with_id)
-    if not with_tokens:
-        counts = counts.repartition(buckets, "id")
-    flat = _write_bucketed(_flat(counts, by), path, "postings", buckets, ["term"])
-    facts = {"analyzer": analyzer, "buckets": buckets, "with_id": with_id, "with_tokens": with_tokens}
-    return _summarise(flat, path, by, facts, tokens)
-
-
-def _summarise(flat: DataFrame, path: str, by: tuple[str, ...], facts: dict, tokens: DataFrame | None) -> Index:
-    """Write everything that follows from the postings: lengths, statistics, vocabulary, sample."""
-    postings = flat.filter("term IS NOT NULL")
-    doclens = _write(_doclens(flat, by), path, "doclens")
+    counts = counts.repartition(buckets, "id")
+    spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
+    # Statistics first: without them what else may stand there is no index.
+    for name in ("stats", "postings", "doclens", "vocab", "sample"):
+        _remove(spark, f"{path}/{name}")
+    flat = _append(_flat(counts, by), path, 1, buckets)
+    facts = {"analyzer": analyzer, "buckets": buckets, "with_id": with_id, "positional": positional}
+    return _summarise(flat, path, by, facts, [1])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _postings(flat: DataFrame) -> DataFrame:
+    return flat.filter("term IS NOT NULL").drop("head", "version")
+
+
+def _summarise(flat: DataFrame, path: str, by: tuple[str, ...], facts: dict, versions: list[int]) -> Index:
+    """Write everything that follows from the postings: lengths, vocabulary, sample, statistics."""
+    version = versions[-1]
+    flat = flat.filter(F.col("version").isin(versions))
+    postings = _postings(flat)
+    doclens = _write(_doclens(flat, by), path, "doclens", version)
+    twice = doclens.filter("documents > 1").select("id").take(3)
+    if twice:
+        raise ValueError(f"duplicate id: {[row[0] for row in twice]}")
+    doclens = doclens.drop("documents")
     stats = _stats(doclens, by, F.sum("terms").alias("postings"))
-    stats = _write(stats.withColumns({name: F.lit(fact) for name, fact in facts.items()}), path, "stats")
+    documents = stats.agg(F.sum("n")).first()[0] or 0
     if by:
         vocab = _vocab(postings, by).join(stats.select(*by, "n", "avgdl"), list(by))
-        documents = stats.agg(F.sum("n")).first()[0] or 0
     else:
         one = stats.first()
         vocab = _vocab(postings, by).withColumns({"n": F.lit(one.n).cast("long"), "avgdl": F.lit(one.avgdl)})
-        documents = one.n
-    vocab = _write(vocab, path, "vocab")
-    sample = None
-    if documents >= SAMPLE_FROM:
-        picked = F.pmod(F.xxhash64("id"), F.lit(SAMPLE_RATE)) == 0
-        sample = _write(postings.filter(picked), path, "sample")
-    return Index(postings, doclens, vocab, stats, facts["analyzer"], by, tokens, sample)
+    vocab = _write(vocab, path, "vocab", version)
+    grain = 1 << 30
+    rate = grain if documents <= SAMPLE_DOCUMENTS else grain * SAMPLE_DOCUMENTS // documents
+    picked = postings.filter(F.pmod(F.xxhash64("id"), F.lit(grain)) < rate)
+    sample = _write(picked.drop("positions"), path, "sample", version)
+    named = {**{name: F.lit(fact) for name, fact in facts.items()}, "versions": F.array(*map(F.lit, versions))}
+    stats = _write(stats.withColumns(named), path, "stats", version)
+    return Index(postings, doclens, vocab, stats, facts["analyzer"], by, sample, facts["positional"])
 
 
 def _facts(spark: SparkSession, path: str) -> tuple[dict, tuple[str, ...]]:
+    """Facts of the newest version whose statistics were written, and the corpus columns."""
+    if not _exists(spark, f"{path}/stats"):
+        raise ValueError(f"no index in {path}")
     stats = spark.read.parquet(f"{path}/stats")
     by = tuple(stats.columns[: stats.columns.index("n")])
-    return stats.select("analyzer", "buckets", "with_id", "with_tokens").first().asDict(), by
+    newest = stats.orderBy(F.desc("version")).select("analyzer", "buckets", "with_id", "positional", "versions", "version")
+    return newest.first().asDict(), by
 
 
-def _bucketed(spark: SparkSession, path: str, name: str, buckets: int, sort: str) -> str:
-    """Name of a catalog table over a bucketed folder."""
-    fields = spark.read.parquet(f"{path}/{name}").schema.fields
+def _catalogued(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """The postings as a bucketed table of the session's catalog."""
+    table = _table_name(path)
+    fields = [f for f in spark.read.parquet(f"{path}/postings").schema.fields if f.name != "version"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    table = f"trawl_{uuid.uuid4().hex}_{name}"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
     spark.sql(
-        f"CREATE TABLE {table} ({schema}) USING parquet "
-        f"CLUSTERED BY (id) SORTED BY ({sort}) INTO {buckets} BUCKETS LOCATION '{path}/{name}'"
+        f"CREATE TABLE {table} ({schema}, version INT) USING parquet PARTITIONED BY (version) "
+        f"CLUSTERED BY (id) SORTED BY (term) INTO {buckets} BUCKETS LOCATION {quoted(path + '/postings')}"
     )
-    return table
+    spark.catalog.recoverPartitions(table)
+    return spark.table(table)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     """Read an index written by ``build_index``."""
+    path = qualified(spark, path)
     facts, by = _facts(spark, path)
-    stats = spark.read.parquet(f"{path}/stats")
-    sampled = (stats.agg(F.sum("n")).first()[0] or 0) >= SAMPLE_FROM
+
+    def table(name: str) -> DataFrame:
+        return spark.read.parquet(f"{path}/{name}/version={facts['version']}")
+
+    flat = _catalogued(spark, path, facts["buckets"]).filter(F.col("version").isin(facts["versions"]))
     return Index(
-        spark.table(_bucketed(spark, path, "postings", facts["buckets"], "term")).filter("term IS NOT NULL"),
-        spark.read.parquet(f"{path}/doclens"),
-        spark.read.parquet(f"{path}/vocab"),
-        stats,
-        facts["analyzer"],
-        by,
-        spark.table(_bucketed(spark, path, "tokens", facts["buckets"], "id")) if facts["with_tokens"] else None,
-        spark.read.parquet(f"{path}/sample") if sampled else None,
-    )
+        _postings(flat), table("doclens").drop("documents"), table("vocab"), table("stats"), facts["analyzer"], by,
+        table("sample"), facts["positional"])
 
 
 def extend_index(docs: DataFrame, path: str) -> Index:
     """Add documents to a written index: their postings are appended, the statistics made anew.
 
-    The texts indexed before are not read again. Ids must be new to the index.
+    The texts indexed before are not read again. An id the index has already, or that occurs twice,
+    is an error and changes nothing.
     """
     spark = docs.sparkSession
+    path = qualified(spark, path)
     facts, by = _facts(spark, path)
-    buckets = facts["buckets"]
-    analysed = analyse(docs, facts["analyzer"], by, facts["with_id"]).repartition(buckets, "id")
-
-    def append(df: DataFrame, name: str, sort: str) -> DataFrame:
-        table = _bucketed(spark, path, name, buckets, sort)
-        df.select(*spark.table(table).columns).write.insertInto(table)
-        return spark.table(table)
-
-    tokens = append(analysed, "tokens", "id") if facts["with_tokens"] else None
-    flat = append(_flat(count_terms(analysed, by, facts["with_id"]), by), "postings", "term")
-    return _summarise(flat, path, by, facts, tokens)
+    keys = [*by, "id"]
+    ids = docs.select(*by, F.col("id").cast("string").alias("id"))
+    known = spark.read.parquet(f"{path}/doclens/version={facts['version']}").select(*keys)
+    twice = ids.unionByName(known).groupBy(*keys).count().filter("count > 1").select("id").take(3)
+    if twice:
+        raise ValueError(f"duplicate id: {[row[0] for row in twice]}")
+    flat = _catalogued(spark, path, facts["buckets"])
+    # A version whose extension broke off keeps its number; its rows count no more.
+    version = 1 + flat.agg(F.max("version")).first()[0]
+    analysed = analyse(docs, facts["analyzer"], by, facts["with_id"])
+    counts = count_terms(analysed, by, facts["with_id"], facts["positional"]).repartition(facts["buckets"], "id")
+    flat = _append(_flat(counts, by).select(*(c for c in flat.columns if c != "version")), path, version, facts["buckets"])
+    kept = {name: facts[name] for name in ("analyzer", "buckets", "with_id", "positional")}
+    return _summarise(flat, path, by, kept, [*facts["versions"], version])

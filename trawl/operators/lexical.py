@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from trawl.functions.text import ANALYZERS, clean_query, query_words
 from trawl.operators.index import Index
+from trawl.operators.topk import limit_rows_to
 from trawl.session import BROADCAST_BYTES, checkpoint, measure
 
+# k1 and b of the two BM25 flavours.
+K1, B = 0.9, 0.4
+FTS5_K1, FTS5_B = 1.2, 0.75
 # Term-frequency cap, weight and normaliser of ts_rank.
 MAX_POSITIONS = 255
 LABEL_WEIGHT = 0.1
@@ -28,7 +32,9 @@ MIN_IDF = 1e-6
 # 1 / HOT_SHARE terms can exceed it, so the list of hot terms is always small.
 HOT_SHARE = 1e-4
 # Up to this many query terms are pushed down to the Parquet pages of the postings.
-FEW_TERMS = 10
+FEW_TERMS = 2000
+# Up to this many distinct query terms thin out the postings before a shuffled join.
+BROADCAST_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -90,6 +96,10 @@ def join_postings(index: Index, weighted: Weighted, on: list[str], columns: list
         postings = postings.filter(F.col("term").isin(weighted.few))
     if weighted.small:
         return postings.join(F.broadcast(weights), on)
+    words = weights.select("term").distinct()
+    if weighted.rows <= BROADCAST_TERMS:
+        # Only postings of query terms travel.
+        postings = postings.join(F.broadcast(words), "term", "left_semi")
     total = index.stats.agg(F.sum("postings")).first()[0] or 0
     share = max(1, int(total * HOT_SHARE))
     hot = (
@@ -124,7 +134,7 @@ def _saturation(k1: float, b: float) -> Column:
 
 
 def bm25_terms(
-    index: Index, topics: DataFrame, k1: float = 0.9, b: float = 0.4, idf: str = "plus_one"
+    index: Index, topics: DataFrame, k1: float = K1, b: float = B, idf: str = "plus_one"
 ) -> Weighted:
     """Query terms for ``bm25``."""
     odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
@@ -136,7 +146,7 @@ def bm25_terms(
 
 
 def bm25(
-    index: Index, topics: DataFrame, k1: float = 0.9, b: float = 0.4, idf: str = "plus_one"
+    index: Index, topics: DataFrame, k1: float = K1, b: float = B, idf: str = "plus_one"
 ) -> DataFrame:
     """``(by, qid, id, score)`` of every matching document; a repeated query word counts once.
 
@@ -150,49 +160,62 @@ def fts5_idf() -> Column:
     return F.when(weight <= 0, F.lit(MIN_IDF)).otherwise(weight)
 
 
-def query_phrases(topics: DataFrame, analyzer: str) -> DataFrame:
-    """``(qid, phrase, qtf)``: each whitespace word of a query as an array of tokens.
+def _keys(by: tuple[str, ...], table: DataFrame) -> list[str]:
+    """The corpus columns that topics or phrases name."""
+    return [name for name in by if name in table.columns]
+
+
+def query_phrases(topics: DataFrame, analyzer: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(by, qid, phrase, qtf)``: each whitespace word of a query as an array of tokens.
 
     Most are one token long; a word with inner punctuation becomes a phrase of several.
     """
+    keys = [*_keys(by, topics), "qid"]
     words = F.regexp_extract_all(F.coalesce("contents", F.lit("")), F.lit(r"\S+"), F.lit(0))
-    words = topics.select("qid", F.explode_outer(words).alias("word")).filter("word IS NOT NULL")
-    phrases = words.select("qid", ANALYZERS[analyzer](F.col("word")).alias("phrase"))
-    return phrases.filter(F.size("phrase") > 0).groupBy("qid", "phrase").agg(F.count("*").alias("qtf"))
+    words = topics.select(*keys, F.explode_outer(words).alias("word")).filter("word IS NOT NULL")
+    phrases = words.select(*keys, ANALYZERS[analyzer](F.col("word")).alias("phrase"))
+    return phrases.filter(F.size("phrase") > 0).groupBy(*keys, "phrase").agg(F.count("*").alias("qtf"))
 
 
 def match_phrases(index: Index, phrases: DataFrame) -> DataFrame:
-    """``(phrase, id, tf, len)``: documents holding the tokens of a phrase next to each other, in order.
+    """``(by, phrase, id, tf, len)``: documents holding the tokens of a phrase next to each other, in order.
 
-    Documents are found through the rarest token of a phrase and checked against their token list.
+    Documents come from the rarest token of a phrase. For them alone the places of all its tokens are
+    read, and those where a phrase can begin are intersected; nothing leaves its bucket.
     """
-    distinct = phrases.select("phrase").distinct()
-    parts = distinct.select("phrase", F.posexplode("phrase").alias("offset", "term"))
+    if not index.positional:
+        raise ValueError("phrases need an index with positions")
+    by, shared = list(index.by), _keys(index.by, phrases)
+    distinct = phrases.select(*shared, "phrase").distinct()
+    parts = distinct.select(*shared, "phrase", F.posexplode("phrase").alias("offset", "term"))
     rows, size = measure(parts.select(F.array_join("phrase", " ").alias("phrase"), "offset", "term"))
-    small = size <= BROADCAST_BYTES
-    known = index.vocab.join(F.broadcast(parts) if small else parts, "term").groupBy("phrase").agg(
-        F.min_by(F.struct("term", "offset"), F.struct("df", "offset")).alias("anchor"),
-        F.count("*").alias("found"),
-    )
-    anchors = known.filter(F.col("found") == F.size("phrase")).select("phrase", "anchor.term", "anchor.offset")
-    anchored = Weighted(anchors, F.lit(0.0), rows, small)
-    candidates = join_postings(index, anchored, ["term"], ["phrase", "offset"])
-    checked = candidates.select("phrase", "id", "len", "term", "offset").join(index.tokens, "id")
-    last = F.size("tokens") - F.size("phrase")
-    starts = F.filter(
-        F.sequence(F.lit(0), last),
-        lambda i: (F.get("tokens", i + F.col("offset")) == F.col("term"))
-        & (F.slice("tokens", i + 1, F.size("phrase")) == F.col("phrase")),
-    )
-    counted = checked.select(
-        "phrase", "id", "len", F.when(last >= 0, F.size(starts)).otherwise(0).alias("tf")
-    )
-    return counted.filter("tf > 0")
-
-
-def fts5_terms(index: Index, phrases: DataFrame, k1: float = 1.2, b: float = 0.75) -> Weighted:
+    small = size * max(1, index.stats.count() if by else 1) <= BROADCAST_BYTES
+    known = index.vocab.join(F.broadcast(parts) if small else parts, [*shared, "term"]).select(
+        *by, "phrase", "offset", "term", "df")
+    whole = known.groupBy(*by, "phrase").agg(
+        F.min_by("term", F.struct("df", "offset")).alias("anchor"), F.count("*").alias("found"),
+    ).filter(F.col("found") == F.size("phrase"))
+    words = checkpoint(known.join(whole.select(*by, "phrase", "anchor"), [*by, "phrase"]))
+    few = None
+    if rows <= FEW_TERMS:
+        few = sorted({r.term for r in words.select("term").distinct().collect()})
+    anchors = Weighted(words.filter("term = anchor").select(*by, "term").distinct(), F.lit(0.0), rows, small, few)
+    holders = join_postings(index, anchors, [*by, "term"], []).select("id").distinct()
+    every = Weighted(words, F.lit(0.0), rows, small, few)
+    places = join_postings(index, every, [*by, "term"], ["phrase", "offset"]).join(holders, "id", "left_semi")
+    starts = F.filter(F.transform("positions", lambda p: p - F.col("offset")), lambda p: p >= 0)
+    met = places.select(*by, "phrase", "id", "len", starts.alias("starts")).groupBy(*by, "phrase", "id").agg(
+        F.collect_list("starts").alias("starts"), F.max("len").alias("len"))
+    common = F.aggregate(
+        F.slice("starts", 2, F.size("starts")), F.get("starts", F.lit(0)), lambda a, b: F.array_intersect(a, b))
+    tf = F.when(F.size("starts") == F.size("phrase"), F.size(common)).otherwise(0)
+    return met.select(*by, "phrase", "id", tf.alias("tf"), "len").filter("tf > 0")
+
+
+def fts5_terms(index: Index, phrases: DataFrame, k1: float = FTS5_K1, b: float = FTS5_B) -> Weighted:
     """Query terms for ``bm25_fts5``: the phrases of one token."""
-    single = phrases.filter(F.size("phrase") == 1).select("qid", F.col("phrase")[0].alias("term"), "qtf")
+    keys = [*_keys(index.by, phrases), "qid"]
+    single = phrases.filter(F.size("phrase") == 1).select(*keys, F.col("phrase")[0].alias("term"), "qtf")
     return weigh(
         index, single, F.col("weight") * _saturation(k1, b), F.col("weight") * (k1 + 1),
         weight=F.col("qtf") * fts5_idf(),
@@ -200,68 +223,90 @@ def fts5_terms(index: Index, phrases: DataFrame, k1: float = 1.2, b: float = 0.7
 
 
 def long_phrases(index: Index, phrases: DataFrame) -> DataFrame | None:
-    """The phrases of several tokens, or None if the index has no token lists or there are none."""
+    """The phrases of several tokens, or None if the index has no positions or there are none."""
     several = phrases.filter(F.size("phrase") > 1)
-    return None if index.tokens is None or several.isEmpty() else several
+    return None if not index.positional or several.isEmpty() else several
+
+
+def phrase_scores(index: Index, several: DataFrame, k1: float = FTS5_K1, b: float = FTS5_B) -> DataFrame:
+    """``(by, qid, id, score)``: what phrases of several tokens add to their documents."""
+    keys = list(dict.fromkeys([*index.by, *_keys(index.by, several)]))
+    # Read twice below: for the document frequencies and for the scores.
+    found = checkpoint(match_phrases(index, several))
+    freq = found.groupBy(*keys, "phrase").agg(F.count("*").alias("df"))
+    if keys:
+        freq = freq.join(index.stats.select(*keys, "n", "avgdl"), keys)
+    else:
+        one = index.stats.select("n", "avgdl").first()
+        freq = freq.withColumns({"n": F.lit(one.n), "avgdl": F.lit(one.avgdl)})
+    weighed = several.join(freq, [*_keys(index.by, several), "phrase"]).withColumn("weight", F.col("qtf") * fts5_idf())
+    scored = found.join(weighed.select(*keys, "phrase", "qid", *PART_COLUMNS), [*keys, "phrase"])
+    return scored.groupBy(*keys, "qid", "id").agg(F.sum(F.col("weight") * _saturation(k1, b)).alias("score"))
 
 
-def bm25_fts5(index: Index, topics: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``(qid, id, score)`` in the manner of FTS5's bm25, sign turned so that more is better.
+def bm25_fts5(index: Index, topics: DataFrame, k1: float = FTS5_K1, b: float = FTS5_B) -> DataFrame:
+    """``(by, qid, id, score)`` in the manner of FTS5's bm25, sign turned so that more is better.
 
-    Build the index ``with_id``, and ``with_tokens`` if queries may hold words that split into
+    Build the index ``with_id``, and ``positional`` if queries may hold words that split into
     several tokens: such a word is a phrase. A repeated query word counts each time.
     """
-    phrases = query_phrases(topics, index.analyzer)
-    weighted = fts5_terms(index, phrases, k1, b)
+    phrases = query_phrases(topics, index.analyzer, index.by)
+    singles = score_all(index, fts5_terms(index, phrases, k1, b))
     several = long_phrases(index, phrases)
     if several is None:
-        return score_all(index, weighted)
-    columns = ["qid", "id", "tf", "len", *PART_COLUMNS]
-    matches = join_postings(index, weighted, ["term"], columns[:1] + PART_COLUMNS).select(*columns)
-    # Read twice below: for the document frequencies and for the scores.
-    found = checkpoint(match_phrases(index, several))
-    one = index.stats.select("n", "avgdl").first()
-    freq = found.groupBy("phrase").agg(F.count("*").alias("df"))
-    weighed = several.join(freq, "phrase").withColumns({"n": F.lit(one.n), "avgdl": F.lit(one.avgdl)})
-    weighed = weighed.withColumn("weight", F.col("qtf") * fts5_idf())
-    matches = matches.unionByName(found.join(weighed, "phrase").select(*columns))
-    return matches.groupBy("qid", "id").agg(F.sum(weighted.part).alias("score"))
+        return singles
+    both = singles.unionByName(phrase_scores(index, several, k1, b))
+    return both.groupBy(*index.by, "qid", "id").agg(F.sum("score").alias("score"))
 
 
-def _inverse_squares() -> Column:
+def _inverse_squares(cap: int) -> Column:
     """Literal array: element i is the sum of 1/j^2 for j up to i."""
     sums, total = [], 0.0
-    for j in range(1, MAX_POSITIONS + 1):
+    for j in range(1, cap + 1):
         total += 1.0 / (j * j)
         sums.append(total)
     return F.from_json(F.lit(json.dumps(sums)), "array<double>")
 
 
-def ts_query(topics: DataFrame) -> DataFrame:
-    """``(qid, term, terms)``: distinct words of the cleaned query and how many there are."""
-    words = F.array_distinct(query_words(clean_query(F.coalesce("contents", F.lit("")))))
-    sized = topics.select("qid", words.alias("words")).withColumn("terms", F.size("words"))
-    return sized.select("qid", "terms", F.explode_outer("words").alias("term")).filter("term IS NOT NULL")
+def _sum_of_squares(cap: int | None) -> Column:
+    """Sum of 1/j^2 for j up to tf; ``cap`` ends it, None sums to the end."""
+    if cap is not None:
+        return F.element_at(_inverse_squares(cap), F.least(F.col("tf"), F.lit(cap)).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), F.col("tf").cast("int")), F.lit(0.0), lambda a, j: a + 1.0 / (j * j).cast("double"))
 
 
-def ts_rank_terms(index: Index, topics: DataFrame, norm: int = 0) -> Weighted:
-    """Query terms for ``ts_rank``."""
-    squares = F.element_at(_inverse_squares(), F.least(F.col("tf"), F.lit(MAX_POSITIONS)).cast("int"))
-    part = F.col("weight") * squares
+def ts_query(topics: DataFrame, analyzer: str = "simple", by: tuple[str, ...] = ()) -> DataFrame:
+    """``(by, qid, term, terms)``: distinct words of the cleaned query and how many there are.
+
+    Words are cut as the "simple" configuration does, and then go through the analyzer of the index,
+    as a query does in a configuration with stop words and stems.
+    """
+    keys = [*_keys(by, topics), "qid"]
+    words = query_words(clean_query(F.coalesce("contents", F.lit(""))))
+    if analyzer not in ("simple", "plain", "whitespace"):
+        words = ANALYZERS[analyzer](F.array_join(words, " "))
+    sized = topics.select(*keys, F.array_distinct(words).alias("words")).withColumn("terms", F.size("words"))
+    return sized.select(*keys, "terms", F.explode_outer("words").alias("term")).filter("term IS NOT NULL")
+
+
+def ts_rank_terms(index: Index, topics: DataFrame, norm: int = 0, cap: int | None = MAX_POSITIONS) -> Weighted:
+    """Query terms for ``ts_rank``; repetitions of a word beyond ``cap`` add nothing, None counts all."""
+    part = F.col("weight") * _sum_of_squares(cap)
     if norm == 1:
         part = part / F.log2(F.col("len") + 1.0)
     elif norm != 0:
         raise ValueError(f"norm must be 0 or 1, got {norm}")
     weight = LABEL_WEIGHT / SQUARES_LIMIT / F.col("terms")
-    return weigh(index, ts_query(topics), part, F.lit(LABEL_WEIGHT) / F.col("terms"), weight=weight)
+    terms = ts_query(topics, index.analyzer, index.by)
+    return weigh(index, terms, part, F.lit(LABEL_WEIGHT) / F.col("terms"), weight=weight)
 
 
-def ts_rank(index: Index, topics: DataFrame, norm: int = 0) -> DataFrame:
-    """``(qid, id, score)`` by term repetition alone; ``norm=1`` divides by log2(len + 1).
+def ts_rank(index: Index, topics: DataFrame, norm: int = 0, cap: int | None = MAX_POSITIONS) -> DataFrame:
+    """``(by, qid, id, score)`` by term repetition alone; ``norm=1`` divides by log2(len + 1).
 
-    Meant for an index analysed as ``simple``.
+    Meant for an index analysed as ``simple`` or ``english``.
     """
-    return score_all(index, ts_rank_terms(index, topics, norm))
+    return score_all(index, ts_rank_terms(index, topics, norm, cap))
 
 
 def match_any(index: Index, topics: DataFrame) -> DataFrame:
@@ -272,39 +317,65 @@ def match_any(index: Index, topics: DataFrame) -> DataFrame:
 
 
 def _first_ids(index: Index, n: int) -> DataFrame:
-    """``(by, first)``: the n smallest ids of each corpus as one array."""
-    ids = index.doclens.select(*index.by, "id")
-    if index.by:
-        smallest = F.row_number().over(Window.partitionBy(*index.by).orderBy("id"))
-        ids = ids.withColumn("nth", smallest).filter(F.col("nth") <= n)
-    else:
-        ids = ids.orderBy("id").limit(n)
+    """``(by, first)``: the n smallest ids of each corpus as one array, cut in every partition before they meet."""
+    limit_rows_to(index.doclens.sparkSession, n)
+    smallest = F.row_number().over(Window.partitionBy(*index.by).orderBy("id"))
+    ids = index.doclens.select(*index.by, "id").withColumn("nth", smallest).filter(F.col("nth") <= n)
     return ids.groupBy(*index.by).agg(F.sort_array(F.collect_list("id")).alias("first"))
 
 
-def pad(hits: DataFrame, index: Index, topics: DataFrame, n: int) -> DataFrame:
+def _all_lists(index: Index, topics: DataFrame) -> DataFrame:
+    """``(by, qid)`` of every list: a topic that names no corpus has one in each."""
+    named = topics.select(*_keys(index.by, topics), "qid").distinct()
+    missing = [name for name in index.by if name not in named.columns]
+    if not missing:
+        return named
+    kinds = dict(index.stats.dtypes)
+    corpora = [row.asDict() for row in index.stats.select(*missing).distinct().collect()]
+    schema = ", ".join(f"`{name}`: {kinds[name]}" for name in missing)
+    return named.select("*", F.inline(F.from_json(F.lit(json.dumps(corpora)), f"array<struct<{schema}>>")))
+
+
+def _zeros(index: Index, lists: DataFrame, matches: DataFrame, n: int, k: int) -> DataFrame:
+    """``(by, qid, zeros, enough)``: up to n ids that match nothing, among the k smallest of each corpus.
+
+    ``enough`` tells that there are n, or that the corpus has no more than k ids.
+    """
+    keys = [*index.by, "qid"]
+    first = F.broadcast(_first_ids(index, k))
+    ids = F.broadcast(_first_ids(index, k).select(*index.by, F.explode("first").alias("id")))
+    inside = matches.join(ids, [*index.by, "id"], "left_semi").groupBy(*keys).agg(F.collect_set("id").alias("inside"))
+    lists = lists.join(inside, keys, "left")
+    # Without corpora there is one row of first ids.
+    lists = lists.join(first, list(index.by)) if index.by else lists.join(first)
+    others = F.array_except("first", F.coalesce("inside", F.array().cast("array<string>")))
+    enough = (F.size(others) >= n) | (F.size("first") < k)
+    return lists.select(*keys, F.slice(others, 1, n).alias("zeros"), enough.alias("enough"))
+
+
+def pad(hits: DataFrame, index: Index, topics: DataFrame, n: int, matches: DataFrame | None = None) -> DataFrame:
     """``(by, qid, id, score, rank)``: hit lists filled up to n with documents scored 0.
 
-    A list of m hits needs n - m other ids, and the n smallest of those lie among the 2n smallest
-    ids of the corpus. Hits scoring below 0 sort after the padding. Topics without hits are padded
-    too. Lists hold at most n hits, so each is handled as one array. With a multi-corpus index the
-    topics must name their corpus.
+    The n smallest ids that match nothing lie among the 2n smallest ids of the corpus, as long as no
+    score is negative. If some are, they may have to leave for the padding; ``matches`` must then hold
+    ``(by, qid, id)`` of every match, and lists that match most small ids look at more of them.
+    Topics without hits are padded too. Lists hold at most n hits, so each is handled as one array.
     """
     keys = [*index.by, "qid"]
+    every = _all_lists(index, topics)
+    k = 2 * n
+    zeros = _zeros(index, every, hits if matches is None else matches, n, k)
+    if matches is not None:
+        zeros = checkpoint(zeros)
+        while not (short := zeros.filter("NOT enough").select(*keys)).isEmpty():
+            k *= 8
+            zeros = checkpoint(zeros.filter("enough").unionByName(_zeros(index, short, matches, n, k)))
     entry = F.struct((F.lit(0.0) - F.col("score")).alias("cost"), "id")
-    lists = hits.groupBy(*keys).agg(F.collect_list(entry).alias("hits"))
-    lists = topics.select(*keys).distinct().join(lists, keys, "left")
+    found = hits.groupBy(*keys).agg(F.collect_list(entry).alias("hits"))
     none = F.array().cast("array<struct<cost:double,id:string>>")
-    lists = lists.select(*keys, F.coalesce("hits", none).alias("hits"))
-    if index.by:
-        lists = lists.join(_first_ids(index, 2 * n), list(index.by))
-    else:
-        first = _first_ids(index, 2 * n).first()["first"]
-        lists = lists.withColumn("first", F.from_json(F.lit(json.dumps(first)), "array<string>"))
-    others = F.array_except("first", F.transform("hits", lambda h: h["id"]))
-    zero = F.lit(0.0).alias("cost")
-    zeros = F.transform(F.slice(others, 1, F.lit(n) - F.size("hits")), lambda i: F.struct(zero, i.alias("id")))
-    padded = lists.select(*keys, F.sort_array(F.concat("hits", zeros)).alias("hits"))
+    lists = zeros.join(found, keys, "left").select(*keys, "zeros", F.coalesce("hits", none).alias("hits"))
+    filled = F.transform("zeros", lambda i: F.struct(F.lit(0.0).alias("cost"), i.alias("id")))
+    padded = lists.select(*keys, F.slice(F.sort_array(F.concat("hits", filled)), 1, n).alias("hits"))
     ranked = padded.select(*keys, F.posexplode_outer("hits").alias("nth", "hit")).filter("nth IS NOT NULL")
     score = F.lit(0.0) - F.col("hit.cost")
     return ranked.select(*keys, "hit.id", score.alias("score"), (F.col("nth") + 1).alias("rank"))

@@ -1,7 +1,7 @@
 """Top-k by score bounds: exact, without scoring every document that shares a word with a query.
 
 The n-th best score within a sample of the documents cannot exceed the n-th best score of all: it
-is a floor for each query. A query's terms are sorted by the most they can add to a score; as long
+is a floor for each query. The sample is of bounded size, whatever the size of the index. A query's terms are sorted by the most they can add to a score; as long
 as the weakest of them together stay below the floor, a document holding none of the others cannot
 be a hit. So only the other, essential terms bring candidates; of those, only documents that can
 still reach the floor get the weak terms added. Frequent words never turn into one row per
@@ -16,24 +16,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.operators.index import SAMPLE_RATE, Index
+from dataclasses import replace
+
+from trawl.operators.index import Index
 from trawl.operators.lexical import PART_COLUMNS, Weighted, join_postings, score_all
-from trawl.operators.topk import top_k
+from trawl.operators.topk import DIGITS, top_k
 from trawl.session import BROADCAST_BYTES, checkpoint, measure
 
-# Below this bound on (query term, posting) pairs scoring every match is quicker.
-PRUNE_FROM = 1_000_000_000
-# The sample has to hold this many times n documents, or it says little about the n-th best.
-SAMPLE_MARGIN = 10
+# Below this number of matches, as the document frequencies tell, scoring all of them is quicker.
+PRUNE_FROM = 100_000_000
+# Query terms searched together: their table and what is joined to it stay below the broadcast limit.
+CHUNK_TERMS = 200_000
 # Weak terms together stay below this share of the floor.
 WEAK_SHARE = 0.5
 
 
-def _worth_it(index: Index, weighted: Weighted, n: int) -> bool:
-    if index.sample is None or not weighted.prunable or not weighted.small:
+def _worth_it(index: Index, weighted: Weighted) -> bool:
+    """Whether frequent words would make many rows."""
+    if index.sample is None or not weighted.prunable:
         return False
-    documents = index.stats.agg(F.max("n")).first()[0] or 0
-    return weighted.rows * documents >= PRUNE_FROM and documents >= SAMPLE_MARGIN * SAMPLE_RATE * n
+    return (weighted.terms.agg(F.sum("df")).first()[0] or 0) >= PRUNE_FROM
 
 
 def split_terms(index: Index, weighted: Weighted, n: int, slack: float) -> DataFrame:
@@ -92,12 +94,27 @@ def pruned_scores(index: Index, weighted: Weighted, n: int, slack: float) -> Dat
     return both.groupBy(*keys, "id").agg(F.sum("part").alias("score"))
 
 
-def best(index: Index, weighted: Weighted, n: int, digits: int | None = 6) -> DataFrame:
-    """``(by, qid, id, score, rank)``: the n best documents of each query."""
-    if _worth_it(index, weighted, n):
-        # Wide enough for scores that only rounding makes equal to the floor.
-        slack = 1e-9 if digits is None else 10.0 ** -digits + 1e-9
-        scored = pruned_scores(index, weighted, n, slack)
-    else:
-        scored = score_all(index, weighted)
-    return top_k(scored, n, index.by, digits)
+def best(
+    index: Index, weighted: Weighted, n: int, digits: int | None = DIGITS, prune: bool | None = None
+) -> DataFrame:
+    """``(by, qid, id, score, rank)``: the n best documents of each query.
+
+    ``prune`` defaults to what the document frequencies of the query terms suggest; the hits are the
+    same. A large table of topics is pruned in chunks, each small enough for a broadcast.
+    """
+    if not (weighted.prunable and index.sample is not None):
+        prune = False
+    if prune is None:
+        prune = _worth_it(index, weighted)
+    if not prune:
+        return top_k(score_all(index, weighted), n, index.by, digits)
+    # Wide enough for scores that only rounding makes equal to the floor.
+    slack = 1e-9 if digits is None else 10.0 ** -digits + 1e-9
+    chunks = max(1, -(-weighted.rows // CHUNK_TERMS))
+    terms = checkpoint(weighted.terms) if chunks > 1 else weighted.terms
+    found = None
+    for nth in range(chunks):
+        chunk = terms if chunks == 1 else terms.filter(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == nth)
+        part = pruned_scores(index, replace(weighted, terms=chunk, small=True), n, slack)
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, n, index.by, digits)

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trawl.session import shuffle_partitions
+# Scores that differ by less are ties: the last bits of a floating sum depend on its order.
+DIGITS = 10
+# Lists of up to this many hits are merged in one task per query: every input partition sends at
+# most so many rows for it. Longer lists are merged in POOLS tasks first.
+ONE_LEVEL = 100
+POOLS = 128
+LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 
-# One query's candidates, at most n from each input partition, meet in one task. Above this many
-# rows they are cut in two levels.
-CANDIDATES_PER_TASK = 1_000_000
+
+def limit_rows_to(spark: SparkSession, n: int) -> None:
+    """Let Spark cut groups to n rows before the shuffle; by default it does so up to 1000 rows only."""
+    if int(spark.conf.get(LIMIT_CONF)) < n:
+        spark.conf.set(LIMIT_CONF, n)
 
 
 def _cut(scored: DataFrame, n: int, keys: list[str]) -> DataFrame:
@@ -17,21 +25,18 @@ def _cut(scored: DataFrame, n: int, keys: list[str]) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= n)
 
 
-def top_k(scored: DataFrame, n: int, by: tuple[str, ...] = (), digits: int | None = 6) -> DataFrame:
+def top_k(scored: DataFrame, n: int, by: tuple[str, ...] = (), digits: int | None = DIGITS) -> DataFrame:
     """The n best ``(by, qid, id, score)`` rows of each query, with ranks from 1.
 
-    Ties go to the smaller id. Scores are rounded before ranking, because the last bits of a
-    floating sum depend on its order; ``digits=None`` keeps them. The row limit is applied inside
-    every partition before the shuffle by query.
+    Ties go to the smaller id. Scores are rounded before ranking; ``digits=None`` keeps them. The
+    row limit is applied inside every partition before the shuffle by query, whatever n is.
     """
+    limit_rows_to(scored.sparkSession, n)
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
     keys = [*by, "qid"]
-    partitions = shuffle_partitions(scored.sparkSession)
-    if n * partitions > CANDIDATES_PER_TASK:
-        # Partitions are pooled into about sqrt(partitions) pools, each cut to n on its own.
-        pools = max(2, round(partitions**0.5))
-        pooled = scored.withColumn("pool", F.spark_partition_id() % pools)
+    if n > ONE_LEVEL:
+        pooled = scored.withColumn("pool", F.spark_partition_id() % POOLS)
         scored = _cut(pooled, n, [*keys, "pool"]).drop("pool", "rank")
     return _cut(scored, n, keys)
 

@@ -9,9 +9,12 @@ from trawl.functions.text import tokenize
 from trawl.operators.dense import cosine_top_k
 from trawl.operators.fusion import rrf
 from trawl.operators.index import Index, build_index
-from trawl.operators.lexical import bm25_fts5, bm25_terms, fts5_terms, long_phrases, pad, query_phrases, ts_rank_terms
+from trawl.operators.lexical import (
+    PART_COLUMNS, bm25_terms, fts5_terms, join_postings, long_phrases, pad, phrase_scores, query_phrases, ts_rank_terms,
+)
 from trawl.operators.pruned import best
-from trawl.operators.topk import drop_self, top_k
+from trawl.operators.topk import DIGITS, drop_self, top_k
+from trawl.session import checkpoint
 from trawl.sources.corpus import DENSE, SPARSE, kind_of
 
 HYBRID = "hybrid"
@@ -23,7 +26,7 @@ DEFAULT_HITS = 1000
 def index_contents(docs: DataFrame, flavour: str = "bm25", **options) -> Index:
     """Index a sparse table ``(id, contents)`` the way the flavour reads its text."""
     if flavour == "fts5":
-        options = {"with_id": True, "with_tokens": True, **options}
+        options = {"with_id": True, "positional": True, **options}
     return build_index(docs, analyzer=FLAVOURS[flavour], **options)
 
 
@@ -44,20 +47,37 @@ def _one(tables: list, kind: type):
     return found[0]
 
 
+def _fts5_hits(index: Index, topics: DataFrame, n: int, digits: int | None, prune: bool | None) -> DataFrame:
+    """Single words pruned as ever; documents that hold a phrase of a query get their whole score.
+
+    No other document can come before one of the n best by single words, since phrases only add.
+    """
+    phrases = query_phrases(topics, index.analyzer, index.by)
+    singles = fts5_terms(index, phrases)
+    several = long_phrases(index, phrases)
+    if several is None:
+        return best(index, singles, n, digits, prune)
+    keys = [*index.by, "qid", "id"]
+    added = checkpoint(phrase_scores(index, several))
+    holders = added.select(*keys)
+    by_words = best(index, singles, n, None, prune).select(*keys, "score").join(holders, keys, "left_anti")
+    words = join_postings(index, singles, [*index.by, "term"], ["qid", *PART_COLUMNS]).join(holders, keys, "left_semi")
+    both = words.select(*keys, singles.part.alias("score")).unionByName(added)
+    whole = both.groupBy(*keys).agg(F.sum("score").alias("score"))
+    return top_k(by_words.unionByName(whole), n, index.by, digits)
+
+
 def sparse_hits(
-    index: Index, topics: DataFrame, flavour: str, n: int, padded: bool = False, digits: int | None = 6
+    index: Index, topics: DataFrame, flavour: str, n: int, padded: bool = False, digits: int | None = DIGITS,
+    prune: bool | None = None,
 ) -> DataFrame:
-    """``(qid, id, score, rank)`` of one lexical flavour."""
+    """``(by, qid, id, score, rank)`` of one lexical flavour."""
     if flavour == "bm25":
-        hits = best(index, bm25_terms(index, topics), n, digits)
+        hits = best(index, bm25_terms(index, topics), n, digits, prune)
     elif flavour == "fts5":
-        phrases = query_phrases(topics, index.analyzer)
-        if long_phrases(index, phrases) is None:
-            hits = best(index, fts5_terms(index, phrases), n, digits)
-        else:
-            hits = top_k(bm25_fts5(index, topics), n, index.by, digits)
+        hits = _fts5_hits(index, topics, n, digits, prune)
     elif flavour == "ts_rank":
-        hits = best(index, ts_rank_terms(index, topics), n, digits)
+        hits = best(index, ts_rank_terms(index, topics), n, digits, prune)
     else:
         raise ValueError(f"unknown flavour: {flavour}")
     return pad(hits, index, topics, n) if padded else hits
@@ -72,32 +92,38 @@ def search(
     rrf_k: int = 60,
     analyzer: str | None = "english",
     padded: bool = False,
-    digits: int | None = 6,
+    digits: int | None = DIGITS,
+    by: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Hits ``(qid, id, score, rank)`` of every topic ``(qid, contents, vector)``.
+    """Hits ``(by, qid, id, score, rank)`` of every topic ``(qid, contents, vector)``.
 
     ``tables`` holds an index (sparse), a DataFrame with embeddings (dense), or both in either
-    order (hybrid). ``analyzer=None`` takes query text as analysed already. A query's own id is
-    removed from its hits after the cut to n.
+    order (hybrid). ``by`` tells corpora apart, each searched and ranked on its own; it defaults to
+    that of the index, and an embeddings table has to carry the same columns. ``analyzer=None`` takes
+    query text as analysed already. A query's own id is removed from its hits after the cut to n.
     """
     method = method or method_of(tables)
     if method not in (SPARSE, DENSE, HYBRID):
         raise ValueError(f"unknown search method: {method}")
     if method == HYBRID and len(tables) != 2:
         raise ValueError("hybrid search needs exactly two tables")
+    indexes = [t for t in tables if isinstance(t, Index)]
+    by = tuple(by if by is not None else indexes[0].by if indexes else ())
+    if any(index.by != by for index in indexes) or any(set(by) - set(t.columns) for t in tables if not isinstance(t, Index)):
+        raise ValueError(f"tables differ in their corpus columns {by}")
     if method != DENSE and analyzer is not None:
         topics = topics.withColumn("contents", tokenize(F.col("contents"), analyzer))
     if method == SPARSE:
         hits = sparse_hits(_one(tables, Index), topics, flavour, n, padded, digits)
     elif method == DENSE:
-        hits = cosine_top_k(_one(tables, DataFrame), topics, n, digits)
+        hits = cosine_top_k(_one(tables, DataFrame), topics, n, digits, by)
     else:
         # The BM25 flavour ranks documents scored 0 as well and breaks ties by position; the
         # ts_rank flavour ranks matches only and lets ties share a rank.
         fills = padded or flavour == "bm25"
         hits = rrf(
             sparse_hits(_one(tables, Index), topics, flavour, n, fills, digits),
-            cosine_top_k(_one(tables, DataFrame), topics, n, digits),
-            n, rrf_k, "rank" if flavour == "ts_rank" else "row_number", digits,
+            cosine_top_k(_one(tables, DataFrame), topics, n, digits, by),
+            n, rrf_k, "rank" if flavour == "ts_rank" else "row_number", by,
         )
-    return drop_self(hits)
+    return drop_self(hits, by)

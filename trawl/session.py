@@ -51,6 +51,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,13 +69,25 @@ def measure(df: DataFrame) -> tuple[int, int]:
     return measured[0], measured[1]
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of ``df``; for a file scan it comes from the listing Spark has made."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system and without relative parts, as the session's Hadoop sees it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(hadoop).toString()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Redistribute a freshly read input that has fewer splits than the session has cores.
+    """Redistribute a freshly read input too small to give every core a split.
 
-    Meant for plain file scans only. A large input has more splits than cores and is left alone,
-    so its text is never shuffled.
+    Spark packs files into splits of at least ``openCostInBytes``. A large input is left alone, so
+    its text is never shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = int(spark.conf.get("spark.sql.files.openCostInBytes").removesuffix("b"))
+    return df.repartition(cores, key) if plan_bytes(df) < cores * least else df

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.text import replace_nul, tokenize
-from trawl.functions.vectors import as_vector, text_precision
+from trawl.functions.vectors import as_vector, norm, text_precision
 from trawl.session import spread
 
 SPARSE, DENSE = "sparse", "dense"
@@ -159,8 +159,8 @@ def read_table(
 
 
 def write_table(df: DataFrame, path: str, append: bool = False) -> None:
-    """Create, replace or extend a stored sparse or dense table."""
-    columns = ["id", "contents"] if kind_of(df) == SPARSE else ["id", "embedding"]
+    """Create, replace or extend a stored sparse or dense table; a dense one stores the norms too."""
+    columns = ["id", "contents"] if kind_of(df) == SPARSE else ["id", "embedding", norm(F.col("embedding")).alias("norm")]
     df.select(*columns).write.mode("append" if append else "overwrite").parquet(path)
 
 
