@@ -5,6 +5,8 @@ Core SQL only: no full-text extension. Each statement stands alone; shared CTEs
 
 from __future__ import annotations
 
+from trawl.functions.stem import STEP_2, STEP_3, STEP_4
+
 PLAIN = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 SIMPLE = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 FOLDED = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
@@ -172,6 +174,75 @@ def run_and_judgements(hits: str) -> str:
 
 SPARSE_RUN = run_and_judgements(without_self(ranked("bm25", 10)))
 
+def shape(word: str) -> str:
+    """A word as V (vowel) and C (consonant): y is a vowel after a consonant."""
+    marked = f"regexp_replace(regexp_replace({word}, '[aeiou]', 'V', 'g'), '[^Vy]', 'C', 'g')"
+    marked = f"regexp_replace({marked}, '^y', 'C')"
+    for _ in range(3):
+        marked = f"regexp_replace(regexp_replace({marked}, 'Cy', 'CV', 'g'), 'Vy', 'VC', 'g')"
+    return marked
+
+
+def measure(shaped: str) -> str:
+    return f"len(regexp_extract_all({shaped}, 'V+C+'))"
+
+
+def short_end(word: str, shaped: str) -> str:
+    return f"(ends_with({shaped}, 'CVC') AND right({word}, 1) NOT IN ('w', 'x', 'y'))"
+
+
+def _suffix_step(name: str, source: str, rules: dict[str, str]) -> str:
+    """The longest suffix decides; it is replaced behind a stem of measure above 0."""
+    cases = " ".join(f"WHEN '{suffix}' THEN '{new}'" for suffix, new in rules.items())
+    return f"""{name}_found AS (SELECT word, w, {shape('w')} AS s, regexp_extract(w, '({"|".join(rules)})$') AS suffix FROM {source}),
+    {name} AS (SELECT word, CASE WHEN suffix <> '' AND {measure("left(s, length(w) - length(suffix))")} > 0
+        THEN left(w, length(w) - length(suffix)) || CASE suffix {cases} END ELSE w END AS w FROM {name}_found)"""
+
+
+def stems(words: str) -> str:
+    """CTE ``stems (word, stem)`` of a CTE with distinct lower-case words, by the rules of M. F. Porter (1980)."""
+    return f"""plural AS (SELECT word, CASE WHEN regexp_matches(word, '(sses|ies)$') THEN left(word, length(word) - 2)
+        WHEN ends_with(word, 's') AND NOT ends_with(word, 'ss') THEN left(word, length(word) - 1) ELSE word END AS w
+        FROM {words} WHERE length(word) > 2),
+    past_found AS (SELECT word, w, {shape('w')} AS s, regexp_extract(w, '(eed|ed|ing)$') AS suffix FROM plural),
+    past_cut AS (SELECT word, suffix, CASE
+        WHEN suffix = 'eed' THEN CASE WHEN {measure("left(s, length(w) - 3)")} > 0 THEN left(w, length(w) - 1) ELSE w END
+        WHEN suffix <> '' AND contains(left(s, length(w) - length(suffix)), 'V') THEN left(w, length(w) - length(suffix))
+        ELSE w END AS w, suffix IN ('ed', 'ing') AND contains(left(s, length(w) - length(suffix)), 'V') AS cut FROM past_found),
+    past_shaped AS (SELECT *, {shape('w')} AS s FROM past_cut),
+    past AS (SELECT word, CASE WHEN NOT cut THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e'
+        WHEN length(w) > 1 AND right(w, 1) = left(right(w, 2), 1) AND ends_with(s, 'C') THEN
+            CASE WHEN right(w, 1) NOT IN ('l', 's', 'z') THEN left(w, length(w) - 1)
+            WHEN {measure('s')} = 1 AND {short_end('w', 's')} THEN w || 'e' ELSE w END
+        WHEN {measure('s')} = 1 AND {short_end('w', 's')} THEN w || 'e' ELSE w END AS w FROM past_shaped),
+    ending AS (SELECT word, CASE WHEN ends_with(w, 'y') AND contains(left({shape('w')}, length(w) - 1), 'V')
+        THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM past),
+    {_suffix_step("second", "ending", STEP_2)},
+    {_suffix_step("third", "second", STEP_3)},
+    fourth_found AS (SELECT word, w, {shape('w')} AS s, regexp_extract(w, '({"|".join(STEP_4)})$') AS suffix FROM third),
+    fourth AS (SELECT word, CASE WHEN suffix <> '' AND {measure("left(s, length(w) - length(suffix))")} > 1
+        AND (suffix <> 'ion' OR regexp_matches(w, '[st]ion$')) THEN left(w, length(w) - length(suffix)) ELSE w END AS w
+        FROM fourth_found),
+    without_e AS (SELECT word, w, left(w, length(w) - 1) AS v, left({shape('w')}, length(w) - 1) AS s FROM fourth),
+    fifth AS (SELECT word, CASE WHEN ends_with(w, 'e') AND ({measure('s')} > 1 OR {measure('s')} = 1 AND NOT {short_end('v', 's')})
+        THEN v ELSE w END AS w FROM without_e),
+    stems AS (SELECT word, CASE WHEN ends_with(w, 'll') AND {measure(shape('w'))} > 1 THEN left(w, length(w) - 1) ELSE w END AS stem
+        FROM fifth UNION ALL SELECT word, word FROM {words} WHERE length(word) < 3)"""
+
+
+# Inner marks of a word are found with captures, as there is no look-around: each gets a private character
+# behind it, twice over, since neighbouring matches overlap. The tables hold no Han or Hiragana.
+_MARK = "\ue000"
+_MARKED = "lower(contents)"
+for _rule in (r"([\p{L}\p{M}])(['’‘.:·])(\p{L})", r"(\p{Nd})(['’‘.,;])(\p{Nd})"):
+    _escaped = _rule.replace("'", "''")
+    for _ in range(2):
+        _MARKED = rf"regexp_replace({_MARKED}, '{_escaped}', '\1\2{_MARK}\3', 'g')"
+_LETTERS = r"(?:[\p{L}\p{N}_]\p{M}*)+"
+ENGLISH = rf"""list_transform(list_filter(
+        regexp_extract_all({_MARKED}, '{_LETTERS}(?:[^\p{{L}}\p{{N}}_\s]{_MARK}{_LETTERS})*'),
+        lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]')), lambda t: regexp_replace(replace(t, '{_MARK}', ''), '[''’＇]s$', ''))"""
+
 ORACLES: dict[str, str] = {
     "load_sparse": f"SELECT doc_id::VARCHAR AS id, array_to_string({PLAIN.format('text')}, ' ') AS contents FROM documents",
     "load_dense": """SELECT vec_id::VARCHAR AS id, len(embedding) AS dim,
@@ -185,6 +256,13 @@ ORACLES: dict[str, str] = {
     "stopwords": f"""WITH kept AS (SELECT doc_id::VARCHAR AS id,
         list_filter({PLAIN.format('text')}, lambda t: NOT list_contains({STOP}, t)) AS tokens FROM documents)
         SELECT id, len(tokens) AS kept, array_to_string(tokens, ' ') AS contents FROM kept""",
+    "porter_stem": f"""WITH words AS (SELECT DISTINCT unnest({PLAIN.format('text')}) AS word FROM documents), {stems('words')}
+        SELECT word, stem FROM stems""",
+    "tokenize_english": f"""WITH {DOCS}, cut AS (SELECT id, list_filter({ENGLISH}, lambda t: NOT list_contains({STOP}, t)) AS tokens FROM docs),
+        places AS (SELECT id, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS place FROM cut),
+        words AS (SELECT DISTINCT word FROM places), {stems('words')},
+        joined AS (SELECT id, string_agg(stem, ' ' ORDER BY place) AS contents FROM places JOIN stems USING (word) GROUP BY id)
+        SELECT d.id, coalesce(j.contents, '') AS contents FROM docs d LEFT JOIN joined j USING (id)""",
     "clean_query": rf"""WITH {TURNS} SELECT id, array_to_string(
         regexp_extract_all(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\S+'), ' | ') AS cleaned FROM turns""",
     "natural_order": r"""WITH ids AS (SELECT source || '-' || doc_id AS qid FROM documents),

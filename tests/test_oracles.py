@@ -15,7 +15,7 @@ def con(sf_dir):
 
 def test_every_statement_belongs_to_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"porter_stem", "tokenize_english"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -27,10 +27,5 @@ def test_query_equals_sql(spark, con, sf_dir, name):
     assert rows
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_has_rows(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
-
-
 def test_entry(spark):
     assert entry.entry(spark).columns == ["qid", "id", "score", "rank"]
