@@ -440,11 +440,11 @@ def q_judgements(spark, sf):
 
 
 def q_ndcg_at_10(spark, sf):
-    return ndcg(_sparse_run(spark, sf), _judgements(spark, sf)).select("qid", F.round("ndcg", 6).alias("ndcg"))
+    return ndcg(_sparse_run(spark, sf), checkpoint(_judgements(spark, sf))).select("qid", F.round("ndcg", 6).alias("ndcg"))
 
 
 def q_ndcg_mean(spark, sf):
-    means = mean_ndcg(_sparse_run(spark, sf), _judgements(spark, sf))
+    means = mean_ndcg(_sparse_run(spark, sf), checkpoint(_judgements(spark, sf)))
     return means.select("queries", F.round("ndcg", 6).alias("ndcg"))
 
 
@@ -456,7 +456,7 @@ def q_ndcg_by_group(spark, sf):
     good = labels.select(F.col("doc_id").cast("string").alias("id"), "quality")
     judged = _judgements(spark, sf, "lang").join(good, "id", "left")
     qrels = judged.select("lang", "qid", "id", (F.col("rel") + F.coalesce("quality", F.lit(0))).alias("rel"))
-    means = mean_ndcg(run, qrels, by=("lang",))
+    means = mean_ndcg(run, checkpoint(qrels), by=("lang",))
     return means.select("lang", "queries", F.round("ndcg", 6).alias("ndcg"))
 
 

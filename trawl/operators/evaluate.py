@@ -50,7 +50,7 @@ def _first(df: DataFrame, cut: int, keys: list[str], *order: Column) -> DataFram
 
 
 def ndcg(run: DataFrame, qrels: DataFrame, cut: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
-    """``(by, qid, ndcg)`` of every judged query, 0 for one without hits.
+    """``(by, qid, ndcg)`` of every judged query, 0 for one without hits; reads ``qrels`` three times.
 
     As trec_eval does, hits are put in order again by score at single precision, ties by document
     id descending as text; the ranks of the run are not used. Gain is the judgement, not below 0.
