@@ -6,7 +6,7 @@ from test_packing import check
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from trawl.llm.crf import languages
+from trawl.llm.crf import LEAST_SCORE, languages
 from trawl.llm.queries import PACKING_TOKENIZER
 
 
@@ -16,7 +16,7 @@ def test_stages():
 
 def test_run_equals_the_steps_by_hand(spark, sf_dir, texts):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    clear = {r.doc_id for r in languages(docs).collect() if r.lang_pred != "und" and r.score >= 0.5}
+    clear = {r.doc_id for r in languages(docs).collect() if r.lang_pred != "und" and r.score >= LEAST_SCORE}
     last = {}
     for doc_id in sorted(clear):
         last[texts[doc_id]] = doc_id

@@ -1,8 +1,8 @@
 """Language of whole texts by a linear-chain conditional random field over their words.
 
 Each word is a position of the chain, each language a label. A word's score for a language is the
-sum of weights of its features: the word itself, affixes, character n-grams (hashed), and the shares of
-the languages in a lexicon. Learned transitions tie neighbouring words together. The labels of the
+sum of weights of its features: the word itself, affixes, n-grams (hashed), and the shares of the
+languages in a lexicon. Learned transitions tie neighbouring words together. The labels of the
 words, and so of code-switched text, are their marginals by forward-backward; the language of a
 text is the label with the largest mean marginal.
 
@@ -13,7 +13,6 @@ language, ``MAX_LANGUAGES`` languages); every row and every word of the table is
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.tables import whole_text
+from trawl.llm.tables import map_texts, whole_text, worker_memo
 
 #: Labelled rows per language that the field is fitted to, and languages at most (the most frequent).
 SAMPLE_ROWS = 120
@@ -37,8 +36,10 @@ EPOCHS = 3
 BATCH = 64
 RATE = 0.3
 UNKNOWN = "und"
+#: Texts whose best language scores less are rejected.
+LEAST_SCORE = 0.3
 #: Words a Python worker remembers with their scores; texts and words it works on at a time.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 CHUNK_WORDS = 300_000
 #: Punctuation, digits and symbols at both ends of a word are not part of it.
 MAX_WORD = 40
@@ -60,16 +61,46 @@ def bare(token: str) -> str:
     return token[start:end].lower()
 
 
-def feature_buckets(word: str) -> list[int]:
-    """Hashed affixes, n-grams and the word itself."""
-    word = word[:MAX_WORD] if len(word) <= MAX_WORD else word[:MAX_WORD // 2] + word[-MAX_WORD // 2:]
-    marked = f"<{word}>"
-    names = [f"w{word}"]
-    names += [f"p{word[:n]}" for n in (1, 2, 3, 4) if len(word) > n]
-    names += [f"s{word[-n:]}" for n in (1, 2, 3, 4) if len(word) > n]
-    names += [marked[i:i + 2] for i in range(len(marked) - 1)]
-    names += [marked[i:i + 3] for i in range(len(marked) - 2)]
-    return [zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS for name in names]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of the features of all words, one word after the other, and their numbers.
+
+    A word's features are itself, its first and last one to four bytes, and all pairs and triples of
+    neighbouring bytes, the ends being marked. Of a very long word only both ends are read.
+    """
+    half = MAX_WORD // 2
+    raw = [(w if len(w) <= MAX_WORD else w[:half] + w[-half:]).encode("utf-8", "surrogatepass") for w in words]
+    sizes = np.array([len(r) + 2 for r in raw], np.int64)
+    data = np.frombuffer(b"".join(b"<" + r + b">" for r in raw), np.uint8).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(data)) - starts[owner]
+    left = sizes[owner] - place
+    ahead = [np.concatenate([data[step:], np.zeros(step, np.uint64)]) for step in range(4)]
+    owners, codes = [], []
+
+    def add(kind: int, who: np.ndarray, code: np.ndarray) -> None:
+        owners.append(who)
+        codes.append(code * np.uint64(16) + np.uint64(kind))
+
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(sizes.max()) + 1, 0x100000001B3, np.uint64))
+        add(0, np.arange(len(words)), np.add.reduceat(data * powers[place], starts))
+        pair = data * np.uint64(256) + ahead[1]
+        add(1, owner[left >= 2], pair[left >= 2])
+        triple = pair * np.uint64(256) + ahead[2]
+        add(2, owner[left >= 3], triple[left >= 3])
+        code = np.zeros(len(data), np.uint64)
+        for n in range(1, 5):
+            code = code * np.uint64(256) + ahead[n - 1]
+            long = np.flatnonzero(sizes - 2 > n)
+            add(2 * n + 1, long, code[starts[long] + 1])
+            add(2 * n + 2, long, code[starts[long] + sizes[long] - 1 - n])
+        who, code = np.concatenate(owners), np.concatenate(codes)
+        code = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        code = (code ^ (code >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    buckets = ((code >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int64)
+    order = np.argsort(who, kind="stable")
+    return buckets[order], np.bincount(who, minlength=len(words))
 
 
 @dataclass
@@ -89,9 +120,7 @@ class Field:
         """Scores of each word for each language."""
         if not words:
             return np.zeros((0, len(self.languages)))
-        buckets = [feature_buckets(word) for word in words]
-        sizes = np.array([len(b) for b in buckets])
-        flat = np.fromiter((b for own in buckets for b in own), np.int64, int(sizes.sum()))
+        flat, sizes = features(words)
         sums = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None]
         known = np.fromiter((self.lexicon.get(word, 0) for word in words), np.int64, len(words))
         return sums + self.shares[known] @ self.shares_weight
@@ -157,9 +186,9 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Field:
 
     vocabulary = sorted(counts)
     place = {word: i for i, word in enumerate(vocabulary)}
-    buckets = [np.array(feature_buckets(word)) for word in vocabulary]
+    flat, sizes = features(vocabulary)
+    buckets = np.split(flat, np.cumsum(sizes)[:-1])
     known = np.array([model.lexicon.get(word, 0) for word in vocabulary])
-    # An own lexicon entry would give a training word's label away: its share counts without itself.
     random = np.random.default_rng(seed)
     chains = _chains(runs, place, random)
     squares = [np.full_like(a, 1e-6) for a in (model.weights, model.shares_weight, model.start, model.transitions)]
@@ -228,34 +257,39 @@ def _step(model: Field, chains, buckets, known, squares) -> None:
         value += RATE * change / np.sqrt(square)
 
 
-#: Scores of words seen by this Python worker: the field's name, the place of each token, the scores.
-_memo: dict = {"name": None}
+class _Seen:
+    """Scores of the words a Python worker has seen: the place of each token and word, the scores."""
+
+    def __init__(self, languages: int):
+        self.place: dict[str, int] = {}
+        self.words = {"": 0}
+        self.table = np.zeros((1 << 12, languages), np.float32)
+        self.used = 1
 
 
 def _scored(model: Field, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Place of each token in the table of scores, 0 for a token without a letter, and the table."""
-    if _memo["name"] != model.name or len(_memo["place"]) > MEMO_WORDS:
-        table = np.zeros((1 << 12, len(model.languages)), np.float32)
-        _memo.update(name=model.name, place={}, words={"": 0}, table=table, used=1)
-    place = _memo["place"]
-    places = list(map(place.get, tokens))
+    seen = worker_memo(("crf", model.name), lambda: _Seen(len(model.languages)))
+    if len(seen.place) > MEMO_WORDS:
+        seen.__init__(len(model.languages))
+    places = list(map(seen.place.get, tokens))
     unknown = [i for i, found in enumerate(places) if found is None]
     if unknown:
-        words, new = _memo["words"], {}
+        new = {}
         for token in {tokens[i] for i in unknown}:
             word = bare(token)
-            row = words.get(word)
+            row = seen.words.get(word)
             if row is None:
-                row = words[word] = _memo["used"] + len(new)
+                row = seen.words[word] = seen.used + len(new)
                 new[word] = row
-            place[token] = row
-        while _memo["used"] + len(new) > len(_memo["table"]):
-            _memo["table"] = np.concatenate([_memo["table"], np.zeros_like(_memo["table"])])
-        _memo["table"][_memo["used"]:_memo["used"] + len(new)] = model.scores(list(new))
-        _memo["used"] += len(new)
+            seen.place[token] = row
+        while seen.used + len(new) > len(seen.table):
+            seen.table = np.concatenate([seen.table, np.zeros_like(seen.table)])
+        seen.table[seen.used:seen.used + len(new)] = model.scores(list(new))
+        seen.used += len(new)
         for i in unknown:
-            places[i] = place[tokens[i]]
-    return np.array(places, np.int64), _memo["table"]
+            places[i] = seen.place[tokens[i]]
+    return np.array(places, np.int64), seen.table
 
 
 def label_texts(model: Field, texts: list[str]) -> list[tuple[str, float]]:
@@ -343,7 +377,7 @@ def languages(
                 [*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 names=[*names, "lang_pred", "score"])
 
-    return named.mapInArrow(label, schema)
+    return map_texts(named, label, schema)
 
 
 def _chunks(texts: pa.Array) -> Iterator[list[str]]:
@@ -358,8 +392,11 @@ def _chunks(texts: pa.Array) -> Iterator[list[str]]:
         yield chunk
 
 
-def drop_unclear(docs: DataFrame, least: float = 0.5, **columns: str) -> DataFrame:
-    """Rows whose text has a language with at least this score; all columns unchanged."""
+def drop_unclear(docs: DataFrame, least: float = LEAST_SCORE, **columns: str) -> DataFrame:
+    """Rows whose text has a language with at least this score; all columns unchanged.
+
+    Texts in two or three languages stay; what goes has no letters, or no language for a third of its words.
+    """
     record = docs.select("*", F.struct(F.col("*")).alias("_whole"))
     found = languages(record, keep=["_whole"], **columns)
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("kept._whole.*")

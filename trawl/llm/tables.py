@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.session import scratch_dir
 
+#: Texts go to Python in batches of about this many bytes, which bounds the buffers on both sides.
+BATCH_BYTES = 4 * 1024 * 1024
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Name of the column that carries a whole input row through an operator, so that no column the
 #: operator adds can clash with a column of the input.
 RECORD = "record"
@@ -25,6 +30,35 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def digest_of(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def same_text(left: str = "doc_id", right: str = "lost_id") -> Column:
+    """Join condition: the same id, null equal to null, and the same text."""
+    return F.col(left).eqNullSafe(F.col(right)) & (F.col("digest") == F.col("lost_digest"))
+
+
+def keep_one(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``keyed (doc_id, digest, kept)`` keeps, each once, all columns unchanged.
+
+    ``kept`` is one value for rows with equal id and text. The texts are read again rather than
+    copied; they are shuffled only when the table of lost rows is too large for Catalyst to broadcast.
+    """
+    each = stored(keyed.groupBy("doc_id", "digest", "kept").agg(F.count("*").alias("n")))
+    pairs = each.select(F.col("doc_id").alias("lost_id"), F.col("digest").alias("lost_digest"), "kept", "n")
+    lost = stored(pairs.filter("NOT kept").drop("kept", "n"))
+    repeated = stored(pairs.filter("kept AND n > 1").drop("kept", "n"))
+    marked = docs.select(
+        F.col(id_col).alias("doc_id"), digest_of(whole_text(text_col)).alias("digest"), F.struct(F.col("*")).alias(RECORD))
+    left = marked.join(lost, same_text(), "left_anti")
+    if not repeated.isEmpty():
+        one = Window.partitionBy("doc_id", "digest").orderBy(F.lit(0))
+        first = left.join(repeated, same_text(), "left_semi").withColumn("turn", F.row_number().over(one)).filter("turn = 1")
+        left = left.join(repeated, same_text(), "left_anti").unionByName(first.drop("turn"))
+    return left.select(f"{RECORD}.*")
+
+
 def constant_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of constants of bounded number, as a literal of the plan."""
     names = [field.split()[0] for field in _fields(schema)]
@@ -52,3 +86,25 @@ def _typed(field: str) -> str:
 def whole_text(column: str) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def map_texts(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size; the session's own bound stays if it is smaller."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_CONF).removesuffix("b")) > BATCH_BYTES:
+        conf.set(BATCH_CONF, BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
+_memo: dict = {"name": None, "value": None}
+
+
+def worker_memo(name: object, make: Callable[[], object]) -> object:
+    """What this Python worker remembers from task to task, for one user at a time.
+
+    Workers serve many stages; another ``name`` drops what the one before has gathered.
+    """
+    if _memo["name"] != name:
+        _memo.update(name=None, value=None)
+        _memo.update(name=name, value=make())
+    return _memo["value"]
