@@ -121,8 +121,8 @@ def test_a_large_group_without_all_its_pairs(spark, monkeypatch):
     texts += [texts[0]] * 60 + ["same short text"] * 30
     rows = list(enumerate(texts))
     seen = []
-    similar = dart_minhash._similar
-    monkeypatch.setattr(dart_minhash, "_similar", lambda p, s, x: (seen.append(p.count()), similar(p, s, x))[1])
+    compared = dart_minhash._compared
+    monkeypatch.setattr(dart_minhash, "_compared", lambda p, s, x: (seen.append(p.count()), compared(p, s, x))[1])
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == by_hand(rows)
     assert sum(seen) < 3000  # 11,000 pairs within the large group alone
 
@@ -136,3 +136,20 @@ def test_chains_hold_together(spark):
         texts.append(" ".join(words))
     rows = list(enumerate(texts))
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == by_hand(rows)
+
+
+def test_a_family_around_the_threshold_loses_no_link(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(170)]
+    texts = []
+    for _ in range(160):
+        words = list(base)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(170)] = f"x{rng.randrange(400)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    seen = []
+    compared = dart_minhash._compared
+    monkeypatch.setattr(dart_minhash, "_compared", lambda p, s, x: (seen.append(p.count()), compared(p, s, x))[1])
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == by_hand(rows)
+    assert sum(seen) < 160 * 159 / 2 / 3

@@ -136,3 +136,12 @@ def test_run_round_trip(spark, tmp_path):
 def test_qrels(spark, tmp_path):
     (tmp_path / "qrels").write_text("q1 0 d1 2\nq1\t0\td2\t0\n")
     assert sorted(trec.read_qrels(spark, str(tmp_path / "qrels")).collect()) == [("q1", "d1", 2), ("q1", "d2", 0)]
+
+
+def test_an_append_of_known_ids_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one = spark.createDataFrame([("1", "a")], "id string, contents string")
+    corpus.write_table(one, path)
+    with pytest.raises(ValueError, match="duplicate id"):
+        corpus.write_table(one, path, append=True)
+    assert spark.read.parquet(path).count() == 1

@@ -33,10 +33,13 @@ def judge_by_runs(docs: DataFrame, topics: DataFrame, length: int = 8, by: tuple
     gathers nowhere; else the runs of the documents are shuffled, and a run is no key of a group but
     of a join that Spark can split.
     """
-    wanted = topics.select("qid", F.explode(word_runs(plain_tokens(F.col("contents")), length)).alias("run"))
+    # The words are a column of their own: within the runs they would be cut out again for each.
+    topics = topics.select("qid", plain_tokens(F.col("contents")).alias("words"))
+    docs = docs.select(*by, "id", plain_tokens(F.col("contents")).alias("words"))
+    wanted = topics.select("qid", F.explode(word_runs(F.col("words"), length)).alias("run"))
     _, size = measure(wanted)
     wanted = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
-    held = docs.select(*by, "id", F.explode(word_runs(plain_tokens(F.col("contents")), length)).alias("run"))
+    held = docs.select(*by, "id", F.explode(word_runs(F.col("words"), length)).alias("run"))
     return held.join(wanted, "run").select(*by, "qid", "id", F.lit(1).alias("rel")).distinct()
 
 

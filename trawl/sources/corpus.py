@@ -26,9 +26,9 @@ def table_name(name: str) -> str:
     return name.replace("-", "_")
 
 
-def files_matching(spark: SparkSession, path: str, glob: str) -> list[str]:
-    """Files of a folder (not of its subfolders), or the file itself, whose name matches."""
-    return spark.read.option("pathGlobFilter", glob).text(path).inputFiles()
+def has_files(spark: SparkSession, path: str, glob: str) -> bool:
+    """Whether a folder (not its subfolders) holds a file, or the path is one, whose name matches."""
+    return not spark.read.option("pathGlobFilter", glob).format("binaryFile").load(path).select("path").isEmpty()
 
 
 def _lines(spark: SparkSession, path: str, glob: str, skip: str | None = None) -> DataFrame:
@@ -139,11 +139,11 @@ def read_table(
         raise ValueError(f"unknown kind: {kind}")
     tables: list[DataFrame] = []
     for one in [path] if isinstance(path, str) else path:
-        parquet = [one] if one.endswith(".parquet") else files_matching(spark, one, "*.parquet")
+        parquet = one.endswith(".parquet") or has_files(spark, one, "*.parquet")
         if parquet and kind == SPARSE:
             raise ValueError(f"parquet holds embeddings only: {one}")
         if parquet:
-            tables.append(load_dense(spark.read.parquet(*parquet), dim))
+            tables.append(load_dense(spark.read.option("pathGlobFilter", "*.parquet").parquet(one), dim))
         if one.endswith(".parquet"):
             continue
         reader = spark.read.option("pathGlobFilter", "*.jsonl").option("mode", "FAILFAST")
@@ -159,8 +159,14 @@ def read_table(
 
 
 def write_table(df: DataFrame, path: str, append: bool = False) -> None:
-    """Create, replace or extend a stored sparse or dense table; a dense one stores the norms too."""
+    """Create, replace or extend a stored sparse or dense table; a dense one stores the norms too.
+
+    An id that an append would bring twice is an error, and nothing is written.
+    """
     columns = ["id", "contents"] if kind_of(df) == SPARSE else ["id", "embedding", norm(F.col("embedding")).alias("norm")]
+    if append:
+        known = df.sparkSession.read.parquet(path).select("id")
+        require_unique(df.select("id").unionByName(known))
     df.select(*columns).write.mode("append" if append else "overwrite").parquet(path)
 
 
