@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.tables import constant_table, stored
+from trawl.llm.tables import constant_table, let_workers_import, stored
 
 #: Vectors at most that the graph and the classifier are fitted to.
 SAMPLE_ROWS = 8192
@@ -218,6 +218,7 @@ def nearest(
     hold fewer than ``k`` candidates visits all parts.
     """
     spark = vectors.sparkSession
+    let_workers_import(spark)
     usable = _usable(vectors, id_col, vector_col)
     total = usable.count()
     rate = min(1.0, 1.2 * SAMPLE_ROWS / max(1, total))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -88,8 +89,22 @@ def whole_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver did, unless they have it anyway.
+
+    Functions so travel by name, and what a worker remembers outlives a task. On a cluster the
+    package is installed or sent along; a folder that is not there does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def map_texts(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` in batches of bounded size; the session's own bound stays if it is smaller."""
+    let_workers_import(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get(BATCH_CONF).removesuffix("b")) > BATCH_BYTES:
         conf.set(BATCH_CONF, BATCH_BYTES)
