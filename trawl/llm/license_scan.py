@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.tables import whole_text
+from trawl.llm.tables import map_texts, whole_text
 
 #: Phrases whose every place counts, and their labels.
 PHRASES = {
@@ -62,9 +62,11 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Templates as words, postings of their rare words, IDF of all their words."""
+    """Templates as words, postings of their rare words, IDF of all their words and of the rare ones together."""
 
     templates: list[tuple[str, list[bytes], list[list[bytes]]]]
+    whole_idf: list[float]
+    rare_idf: list[float]
     phrases: list[tuple[str, list[bytes]]]
     idf: dict[bytes, float]
     postings: dict[bytes, list[tuple[int, int]]]
@@ -82,8 +84,10 @@ def build_index(frequencies: dict[str, int], documents: int, templates=TEMPLATES
         for word in vocabulary(templates, phrases)}
     parsed = [(label, words_of(text), [words_of(key) for key in keys]) for label, text, keys in templates]
     postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+    rare_idf = []
     for number, (_, words, _) in enumerate(parsed):
         rare = sorted(set(words), key=lambda w: (-idf[w], w))[:RARE_WORDS]
+        rare_idf.append(sum(idf[word] for word in words if word in rare))
         for place, word in enumerate(words):
             if word in rare:
                 postings[word].append((number, place))
@@ -92,7 +96,8 @@ def build_index(frequencies: dict[str, int], documents: int, templates=TEMPLATES
     for number, (_, words) in enumerate(fixed):
         place = min(range(len(words)), key=lambda i: (-idf[words[i]], i))
         anchors[words[place]].append((number, place))
-    return Index(parsed, fixed, idf, dict(postings), dict(anchors))
+    whole_idf = [sum(idf[word] for word in words) for _, words, _ in parsed]
+    return Index(parsed, whole_idf, rare_idf, fixed, idf, dict(postings), dict(anchors))
 
 
 def _has(words: list[bytes], phrase: list[bytes], start: int, end: int) -> bool:
@@ -117,13 +122,11 @@ def scan(index: Index, words: list[bytes]) -> tuple[list[int], set[str], set[str
         for number, place in index.postings.get(word, ()):
             votes[number, at - place] += index.idf[word]
     for (number, start), found in votes.items():
-        label, template, keys = index.templates[number]
-        total = sum(index.idf[w] for w in template)
-        rare = sum(index.idf[w] for w in template if (w in index.postings and any(n == number for n, _ in index.postings[w])))
-        if found < COVERAGE * rare:
+        if found < COVERAGE * index.rare_idf[number]:
             continue
+        label, template, keys = index.templates[number]
         inside = [(w, i) for i, w in enumerate(template, start) if 0 <= i < len(words)]
-        covered = sum(index.idf[w] for w, i in inside if words[i] == w) / total
+        covered = sum(index.idf[w] for w, i in inside if words[i] == w) / index.whole_idf[number]
         end = start + len(template)
         if covered >= COVERAGE and all(_has(words, key, start - 2, end + 2) for key in keys):
             labels.add(label)
@@ -151,7 +154,7 @@ def _distinct_terms(terms: frozenset[bytes]):
 def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[dict[str, int], int]:
     """In how many rows each term stands, and the number of rows; a task sends one row per term at most."""
     wanted = frozenset(term.encode() for term in terms)
-    counted = docs.select(whole_text(text_col).alias("text")).mapInArrow(_distinct_terms(wanted), "term string, n long")
+    counted = map_texts(docs.select(whole_text(text_col).alias("text")), _distinct_terms(wanted), "term string, n long")
     totals = {r.term: r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return totals, totals.pop(None, 0)
 
@@ -183,6 +186,6 @@ def licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, id_col: str
                 [batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds))],
                 names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "starts"])
 
-    return named.mapInArrow(
-        label, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, "
+    return map_texts(
+        named, label, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, "
                "labels string, score double, starts array<long>")
