@@ -79,6 +79,14 @@ def op10_bounded_ring(spark, sf):
 QUERIES = {name: query for name, query in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 ORACLES = {
+    "op1_warc_packages": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        firsts AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha256(payload) AS payload_digest,
+            min(page_id) OVER (PARTITION BY payload) AS first FROM payloads),
+        marked AS (SELECT *, payload_bytes >= 100 AND page_id IS DISTINCT FROM first AS again FROM firsts)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN again THEN first END AS refers_to FROM marked
+    """,
     "op7_exact_copies": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
