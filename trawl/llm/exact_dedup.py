@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.tables import RECORD, stored, whole_text
+from trawl.llm.tables import digest_of, keep_one, stored, whole_text
 
 #: Counters of the summary: a digest with more than 3.5 / COUNTERS of all rows cannot be missed.
 COUNTERS = 2048
@@ -19,14 +19,12 @@ COUNTERS = 2048
 HEAVY = 600
 
 
-def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", record: bool = False) -> DataFrame:
-    """``doc_id, digest, row`` of every row, written once; ``record`` adds the whole input row."""
-    extra = [F.struct(F.col("*")).alias(RECORD)] if record else []
+def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, digest, row`` of every row, written once."""
     return stored(docs.select(
         F.col(id_col).alias("doc_id"),
-        F.sha2(whole_text(text_col), 256).alias("digest"),
+        digest_of(whole_text(text_col)).alias("digest"),
         F.monotonically_increasing_id().alias("row"),
-        *extra,
     ))
 
 
@@ -77,6 +75,6 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_classes`` keeps, all their columns unchanged."""
-    keyed = keyed_texts(docs, id_col, text_col, record=True)
-    lost = stored(resolve(keyed).filter("row != keep_row").select("row"))
-    return keyed.join(lost, "row", "left_anti").select(f"{RECORD}.*")
+    found = resolve(keyed_texts(docs, id_col, text_col))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return keep_one(docs, found.select("doc_id", "digest", kept.alias("kept")), id_col, text_col)

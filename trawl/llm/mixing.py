@@ -17,7 +17,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.tables import RECORD, constant_table, stored, whole_text
+from trawl.llm.tables import RECORD, constant_table, digest_of, same_text, stored, whole_text
 from trawl.session import shuffle_partitions
 
 BLOCK_BYTES = 16 * 1024
@@ -120,14 +120,6 @@ def schedule(rows: DataFrame, shares: dict[str, int], default_share: int = 1, bl
         slot.cast("long").alias("slot"))
 
 
-def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, record: bool = False) -> DataFrame:
-    extra = [F.struct(F.col("*")).alias(RECORD)] if record else []
-    return stored(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        F.octet_length(whole_text(text_col)).cast("long").alias("size"),
-        F.monotonically_increasing_id().alias("row"), *extra))
-
-
 def mix(
     docs: DataFrame, shares: dict[str, int], default_share: int = 1, block: int = BLOCK_BYTES,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
@@ -137,18 +129,36 @@ def mix(
     The mix is the order by ``slot, before, doc_id``. A null or unlisted source belongs to stream
     ``*``; a null text has size 0; rows without an id are ordered by their place in the table.
     """
-    return schedule(_sized(docs, id_col, source_col, text_col), shares, default_share, block).drop("row")
+    sized = stored(docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        F.octet_length(whole_text(text_col)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row")))
+    return schedule(sized, shares, default_share, block).drop("row")
 
 
 def mixed(
     docs: DataFrame, shares: dict[str, int], default_share: int = 1, block: int = BLOCK_BYTES,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
-    """All rows of ``docs`` in the order of the mix: partition by partition, and sorted in each."""
-    sized = _sized(docs, id_col, source_col, text_col, record=True)
-    slots = stored(schedule(sized.drop(RECORD), shares, default_share, block).select("row", "slot", "before"))
+    """All rows of ``docs`` in the order of the mix: partition by partition, and sorted in each.
+
+    Rows with the same id, source and text are one unit of the mix and stay together. The schedule
+    is made of ids and sizes alone; the texts travel twice, to their slots and into their order.
+    """
+    text = whole_text(text_col)
+    keyed = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), digest_of(text).alias("digest"),
+        F.octet_length(text).cast("long").alias("size"))
+    units = stored(keyed.groupBy("doc_id", "source", "digest").agg(F.sum("size").alias("size")).withColumn(
+        "row", F.monotonically_increasing_id()))
+    placed = schedule(units.drop("digest"), shares, default_share, block).select("row", "slot", "before")
+    slots = stored(placed.join(units.select(
+        "row", F.col("doc_id").alias("lost_id"), F.col("source").alias("unit_source"), F.col("digest").alias("lost_digest")), "row"))
     parts = shuffle_partitions(docs.sparkSession)
     end = (slots.agg(F.max("slot")).first()[0] or 0) + 1
     part = F.floor(F.col("slot") * F.lit(parts) / F.lit(end)).cast("int")
-    together = sized.select("row", RECORD).join(slots, "row").repartitionById(parts, part)
-    return together.sortWithinPartitions("slot", "before", "row").select(f"{RECORD}.*")
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), digest_of(text).alias("digest"),
+        F.struct(F.col("*")).alias(RECORD))
+    together = rows.join(slots, same_text() & F.col("source").eqNullSafe(F.col("unit_source")))
+    ordered = together.repartitionById(parts, part).sortWithinPartitions("slot", "before", "row")
+    return ordered.select(f"{RECORD}.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.tables import stored, whole_text
+from trawl.llm.tables import let_workers_import, map_texts, stored, whole_text, worker_memo
 
 WINDOW = 2048
 #: Closes every document.
@@ -29,9 +29,6 @@ BUCKET_PIECES = 4096
 MEMO_WORDS = 1_000_000
 CHUNK_CHARS = 500_000
 
-_memos: dict[str, WordIds] = {}
-
-
 class OpenWindows:
     """Open windows by remaining capacity: a segment tree whose nodes tell whether any lies below."""
 
@@ -166,15 +163,6 @@ class WordIds:
         return found
 
 
-def _word_ids(text: str) -> WordIds:
-    """The memo of this Python worker."""
-    key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = WordIds(text)
-    return _memos[key]
-
-
 def _chunks(texts: pa.Array) -> Iterator[list[str]]:
     chunk, chars = [], 0
     for text in texts:
@@ -197,12 +185,13 @@ def cut(
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
+    version = hashlib.sha256(shared.value.encode()).hexdigest()
     end = np.array([END_ID], "<u4").tobytes()
     schema = "doc_id {}, start long, length long, doc_tokens long, ids binary"
     kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_ids(shared.value)
+        words = worker_memo(("packing", version), lambda: WordIds(shared.value))
         for batch in batches:
             at = 0
             for texts in _chunks(batch.column("text")):
@@ -224,7 +213,7 @@ def cut(
                     names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     named = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    return named.mapInArrow(pieces, schema.format(kind))
+    return map_texts(named, pieces, schema.format(kind))
 
 
 def place(pieces: DataFrame, window: int = WINDOW, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
@@ -233,6 +222,7 @@ def place(pieces: DataFrame, window: int = WINDOW, bucket_pieces: int = BUCKET_P
     Every row gets its place, whatever the number of rows; offsets of a sequence have no gaps. Of
     equal lengths the smaller id comes first. Sequence ids are unique, not consecutive.
     """
+    let_workers_import(pieces.sparkSession)
     pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()))
     buckets = max(1, -(-pieces.count() // bucket_pieces))
     bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))

@@ -78,7 +78,66 @@ def op10_bounded_ring(spark, sf):
 
 QUERIES = {name: query for name, query in globals().items() if name.startswith("op") and name[2].isdigit()}
 
+_SHARES = ", ".join(f"('{name}', {share})" for name, share in {**SHARES, "*": DEFAULT_SHARE}.items())
+
+#: The schedule slot by slot: of the released blocks that with the earliest deadline goes next.
+_MIX = f"""
+        WITH RECURSIVE shares(stream, share) AS (VALUES {_SHARES}),
+        sized AS (SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGINT AS size, md5(doc_id::VARCHAR) AS key,
+            CASE WHEN source IN (SELECT stream FROM shares) THEN source ELSE '*' END AS stream FROM documents),
+        placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY stream ORDER BY key, doc_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM sized),
+        blocks AS (SELECT stream, share::BIGINT AS share, greatest(1, ceil(sum(size) / 16384))::BIGINT AS n
+            FROM placed JOIN shares USING (stream) GROUP BY stream, share),
+        run AS (SELECT 0::BIGINT AS t, 0::BIGINT AS u, 0 AS phase, NULL::VARCHAR AS stream, NULL::BIGINT AS block, NULL::INT AS in_phase,
+                list({{'stream': stream, 'share': share, 'unused': n, 'k': 0::BIGINT, 'done': 0::BIGINT}}) AS s FROM blocks
+            UNION ALL SELECT t + 1, CASE WHEN mine.unused = 1 THEN 0 ELSE u + 1 END, phase + (mine.unused = 1)::INT, mine.stream, mine.done, phase,
+                list_transform(s, lambda x: {{'stream': x.stream, 'share': x.share, 'unused': x.unused - (x.stream = mine.stream)::BIGINT,
+                    'k': CASE WHEN mine.unused = 1 THEN 0 ELSE x.k + (x.stream = mine.stream)::BIGINT END,
+                    'done': x.done + (x.stream = mine.stream)::BIGINT}})
+            FROM (SELECT *, list_filter(s, lambda x: x.stream = next)[1] AS mine FROM (SELECT *, list_sort(list_transform(
+                    list_filter(s, lambda x: x.unused > 0 AND x.k * period // x.share <= u),
+                    lambda x: {{'due': ((x.k + 1) * period + x.share - 1) // x.share, 'stream': x.stream}}))[1].stream AS next
+                FROM (SELECT *, list_sum(list_transform(list_filter(s, lambda x: x.unused > 0), lambda x: x.share))::BIGINT AS period
+                    FROM run) WHERE period IS NOT NULL))),
+        slots AS (SELECT stream, block, in_phase AS phase, t - 1 AS slot FROM run WHERE stream IS NOT NULL)
+        SELECT p.doc_id, p.source, p.size, p.stream, p.before, s.block, s.phase, s.slot FROM placed p JOIN blocks b USING (stream)
+        JOIN slots s ON s.stream = p.stream AND s.block = least(p.before // 16384, b.n - 1)
+    """
+
+#: The walk around the ring cell by cell and node by node; CRC-32 byte by byte.
+_RING = """
+        WITH RECURSIVE bits AS (SELECT range AS byte, 0 AS step, range AS crc FROM range(256)
+            UNION ALL SELECT byte, step + 1, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END FROM bits WHERE step < 8),
+        crc_table AS (SELECT list(crc ORDER BY byte) AS crcs FROM bits WHERE step = 8),
+        hashed AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, ('0x' || md5(doc_id::VARCHAR)[1:15])::BIGINT AS hash FROM documents),
+        summed AS (SELECT doc_id, hash, octet_length(raw)::BIGINT + 1 AS size, xor(4294967295, list_reduce(list_transform(
+                regexp_extract_all(hex(raw), '..'), lambda pair: ('0x' || pair)::BIGINT),
+                lambda crc, byte: xor(crc >> 8, crcs[(xor(crc, byte) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32
+            FROM hashed, crc_table),
+        keyed AS (SELECT *, hash >> 48 AS place, row_number() OVER (PARTITION BY hash >> 48 ORDER BY hash, doc_id) - 1 AS nth FROM summed),
+        nodes AS (SELECT ('0x' || md5(shard || '/' || twin)[1:8])::BIGINT % 4096 AS place, shard
+            FROM range(16) shards(shard), range(64) twins(twin)),
+        cells AS (SELECT place, n, (SELECT count(*) FROM nodes WHERE nodes.place < filled.place) AS node
+            FROM (SELECT place, count(*) AS n FROM keyed GROUP BY place) filled),
+        fixed AS (SELECT (SELECT list(shard ORDER BY place, shard) FROM nodes) AS owners, (SELECT count(*) FROM keyed) AS total,
+            (SELECT list({'place': place, 'n': n, 'node': node} ORDER BY place) FROM cells) AS every),
+        run AS (SELECT 1::BIGINT AS i, every[1].n AS unplaced, every[1].node AS node, 0::BIGINT AS lo,
+                list_transform(range(16), lambda x: 0::BIGINT) AS filled,
+                NULL::BIGINT AS place, NULL::BIGINT AS shard, NULL::BIGINT AS from_nth, NULL::BIGINT AS first, 0::BIGINT AS taken FROM fixed
+            UNION ALL SELECT CASE WHEN unplaced > took THEN i ELSE i + 1 END, CASE WHEN unplaced > took THEN unplaced - took ELSE every[i + 1].n END,
+                CASE WHEN unplaced > took THEN node + 1 ELSE every[i + 1].node END, CASE WHEN unplaced > took THEN lo + took ELSE 0 END,
+                list_transform(filled, lambda x, j: x + CASE WHEN j = owner + 1 THEN took ELSE 0 END),
+                every[i].place, owner, lo, filled[owner + 1], took
+            FROM (SELECT *, least(total // 16 + (owner < total % 16)::BIGINT - filled[owner + 1], unplaced) AS took
+                FROM (SELECT i, unplaced, node, lo, filled, every, total, owners[node % 1024 + 1] AS owner FROM run, fixed WHERE i <= len(every))))
+        SELECT k.doc_id, k.size, k.text_crc32, 'rows' AS law, r.shard::INT AS shard, r.first + k.nth - r.from_nth AS slot, NULL::INT AS grown_shard
+        FROM keyed k JOIN run r ON r.place = k.place AND r.taken > 0 AND k.nth >= r.from_nth AND k.nth < r.from_nth + r.taken
+    """
+
 ORACLES = {
+    "op2_pfair_mix": _MIX,
+    "op10_bounded_ring": _RING,
     "op1_warc_packages": """
         WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         firsts AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha256(payload) AS payload_digest,

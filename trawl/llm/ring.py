@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from trawl.llm.tables import constant_table, stored, whole_text
 
-#: A power of two; the top bits of a key's hash are its slot.
+#: A key's hash is a number of so many hex digits; its top bits are its slot.
+HASH_DIGITS = 15
 SLOT_BITS = 12
 SLOTS = 1 << SLOT_BITS
 VIRTUAL_NODES = 64
@@ -104,8 +105,8 @@ def shard(
         (F.octet_length(whole_text(text_col)).cast("long") + 1).alias("size"),
         F.crc32(whole_text(text_col).cast("binary")).alias("text_crc32"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))
-    hashed = stored(sized.withColumn("hash", F.xxhash64(key)))
-    placed = hashed.withColumn("place", F.shiftrightunsigned("hash", 64 - SLOT_BITS).cast("int"))
+    hashed = stored(sized.withColumn("hash", F.conv(F.substring(F.md5(key), 1, HASH_DIGITS), 16, 10).cast("long")))
+    placed = hashed.withColumn("place", F.shiftright("hash", 4 * HASH_DIGITS - SLOT_BITS).cast("int"))
     ranked, cells = _ranked(placed, spark)
     runs = constant_table(
         spark, walk(cells, shards, slack, virtual_nodes),

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.tables import stored, whole_text
+from trawl.llm.tables import map_texts, stored, whole_text
 
 #: Loaded tokenizers of this Python worker, by version; a worker serves few versions.
 _loaded: dict[str, object] = {}
@@ -68,7 +68,7 @@ def encode_misses(texts: DataFrame, model: bytes, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
-    return texts.select("digest", "text").mapInArrow(count, "digest string, n_tokens long")
+    return map_texts(texts.select("digest", "text"), count, "digest string, n_tokens long")
 
 
 def count_tokens(

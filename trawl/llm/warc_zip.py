@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.tables import stored, whole_text
+from trawl.llm.tables import let_workers_import, map_texts, stored, whole_text
 from trawl.session import scratch_dir
 
 #: Payloads of at least this many bytes are written once; later rows refer to them.
@@ -217,7 +217,7 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             [pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())],
             names=["package", "records"])
 
-    return stored(marked.mapInArrow(write, "package string, records long"))
+    return stored(map_texts(marked, write, "package string, records long"))
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +270,7 @@ def read_packages(packages: DataFrame) -> DataFrame:
     Each package's directory and index are read by one task; its records are then dealt out as byte
     ranges of about ``RANGE_BYTES`` over all tasks. The payload of a revisit is empty.
     """
+    let_workers_import(packages.sparkSession)
     ranges = stored(packages.select("package").repartition("package").mapInArrow(
         _ranges, "package string, start long, lengths array<long>"))
     dealt = ranges.repartition(F.xxhash64("package", "start"))
