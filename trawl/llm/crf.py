@@ -39,8 +39,10 @@ UNKNOWN = "und"
 #: Texts whose best language scores less are rejected.
 LEAST_SCORE = 0.3
 #: Words a Python worker remembers with their scores; texts and words it works on at a time.
-MEMO_WORDS = 300_000
-CHUNK_WORDS = 300_000
+MEMO_WORDS = 200_000
+CHUNK_WORDS = 200_000
+#: Words whose features are held at a time.
+SCORED_WORDS = 8192
 #: Punctuation, digits and symbols at both ends of a word are not part of it.
 MAX_WORD = 40
 
@@ -120,6 +122,8 @@ class Field:
         """Scores of each word for each language."""
         if not words:
             return np.zeros((0, len(self.languages)))
+        if len(words) > SCORED_WORDS:
+            return np.concatenate([self.scores(words[at:at + SCORED_WORDS]) for at in range(0, len(words), SCORED_WORDS)])
         flat, sizes = features(words)
         sums = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None]
         known = np.fromiter((self.lexicon.get(word, 0) for word in words), np.int64, len(words))

@@ -17,7 +17,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.tables import RECORD, constant_table, digest_of, same_text, stored, whole_text
+from trawl.llm.tables import RECORD, SMALLER, constant_table, digest_of, same_text, stored, whole_text
 from trawl.session import shuffle_partitions
 
 BLOCK_BYTES = 16 * 1024
@@ -159,6 +159,6 @@ def mixed(
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), digest_of(text).alias("digest"),
         F.struct(F.col("*")).alias(RECORD))
-    together = rows.join(slots, same_text() & F.col("source").eqNullSafe(F.col("unit_source")))
+    together = rows.join(slots.hint(SMALLER), same_text() & F.col("source").eqNullSafe(F.col("unit_source")))
     ordered = together.repartitionById(parts, part).sortWithinPartitions("slot", "before", "row")
     return ordered.select(f"{RECORD}.*")

@@ -26,7 +26,7 @@ END_ID = 1
 #: Pieces packed together; more buckets mean more half-filled last windows, one or two per bucket.
 BUCKET_PIECES = 4096
 #: Words a Python worker remembers with their ids, and characters it works on at a time.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 CHUNK_CHARS = 500_000
 
 class OpenWindows:

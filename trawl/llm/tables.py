@@ -15,6 +15,9 @@ from trawl.session import scratch_dir
 #: Texts go to Python in batches of about this many bytes, which bounds the buffers on both sides.
 BATCH_BYTES = 4 * 1024 * 1024
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Join hint for a table much smaller than the texts it meets, but without a bound for a broadcast:
+#: texts are hashed to it and need no sorting, at every size of the input alike.
+SMALLER = "shuffle_hash"
 #: Name of the column that carries a whole input row through an operator, so that no column the
 #: operator adds can clash with a column of the input.
 RECORD = "record"
@@ -44,7 +47,7 @@ def keep_one(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str) -> D
     """The rows of ``docs`` that ``keyed (doc_id, digest, kept)`` keeps, each once, all columns unchanged.
 
     ``kept`` is one value for rows with equal id and text. The texts are read again rather than
-    copied; they are shuffled only when the table of lost rows is too large for Catalyst to broadcast.
+    copied, and shuffled to the lost rows, which are the smaller side of every partition.
     """
     each = stored(keyed.groupBy("doc_id", "digest", "kept").agg(F.count("*").alias("n")))
     pairs = each.select(F.col("doc_id").alias("lost_id"), F.col("digest").alias("lost_digest"), "kept", "n")
@@ -52,7 +55,7 @@ def keep_one(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str) -> D
     repeated = stored(pairs.filter("kept AND n > 1").drop("kept", "n"))
     marked = docs.select(
         F.col(id_col).alias("doc_id"), digest_of(whole_text(text_col)).alias("digest"), F.struct(F.col("*")).alias(RECORD))
-    left = marked.join(lost, same_text(), "left_anti")
+    left = marked.join(lost.hint(SMALLER), same_text(), "left_anti")
     if not repeated.isEmpty():
         one = Window.partitionBy("doc_id", "digest").orderBy(F.lit(0))
         first = left.join(repeated, same_text(), "left_semi").withColumn("turn", F.row_number().over(one)).filter("turn = 1")
