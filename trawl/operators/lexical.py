@@ -177,11 +177,21 @@ def query_phrases(topics: DataFrame, analyzer: str, by: tuple[str, ...] = ()) ->
     return phrases.filter(F.size("phrase") > 0).groupBy(*keys, "phrase").agg(F.count("*").alias("qtf"))
 
 
+def _common_starts(places: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, starts, words, len)``: where all given words of a phrase agree on its beginning."""
+    begins = F.filter(F.transform("positions", lambda p: p - F.col("offset")), lambda p: p >= 0)
+    met = places.select(*keys, "len", begins.alias("begins")).groupBy(*keys).agg(
+        F.collect_list("begins").alias("begins"), F.max("len").alias("len"))
+    common = F.aggregate(
+        F.slice("begins", 2, F.size("begins")), F.get("begins", F.lit(0)), lambda a, b: F.array_intersect(a, b))
+    return met.select(*keys, common.alias("starts"), F.size("begins").alias("words"), "len")
+
+
 def match_phrases(index: Index, phrases: DataFrame) -> DataFrame:
     """``(by, phrase, id, tf, len)``: documents holding the tokens of a phrase next to each other, in order.
 
-    Documents come from the rarest token of a phrase. For them alone the places of all its tokens are
-    read, and those where a phrase can begin are intersected; nothing leaves its bucket.
+    The places of the two rarest words of a phrase leave few documents and beginnings, without a
+    shuffle of postings. For these alone the places of the other words are looked up.
     """
     if not index.positional:
         raise ValueError("phrases need an index with positions")
@@ -192,24 +202,31 @@ def match_phrases(index: Index, phrases: DataFrame) -> DataFrame:
     small = size * max(1, index.stats.count() if by else 1) <= BROADCAST_BYTES
     known = index.vocab.join(F.broadcast(parts) if small else parts, [*shared, "term"]).select(
         *by, "phrase", "offset", "term", "df")
-    whole = known.groupBy(*by, "phrase").agg(
-        F.min_by("term", F.struct("df", "offset")).alias("anchor"), F.count("*").alias("found"),
-    ).filter(F.col("found") == F.size("phrase"))
-    words = checkpoint(known.join(whole.select(*by, "phrase", "anchor"), [*by, "phrase"]))
-    few = None
-    if rows <= FEW_TERMS:
-        few = sorted({r.term for r in words.select("term").distinct().collect()})
-    anchors = Weighted(words.filter("term = anchor").select(*by, "term").distinct(), F.lit(0.0), rows, small, few)
-    holders = join_postings(index, anchors, [*by, "term"], []).select("id").distinct()
-    every = Weighted(words, F.lit(0.0), rows, small, few)
-    places = join_postings(index, every, [*by, "term"], ["phrase", "offset"]).join(holders, "id", "left_semi")
-    starts = F.filter(F.transform("positions", lambda p: p - F.col("offset")), lambda p: p >= 0)
-    met = places.select(*by, "phrase", "id", "len", starts.alias("starts")).groupBy(*by, "phrase", "id").agg(
-        F.collect_list("starts").alias("starts"), F.max("len").alias("len"))
-    common = F.aggregate(
-        F.slice("starts", 2, F.size("starts")), F.get("starts", F.lit(0)), lambda a, b: F.array_intersect(a, b))
-    tf = F.when(F.size("starts") == F.size("phrase"), F.size(common)).otherwise(0)
-    return met.select(*by, "phrase", "id", tf.alias("tf"), "len").filter("tf > 0")
+    rarest = Window.partitionBy(*by, "phrase").orderBy("df", "offset")
+    ranked = known.withColumn("turn", F.row_number().over(rarest)).withColumn(
+        "found", F.count("*").over(Window.partitionBy(*by, "phrase")))
+    words = checkpoint(ranked.filter(F.col("found") == F.size("phrase")).drop("df", "found"))
+
+    def terms_of(df: DataFrame) -> list[str] | None:
+        return sorted({r.term for r in df.select("term").distinct().collect()}) if rows <= FEW_TERMS else None
+
+    keys = [*by, "phrase", "id"]
+    rare = words.filter("turn <= 2")
+    places = join_postings(index, Weighted(rare, F.lit(0.0), rows, small, terms_of(rare)), [*by, "term"], ["phrase", "offset"])
+    begun = _common_starts(places, keys).filter((F.col("words") == F.least(F.size("phrase"), F.lit(2))) & (F.size("starts") > 0))
+    begun = checkpoint(begun.select(*keys, "starts", "len"))
+    rest = words.filter("turn > 2").select(*by, "phrase", "offset", "term")
+    wanted = begun.select(*keys).join(F.broadcast(rest) if small else rest, [*by, "phrase"])
+    _, size = measure(wanted.select("id", "term", "offset"))
+    others = terms_of(rest)
+    postings = index.postings if others is None else index.postings.filter(F.col("term").isin(others))
+    looked_up = postings.join(F.broadcast(wanted) if 2 * size <= BROADCAST_BYTES else wanted, [*by, "id", "term"])
+    more = _common_starts(looked_up, keys).select(*keys, F.col("starts").alias("more"), "words")
+    both = begun.join(more, keys, "left")
+    starts = F.when(F.size("phrase") <= 2, F.col("starts")).when(
+        F.col("words") == F.size("phrase") - 2, F.array_intersect("starts", "more"))
+    tf = F.coalesce(F.size(starts), F.lit(0))
+    return both.select(*by, "phrase", "id", tf.alias("tf"), "len").filter("tf > 0")
 
 
 def fts5_terms(index: Index, phrases: DataFrame, k1: float = FTS5_K1, b: float = FTS5_B) -> Weighted:
