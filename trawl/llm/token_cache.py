@@ -96,5 +96,7 @@ def count_tokens(
     stands = (F.col("digest") == F.col("miss")) & F.col("doc_id").eqNullSafe(F.col("miss_id"))
     texts = named.join(one, stands, "left_semi")
     encode_misses(texts, model, kind).write.mode("append").parquet(f"{cache.rstrip('/')}/{version}")
-    counted = keyed.join(open_cache(spark, cache, version), "digest")
+    # Written apart from the aggregate above it, so that Spark can split the rows of a frequent digest.
+    counts = stored(open_cache(spark, cache, version).join(distinct.select("digest"), "digest", "left_semi"))
+    counted = keyed.join(counts, "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
