@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.tables import digest_of, keep_one, map_texts, same_text, stored, whole_text, worker_memo
+from trawl.llm.tables import SMALLER, digest_of, keep_one, map_texts, same_text, stored, whole_text, worker_memo
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -316,7 +316,7 @@ def classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     in_buckets = stored(members.join(shared, "bucket"))
     ids = nodes.select("node", F.col("doc_id").alias("lost_id"), F.col("digest").alias("lost_digest"))
     candidates = stored(in_buckets.select("node").distinct().join(ids, "node"))
-    wanted = texts.join(candidates, same_text()).select("node", "text")
+    wanted = texts.join(candidates.hint(SMALLER), same_text()).select("node", "text")
     # Rows that repeat with their id bring a node's text more than once.
     sets = stored(map_texts(wanted, _add_shingles, "node long, shingles array<long>").dropDuplicates(["node"]))
 
@@ -357,7 +357,8 @@ def _chosen(found: DataFrame) -> DataFrame:
     """Adds the class's size and its first row, ``first``; classes are counted before they meet their rows."""
     found = stored(found)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "digest")
-    each = found.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("class_size"))
+    # Written, so that the join does not reuse the aggregate's layout and Spark can split a large class.
+    each = stored(found.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("class_size")))
     return found.join(each, "label")
 
 
