@@ -21,8 +21,9 @@ from trawl.llm.tables import constant_table, let_workers_import, stored
 
 #: Vectors at most that the graph and the classifier are fitted to.
 SAMPLE_ROWS = 8192
-#: Neighbours per node of the graph.
+#: Neighbours per node of the graph, and nodes compared with all others at a time.
 DEGREE = 10
+GRAPH_ROWS = 128
 #: One part for so many rows, up to MAX_PARTS parts.
 ROWS_PER_PART = 2000
 MAX_PARTS = 32
@@ -56,8 +57,8 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 def neighbours(units: np.ndarray, queries: np.ndarray, count: int) -> np.ndarray:
     """The ``count`` nearest other rows of each row in ``queries``."""
     found = []
-    for at in range(0, len(queries), 512):
-        rows = queries[at:at + 512]
+    for at in range(0, len(queries), GRAPH_ROWS):
+        rows = queries[at:at + GRAPH_ROWS]
         scores = units[rows] @ units.T
         scores[np.arange(len(rows)), rows] = -np.inf
         found.append(np.argpartition(-scores, count - 1, axis=1)[:, :count])
