@@ -33,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
-    return packing.packed_digests(docs, PACKING_TOKENIZER)
+    """Pieces of all documents with their places in sequences, which follow the order of the mix."""
+    return packing.packed_digests(docs, PACKING_TOKENIZER, in_order=True)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]

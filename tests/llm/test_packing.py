@@ -119,3 +119,15 @@ def test_many_buckets_and_other_columns(spark):
     assert max(used.values()) <= 2048
     assert len(used) <= 1.03 * sum(used.values()) / 2048 + 8
     assert packing.BUCKET_PIECES == 4096
+
+
+def test_order_of_files_is_kept(spark, tmp_path):
+    """Later files are larger, so that Spark reads them first."""
+    rows = [(i, "a b c " * (1 + (i // 300) ** 2)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(10, "doc_id").sortWithinPartitions("doc_id")
+    docs.write.parquet(str(tmp_path / "docs"))
+    for given in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        pieces = packing.cut(given, PACKING_TOKENIZER, in_order=True)
+        packed = place(pieces, bucket_pieces=500).collect()
+        assert [r.doc_id // 500 for r in packed] == [r.sequence_id >> 32 for r in packed]
+        assert sorted(r.doc_id for r in packed) == list(range(3000)) and packing.ORDER not in packed[0]

@@ -3,7 +3,8 @@
 A document longer than a sequence is first cut into full windows; the windows fill sequences of
 their own. What remains of each document is packed in buckets of bounded size, each in one task:
 longest first, every piece into the open window with the least room that still holds it, found by
-a segment tree over remaining capacities.
+a segment tree over remaining capacities. Buckets are dealt at random, or are ranges of the order in
+which the documents come, where that order counts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.tables import let_workers_import, map_texts, stored, whole_text, worker_memo
@@ -28,6 +30,10 @@ BUCKET_PIECES = 4096
 #: Words a Python worker remembers with their ids, and characters it works on at a time.
 MEMO_WORDS = 500_000
 CHUNK_CHARS = 500_000
+#: Rows of a file that are counted together to find the place of each piece in the whole order.
+CELL_ROWS = 4096
+#: Columns of the place of a piece's row in its table, and of the rows counted together with it.
+ORDER, CELL = "_order", "_cell"
 
 class OpenWindows:
     """Open windows by remaining capacity: a segment tree whose nodes tell whether any lies below."""
@@ -175,19 +181,38 @@ def _chunks(texts: pa.Array) -> Iterator[list[str]]:
         yield chunk
 
 
+def order_of(docs: DataFrame) -> Column:
+    """Where each row comes in ``docs``: its place in the files Spark wrote, else among the partitions.
+
+    Files are read largest first, so that the place of a row among the partitions is not that in the files.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        number = F.coalesce(F.regexp_extract(meta["file_name"], r"^part-(\d+)", 1).try_cast("long"), F.lit(-1))
+        in_files = F.struct(number.alias("part"), meta["file_path"].alias("file"), meta["row_index"].alias("at"))
+        docs.select(in_files).schema
+    except AnalysisException:  # not Parquet files
+        return F.struct(
+            F.lit(0).cast("long").alias("part"), F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return in_files
+
+
 def cut(
     docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
+    in_order: bool = False,
 ) -> DataFrame:
     """Pieces ``doc_id, start, length, doc_tokens, ids`` of all rows; ``ids`` as little-endian 32-bit numbers.
 
     A document is its tokens and ``END_ID``; all its pieces but the last fill a window. A null text
-    is empty and yields one piece of length 1. Rows that repeat are cut each on its own.
+    is empty and yields one piece of length 1. Rows that repeat are cut each on its own. With
+    ``in_order`` each piece has the place of its row, see ``order_of``, in the column ``ORDER``.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     version = hashlib.sha256(shared.value.encode()).hexdigest()
     end = np.array([END_ID], "<u4").tobytes()
     schema = "doc_id {}, start long, length long, doc_tokens long, ids binary"
+    kept = [ORDER] if in_order else []
     kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,13 +232,31 @@ def cut(
                         totals.append(total)
                         ids.append(part)
                 at += len(texts)
+                taken = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()),
-                     pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "start", "length", "doc_tokens", "ids"])
-
-    named = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    return map_texts(named, pieces, schema.format(kind))
+                    [batch.column("doc_id").take(taken), pa.array(starts, pa.int64()),
+                     pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), pa.array(ids, pa.binary()),
+                     *(batch.column(name).take(taken) for name in kept)],
+                    names=["doc_id", "start", "length", "doc_tokens", "ids", *kept])
+
+    named = docs.select(
+        F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"), *([order_of(docs).alias(ORDER)] if in_order else []))
+    order = "".join(f", {ORDER} {t}" for n, t in named.dtypes if n == ORDER)
+    return map_texts(named, pieces, schema.format(kind) + order)
+
+
+def _ranges(pieces: DataFrame, count: int, buckets: int) -> DataFrame:
+    """``bucket`` and ``turn`` of pieces in the order of ``ORDER``: ranges of ``turn``, as even as can be."""
+    cell = [F.col(f"{ORDER}.part"), F.col(f"{ORDER}.file"), F.floor(F.col(f"{ORDER}.at") / CELL_ROWS)]
+    keyed = pieces.withColumn(CELL, F.struct(*(c.alias(n) for n, c in zip("pfc", cell))))
+    # One row for each file or CELL_ROWS rows of it.
+    cells = stored(keyed.groupBy(CELL).agg(F.count("*").alias("n")))
+    earlier = Window.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select(CELL, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(CELL).orderBy(f"{ORDER}.at", "row")
+    turns = keyed.withColumn("turn", F.row_number().over(inside) - 1).join(offsets, CELL)
+    turns = turns.withColumn("turn", F.col("turn") + F.col("offset")).drop(CELL, ORDER, "offset")
+    return turns.withColumn("bucket", F.floor(F.col("turn") * F.lit(buckets) / F.lit(count)).cast("long"))
 
 
 def place(pieces: DataFrame, window: int = WINDOW, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
@@ -221,21 +264,33 @@ def place(pieces: DataFrame, window: int = WINDOW, bucket_pieces: int = BUCKET_P
 
     Every row gets its place, whatever the number of rows; offsets of a sequence have no gaps. Of
     equal lengths the smaller id comes first. Sequence ids are unique, not consecutive.
+
+    Pieces with the column ``ORDER`` keep that order as far as packing allows: a bucket holds the
+    pieces of a range of it, sequence ids rise from bucket to bucket, and within one by the place of
+    the longest piece; of equal lengths the earlier one comes first. ``ORDER`` itself goes.
     """
     let_workers_import(pieces.sparkSession)
+    in_order = ORDER in pieces.columns
     pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()))
-    buckets = max(1, -(-pieces.count() // bucket_pieces))
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    count = pieces.count()
+    buckets = max(1, -(-count // bucket_pieces))
+    if in_order:
+        bucketed, ties = _ranges(pieces, max(1, count), buckets), ["turn"]
+    else:
+        bucketed, ties = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets))), ["doc_id", "start", "row"]
 
     def pack(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("row", "ascending")])
+        rows = rows.sort_by([("length", "descending"), *((name, "ascending") for name in ties)])
         numbers, offsets = best_fit(rows.column("length").to_pylist(), window)
+        if in_order:
+            firsts = rows.column("turn").to_numpy()[np.unique(numbers, return_index=True)[1]]
+            numbers = np.argsort(np.argsort(firsts))[numbers]
         ids = (rows.column("bucket").to_numpy() << 32) + np.array(numbers, "int64")
         return rows.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets, pa.int64()))
 
     kept = ", ".join(f"`{name}` {kind}" for name, kind in bucketed.dtypes)
     packed = bucketed.groupBy("bucket").applyInArrow(pack, f"{kept}, sequence_id long, offset long")
-    return packed.drop("row", "bucket")
+    return packed.drop("row", "bucket", *(["turn"] if in_order else []))
 
 
 def pack_documents(
@@ -245,7 +300,9 @@ def pack_documents(
     return place(cut(docs, tokenizer_path, window, id_col, text_col), window)
 
 
-def packed_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_digests(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False,
+) -> DataFrame:
     """Packed pieces with the CRC-32 of their ids in place of the ids, which so are never shuffled."""
-    pieces = cut(docs, tokenizer_path, id_col=id_col, text_col=text_col)
+    pieces = cut(docs, tokenizer_path, id_col=id_col, text_col=text_col, in_order=in_order)
     return place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
