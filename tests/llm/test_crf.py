@@ -70,6 +70,39 @@ def test_code_switched_words_are_labelled_one_by_one(model):
     assert names[:7] == ["en"] * 7 and names[8:13] == ["de"] * 5 and names[15:] == ["en"] * 6
 
 
+def test_parts_of_words_are_the_whole_word():
+    long, chinese, thai = "abcdefghij" * 1000 + "é", "今天天气很好我们去公园散步吧" * 50, "ภาษาไทยไม่มีช่องว่าง" * 20
+    for text in (long, chinese, thai, "de" + chinese + long + thai, "x " + chinese + " kurz " + "1" * 90):
+        words = words_of(text)
+        assert "".join(words) == "".join(text.split())
+        assert max(map(len, words)) <= crf.MAX_WORD
+    assert max(map(len, words_of(chinese + thai))) <= crf.MAX_RUN
+    assert words_of("abc今天def") == ["abc", "今天", "def"] and words_of("été " + "a" * 40) == ["été", "a" * 40]
+
+
+def test_the_middle_of_a_text_without_blanks_counts(model):
+    english = "thehouseandthegardenwithoutwindowsforthechildrenofthistown"
+    german = "nichtdieschönenhäuserundwälderderkindersondernauchdiestraßen"
+    inside, outside = german * 60, english[:20]
+    assert model.languages[_most(model, outside)] == "en"
+    assert label_texts(model, [outside + inside + outside])[0][0] == "de"
+    assert label_texts(model, [german[:20] + english * 60 + german[-20:]])[0][0] == "en"
+
+
+def _most(model, word):
+    return int(model.scores([word])[0].argmax())
+
+
+def test_a_script_without_blanks_is_read_to_its_end():
+    chinese = ["今天天气很好我们去公园散步", "他们的学校在城市中心的北边", "这个问题很难但是可以解决"]
+    japanese = ["きょうは天気がいいので公園へ行きます", "かれらの学校は町のまんなかにあります", "このもんだいは難しいけれど解けます"]
+    model = fit([(t * 5, "zh") for t in chinese] * 8 + [(t * 5, "ja") for t in japanese] * 8)
+    inside = "".join(japanese) * 40
+    assert label_texts(model, [chinese[0] * 2 + inside + chinese[1] * 2])[0][0] == "ja"
+    language, score = label_texts(model, ["".join(chinese) * 40 + inside])[0]
+    assert score < 0.75  # half in either language
+
+
 def test_batches_do_not_matter(model, sample):
     texts = [t for t, _ in sample[:60]] + ["", "12", "a"]
     together, alone = label_texts(model, texts), [label_texts(model, [t])[0] for t in texts]

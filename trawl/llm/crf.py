@@ -1,6 +1,7 @@
 """Language of whole texts by a linear-chain conditional random field over their words.
 
-Each word is a position of the chain, each language a label. A word's score for a language is the
+Each word is a position of the chain, each language a label; what has no blanks is cut into
+positions of bounded length, so that every character is read. A word's score for a language is the
 sum of weights of its features: the word itself, affixes, n-grams (hashed), and the shares of the
 languages in a lexicon. Learned transitions tie neighbouring words together. The labels of the
 words, and so of code-switched text, are their marginals by forward-backward; the language of a
@@ -12,6 +13,7 @@ language, ``MAX_LANGUAGES`` languages); every row and every word of the table is
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -43,12 +45,27 @@ MEMO_WORDS = 200_000
 CHUNK_WORDS = 200_000
 #: Words whose features are held at a time.
 SCORED_WORDS = 8192
-#: Punctuation, digits and symbols at both ends of a word are not part of it.
+#: Characters of a position of the chain, and of one in a script that sets no blanks between words:
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana, Bopomofo, Han and their like.
 MAX_WORD = 40
+MAX_RUN = 8
+_RUN = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u2e80-\u312f\u31a0-\u31bf\u31f0-\u9fff" \
+    "\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001aff0-\U0001b16f\U00020000-\U0003ffff"
+UNSPACED = re.compile(f"[{_RUN}]")
+PARTS = re.compile(f"[{_RUN}]{{1,{MAX_RUN}}}|[^{_RUN}]{{1,{MAX_WORD}}}")
 
 
 def words_of(text: str) -> list[str]:
-    return text.split()
+    """Positions of the chain: words between blanks, long ones and runs of unspaced scripts in parts.
+
+    The parts of a word are the whole word.
+    """
+    words = text.split()
+    if not text.isascii() and UNSPACED.search(text):
+        return [part for word in words for part in ([word] if word.isascii() and len(word) <= MAX_WORD else PARTS.findall(word))]
+    if words and max(map(len, words)) > MAX_WORD:
+        return [part for word in words for part in ([word] if len(word) <= MAX_WORD else PARTS.findall(word))]
+    return words
 
 
 def bare(token: str) -> str:
@@ -67,10 +84,9 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of the features of all words, one word after the other, and their numbers.
 
     A word's features are itself, its first and last one to four bytes, and all pairs and triples of
-    neighbouring bytes, the ends being marked. Of a very long word only both ends are read.
+    neighbouring bytes, the ends being marked.
     """
-    half = MAX_WORD // 2
-    raw = [(w if len(w) <= MAX_WORD else w[:half] + w[-half:]).encode("utf-8", "surrogatepass") for w in words]
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
     sizes = np.array([len(r) + 2 for r in raw], np.int64)
     data = np.frombuffer(b"".join(b"<" + r + b">" for r in raw), np.uint8).astype(np.uint64)
     starts = np.cumsum(sizes) - sizes
