@@ -51,6 +51,17 @@ def test_sample_is_bounded_and_skips_held_out_rows(spark, sample):
     assert {t for t, _ in sample} <= learned and held
 
 
+def test_one_long_row_is_not_the_whole_sample(spark):
+    hashed = spark.range(60).selectExpr("id", "xxhash64('sample', cast(id AS string)) AS hash")
+    ids = [r.id for r in hashed.withColumn("held", crf.held_out(hashed.id)).filter("NOT held").orderBy("hash").collect()]
+    long = "abcd " * 150_000
+    rows = [(i, long if i == ids[0] else f"short row {i}" if i != ids[1] else long[:500_000], "en") for i in ids]
+    got = crf.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert len(got) == len(ids) and {t for i, t, _ in rows if i not in ids[:2]} <= {t for t, _ in got}
+    sizes = sorted(len(t) for t, _ in got)
+    assert sizes[-1] == sizes[-2] and crf.SAMPLE_CHARS - len(ids) < sum(sizes) <= crf.SAMPLE_CHARS
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()

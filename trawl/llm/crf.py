@@ -29,7 +29,7 @@ from trawl.llm.tables import map_texts, whole_text, worker_memo
 #: Labelled rows per language that the field is fitted to, and languages at most (the most frequent).
 SAMPLE_ROWS = 120
 MAX_LANGUAGES = 200
-#: Characters of sample text per language that are read; whole rows, the last one may go beyond.
+#: Characters of sample text per language that are read; long rows give the same number each, short ones all.
 SAMPLE_CHARS = 600_000
 BUCKETS = 1 << 16
 LEXICON_WORDS = 20_000
@@ -341,7 +341,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[t
     """``(text, language)`` of a bounded sample of rows that are not held out and have a language.
 
     Counts per language set a rate that yields about twice the wanted rows, of which those with the
-    smallest hashes are taken; no other text leaves its task.
+    smallest hashes are taken; no other text leaves its task. Of rows too long for all of them to be
+    read whole, the same number of characters each.
     """
     named = docs.select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), whole_text(text_col).alias("text"))
@@ -358,10 +359,12 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[t
         (F.col("rate") >= grain) | (F.pmod("hash", F.lit(grain)) < F.col("rate")))
     first = Window.partitionBy("lang").orderBy("hash", "doc_id", "text")
     ranked = likely.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= SAMPLE_ROWS)
-    before = first.rowsBetween(Window.unboundedPreceding, -1)
-    chars = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
-    rows = ranked.withColumn("chars", chars).filter(F.col("chars") < SAMPLE_CHARS)
-    return [(r.text, r.lang) for r in rows.select("text", "lang").collect()]
+    # Shorter rows leave what they do not use to the longer ones, which share the rest evenly.
+    every, rising = Window.partitionBy("lang"), Window.partitionBy("lang").orderBy(F.length("text"), "turn")
+    shorter = F.coalesce(F.sum(F.length("text")).over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = (F.lit(SAMPLE_CHARS) - shorter) / (F.count("*").over(every) - F.row_number().over(rising) + 1)
+    rows = ranked.withColumn("each", each).withColumn("most", F.floor(F.max("each").over(every)).cast("int"))
+    return [(r.text, r.lang) for r in rows.select(F.expr("substring(text, 1, most)").alias("text"), "lang").collect()]
 
 
 def held_out(doc_id):
