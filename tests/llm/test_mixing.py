@@ -63,6 +63,19 @@ def test_blocks_follow_sizes_and_rows_are_all_there(documents, texts):
     assert len({(r.slot, r.stream) for r in rows}) == len({r.slot for r in rows})
 
 
+def test_emitted_bytes_stay_within_a_block_and_the_longest_row(documents):
+    block, every = 512, SHARES | {OTHERS: 10}
+    rows = [r for r in mix(documents, SHARES, 10, block=block).collect()]
+    first = [r for r in rows if r.phase == 0]
+    # Whole blocks of the first phase, which ends when a stream has run out.
+    for t in range(max(r.slot for r in first) + 1):
+        for name, share in every.items():
+            emitted = sum(r["size"] for r in first if r.stream == name and r.slot < t)
+            longest = max(r["size"] for r in rows if r.stream == name)
+            target = Fraction(t * share * block, sum(every.values()))
+            assert -block < emitted - target < block + longest
+
+
 def test_mixed_rows_come_in_order(documents):
     order = [r.doc_id for r in mixed(documents, SHARES, 10).collect()]
     slots = {r.doc_id: (r.slot, r.before) for r in mix(documents, SHARES, 10).collect()}

@@ -3,8 +3,9 @@
 Each source is a stream of blocks of equal size. With share a of a period P, its block j (from 0)
 is released at floor(j * P / a) and due at ceil((j + 1) * P / a); at every slot the released block
 with the earliest deadline goes next. All deadlines are met and no block goes before its release,
-so at any time each source is less than one block away from its target. The schedule repeats every
-P slots, so a block finds its slot by arithmetic, at any size of the corpus.
+so at any time each source is less than one block away from its target. Rows are not cut: a row goes
+out whole in the slot of the block it starts in, so the emitted bytes of a source are less than one
+block behind and less than one block and its longest row ahead. The schedule repeats every P slots, so a block finds its slot by arithmetic, at any size of the corpus.
 
 A source that has run out leaves, and the others share its weight in a new phase: every row is
 placed exactly once, none is dropped or repeated.
