@@ -29,19 +29,10 @@ def sf_dir():
     return SF_DIR
 
 
-TOY = [
-    ("d1", "cat dog dog"),
-    ("d2", "cat fish"),
-    ("cat-3", "bird run running"),
-    ("d4", "fox owl emu yak"),
-    ("d5", "pig hen cow"),
-    ("d6", "Ünit u.s market"),
-    ("d7", "ant bee"),
-]
-
-
 @pytest.fixture(scope="session")
 def toy_docs(spark):
+    from helpers import TOY
+
     return spark.createDataFrame(TOY, "id string, contents string").cache()
 
 
@@ -50,12 +41,3 @@ def fts_index(toy_docs):
     from trawl.plans.search import index_contents
 
     return index_contents(toy_docs, "fts5")
-
-
-def topics_of(spark, *texts):
-    rows = [(f"q{i}", text) for i, text in enumerate(texts, 1)]
-    return spark.createDataFrame(rows, "qid string, contents string")
-
-
-def as_dict(df, key, value):
-    return {tuple(r[k] for k in key): r[value] for r in df.collect()}

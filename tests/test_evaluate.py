@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import topics_of
+from helpers import topics_of
 from pyspark.sql import functions as F
 
 from trawl.operators.evaluate import combine_topics, mean_ndcg, ndcg

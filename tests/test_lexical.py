@@ -3,7 +3,7 @@ import os
 import sqlite3
 
 import pytest
-from conftest import TOY, as_dict, topics_of
+from helpers import TOY, as_dict, topics_of
 from pyspark.sql import functions as F
 
 from trawl.operators import index as index_module

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import topics_of
+from helpers import topics_of
 
 from trawl.operators.dense import cosine_top_k
 from trawl.operators.index import build_index, doc_freq, postings_of

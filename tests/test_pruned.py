@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import topics_of
+from helpers import topics_of
 from pyspark.sql import functions as F
 
 from trawl.operators import index as index_module

@@ -1,5 +1,5 @@
 import pytest
-from conftest import topics_of
+from helpers import topics_of
 from pyspark.sql import functions as F
 
 from trawl.plans.search import index_contents, method_of, search
