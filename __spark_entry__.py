@@ -6,6 +6,7 @@ of the topics are the embeddings with their ids. Every query reads its whole tab
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -460,12 +461,18 @@ def q_ndcg_by_group(spark, sf):
     return means.select("lang", "queries", F.round("ndcg", 6).alias("ndcg"))
 
 
-try:  # optional: the subpackage and its pipeline may be absent
+def _present(name: str) -> bool:
+    """Whether a module or package with code of its own is there; one that is there but broken is an error."""
+    spec = importlib.util.find_spec(name)
+    return spec is not None and spec.origin is not None
+
+
+LLM_QUERIES: dict = {}
+LLM_ORACLES: dict = {}
+if _present("trawl.llm") and _present("corpus_pipeline"):  # optional: both may be absent
     import corpus_pipeline
     from trawl.llm import queries as llm
-except ImportError:
-    LLM_QUERIES, LLM_ORACLES = {}, {}
-else:
+
     LLM_QUERIES = llm.QUERIES | {"pipeline": corpus_pipeline.run}
     LLM_ORACLES = llm.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
