@@ -15,7 +15,9 @@ from trawl.llm.learned_partitions import nearest
 from trawl.llm.license_scan import licenses
 from trawl.llm.mixing import mix
 from trawl.llm.packing import packed_digests
+from trawl.llm.periodic_runs import periodic_runs
 from trawl.llm.ring import shard
+from trawl.llm.tables import whole_text
 from trawl.llm.token_cache import count_tokens
 from trawl.llm.warc_zip import archived
 from trawl.session import scratch_dir
@@ -76,6 +78,38 @@ def op10_bounded_ring(spark, sf):
         "*", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def repeated_tails(docs):
+    """``doc_id, text``: a tenth of the documents, chosen by id, end in repetitions of a few of their words."""
+    chance = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    seed = F.floor(chance / 10).cast("long")
+    text = whole_text("text")
+    # Only texts that get a tail are cut into words here.
+    cut = F.when(chance % 10 == 0, F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    worded = docs.select("doc_id", text.alias("text"), cut.alias("cut"), seed.alias("seed"), F.size(cut).alias("n"))
+    placed = worded.withColumn("a", F.when(F.col("n") > 0, F.expr("seed % nullif(n, 0)").cast("int")))
+    left = F.col("n") - F.col("a")
+    period = (1 + F.floor(left / (3 + F.col("seed") % 8))).cast("int")
+    rooted = placed.withColumn("root", F.slice("cut", F.col("a") + 1, period)).withColumn("left", left)
+    times = F.ceil(F.col("left") / F.size("root")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat("root", times)), F.lit(1), F.col("left"))
+    repeated = F.array_join(F.concat(F.slice("cut", F.lit(1), F.col("a")), tail), " ")
+    return rooted.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark, sf):
+    found = periodic_runs(repeated_tails(_documents(spark, sf)))
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period")))
+    top = F.array_min(order)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    shown = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), lines.alias("lines"), "collapsed")
+    length = -F.col("top.minus")
+    return shown.select(
+        "doc_id", "n_runs", F.col("top.start").alias("start"), length.alias("length"), F.col("top.period").alias("period"),
+        F.floor(1000 * length / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {name: query for name, query in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 _SHARES = ", ".join(f"('{name}', {share})" for name, share in {**SHARES, "*": DEFAULT_SHARE}.items())
@@ -135,7 +169,37 @@ _RING = """
         FROM keyed k JOIN run r ON r.place = k.place AND r.taken > 0 AND k.nth >= r.from_nth AND k.nth < r.from_nth + r.taken
     """
 
+#: Runs period by period: stretches of places whose word stands a period before them too; of several periods of one
+#: stretch the smallest counts.
+_RUNS = r"""
+        WITH RECURSIVE bits AS (SELECT range AS byte, 0 AS step, range AS crc FROM range(256)
+            UNION ALL SELECT byte, step + 1, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END FROM bits WHERE step < 8),
+        crc_table AS (SELECT list(crc ORDER BY byte) AS crcs FROM bits WHERE step = 8),
+        cut AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda pair: ('0x' || pair)::BIGINT),
+                    lambda crc, byte: xor(crc >> 8, crcs[(xor(crc, byte) & 255) + 1]), 4294967295::BIGINT)) AS h
+            FROM documents, crc_table),
+        sized AS (SELECT *, len(words) AS n, h % 10 = 0 AND len(words) > 0 AS tailed, h // 10 AS g FROM cut),
+        placed AS (SELECT *, CASE WHEN tailed THEN g % n END AS a FROM sized),
+        rooted AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+        word AS (SELECT row, n, i, CASE WHEN tailed AND i >= a THEN words[a + (i - a) % p + 1] ELSE words[i + 1] END AS w
+            FROM (SELECT *, unnest(range(n)) AS i FROM rooted)),
+        same AS (SELECT x.row, x.i - y.i AS q, x.i FROM word x JOIN word y ON x.row = y.row AND x.w = y.w AND y.i < x.i AND (x.i - y.i) * 4 <= x.n),
+        stretch AS (SELECT row, q, min(i) - q AS start, count(*) + q AS length
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM same) GROUP BY row, q, island),
+        runs AS (SELECT row, start, length, min(q) AS period FROM stretch WHERE length >= greatest(6, 4 * q) GROUP BY row, start, length),
+        summary AS (SELECT row, count(*) AS n_runs, min({'minus': -length, 'start': start, 'period': period}) AS top,
+                string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY row),
+        kept AS (SELECT row, string_agg(w, ' ' ORDER BY i) AS collapsed FROM word
+            WHERE NOT EXISTS (FROM runs WHERE runs.row = word.row AND i >= start + period AND i < start + length) GROUP BY row)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, -top.minus AS length, top.period AS period,
+            (-1000 * top.minus) // top.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+            sha256(coalesce(collapsed, '')) AS collapsed_sha256
+        FROM cut LEFT JOIN summary USING (row) LEFT JOIN kept USING (row)
+    """
+
 ORACLES = {
+    "op11_periodic_runs": _RUNS,
     "op2_pfair_mix": _MIX,
     "op10_bounded_ring": _RING,
     "op1_warc_packages": """
