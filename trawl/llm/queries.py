@@ -20,6 +20,7 @@ from trawl.llm.ring import shard
 from trawl.llm.tables import whole_text
 from trawl.llm.token_cache import count_tokens
 from trawl.llm.warc_zip import archived
+from trawl.llm.whitening import whiten
 from trawl.session import scratch_dir
 
 #: Target shares of the sources; a source that is not listed shares DEFAULT_SHARE with the other unlisted ones.
@@ -110,6 +111,11 @@ def op11_periodic_runs(spark, sf):
     )
 
 
+def op12_embedding_whitening(spark, sf):
+    found = whiten(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {name: query for name, query in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 _SHARES = ", ".join(f"('{name}', {share})" for name, share in {**SHARES, "*": DEFAULT_SHARE}.items())
