@@ -17,6 +17,7 @@ from trawl.llm.mixing import mix
 from trawl.llm.packing import packed_digests
 from trawl.llm.periodic_runs import periodic_runs
 from trawl.llm.ring import shard
+from trawl.llm.secret_scan import KINDS, secrets
 from trawl.llm.tables import whole_text
 from trawl.llm.token_cache import count_tokens
 from trawl.llm.warc_zip import archived
@@ -116,6 +117,20 @@ def op12_embedding_whitening(spark, sf):
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_secret_scan(spark, sf):
+    found = secrets(_documents(spark, sf))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    def number_of(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(number_of, KINDS[:3])
+    base = F.filter("spans", lambda s: s["kind"] != KINDS[3])
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {name: query for name, query in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 _SHARES = ", ".join(f"('{name}', {share})" for name, share in {**SHARES, "*": DEFAULT_SHARE}.items())
