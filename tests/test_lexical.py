@@ -1,5 +1,6 @@
 import math
 import os
+import re
 import sqlite3
 
 import pytest
@@ -125,7 +126,7 @@ def test_empty_documents_count_in_the_statistics(spark):
     stats = index.stats.first()
     assert (stats.n, stats.avgdl, stats.postings) == (3, 2 / 3, 1)
     assert sorted(index.doclens.collect()) == [("1", 2, 1), ("2", 0, 0), ("3", 0, 0)]
-    assert index.postings.collect() == [("1", "a", 2, 2)]
+    assert index.postings.select("id", "term", "tf", "len").collect() == [("1", "a", 2, 2)]
     assert sorted(doc_lengths(docs).collect()) == sorted(index.doclens.select("id", "len").collect())
 
 
@@ -270,17 +271,78 @@ def test_relative_paths_and_quotes(spark, toy_docs, tmp_path, monkeypatch, path)
     topics = topics_of(spark, "cat dog")
     whole = as_dict(bm25(build_index(toy_docs), topics), ("id",), "score")
     close(as_dict(bm25(open_index(spark, folder), topics), ("id",), "score"), whole)
-    assert sorted(os.listdir(folder)) == ["doclens", "postings", "sample", "stats", "vocab"]
+    assert sorted(name.split("-")[0] for name in os.listdir(folder)) == ["build", "manifests"]
     with pytest.raises(ValueError, match="no index"):
-        open_index(spark, folder + "/vocab")
+        open_index(spark, folder + "/manifests")
 
 
-def test_one_catalog_table_for_each_folder(spark, toy_docs, tmp_path):
+def test_builds_before_the_last_but_one_go(spark, toy_docs, tmp_path):
     before = {t.name for t in spark.catalog.listTables()}
-    for _ in range(3):
-        build_index(toy_docs, path=str(tmp_path / "i"))
-        open_index(spark, str(tmp_path / "i"))
-    assert len({t.name for t in spark.catalog.listTables()} - before) == 1
+    path = str(tmp_path / "i")
+    for _ in range(4):
+        build_index(toy_docs, path=path)
+        open_index(spark, path)
+    assert len({t.name for t in spark.catalog.listTables()} - before) == 2
+    assert sorted(name.split("-")[0] for name in os.listdir(path)) == ["build", "build", "manifests"]
+    index_module.drop_index(spark, path)
+    assert {t.name for t in spark.catalog.listTables()} == before and not os.path.exists(path)
+
+
+def test_a_rebuild_that_breaks_off_leaves_the_old_index(spark, toy_docs, tmp_path, monkeypatch):
+    path, topics = str(tmp_path / "index"), topics_of(spark, "cat dog fish run")
+    built = build_index(toy_docs, path=path)
+    want = as_dict(bm25(built, topics), ("id",), "score")
+    for step in ("_append", "_write", "_publish"):
+        with monkeypatch.context() as patch:
+            patch.setattr(index_module, step, lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                build_index(toy_docs.limit(2), path=path)
+        close(as_dict(bm25(open_index(spark, path), topics), ("id",), "score"), want)
+    # Whoever opened the index before a rebuild can go on with it.
+    replaced = build_index(toy_docs.limit(2), path=path)
+    close(as_dict(bm25(built, topics), ("id",), "score"), want)
+    assert replaced.doclens.count() == open_index(spark, path).doclens.count() == 2
+
+
+@pytest.mark.parametrize("by", [(), ("lang",)])
+def test_an_extension_reads_no_old_postings(spark, toy_docs, tmp_path, by):
+    import shutil
+
+    docs = toy_docs.withColumn("lang", F.when(F.col("id") < "d4", "en").otherwise("de"))
+    old, path = docs.filter("id < 'd3'"), str(tmp_path / "index")
+    build_index(old, path=path, by=by)
+    folder = next(f"{path}/{name}" for name in os.listdir(path) if name.startswith("build"))
+    kept = f"{tmp_path}/kept"
+    shutil.copytree(f"{folder}/postings/version=1/kind=1", kept)
+    shutil.rmtree(f"{folder}/postings/version=1/kind=1")
+    for name in ("blocks/version=1", "vocab/1"):
+        for file in os.listdir(f"{folder}/{name}"):
+            if file.endswith(".parquet"):
+                os.chmod(f"{folder}/{name}/{file}", 0o400)
+    extend_index(docs.filter("id >= 'd3'"), path)
+    shutil.copytree(kept, f"{folder}/postings/version=1/kind=1")
+    extended, whole = open_index(spark, path), build_index(docs, by=by)
+    for name in ("vocab", "stats", "doclens"):
+        assert sorted(getattr(extended, name).collect()) == sorted(getattr(whole, name).select(*getattr(extended, name).columns).collect())
+    topics = topics_of(spark, "cat run dog", "u.s fox", "bee")
+    close(as_dict(bm25(extended, topics), ("qid", "id"), "score"), as_dict(bm25(whole, topics), ("qid", "id"), "score"))
+
+
+def test_many_extensions_keep_few_vocabularies(spark, tmp_path):
+    import json
+
+    rows = [(f"d{i}", f"w{i} w{i % 3} all") for i in range(12)]
+    frame = lambda part: spark.createDataFrame(part, "id string, contents string")
+    path = str(tmp_path / "index")
+    build_index(frame(rows[:1]), path=path, buckets=2)
+    for row in rows[1:]:
+        extend_index(frame([row]), path)
+    newest = sorted(os.listdir(f"{path}/manifests"))[-1]
+    with open(f"{path}/manifests/{newest}") as file:
+        manifest = json.load(file)
+    assert len(manifest["versions"]) == 12 and len(manifest["vocab"]) <= 5
+    whole = build_index(frame(rows))
+    assert sorted(open_index(spark, path).vocab.collect()) == sorted(whole.vocab.collect())
 
 
 def test_an_id_that_occurs_twice_is_an_error(spark, toy_docs, tmp_path):
@@ -304,15 +366,8 @@ def test_an_extension_that_breaks_off_changes_nothing(spark, toy_docs, tmp_path,
     path, topics = str(tmp_path / "index"), topics_of(spark, "cat dog fish run")
     old, new = toy_docs.filter("id < 'd3'"), toy_docs.filter("id >= 'd3'")
     want = as_dict(bm25(build_index(old, path=path), topics), ("id",), "score")
-    write = index_module._write
-
-    def fails(df, folder, name, version):
-        if name == "stats":
-            raise RuntimeError("lost")
-        return write(df, folder, name, version)
-
-    monkeypatch.setattr(index_module, "_write", fails)
-    with pytest.raises(RuntimeError):
+    monkeypatch.setattr(index_module, "_publish", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
         extend_index(new, path)
     monkeypatch.undo()
     close(as_dict(bm25(open_index(spark, path), topics), ("id",), "score"), want)
@@ -370,3 +425,51 @@ def test_hundreds_of_terms_are_pushed_down_and_places_read_once(spark, toy_docs)
     phrases = spark.createDataFrame([(["bird", "run"],)], "phrase array<string>")
     plan = match_phrases(index, phrases)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def phrases_by_hand(rows, phrases):
+    found = {}
+    for phrase in phrases:
+        for doc_id, text in rows:
+            words = text.split()
+            tf = sum(words[i:i + len(phrase)] == phrase for i in range(len(words)))
+            if tf:
+                found[" ".join(phrase), doc_id] = (tf, len(words))
+    return found
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.7, 2.0])
+def test_phrases_with_any_set_of_frequent_words(spark, monkeypatch, share):
+    import random
+
+    monkeypatch.setattr(index_module, "FREQUENT_SHARE", share)
+    rng = random.Random(7)
+    word = lambda: f"w{min(int(rng.paretovariate(0.7)), 30)}"
+    rows = [(f"d{i}", " ".join(word() for _ in range(rng.randrange(0, 40)))) for i in range(120)]
+    phrases = [[word() for _ in range(rng.randrange(1, 6))] for _ in range(80)] + [["w1"] * 4, ["w1", "w2"] * 2, ["unseen", "w1"]]
+    index = build_index(spark.createDataFrame(rows, "id string, contents string"), positional=True)
+    assert bool(index.frequent) == (share < 1)
+    singles = {(t,) for t in index.frequent}
+    found = match_phrases(index, spark.createDataFrame([(p,) for p in phrases if tuple(p) not in singles], "phrase array<string>"))
+    got = {(" ".join(r.phrase), r.id): (r.tf, r.len) for r in found.collect()}
+    assert got == phrases_by_hand(rows, phrases_of(phrases, singles)) and got
+    # The pairs are no postings of words.
+    plain = build_index(spark.createDataFrame(rows, "id string, contents string"))
+    assert sorted(index.vocab.collect()) == sorted(plain.vocab.collect())
+    assert sorted(index.doclens.collect()) == sorted(plain.doclens.collect())
+
+
+def phrases_of(phrases, without):
+    return [p for p in {tuple(p): p for p in phrases}.values() if tuple(p) not in without]
+
+
+def test_a_phrase_is_one_pass_over_selective_postings(spark, toy_docs):
+    docs = spark.createDataFrame([(f"d{i}", f"the of w{i} the of") for i in range(50)], "id string, contents string")
+    index = build_index(docs, positional=True)
+    phrases = spark.createDataFrame([("the of w7 the".split(),), ("of w9".split(),), ("w3 the of".split(),)], "phrase array<string>")
+    found = match_phrases(index, phrases)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "PushedFilters" in line and "positions" in line]
+    assert len(scans) == 1 and "In(term" in scans[0] and not re.search(r"[\[,](the|of)[,\]]", scans[0])
+    assert not [s for s in plan.split("\n") if "hashpartitioning(id" in s]
+    assert {(" ".join(r.phrase), r.id) for r in found.collect()} == {("the of w7 the", "d7"), ("of w9", "d9"), ("w3 the of", "d3")}

@@ -118,3 +118,43 @@ def test_phrases_leave_pruning_on(spark, always):
     want = sorted(top_k(bm25_fts5(index, topics), 8).collect())
     for prune in (True, False):
         assert sorted(sparse_hits(index, topics, "fts5", 8, prune=prune).collect()) == want
+
+
+def test_blocks_bound_their_documents(spark, always, monkeypatch):
+    """No document scores more than the parts of its block allow, and the hits lie in open blocks."""
+    monkeypatch.setattr(index_module, "BLOCK_DOCUMENTS", 8)
+    index = build_index(corpus(spark, 600))
+    weighted = bm25_terms(index, queries(spark, 20))
+    split = pruned.split_terms(index, weighted, 5, 1e-6)
+    blocks, counted = pruned.open_blocks(index, weighted, split)
+    every = index.blocks.select("block").distinct().count()
+    open_pairs = {(r.qid, r.block) for r in blocks.collect()}
+    assert counted["rows"] == len(open_pairs) < 0.6 * every * split.select("qid").distinct().count()
+    of_document = {r.id: r.block for r in index.postings.select("id", "block").distinct().collect()}
+    for hit in top_k(score_all(index, weighted), 5).collect():
+        assert (hit.qid, of_document[hit.id]) in open_pairs
+    same(index, weighted, 5)
+
+
+def test_blocks_without_hits_are_not_read(spark, always, monkeypatch):
+    """Words that are everywhere, and often in short documents, which share some blocks."""
+    monkeypatch.setattr(index_module, "BLOCK_DOCUMENTS", 16)
+    monkeypatch.setattr(index_module, "PAGE_ROWS", 64)
+    rows = [(f"d{i:05d}", "hot cold " * (40 if i < 300 else 1) + " ".join(f"x{i}-{k}" for k in range(400 if i >= 300 else 20))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "id string, contents string").repartition(4)
+    index = build_index(docs, "whitespace", buckets=2)
+    weighted = bm25_terms(index, topics_of(spark, "hot cold"))
+    split, _ = pruned.stored(pruned.split_terms(index, weighted, 3, 1e-6))
+    blocks, counted = pruned.open_blocks(index, weighted, split)
+    left = pruned._in_blocks(index, blocks, counted).postings.filter(F.col("term").isin("hot", "cold"))
+    assert "In(block" in left._jdf.queryExecution().executedPlan().toString()
+
+    def rows_read(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        df._jdf.queryExecution().toRdd().count()
+        leaves = plan.collectLeaves()
+        return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+    every = rows_read(index.postings.filter(F.col("term").isin("hot", "cold")))
+    assert rows_read(left) < every / 5 and every >= 12000
+    same(index, weighted, 3)

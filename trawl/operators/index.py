@@ -1,21 +1,26 @@
-"""Inverted index as tables: postings, document lengths, vocabulary, corpus statistics.
-
-``len`` sits in every posting and the corpus statistics in every vocabulary row, so a search is one
-join and one aggregate. A written index buckets its postings by document id: all postings of a
-document lie in one bucket, and the per-(query, document) sum of a search needs no shuffle.
-
-Postings are appended under a version number; everything that follows from them is written anew
-under the same number, the statistics last. They name the versions that count, so an extension that
-breaks off leaves the index as it was.
+"""Inverted index as tables: postings, document lengths, block bounds, vocabulary, corpus statistics.
+
+``len`` sits in every posting, so a search is one join and one aggregate. A written index buckets its
+postings by document id: all postings of a document lie in one bucket, and the per-(query, document)
+sum of a search needs no shuffle. Within a bucket documents of similar length form blocks, and the
+largest repetition and the least length of each term in each block bound what it can add to a score.
+
+A build stands in a folder of its own. Postings are appended to it under version numbers, and what
+follows from them is kept by version as well: document frequencies, lengths and bounds of the new
+documents alone, summed when they are read. A small file, the manifest, names the build and the
+versions that count. It is written last, under the next number, so a build or an extension that
+breaks off leaves the index as it was, and a rebuild leaves no time without one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.text import ANALYZERS
@@ -27,18 +32,32 @@ SAMPLE_DOCUMENTS = 50_000
 BUCKET_BYTES = 256 * 1024 * 1024
 # Sizes above this are no estimate: Spark knows nothing about the input.
 UNKNOWN_BYTES = 1 << 60
+# Documents of a block.
+BLOCK_DOCUMENTS = 128
+# Rows of a Parquet page of the postings: what is skipped is skipped by pages.
+PAGE_ROWS = 4096
+# Words in this share of some first documents count as frequent; an index with positions stores the
+# places of pairs with a frequent word. It decides the layout only, not what is found.
+FREQUENT_SHARE = 0.3
+FREQUENT_FROM = 2000
+# Kinds of rows of the postings table, a partition each.
+DOCUMENT, POSTING, PAIR = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Index:
     """Tables of one index; ``by`` names the columns that tell corpora apart.
 
-    postings  by, id, term, tf, len         one row per distinct term of a document; with
+    postings  by, id, term, tf, len, block  one row per distinct term of a document; with
                                             ``positional`` also positions, its places in the text
     doclens   by, id, len, terms            every document, empty ones included
     vocab     by, term, df, n, avgdl        n and avgdl repeat the statistics of the corpus
     stats     by, n, avgdl, postings        one row per corpus
-    sample    by, id, term, tf, len         all postings of some documents, for score bounds
+    blocks    by, term, block, tf, len      the largest tf and the least len in the block
+    sample    as postings                   all postings of some documents, for score bounds
+    units     as postings                   postings, and pairs of words with a frequent one among them,
+                                            joined by a blank; only with ``positional``
+    frequent  the frequent words, rising
     """
 
     postings: DataFrame
@@ -49,6 +68,11 @@ class Index:
     by: tuple[str, ...] = ()
     sample: DataFrame | None = None
     positional: bool = False
+    blocks: DataFrame | None = None
+    units: DataFrame | None = None
+    frequent: tuple[str, ...] = ()
+    path: str | None = None
+    buckets: int | None = None
 
 
 def analyse(docs: DataFrame, analyzer: str, by: tuple[str, ...] = (), with_id: bool = False) -> DataFrame:
@@ -63,35 +87,51 @@ def analyse(docs: DataFrame, analyzer: str, by: tuple[str, ...] = (), with_id: b
 
 
 def count_terms(
-    analysed: DataFrame, by: tuple[str, ...] = (), with_id: bool = False, positional: bool = False
+    analysed: DataFrame, by: tuple[str, ...] = (), with_id: bool = False, positional: bool = False,
+    frequent: tuple[str, ...] = (),
 ) -> DataFrame:
     """``(by, id, len, counts)``, counts being ``array<struct<term, tf[, positions]>>``: a narrow step.
 
     Equal tokens lie side by side once sorted; a term's count is the distance between run starts.
-    ``with_id`` says that the tokens hold the separator of ``analyse``.
+    ``with_id`` says that the tokens hold the separator of ``analyse``. Two neighbouring tokens of
+    which one is ``frequent`` are counted as a term of their own too, joined by a blank.
     """
     tokens = F.col("tokens")
     if positional:
         tokens = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at")))
     if with_id:
         tokens = F.filter(tokens, lambda t: (t["term"] if positional else t) != "")
-    kept = analysed.select(*by, "id", F.sort_array(tokens).alias("sorted"))
-    sized = kept.select(*by, "id", "sorted", F.size("sorted").alias("len"))
+    kept = analysed.select(*by, "id", "tokens", tokens.alias("kept"))
+    size = F.size("kept")
+    every = F.col("kept")
+    if positional and frequent:
+        known = list(frequent)
+
+        def pair(t: Column, i: Column) -> Column:
+            after = F.get("tokens", i + 1)
+            apart = F.lit(False) if not with_id else (t == "") | (after == "")
+            joined = F.when((t.isin(known) | after.isin(known)) & ~apart, F.concat_ws(" ", t, after))
+            return F.struct(F.when(after.isNotNull(), joined).alias("term"), i.alias("at"))
+
+        pairs = F.filter(F.transform("tokens", pair), lambda p: p["term"].isNotNull())
+        every = F.concat("kept", pairs)
+    kept = kept.select(*by, "id", size.alias("len"), F.sort_array(every).alias("sorted"))
+    sized = kept.select(*by, "id", "len", "sorted", F.size("sorted").alias("entries"))
 
     def term(place: Column) -> Column:
         found = F.get("sorted", place)
         return found["term"] if positional else found
 
     run_starts = F.filter(
-        F.sequence(F.lit(1), F.col("len")), lambda i: (i == 1) | (term(i - 1) != term(i - 2)),
+        F.sequence(F.lit(1), F.col("entries")), lambda i: (i == 1) | (term(i - 1) != term(i - 2)),
     )
     starts = sized.select(
-        *by, "id", "len", "sorted",
-        F.when(F.col("len") > 0, run_starts).otherwise(F.array().cast("array<int>")).alias("starts"),
+        *by, "id", "len", "sorted", "entries",
+        F.when(F.col("entries") > 0, run_starts).otherwise(F.array().cast("array<int>")).alias("starts"),
     )
 
     def run(start: Column, nth: Column) -> Column:
-        end = F.coalesce(F.get("starts", nth + 1), F.col("len") + 1)
+        end = F.coalesce(F.get("starts", nth + 1), F.col("entries") + 1)
         parts = [term(start - 1).alias("term"), (end - start).alias("tf")]
         if positional:
             places = F.transform(F.slice("sorted", start, end - start), lambda t: t["at"])
@@ -101,19 +141,6 @@ def count_terms(
     return starts.select(*by, "id", "len", F.transform("starts", run).alias("counts"))
 
 
-def _flat(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """One row per term, or one with a null term; ``head`` marks one row of each document."""
-    # The outer form keeps a null-term row for an empty document, and keeps Catalyst from inferring
-    # a filter on the array, which would run the whole analysis a second time below.
-    flat = counts.select(*by, "id", F.posexplode_outer("counts").alias("nth", "count"), "len")
-    return flat.select(*by, "id", "count.*", "len", (F.coalesce("nth", F.lit(0)) == 0).alias("head"))
-
-
-def _doclens(flat: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    return flat.groupBy(*by, "id").agg(
-        F.max("len").alias("len"), F.count("term").alias("terms"), F.count_if("head").alias("documents"))
-
-
 def _stats(doclens: DataFrame, by: tuple[str, ...], *more: Column) -> DataFrame:
     return doclens.groupBy(*by).agg(F.count("*").alias("n"), (F.sum("len") / F.count("*")).alias("avgdl"), *more)
 
@@ -124,7 +151,11 @@ def _vocab(postings: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def postings_of(docs: DataFrame, analyzer: str = "plain", by: tuple[str, ...] = ()) -> DataFrame:
     """``(by, id, term, tf, len)`` without writing anything."""
-    return _flat(count_terms(analyse(docs, analyzer, by), by), by).filter("term IS NOT NULL").drop("head")
+    counts = count_terms(analyse(docs, analyzer, by), by)
+    # The outer form keeps Catalyst from inferring a filter on the array, which would run the whole
+    # analysis a second time below.
+    flat = counts.select(*by, "id", F.explode_outer("counts").alias("count"), "len")
+    return flat.select(*by, "id", "count.*", "len").filter("term IS NOT NULL")
 
 
 def doc_lengths(docs: DataFrame, analyzer: str = "plain", by: tuple[str, ...] = ()) -> DataFrame:
@@ -153,26 +184,140 @@ def default_buckets(docs: DataFrame) -> int:
     return max(least, math.ceil(size / BUCKET_BYTES))
 
 
-def _table_name(path: str) -> str:
-    """The catalog name of an index's postings; one per folder, so that it is replaced, not added to."""
-    return f"trawl_{hashlib.md5(path.encode()).hexdigest()}_postings"
+def _flat(counts: DataFrame, by: tuple[str, ...], version: int) -> DataFrame:
+    """Rows of the postings table: one per document, one per term, one per stored pair.
+
+    ``counts`` lie in their buckets; documents of similar length share a block of their bucket.
+    """
+    placed = counts.sortWithinPartitions("len", "id").withColumn("place", F.monotonically_increasing_id())
+    bucket = F.shiftright("place", 33)
+    nth = F.floor(F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK_DOCUMENTS).cast("long")
+    # The bucket comes last, so that what lies between two blocks is alike in all buckets: Parquet
+    # skips pages by the least and the largest of the blocks asked for.
+    block = F.lit(version << 44) + F.shiftleft(nth, 24) + bucket
+    kind = dict(counts.dtypes)["counts"].removeprefix("array<").removesuffix(">")
+    single = F.filter("counts", lambda c: F.instr(c["term"], " ") == 0) if "positions" in kind else F.col("counts")
+    fields = [F.lit(None).cast("string").alias("term"), F.size(single).alias("tf")]
+    if "positions" in kind:
+        fields.append(F.lit(None).cast("array<int>").alias("positions"))
+    every = F.concat(F.array(F.struct(*fields)), "counts")
+    flat = placed.select(*by, "id", "len", block.alias("block"), F.explode_outer(every).alias("count"))
+    pair = F.instr("count.term", " ") > 0
+    row = F.when(F.col("count.term").isNull(), DOCUMENT).when(pair, PAIR).otherwise(POSTING)
+    return flat.select(*by, "id", "count.*", "len", "block", F.lit(version).alias("version"), row.alias("kind"))
+
+
+def _table_name(folder: str) -> str:
+    """The catalog name of an index's postings, one per folder."""
+    return f"trawl_{hashlib.md5(folder.encode()).hexdigest()}_postings"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop, system = _hadoop(spark, path)
+    system.delete(hadoop, True)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what stands in a folder, none if there is no such folder."""
+    hadoop, system = _hadoop(spark, path)
+    return sorted(status.getPath().getName() for status in system.listStatus(hadoop)) if system.exists(hadoop) else []
+
+
+def _generations(spark: SparkSession, path: str) -> list[str]:
+    return [name for name in _names(spark, f"{path}/manifests") if name.endswith(".json")]
 
 
-def _append(flat: DataFrame, path: str, version: int, buckets: int) -> DataFrame:
-    """Write postings under a version; gives the rows of that version."""
-    table = _table_name(path)
+def _manifest(spark: SparkSession, path: str) -> dict:
+    """What the newest manifest says."""
+    every = _generations(spark, path)
+    if not every:
+        raise ValueError(f"no index in {path}")
+    return _read_json(spark, f"{path}/manifests/{every[-1]}")
+
+
+def _read_json(spark: SparkSession, file: str) -> dict:
+    hadoop, system = _hadoop(spark, file)
+    stream = system.open(hadoop)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Make ``manifest`` the newest: written aside, then given the next number by a rename."""
+    every = _generations(spark, path)
+    number = 1 + int(every[-1].split(".")[0]) if every else 1
+    aside, system = _hadoop(spark, f"{path}/manifests/.{uuid.uuid4().hex}")
+    out = system.create(aside)
+    out.write(bytearray(json.dumps(manifest), "utf-8"))
+    out.close()
+    target, _ = _hadoop(spark, f"{path}/manifests/{number:08d}.json")
+    if system.exists(target) or not system.rename(aside, target):
+        raise RuntimeError(f"another build or extension of {path} came first")
+    # A reader that opened the build before this one can go on; of older builds nothing stays.
+    older = {name: _read_json(spark, f"{path}/manifests/{name}")["build"] for name in every}
+    before = [build for build in older.values() if build != manifest["build"]]
+    for name, build in older.items():
+        if build not in (manifest["build"], *before[-1:]):
+            for gone in (f"manifests/{name}", build):
+                _remove(spark, f"{path}/{gone}")
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(f'{path}/{build}')}")
+
+
+def _append(flat: DataFrame, folder: str, buckets: int) -> dict:
+    """Write rows of one version; gives the counts that come with the write."""
+    seen = Observation()
+    document, posting = F.col("kind") == DOCUMENT, F.col("kind") == POSTING
+    flat = flat.observe(
+        seen, F.count_if(document).alias("n"), F.coalesce(F.sum(F.when(document, F.col("len").cast("long"))), F.lit(0)).alias("tokens"),
+        F.count_if(posting).alias("postings"))
     (
-        flat.withColumn("version", F.lit(version)).write.mode("append").format("parquet")
-        .option("path", f"{path}/postings").partitionBy("version")
-        .bucketBy(buckets, "id").sortBy("term").saveAsTable(table)
+        flat.write.mode("append").format("parquet").option("path", f"{folder}/postings")
+        .option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("version", "kind")
+        .bucketBy(buckets, "id").sortBy("term", "block").saveAsTable(_table_name(folder))
+    )
+    return seen.get
+
+
+def _catalogued(spark: SparkSession, folder: str, fields: list[str], buckets: int) -> DataFrame:
+    """The postings as a bucketed table of the session's catalog."""
+    table = _table_name(folder)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(
+        f"CREATE TABLE {table} ({', '.join(fields)}, version INT, kind INT) USING parquet PARTITIONED BY (version, kind) "
+        f"CLUSTERED BY (id) SORTED BY (term, block) INTO {buckets} BUCKETS LOCATION {quoted(folder + '/postings')}"
     )
-    return flat.sparkSession.table(table)
+    spark.catalog.recoverPartitions(table)
+    return spark.table(table)
+
+
+def _write(df: DataFrame, folder: str) -> int:
+    """Write a table; gives its number of rows."""
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("rows")).write.parquet(folder)
+    return seen.get["rows"]
+
+
+def _counts_of(docs: DataFrame, facts: dict) -> DataFrame:
+    by = tuple(facts["by"])
+    analysed = analyse(docs, facts["analyzer"], by, facts["with_id"])
+    counts = count_terms(analysed, by, facts["with_id"], facts["positional"], tuple(facts["frequent"]))
+    # Counted before the shuffle: one row per document travels, holding each term once.
+    return counts.repartition(facts["buckets"], "id")
 
 
-def _write(df: DataFrame, path: str, name: str, version: int) -> DataFrame:
-    folder = f"{path}/{name}/version={version}"
-    df.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def _frequent_words(docs: DataFrame, analyzer: str) -> list[str]:
+    """Words in a good share of some first documents."""
+    some = analyse(docs.limit(FREQUENT_FROM), analyzer).select(F.array_distinct("tokens").alias("tokens"))
+    words = some.select(F.explode_outer("tokens").alias("term"), F.lit(1).alias("one")).groupBy("term").count()
+    total = some.count()
+    return sorted(r.term for r in words.filter(F.col("count") > FREQUENT_SHARE * total).collect() if r.term)
 
 
 def build_index(
@@ -187,124 +332,143 @@ def build_index(
     """Analyse ``docs (by, id, contents)`` once and write the index tables.
 
     ``path`` defaults to a new folder under the shared checkpoint folder; an index that stands there
-    is replaced. ``positional`` stores the places of terms, for phrases. An id that occurs twice in
-    a corpus is an error.
+    is replaced, in one step and after all else. ``positional`` stores the places of terms, for
+    phrases. An id that occurs twice in a corpus is an error.
     """
     spark = docs.sparkSession
     path = qualified(spark, path or scratch_dir(spark))
-    buckets = buckets or default_buckets(docs)
-    by = tuple(by)
-    counts = count_terms(analyse(docs, analyzer, by, with_id), by, with_id, positional)
-    # Counted before the shuffle: one row per document travels, holding each term once.
-    counts = counts.repartition(buckets, "id")
-    spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
-    # Statistics first: without them what else may stand there is no index.
-    for name in ("stats", "postings", "doclens", "vocab", "sample"):
-        _remove(spark, f"{path}/{name}")
-    flat = _append(_flat(counts, by), path, 1, buckets)
-    facts = {"analyzer": analyzer, "buckets": buckets, "with_id": with_id, "positional": positional}
-    return _summarise(flat, path, by, facts, [1])
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    facts = {
+        "build": f"build-{uuid.uuid4().hex}", "analyzer": analyzer, "by": list(by), "buckets": buckets or default_buckets(docs),
+        "with_id": with_id, "positional": positional, "frequent": _frequent_words(docs, analyzer) if positional else [],
+        "versions": [], "vocab": [],
+    }
+    return _add(docs, path, facts, 1)
+
+
+def _add(docs: DataFrame, path: str, facts: dict, version: int) -> Index:
+    """Write ``docs`` as a version of a build, and what follows from them alone; then publish it."""
+    spark, by = docs.sparkSession, tuple(facts["by"])
+    folder = f"{path}/{facts['build']}"
+    flat = _flat(_counts_of(docs, facts), by, version)
+    facts = facts | {"fields": [f"`{name}` {kind}" for name, kind in flat.dtypes if name not in ("version", "kind")]}
+    if facts["versions"]:
+        _catalogued(spark, folder, facts["fields"], facts["buckets"])
+    counted = _append(flat, folder, facts["buckets"])
+    facts["versions"] = [*facts["versions"], {"version": version, **counted}]
+    table = _rows(spark.table(_table_name(folder)), facts)
+    twice = table.filter(F.col("kind") == DOCUMENT).groupBy(*by, "id").count().filter("count > 1").select("id").take(3)
+    if twice:
+        _remove(spark, f"{folder}/postings/version={version}")
+        raise ValueError(f"duplicate id: {[row[0] for row in twice]}")
+    own = table.filter(F.col("version") == version)
+    bounds = own.filter(F.col("kind") == POSTING).groupBy(*by, "term", "block").agg(
+        F.max("tf").alias("tf"), F.min("len").alias("len"), F.count("*").alias("df"))
+    _write(bounds.sortWithinPartitions("term", "block"), f"{folder}/blocks/version={version}")
+    bounds = spark.read.schema(bounds.schema).parquet(f"{folder}/blocks/version={version}")
+    frequencies = bounds.groupBy(*by, "term").agg(F.sum("df").alias("df")).sortWithinPartitions("term")
+    facts["vocab"] = [*facts["vocab"], {"name": f"{version}", "rows": _write(frequencies, f"{folder}/vocab/{version}")}]
+    if by:
+        lengths = own.filter(F.col("kind") == DOCUMENT).groupBy(*by)
+        sizes = lengths.agg(F.count("*").alias("n"), F.sum("len").alias("tokens"), F.sum("tf").alias("postings"))
+        _write(sizes.coalesce(1), f"{folder}/stats/version={version}")
+    facts["vocab"] = _merged(spark, folder, by, facts["vocab"])
+    _publish(spark, path, facts)
+    return _opened(spark, path, facts, spark.table(_table_name(folder)))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def _merged(spark: SparkSession, folder: str, by: tuple[str, ...], vocab: list[dict]) -> list[dict]:
+    """Document frequencies by version, two neighbours of similar size made one: their number grows by a logarithm."""
+    while len(vocab) > 1 and vocab[-2]["rows"] <= 2 * vocab[-1]["rows"]:
+        name = f"{vocab[-2]['name']}+{vocab[-1]['name']}"
+        both = spark.read.parquet(*(f"{folder}/vocab/{part['name']}" for part in vocab[-2:]))
+        sums = both.groupBy(*by, "term").agg(F.sum("df").alias("df")).sortWithinPartitions("term")
+        # What a merge that broke off has left is written over.
+        _remove(spark, f"{folder}/vocab/{name}")
+        vocab = [*vocab[:-2], {"name": name, "rows": _write(sums, f"{folder}/vocab/{name}")}]
+    return vocab
 
 
-def _postings(flat: DataFrame) -> DataFrame:
-    return flat.filter("term IS NOT NULL").drop("head", "version")
+def _rows(table: DataFrame, facts: dict) -> DataFrame:
+    return table.filter(F.col("version").isin([v["version"] for v in facts["versions"]]))
 
 
-def _summarise(flat: DataFrame, path: str, by: tuple[str, ...], facts: dict, versions: list[int]) -> Index:
-    """Write everything that follows from the postings: lengths, vocabulary, sample, statistics."""
-    version = versions[-1]
-    flat = flat.filter(F.col("version").isin(versions))
-    postings = _postings(flat)
-    doclens = _write(_doclens(flat, by), path, "doclens", version)
-    twice = doclens.filter("documents > 1").select("id").take(3)
-    if twice:
-        raise ValueError(f"duplicate id: {[row[0] for row in twice]}")
-    doclens = doclens.drop("documents")
-    stats = _stats(doclens, by, F.sum("terms").alias("postings"))
-    documents = stats.agg(F.sum("n")).first()[0] or 0
+def _statistics(spark: SparkSession, folder: str, facts: dict) -> DataFrame:
+    """``(by, n, avgdl, postings)`` of all versions."""
+    by, versions = facts["by"], facts["versions"]
+    if by:
+        parts = spark.read.parquet(*(f"{folder}/stats/version={v['version']}" for v in versions))
+        sums = parts.groupBy(*by).agg(*(F.sum(name).alias(name) for name in ("n", "tokens", "postings")))
+        return sums.select(*by, "n", (F.col("tokens") / F.col("n")).alias("avgdl"), "postings")
+    n, tokens, postings = (sum(v[name] for v in versions) for name in ("n", "tokens", "postings"))
+    avgdl = F.lit(tokens / n if n else None).cast("double")
+    return spark.range(1 if n else 0).select(F.lit(n).cast("long").alias("n"), avgdl.alias("avgdl"), F.lit(postings).cast("long").alias("postings"))
+
+
+def _sample(spark: SparkSession, folder: str, schema, facts: dict) -> DataFrame:
+    """The postings of whole buckets, as many as hold enough documents; one is thinned out if it holds too many."""
+    documents, buckets = sum(v["n"] for v in facts["versions"]), facts["buckets"]
+    whole = min(buckets, math.ceil(SAMPLE_DOCUMENTS * buckets / max(1, documents)))
+    read = spark.read.schema(schema)
+    if whole < buckets:
+        read = read.option("pathGlobFilter", "*_{" + ",".join(f"{i:05d}" for i in range(whole)) + "}.c*")
+    picked = _rows(read.parquet(f"{folder}/postings"), facts).filter(F.col("kind") == POSTING)
+    share = SAMPLE_DOCUMENTS * buckets / max(1, documents * whole)
+    if share < 1:
+        picked = picked.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return picked
+
+
+def _opened(spark: SparkSession, path: str, facts: dict, table: DataFrame) -> Index:
+    folder, by = f"{path}/{facts['build']}", tuple(facts["by"])
+    rows = _rows(table, facts)
+
+    def kind(*kinds: int) -> DataFrame:
+        return rows.filter(F.col("kind").isin(*kinds)).drop("version", "kind")
+
+    stats = _statistics(spark, folder, facts)
+    vocab = spark.read.parquet(*(f"{folder}/vocab/{part['name']}" for part in facts["vocab"]))
+    if len(facts["vocab"]) > 1:
+        vocab = vocab.groupBy(*by, "term").agg(F.sum("df").alias("df"))
     if by:
-        vocab = _vocab(postings, by).join(stats.select(*by, "n", "avgdl"), list(by))
+        vocab = vocab.join(stats.select(*by, "n", "avgdl"), list(by))
     else:
-        one = stats.first()
-        vocab = _vocab(postings, by).withColumns({"n": F.lit(one.n).cast("long"), "avgdl": F.lit(one.avgdl)})
-    vocab = _write(vocab, path, "vocab", version)
-    grain = 1 << 30
-    rate = grain if documents <= SAMPLE_DOCUMENTS else grain * SAMPLE_DOCUMENTS // documents
-    picked = postings.filter(F.pmod(F.xxhash64("id"), F.lit(grain)) < rate)
-    sample = _write(picked.drop("positions"), path, "sample", version)
-    named = {**{name: F.lit(fact) for name, fact in facts.items()}, "versions": F.array(*map(F.lit, versions))}
-    stats = _write(stats.withColumns(named), path, "stats", version)
-    return Index(postings, doclens, vocab, stats, facts["analyzer"], by, sample, facts["positional"])
-
-
-def _facts(spark: SparkSession, path: str) -> tuple[dict, tuple[str, ...]]:
-    """Facts of the newest version whose statistics were written, and the corpus columns."""
-    if not _exists(spark, f"{path}/stats"):
-        raise ValueError(f"no index in {path}")
-    stats = spark.read.parquet(f"{path}/stats")
-    by = tuple(stats.columns[: stats.columns.index("n")])
-    newest = stats.orderBy(F.desc("version")).select("analyzer", "buckets", "with_id", "positional", "versions", "version")
-    return newest.first().asDict(), by
-
-
-def _catalogued(spark: SparkSession, path: str, buckets: int) -> DataFrame:
-    """The postings as a bucketed table of the session's catalog."""
-    table = _table_name(path)
-    fields = [f for f in spark.read.parquet(f"{path}/postings").schema.fields if f.name != "version"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(
-        f"CREATE TABLE {table} ({schema}, version INT) USING parquet PARTITIONED BY (version) "
-        f"CLUSTERED BY (id) SORTED BY (term) INTO {buckets} BUCKETS LOCATION {quoted(path + '/postings')}"
-    )
-    spark.catalog.recoverPartitions(table)
-    return spark.table(table)
+        n, tokens = (sum(v[name] for v in facts["versions"]) for name in ("n", "tokens"))
+        vocab = vocab.withColumns({"n": F.lit(n).cast("long"), "avgdl": F.lit(tokens / n if n else None).cast("double")})
+    blocks = spark.read.parquet(*(f"{folder}/blocks/version={v['version']}" for v in facts["versions"]))
+    doclens = kind(DOCUMENT).select(*by, "id", "len", F.col("tf").alias("terms"))
+    sample = _sample(spark, folder, table.schema, facts).drop("version", "kind", "positions")
+    return Index(
+        kind(POSTING), doclens, vocab, stats, facts["analyzer"], by, sample, facts["positional"], blocks.drop("df"),
+        kind(POSTING, PAIR) if facts["positional"] else None, tuple(facts["frequent"]), path, facts["buckets"])
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     """Read an index written by ``build_index``."""
     path = qualified(spark, path)
-    facts, by = _facts(spark, path)
-
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{path}/{name}/version={facts['version']}")
-
-    flat = _catalogued(spark, path, facts["buckets"]).filter(F.col("version").isin(facts["versions"]))
-    return Index(
-        _postings(flat), table("doclens").drop("documents"), table("vocab"), table("stats"), facts["analyzer"], by,
-        table("sample"), facts["positional"])
+    facts = _manifest(spark, path)
+    table = _catalogued(spark, f"{path}/{facts['build']}", facts["fields"], facts["buckets"])
+    return _opened(spark, path, facts, table)
 
 
 def extend_index(docs: DataFrame, path: str) -> Index:
-    """Add documents to a written index: their postings are appended, the statistics made anew.
+    """Add documents to a written index; only they are analysed and counted.
 
-    The texts indexed before are not read again. An id the index has already, or that occurs twice,
-    is an error and changes nothing.
+    Of what was indexed before, only the ids are read. An id the index has already, or that occurs
+    twice, is an error and changes nothing.
     """
     spark = docs.sparkSession
     path = qualified(spark, path)
-    facts, by = _facts(spark, path)
-    keys = [*by, "id"]
-    ids = docs.select(*by, F.col("id").cast("string").alias("id"))
-    known = spark.read.parquet(f"{path}/doclens/version={facts['version']}").select(*keys)
-    twice = ids.unionByName(known).groupBy(*keys).count().filter("count > 1").select("id").take(3)
-    if twice:
-        raise ValueError(f"duplicate id: {[row[0] for row in twice]}")
-    flat = _catalogued(spark, path, facts["buckets"])
+    facts = _manifest(spark, path)
     # A version whose extension broke off keeps its number; its rows count no more.
-    version = 1 + flat.agg(F.max("version")).first()[0]
-    analysed = analyse(docs, facts["analyzer"], by, facts["with_id"])
-    counts = count_terms(analysed, by, facts["with_id"], facts["positional"]).repartition(facts["buckets"], "id")
-    flat = _append(_flat(counts, by).select(*(c for c in flat.columns if c != "version")), path, version, facts["buckets"])
-    kept = {name: facts[name] for name in ("analyzer", "buckets", "with_id", "positional")}
-    return _summarise(flat, path, by, kept, [*facts["versions"], version])
+    used = [int(name.split("=")[1]) for name in _names(spark, f"{path}/{facts['build']}/postings") if name.startswith("version=")]
+    used += [v["version"] for v in facts["versions"]]
+    return _add(docs, path, facts, 1 + max(used))
+
+
+def drop_index(spark: SparkSession, path: str) -> None:
+    """Remove an index, its files and its names in the session's catalog."""
+    path = qualified(spark, path)
+    for name in _names(spark, path):
+        if name.startswith("build-"):
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(f'{path}/{name}')}")
+    _remove(spark, path)

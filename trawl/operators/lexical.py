@@ -8,7 +8,7 @@ Each scorer turns topics into weighted terms, joins them to the postings, and su
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trawl.functions.text import ANALYZERS, clean_query, query_words
 from trawl.operators.index import Index
 from trawl.operators.topk import limit_rows_to
-from trawl.session import BROADCAST_BYTES, checkpoint, measure
+from trawl.session import BROADCAST_BYTES, checkpoint, measure, stored
 
 # k1 and b of the two BM25 flavours.
 K1, B = 0.9, 0.4
@@ -48,6 +48,7 @@ class Weighted:
     small     whether the terms were measured to fit a broadcast
     few       the terms themselves if there are only a few
     prunable  whether no part can be negative
+    matches   how many postings they match, over all queries
     """
 
     terms: DataFrame
@@ -56,6 +57,7 @@ class Weighted:
     small: bool
     few: list[str] | None = None
     prunable: bool = True
+    matches: int = 0
 
 
 def query_terms(topics: DataFrame, analyzer: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -69,19 +71,20 @@ def query_terms(topics: DataFrame, analyzer: str, by: tuple[str, ...] = ()) -> D
 def weigh(index: Index, terms: DataFrame, part: Column, ceiling: Column, prunable: bool = True, **weights: Column) -> Weighted:
     """Measure query terms, attach ``df, n, avgdl`` and the computed ``weights`` to them.
 
-    Terms of no document drop out. A topic without corpus columns is copied to every corpus.
+    Terms of no document drop out. A topic without corpus columns is copied to every corpus. Both
+    the terms and what they weigh are computed once and read again from the scratch folder.
     """
     shared = [c for c in index.by if c in terms.columns]
     copies = 1 if len(shared) == len(index.by) else max(1, index.stats.count())
-    rows, size = measure(terms)
-    small = 2 * size * copies <= BROADCAST_BYTES
+    terms, counted = stored(terms)
+    small = 2 * counted["bytes"] * copies <= BROADCAST_BYTES
     few = None
-    if 0 < rows <= FEW_TERMS:
+    if 0 < counted["rows"] <= FEW_TERMS:
         few = sorted({r.term for r in terms.select("term").collect()})
     known = index.vocab if few is None else index.vocab.filter(F.col("term").isin(few))
     known = known.join(F.broadcast(terms) if small else terms, [*shared, "term"])
-    weighed = known.withColumns(weights).withColumn("ceiling", ceiling)
-    return Weighted(weighed, part, rows * copies, small, few, prunable)
+    weighed, found = stored(known.withColumns(weights).withColumn("ceiling", ceiling), matches=F.col("df"))
+    return Weighted(weighed, part, counted["rows"] * copies, small, few, prunable, found["matches"])
 
 
 def join_postings(index: Index, weighted: Weighted, on: list[str], columns: list[str]) -> DataFrame:
@@ -177,56 +180,50 @@ def query_phrases(topics: DataFrame, analyzer: str, by: tuple[str, ...] = ()) ->
     return phrases.filter(F.size("phrase") > 0).groupBy(*keys, "phrase").agg(F.count("*").alias("qtf"))
 
 
-def _common_starts(places: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, starts, words, len)``: where all given words of a phrase agree on its beginning."""
-    begins = F.filter(F.transform("positions", lambda p: p - F.col("offset")), lambda p: p >= 0)
-    met = places.select(*keys, "len", begins.alias("begins")).groupBy(*keys).agg(
-        F.collect_list("begins").alias("begins"), F.max("len").alias("len"))
-    common = F.aggregate(
-        F.slice("begins", 2, F.size("begins")), F.get("begins", F.lit(0)), lambda a, b: F.array_intersect(a, b))
-    return met.select(*keys, common.alias("starts"), F.size("begins").alias("words"), "len")
+def phrase_units(phrase: Column, frequent: tuple[str, ...]) -> Column:
+    """``array<struct<offset, term>>``: words and stored pairs that together cover a phrase.
+
+    A frequent word is only looked up with a neighbour, a pair that the index has a posting for;
+    other words stand alone or in such a pair.
+    """
+    common, kind = list(frequent), "array<struct<offset:int,term:string>>"
+
+    def cover(state: Column, i: Column) -> Column:
+        word, after = F.get(phrase, i), F.get(phrase, i + 1)
+        pair = after.isNotNull() & (word.isin(common) | after.isin(common))
+        unit = F.when(pair, F.struct(i.alias("offset"), F.concat_ws(" ", word, after).alias("term")))
+        unit = unit.when(word.isin(common) & (i > 0), F.struct((i - 1).alias("offset"), F.concat_ws(" ", F.get(phrase, i - 1), word).alias("term")))
+        unit = unit.otherwise(F.struct(i.alias("offset"), word.alias("term")))
+        more = F.struct((i + F.when(pair, 2).otherwise(1)).alias("next"), F.concat(state["units"], F.array(unit)).cast(kind).alias("units"))
+        return F.when(i < state["next"], state).otherwise(more)
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast(kind).alias("units"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(phrase) - 1), start, cover, lambda state: state["units"])
 
 
 def match_phrases(index: Index, phrases: DataFrame) -> DataFrame:
     """``(by, phrase, id, tf, len)``: documents holding the tokens of a phrase next to each other, in order.
 
-    The places of the two rarest words of a phrase leave few documents and beginnings, without a
-    shuffle of postings. For these alone the places of the other words are looked up.
+    One pass over the postings of the phrase's units, none of which is a frequent word of its own;
+    all postings of a document lie in one bucket, so they meet without a shuffle.
     """
     if not index.positional:
         raise ValueError("phrases need an index with positions")
     by, shared = list(index.by), _keys(index.by, phrases)
-    distinct = phrases.select(*shared, "phrase").distinct()
-    parts = distinct.select(*shared, "phrase", F.posexplode("phrase").alias("offset", "term"))
-    rows, size = measure(parts.select(F.array_join("phrase", " ").alias("phrase"), "offset", "term"))
-    small = size * max(1, index.stats.count() if by else 1) <= BROADCAST_BYTES
-    known = index.vocab.join(F.broadcast(parts) if small else parts, [*shared, "term"]).select(
-        *by, "phrase", "offset", "term", "df")
-    rarest = Window.partitionBy(*by, "phrase").orderBy("df", "offset")
-    ranked = known.withColumn("turn", F.row_number().over(rarest)).withColumn(
-        "found", F.count("*").over(Window.partitionBy(*by, "phrase")))
-    words = checkpoint(ranked.filter(F.col("found") == F.size("phrase")).drop("df", "found"))
-
-    def terms_of(df: DataFrame) -> list[str] | None:
-        return sorted({r.term for r in df.select("term").distinct().collect()}) if rows <= FEW_TERMS else None
-
-    keys = [*by, "phrase", "id"]
-    rare = words.filter("turn <= 2")
-    places = join_postings(index, Weighted(rare, F.lit(0.0), rows, small, terms_of(rare)), [*by, "term"], ["phrase", "offset"])
-    begun = _common_starts(places, keys).filter((F.col("words") == F.least(F.size("phrase"), F.lit(2))) & (F.size("starts") > 0))
-    begun = checkpoint(begun.select(*keys, "starts", "len"))
-    rest = words.filter("turn > 2").select(*by, "phrase", "offset", "term")
-    wanted = begun.select(*keys).join(F.broadcast(rest) if small else rest, [*by, "phrase"])
-    _, size = measure(wanted.select("id", "term", "offset"))
-    others = terms_of(rest)
-    postings = index.postings if others is None else index.postings.filter(F.col("term").isin(others))
-    looked_up = postings.join(F.broadcast(wanted) if 2 * size <= BROADCAST_BYTES else wanted, [*by, "id", "term"])
-    more = _common_starts(looked_up, keys).select(*keys, F.col("starts").alias("more"), "words")
-    both = begun.join(more, keys, "left")
-    starts = F.when(F.size("phrase") <= 2, F.col("starts")).when(
-        F.col("words") == F.size("phrase") - 2, F.array_intersect("starts", "more"))
-    tf = F.coalesce(F.size(starts), F.lit(0))
-    return both.select(*by, "phrase", "id", tf.alias("tf"), "len").filter("tf > 0")
+    distinct = phrases.select(*shared, "phrase").filter(F.size("phrase") > 0).distinct()
+    units = distinct.withColumn("units", phrase_units(F.col("phrase"), index.frequent))
+    units, counted = stored(units.select(*shared, "phrase", F.size("units").alias("needed"), F.inline_outer("units")))
+    few = sorted({r.term for r in units.select("term").collect()}) if counted["rows"] <= FEW_TERMS else None
+    small = 2 * counted["bytes"] <= BROADCAST_BYTES
+    weighted = Weighted(units, F.lit(0.0), counted["rows"], small, few)
+    found = join_postings(replace(index, postings=index.units), weighted, [*shared, "term"], ["phrase", "offset", "needed"])
+    begins = F.filter(F.transform("positions", lambda p: p - F.col("offset")), lambda p: p >= 0)
+    met = found.select(*by, "phrase", "needed", "id", "len", begins.alias("begins")).groupBy(*by, "phrase", "needed", "id").agg(
+        F.collect_list("begins").alias("begins"), F.max("len").alias("len"))
+    common = F.aggregate(
+        F.slice("begins", 2, F.size("begins")), F.get("begins", F.lit(0)), lambda a, b: F.array_intersect(a, b))
+    tf = F.when(F.size("begins") == F.col("needed"), F.size(common)).otherwise(0)
+    return met.select(*by, "phrase", "id", tf.alias("tf"), "len").filter("tf > 0")
 
 
 def fts5_terms(index: Index, phrases: DataFrame, k1: float = FTS5_K1, b: float = FTS5_B) -> Weighted:
@@ -249,7 +246,7 @@ def phrase_scores(index: Index, several: DataFrame, k1: float = FTS5_K1, b: floa
     """``(by, qid, id, score)``: what phrases of several tokens add to their documents."""
     keys = list(dict.fromkeys([*index.by, *_keys(index.by, several)]))
     # Read twice below: for the document frequencies and for the scores.
-    found = checkpoint(match_phrases(index, several))
+    found, _ = stored(match_phrases(index, several))
     freq = found.groupBy(*keys, "phrase").agg(F.count("*").alias("df"))
     if keys:
         freq = freq.join(index.stats.select(*keys, "n", "avgdl"), keys)
@@ -267,7 +264,7 @@ def bm25_fts5(index: Index, topics: DataFrame, k1: float = FTS5_K1, b: float = F
     Build the index ``with_id``, and ``positional`` if queries may hold words that split into
     several tokens: such a word is a phrase. A repeated query word counts each time.
     """
-    phrases = query_phrases(topics, index.analyzer, index.by)
+    phrases, _ = stored(query_phrases(topics, index.analyzer, index.by))
     singles = score_all(index, fts5_terms(index, phrases, k1, b))
     several = long_phrases(index, phrases)
     if several is None:

@@ -10,11 +10,11 @@ from trawl.operators.dense import cosine_top_k
 from trawl.operators.fusion import rrf
 from trawl.operators.index import Index, build_index
 from trawl.operators.lexical import (
-    PART_COLUMNS, bm25_terms, fts5_terms, join_postings, long_phrases, pad, phrase_scores, query_phrases, ts_rank_terms,
+    PART_COLUMNS, bm25_terms, fts5_terms, join_postings, long_phrases, pad, phrase_scores, query_phrases, score_all, ts_rank_terms,
 )
-from trawl.operators.pruned import best
+from trawl.operators.pruned import best, wants_pruning
 from trawl.operators.topk import DIGITS, drop_self, top_k
-from trawl.session import checkpoint
+from trawl.session import stored
 from trawl.sources.corpus import DENSE, SPARSE, kind_of
 
 HYBRID = "hybrid"
@@ -48,19 +48,24 @@ def _one(tables: list, kind: type):
 
 
 def _fts5_hits(index: Index, topics: DataFrame, n: int, digits: int | None, prune: bool | None) -> DataFrame:
-    """Single words pruned as ever; documents that hold a phrase of a query get their whole score.
+    """What phrases add to their documents joins the scores of single words.
 
-    No other document can come before one of the n best by single words, since phrases only add.
+    With pruning, documents that hold a phrase of a query get their whole score apart from the n
+    best by single words: no other document can come before these, since phrases only add.
     """
-    phrases = query_phrases(topics, index.analyzer, index.by)
+    phrases, _ = stored(query_phrases(topics, index.analyzer, index.by))
     singles = fts5_terms(index, phrases)
     several = long_phrases(index, phrases)
     if several is None:
         return best(index, singles, n, digits, prune)
     keys = [*index.by, "qid", "id"]
-    added = checkpoint(phrase_scores(index, several))
+    added = phrase_scores(index, several)
+    if not wants_pruning(index, singles, prune):
+        both = score_all(index, singles).unionByName(added)
+        return top_k(both.groupBy(*keys).agg(F.sum("score").alias("score")), n, index.by, digits)
+    added, _ = stored(added)
     holders = added.select(*keys)
-    by_words = best(index, singles, n, None, prune).select(*keys, "score").join(holders, keys, "left_anti")
+    by_words = best(index, singles, n, None, True).select(*keys, "score").join(holders, keys, "left_anti")
     words = join_postings(index, singles, [*index.by, "term"], ["qid", *PART_COLUMNS]).join(holders, keys, "left_semi")
     both = words.select(*keys, singles.part.alias("score")).unionByName(added)
     whole = both.groupBy(*keys).agg(F.sum("score").alias("score"))

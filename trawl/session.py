@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A table is broadcast only when its measured size stays below this many bytes.
@@ -60,15 +60,39 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def measure(df: DataFrame) -> tuple[int, int]:
-    """Rows of ``df`` and the bytes it would take as a broadcast table: one aggregate job."""
+def _broadcast_bytes(df: DataFrame) -> Column:
+    """Bytes a row of ``df`` would take in a broadcast table."""
     size = F.lit(ROW_OVERHEAD)
     for name, dtype in df.dtypes:
-        size = size + (F.coalesce(F.octet_length(name), F.lit(0)) if dtype == "string" else F.lit(8))
-    measured = df.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+        if dtype == "string":
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif dtype == "array<string>":
+            size = size + F.coalesce(F.octet_length(F.array_join(name, "  ")), F.lit(0))
+        else:
+            size = size + F.lit(8)
+    return size.cast("long")
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and the bytes it would take as a broadcast table: one aggregate job."""
+    measured = df.agg(F.count("*"), F.coalesce(F.sum(_broadcast_bytes(df)), F.lit(0))).first()
     return measured[0], measured[1]
 
 
+def stored(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``df`` written to the shared scratch folder and read again, and what was counted on the way.
+
+    Counted are ``rows``, the ``bytes`` of a broadcast of them, and the sums of the given columns.
+    """
+    seen = Observation()
+    counts = [F.count("*").alias("rows"), F.sum(_broadcast_bytes(df)).alias("bytes")]
+    counts += [F.sum(column).alias(name) for name, column in sums.items()]
+    path = scratch_dir(df.sparkSession)
+    df.observe(seen, *counts).write.parquet(path)
+    counted = {name: value or 0 for name, value in seen.get.items()}
+    return df.sparkSession.read.schema(df.schema).parquet(path), counted
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; for a file scan it comes from the listing Spark has made."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
