@@ -463,7 +463,7 @@ def phrases_of(phrases, without):
     return [p for p in {tuple(p): p for p in phrases}.values() if tuple(p) not in without]
 
 
-def test_a_phrase_is_one_pass_over_selective_postings(spark, toy_docs):
+def test_places_are_read_for_selective_postings_only(spark, toy_docs):
     docs = spark.createDataFrame([(f"d{i}", f"the of w{i} the of") for i in range(50)], "id string, contents string")
     index = build_index(docs, positional=True)
     phrases = spark.createDataFrame([("the of w7 the".split(),), ("of w9".split(),), ("w3 the of".split(),)], "phrase array<string>")
@@ -473,3 +473,38 @@ def test_a_phrase_is_one_pass_over_selective_postings(spark, toy_docs):
     assert len(scans) == 1 and "In(term" in scans[0] and not re.search(r"[\[,](the|of)[,\]]", scans[0])
     assert not [s for s in plan.split("\n") if "hashpartitioning(id" in s]
     assert {(" ".join(r.phrase), r.id) for r in found.collect()} == {("the of w7 the", "d7"), ("of w9", "d9"), ("w3 the of", "d3")}
+
+
+@pytest.mark.parametrize("cell", [4, 4096])
+@pytest.mark.parametrize("density", [0.0, 0.1, 0.9, 1.0])
+def test_padding_at_any_density(spark, monkeypatch, cell, density):
+    import random
+
+    monkeypatch.setattr(lexical, "CELL", cell)
+    rng = random.Random(density)
+    rows = [(f"d{i:03d}", "a" if rng.random() < density else "b") for i in range(90)]
+    rng.shuffle(rows)
+    index = build_index(spark.createDataFrame(rows, "id string, contents string"))
+    topics = topics_of(spark, "a", "b", "zebra", "a b")
+    scores = {qid: {} for qid in ("q1", "q2", "q3", "q4")}
+    every = bm25(index, topics, idf="classic")
+    for r in every.collect():
+        scores[r.qid][r.id] = round(r.score, 10)
+    for n in (1, 7, 40, 100):
+        got = pad(top_k(every, n), index, topics, n, every).collect()
+        for qid, known in scores.items():
+            want = sorted((-known.get(i, 0.0), i) for i, _ in rows)[:n]
+            assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.qid == qid] == [i for _, i in want]
+
+
+def test_padding_by_corpus_at_any_density(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "CELL", 3)
+    rows = [(c, f"{i:02d}", "a" if i % k else "b") for c, k in (("x", 2), ("y", 9), ("z", 1)) for i in range(20)]
+    index, topics = build_index(spark.createDataFrame(rows, "c string, id string, contents string"), by=("c",)), topics_of(spark, "a", "b")
+    every = bm25(index, topics, idf="classic")
+    known = {(r.c, r.qid, r.id): round(r.score, 10) for r in every.collect()}
+    got = pad(top_k(every, 6, by=("c",)), index, topics, 6, every).collect()
+    for c in "xyz":
+        for qid in ("q1", "q2"):
+            want = sorted((-known.get((c, qid, i), 0.0), i) for d, i, _ in rows if d == c)[:6]
+            assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if (r.c, r.qid) == (c, qid)] == [i for _, i in want]

@@ -39,7 +39,7 @@ PAGE_ROWS = 4096
 # Words in this share of some first documents count as frequent; an index with positions stores the
 # places of pairs with a frequent word. It decides the layout only, not what is found.
 FREQUENT_SHARE = 0.3
-FREQUENT_FROM = 2000
+FREQUENT_FROM = 400
 # Kinds of rows of the postings table, a partition each.
 DOCUMENT, POSTING, PAIR = 0, 1, 2
 
@@ -314,10 +314,12 @@ def _counts_of(docs: DataFrame, facts: dict) -> DataFrame:
 
 def _frequent_words(docs: DataFrame, analyzer: str) -> list[str]:
     """Words in a good share of some first documents."""
-    some = analyse(docs.limit(FREQUENT_FROM), analyzer).select(F.array_distinct("tokens").alias("tokens"))
-    words = some.select(F.explode_outer("tokens").alias("term"), F.lit(1).alias("one")).groupBy("term").count()
-    total = some.count()
-    return sorted(r.term for r in words.filter(F.col("count") > FREQUENT_SHARE * total).collect() if r.term)
+    # The empty word counts the documents.
+    words = F.array_union(ANALYZERS[analyzer](F.col("contents")), F.array(F.lit("")))
+    found = docs.limit(FREQUENT_FROM).select(F.explode(words).alias("term")).groupBy("term").count()
+    counts = {r.term: r["count"] for r in found.collect()}
+    least = FREQUENT_SHARE * counts.pop("", 0)
+    return sorted(term for term, n in counts.items() if n > least)
 
 
 def build_index(

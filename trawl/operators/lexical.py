@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from trawl.functions.text import ANALYZERS, clean_query, query_words
 from trawl.operators.index import Index
-from trawl.operators.topk import limit_rows_to
-from trawl.session import BROADCAST_BYTES, checkpoint, measure, stored
+from trawl.operators.topk import top_k
+from trawl.session import BROADCAST_BYTES, shuffle_partitions, stored
 
 # k1 and b of the two BM25 flavours.
 K1, B = 0.9, 0.4
@@ -28,6 +28,9 @@ SQUARES_LIMIT = 1.64493406685
 # Floor of the FTS5 idf.
 MIN_IDF = 1e-6
 
+# Places of ids that are looked into together when lists are filled up.
+CELL = 4096
+
 # In a shuffled join a term with more than this share of all postings is split. At most
 # 1 / HOT_SHARE terms can exceed it, so the list of hot terms is always small.
 HOT_SHARE = 1e-4
@@ -204,26 +207,35 @@ def phrase_units(phrase: Column, frequent: tuple[str, ...]) -> Column:
 def match_phrases(index: Index, phrases: DataFrame) -> DataFrame:
     """``(by, phrase, id, tf, len)``: documents holding the tokens of a phrase next to each other, in order.
 
-    One pass over the postings of the phrase's units, none of which is a frequent word of its own;
-    all postings of a document lie in one bucket, so they meet without a shuffle.
+    The units of a phrase, none of which is a frequent word of its own, are looked up twice: for the
+    documents that hold all of them, and for their places there. All postings of a document lie in
+    one bucket, so they meet without a shuffle.
     """
     if not index.positional:
         raise ValueError("phrases need an index with positions")
     by, shared = list(index.by), _keys(index.by, phrases)
     distinct = phrases.select(*shared, "phrase").filter(F.size("phrase") > 0).distinct()
-    units = distinct.withColumn("units", phrase_units(F.col("phrase"), index.frequent))
-    units, counted = stored(units.select(*shared, "phrase", F.size("units").alias("needed"), F.inline_outer("units")))
+    numbered = distinct.withColumn("number", F.monotonically_increasing_id())
+    units = numbered.withColumn("units", phrase_units(F.col("phrase"), index.frequent))
+    units, counted = stored(units.select(*shared, "phrase", "number", F.size("units").alias("needed"), F.inline_outer("units")))
     few = sorted({r.term for r in units.select("term").collect()}) if counted["rows"] <= FEW_TERMS else None
     small = 2 * counted["bytes"] <= BROADCAST_BYTES
     weighted = Weighted(units, F.lit(0.0), counted["rows"], small, few)
-    found = join_postings(replace(index, postings=index.units), weighted, [*shared, "term"], ["phrase", "offset", "needed"])
+    units_of = replace(index, postings=index.units)
+    # Documents that hold all units somewhere; their places are read for these alone.
+    present = join_postings(units_of, weighted, [*shared, "term"], ["number", "needed"]).select(*by, "number", "needed", "id")
+    whole = present.groupBy(*by, "number", "needed", "id").count().filter(F.col("count") == F.col("needed"))
+    whole, size = stored(whole.select(*by, "number", "id"))
+    found = join_postings(units_of, weighted, [*shared, "term"], ["number", "offset", "needed"])
+    found = found.join(F.broadcast(whole) if 2 * size["bytes"] <= BROADCAST_BYTES else whole, [*by, "number", "id"], "left_semi")
     begins = F.filter(F.transform("positions", lambda p: p - F.col("offset")), lambda p: p >= 0)
-    met = found.select(*by, "phrase", "needed", "id", "len", begins.alias("begins")).groupBy(*by, "phrase", "needed", "id").agg(
-        F.collect_list("begins").alias("begins"), F.max("len").alias("len"))
-    common = F.aggregate(
-        F.slice("begins", 2, F.size("begins")), F.get("begins", F.lit(0)), lambda a, b: F.array_intersect(a, b))
-    tf = F.when(F.size("begins") == F.col("needed"), F.size(common)).otherwise(0)
-    return met.select(*by, "phrase", "id", tf.alias("tf"), "len").filter("tf > 0")
+    starts = found.select(*by, "number", "needed", "id", "len", F.explode(begins).alias("start"))
+    # Where all units of a phrase agree on its beginning.
+    met = starts.groupBy(*by, "number", "needed", "id", "start").agg(F.count("*").alias("n"), F.max("len").alias("len"))
+    held = met.filter(F.col("n") == F.col("needed")).groupBy(*by, "number", "id").agg(F.count("*").cast("int").alias("tf"), F.max("len").alias("len"))
+    # Every phrase has one unit at its very beginning.
+    names = units.filter("offset = 0").select("number", "phrase")
+    return held.join(F.broadcast(names) if small else names, "number").select(*by, "phrase", "id", "tf", "len")
 
 
 def fts5_terms(index: Index, phrases: DataFrame, k1: float = FTS5_K1, b: float = FTS5_B) -> Weighted:
@@ -330,14 +342,6 @@ def match_any(index: Index, topics: DataFrame) -> DataFrame:
     return join_postings(index, weighted, [*index.by, "term"], ["qid"]).select(*index.by, "qid", "id").distinct()
 
 
-def _first_ids(index: Index, n: int) -> DataFrame:
-    """``(by, first)``: the n smallest ids of each corpus as one array, cut in every partition before they meet."""
-    limit_rows_to(index.doclens.sparkSession, n)
-    smallest = F.row_number().over(Window.partitionBy(*index.by).orderBy("id"))
-    ids = index.doclens.select(*index.by, "id").withColumn("nth", smallest).filter(F.col("nth") <= n)
-    return ids.groupBy(*index.by).agg(F.sort_array(F.collect_list("id")).alias("first"))
-
-
 def _all_lists(index: Index, topics: DataFrame) -> DataFrame:
     """``(by, qid)`` of every list: a topic that names no corpus has one in each."""
     named = topics.select(*_keys(index.by, topics), "qid").distinct()
@@ -350,21 +354,53 @@ def _all_lists(index: Index, topics: DataFrame) -> DataFrame:
     return named.select("*", F.inline(F.from_json(F.lit(json.dumps(corpora)), f"array<struct<{schema}>>")))
 
 
-def _zeros(index: Index, lists: DataFrame, matches: DataFrame, n: int, k: int) -> DataFrame:
-    """``(by, qid, zeros, enough)``: up to n ids that match nothing, among the k smallest of each corpus.
-
-    ``enough`` tells that there are n, or that the corpus has no more than k ids.
+def _ranked_ids(index: Index, first: int | None) -> DataFrame:
+    """``(by, id, pos)``: places from 0 of the ids of each corpus in order, of all or of the ``first``."""
+    by, ids = list(index.by), index.doclens.select(*index.by, "id")
+    if first is not None:
+        one = ids.select("*", F.lit("").alias("qid"), F.lit(0.0).alias("score"))
+        return top_k(one, first, index.by, None, index.buckets).select(*by, "id", (F.col("rank") - 1).cast("long").alias("pos"))
+    parts = shuffle_partitions(ids.sparkSession)
+    inside = ids.repartitionByRange(parts, *by, "id").sortWithinPartitions(*by, "id").select(
+        *by, "id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
+    inside, _ = stored(inside)
+    # One row per range and corpus: how many ids of the corpus lie in the ranges before.
+    sizes = inside.groupBy(*by, "part").agg(F.count("*").alias("size"), F.min("place").alias("least"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    placed = inside.join(offsets, [*by, "part"]) if by else inside.join(offsets, "part")
+    return placed.select(*by, "id", (F.col("offset") + F.col("place") - F.col("least")).alias("pos"))
+
+
+def _free_places(lists: DataFrame, placed: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``(keys, pos)``: the n smallest places of each list below its ``limit`` that are not among ``placed``.
+
+    Places are counted in cells of ``CELL``. How many are free before a cell follows from its number
+    and the matches before it, so only cells with the n first free places are looked into; between
+    cells with matches all is free. No group is larger than a cell.
     """
-    keys = [*index.by, "qid"]
-    first = F.broadcast(_first_ids(index, k))
-    ids = F.broadcast(_first_ids(index, k).select(*index.by, F.explode("first").alias("id")))
-    inside = matches.join(ids, [*index.by, "id"], "left_semi").groupBy(*keys).agg(F.collect_set("id").alias("inside"))
-    lists = lists.join(inside, keys, "left")
-    # Without corpora there is one row of first ids.
-    lists = lists.join(first, list(index.by)) if index.by else lists.join(first)
-    others = F.array_except("first", F.coalesce("inside", F.array().cast("array<string>")))
-    enough = (F.size(others) >= n) | (F.size("first") < k)
-    return lists.select(*keys, F.slice(others, 1, n).alias("zeros"), enough.alias("enough"))
+    cells = placed.groupBy(*keys, F.floor(F.col("pos") / CELL).alias("cell")).agg(F.count("*").alias("taken"))
+    end = F.ceil(F.col("limit") / CELL)
+    every = cells.join(lists, keys).select(*keys, "limit", "cell", "taken").unionByName(
+        lists.select(*keys, "limit", end.alias("cell"), F.lit(0).cast("long").alias("taken")))
+    in_order = Window.partitionBy(*keys).orderBy("cell")
+    earlier = F.coalesce(F.sum("taken").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.coalesce(F.lag("cell").over(in_order), F.lit(-1))
+    seen = every.select(*keys, "limit", "cell", "taken", earlier.alias("earlier"), last.alias("last"))
+    begin = (F.col("last") + 1) * CELL
+    stop = F.least(F.col("cell") * CELL, F.col("limit"))
+    gaps = seen.select(*keys, begin.alias("begin"), stop.alias("stop"), (begin - F.col("earlier")).alias("free"))
+    gaps = gaps.filter((F.col("free") < n) & (F.col("begin") < F.col("stop")))
+    between = gaps.select(*keys, F.explode(F.sequence("begin", F.least("stop", F.col("begin") + n - F.col("free")) - 1)).alias("pos"))
+    first = F.col("cell") * CELL
+    size = F.least(F.lit(CELL).cast("long"), F.col("limit") - first)
+    mixed = seen.filter((first - F.col("earlier") < n) & (F.col("taken") > 0) & (F.col("taken") < size)).select(
+        *keys, "cell", size.alias("size"), (F.lit(n) - first + F.col("earlier")).cast("int").alias("wanted"))
+    held = placed.withColumn("cell", F.floor(F.col("pos") / CELL)).join(mixed, [*keys, "cell"])
+    held = held.groupBy(*keys, "cell", "size", "wanted").agg(F.collect_list("pos").alias("taken"))
+    free = F.array_except(F.sequence(first, first + F.col("size") - 1), "taken")
+    inside = held.select(*keys, F.explode(F.slice(free, F.lit(1), F.col("wanted"))).alias("pos"))
+    return between.unionByName(inside)
 
 
 def pad(hits: DataFrame, index: Index, topics: DataFrame, n: int, matches: DataFrame | None = None) -> DataFrame:
@@ -372,24 +408,21 @@ def pad(hits: DataFrame, index: Index, topics: DataFrame, n: int, matches: DataF
 
     The n smallest ids that match nothing lie among the 2n smallest ids of the corpus, as long as no
     score is negative. If some are, they may have to leave for the padding; ``matches`` must then hold
-    ``(by, qid, id)`` of every match, and lists that match most small ids look at more of them.
-    Topics without hits are padded too. Lists hold at most n hits, so each is handled as one array.
+    ``(by, qid, id)`` of every match, and all ids are put in order. Topics without hits are padded too.
     """
     keys = [*index.by, "qid"]
     every = _all_lists(index, topics)
-    k = 2 * n
-    zeros = _zeros(index, every, hits if matches is None else matches, n, k)
-    if matches is not None:
-        zeros = checkpoint(zeros)
-        while not (short := zeros.filter("NOT enough").select(*keys)).isEmpty():
-            k *= 8
-            zeros = checkpoint(zeros.filter("enough").unionByName(_zeros(index, short, matches, n, k)))
-    entry = F.struct((F.lit(0.0) - F.col("score")).alias("cost"), "id")
-    found = hits.groupBy(*keys).agg(F.collect_list(entry).alias("hits"))
-    none = F.array().cast("array<struct<cost:double,id:string>>")
-    lists = zeros.join(found, keys, "left").select(*keys, "zeros", F.coalesce("hits", none).alias("hits"))
-    filled = F.transform("zeros", lambda i: F.struct(F.lit(0.0).alias("cost"), i.alias("id")))
-    padded = lists.select(*keys, F.slice(F.sort_array(F.concat("hits", filled)), 1, n).alias("hits"))
-    ranked = padded.select(*keys, F.posexplode_outer("hits").alias("nth", "hit")).filter("nth IS NOT NULL")
-    score = F.lit(0.0) - F.col("hit.cost")
-    return ranked.select(*keys, "hit.id", score.alias("score"), (F.col("nth") + 1).alias("rank"))
+    first = 2 * n if matches is None else None
+    ranked, _ = stored(_ranked_ids(index, first))
+    sizes = index.stats.select(*index.by, (F.least("n", F.lit(first)) if first else F.col("n")).cast("long").alias("limit"))
+    if index.by:
+        lists = every.join(sizes, list(index.by))
+    else:
+        one = sizes.first()
+        lists = every.withColumn("limit", F.lit(one.limit if one else 0).cast("long"))
+    lists, _ = stored(lists)
+    placed, _ = stored((hits if matches is None else matches).select(*keys, "id").join(ranked, [*index.by, "id"]).select(*keys, "pos"))
+    free, size = stored(_free_places(lists, placed, keys, n))
+    named = ranked.join(F.broadcast(free) if 2 * size["bytes"] <= BROADCAST_BYTES else free, [*index.by, "pos"])
+    zeros = named.select(*keys, "id", F.lit(0.0).alias("score"))
+    return top_k(hits.select(*keys, "id", "score").unionByName(zeros), n, index.by, digits=None)
