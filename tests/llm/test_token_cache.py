@@ -59,3 +59,18 @@ def test_only_distinct_misses_are_encoded(spark, tmp_path, monkeypatch):
     rows = result(count_tokens(more, cache, PACKING_TOKENIZER, kind="tokenizers"))
     assert rows == by_hand([(1, "text 1"), (2, "text new"), (3, None)], lambda t: len(other.encode(t, add_special_tokens=False).ids))
     assert len(encoded) == 3 and len(encoded[2]) == 3
+
+
+def test_rows_that_repeat_with_their_ids_are_encoded_once(spark, tmp_path, monkeypatch):
+    encoded = []
+    encode = token_cache.encode_misses
+
+    def spy(texts, model, kind):
+        encoded.extend(r.text for r in texts.collect())
+        return encode(texts, model, kind)
+
+    monkeypatch.setattr(token_cache, "encode_misses", spy)
+    rows = [(7, "one text")] * 20 + [(None, "nameless")] * 40 + [(None, None)] * 5 + [(8, "one text"), (9, "alone"), (9, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert result(count_tokens(df, str(tmp_path / "c"), COUNTING_TOKENIZER)) == by_hand(rows, counter())
+    assert sorted(encoded) == ["", "alone", "nameless", "one text", "other"]

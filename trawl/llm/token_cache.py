@@ -89,12 +89,20 @@ def count_tokens(
     text = whole_text(text_col)
     named = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
     keyed = stored(named.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")))
-    # Copies collapse before the shuffle; one row of each unknown text stands for all of them.
-    distinct = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    misses = stored(distinct.join(open_cache(spark, cache, version), "digest", "left_anti"))
-    one = misses.select(F.col("digest").alias("miss"), F.col("doc_id").alias("miss_id"))
+    # Copies collapse before the shuffle; one row of each unknown text stands for all of them, with the
+    # id that the fewest copies share.
+    each = keyed.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    distinct = each.groupBy("digest").agg(F.min(F.struct("n", "doc_id")).alias("one"))
+    misses = stored(distinct.join(open_cache(spark, cache, version), "digest", "left_anti").select("digest", "one.*"))
     stands = (F.col("digest") == F.col("miss")) & F.col("doc_id").eqNullSafe(F.col("miss_id"))
-    texts = named.join(one, stands, "left_semi")
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        one = some.select(F.col("digest").alias("miss"), F.col("doc_id").alias("miss_id"))
+        return named.join(one, stands, "left_semi").select("digest", "text")
+
+    texts = texts_of(misses.filter("n = 1"))
+    if not (repeated := misses.filter("n > 1")).isEmpty():
+        texts = texts.unionByName(texts_of(repeated).dropDuplicates(["digest"]))
     encode_misses(texts, model, kind).write.mode("append").parquet(f"{cache.rstrip('/')}/{version}")
     # Written apart from the aggregate above it, so that Spark can split the rows of a frequent digest.
     counts = stored(open_cache(spark, cache, version).join(distinct.select("digest"), "digest", "left_semi"))
