@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.tables import let_workers_import, map_texts, stored, whole_text
-from trawl.session import scratch_dir
+from trawl.session import qualified, scratch_dir
 
 #: Payloads of at least this many bytes are written once; later rows refer to them.
 REVISIT_BYTES = 100
@@ -283,9 +283,7 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
     Digests and lengths come from the payloads as read; a revisit has those of the record it names.
     """
-    folder = f"{scratch_dir(pages.sparkSession)}/packages"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    folder = qualified(pages.sparkSession, f"{scratch_dir(pages.sparkSession)}/packages")
     packages = write_packages(pages, folder, id_col, url_col, html_col)
     read = stored(read_packages(packages).select(
         "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -296,6 +294,8 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
         F.max("payload_bytes").alias("payload_bytes"))
     revisits = read.filter("record_type = 'revisit'").select(
         "page_id", "refers_to", F.col("stated_digest").alias("payload_digest"), "record_type")
-    resolved = revisits.join(named, ["refers_to", "payload_digest"])
+    resolved = revisits.join(named, ["refers_to", "payload_digest"], "left")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("no response for a revisit of"), "refers_to", "payload_digest"))
+    resolved = resolved.withColumn("payload_bytes", F.when(F.col("payload_bytes").isNull(), lost).otherwise(F.col("payload_bytes")))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(resolved.select(*columns))
