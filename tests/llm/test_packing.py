@@ -131,3 +131,31 @@ def test_order_of_files_is_kept(spark, tmp_path):
         packed = place(pieces, bucket_pieces=500).collect()
         assert [r.doc_id // 500 for r in packed] == [r.sequence_id >> 32 for r in packed]
         assert sorted(r.doc_id for r in packed) == list(range(3000)) and packing.ORDER not in packed[0]
+
+
+def test_other_columns_stay_whatever_their_names(spark):
+    names = ["row", "bucket", "turn", "record", "p", "ids"]
+    rows = [(i, 0, 1 + i % 50, *(f"{name}{i}" for name in names), 5) for i in range(200)]
+    schema = "doc_id long, start long, length long, " + ", ".join(f"{n} string" for n in names) + ", offset long"
+    packed = place(spark.createDataFrame(rows, schema), window=64, bucket_pieces=90)
+    assert packed.columns == ["doc_id", "start", "length", *names, "sequence_id", "offset"]
+    for r in packed.collect():
+        assert [r[name] for name in names] == [f"{name}{r.doc_id}" for name in names]
+    used = defaultdict(list)
+    for r in packed.collect():
+        used[r.sequence_id].append((r.offset, r.length))
+    for pieces in used.values():
+        ends = [0, *(a + b for a, b in sorted(pieces))]
+        assert [a for a, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 64
+
+
+def test_tokenizers_that_keep_blanks_read_whole_texts(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    rows = [(1, "two words  and\n\nlines "), (2, " a b"), (3, None), (4, "x" * 5000 + " y")]
+    pieces = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    for doc_id, text in rows:
+        ids = b"".join(r.ids for r in sorted(pieces, key=lambda r: r.start) if r.doc_id == doc_id)
+        assert np.frombuffer(ids, "<u4").tolist()[:-1] == own.encode(text or "", add_special_tokens=False).ids

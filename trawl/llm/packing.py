@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.tables import let_workers_import, map_texts, stored, whole_text, worker_memo
+from trawl.llm.tables import RECORD, let_workers_import, map_texts, stored, whole_text, worker_memo
 
 WINDOW = 2048
 #: Closes every document.
@@ -85,12 +85,12 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
 
 
 class WordIds:
-    """Token ids of words as little-endian 32-bit numbers, each distinct word encoded once.
+    """Token ids of texts as little-endian 32-bit numbers.
 
-    For tokenizers that drop white space and never join what stands on two sides of it. Where the
-    tokenizer lower-cases, splits runs of letters from all else and works on bytes, as its own
-    description tells, Latin words go straight to its merges, and a full stop or comma behind a word
-    is looked up apart.
+    Where the tokenizer drops white space, lower-cases, splits runs of letters from all else and
+    works on bytes, as its own description tells, each distinct word is encoded once: Latin words go
+    straight to its merges, and a full stop or comma behind a word is looked up apart. With any other
+    tokenizer texts are encoded whole.
     """
 
     #: Letters up to here have one lower-case form each, the same in every library, but for one.
@@ -136,8 +136,6 @@ class WordIds:
         return found
 
     def _new(self, words: set[str]) -> dict[str, bytes]:
-        if not self.plain:
-            return self._whole(list(words))
         fresh, rest, ends = {}, [], self._whole([".", ","])
         for word in words:
             end = ends.get(word[-1:], b"")
@@ -150,6 +148,9 @@ class WordIds:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
+        if not self.plain:
+            every = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            return [array("I", e.ids).tobytes() for e in every]
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
@@ -262,6 +263,8 @@ def _ranges(pieces: DataFrame, count: int, buckets: int) -> DataFrame:
 def place(pieces: DataFrame, window: int = WINDOW, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with ``doc_id, start, length``; other columns stay.
 
+    Columns of these two names that come in are replaced.
+
     Every row gets its place, whatever the number of rows; offsets of a sequence have no gaps. Of
     equal lengths the smaller id comes first. Sequence ids are unique, not consecutive.
 
@@ -271,7 +274,9 @@ def place(pieces: DataFrame, window: int = WINDOW, bucket_pieces: int = BUCKET_P
     """
     let_workers_import(pieces.sparkSession)
     in_order = ORDER in pieces.columns
-    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()))
+    record = F.struct(*(F.col(f"`{c}`") for c in pieces.columns if c not in (ORDER, "sequence_id", "offset")))
+    pieces = stored(pieces.select(
+        record.alias(RECORD), "doc_id", "start", "length", *([ORDER] if in_order else []), F.monotonically_increasing_id().alias("row")))
     count = pieces.count()
     buckets = max(1, -(-count // bucket_pieces))
     if in_order:
@@ -290,7 +295,7 @@ def place(pieces: DataFrame, window: int = WINDOW, bucket_pieces: int = BUCKET_P
 
     kept = ", ".join(f"`{name}` {kind}" for name, kind in bucketed.dtypes)
     packed = bucketed.groupBy("bucket").applyInArrow(pack, f"{kept}, sequence_id long, offset long")
-    return packed.drop("row", "bucket", *(["turn"] if in_order else []))
+    return packed.select(f"{RECORD}.*", "sequence_id", "offset")
 
 
 def pack_documents(
