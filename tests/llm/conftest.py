@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-CLASHES = "row, digest, record, slot, stream, label, bucket, start, kept, place, part, key, node"
+CLASHES = "row, digest, record, slot, stream, label, bucket, start, kept, place, part, key, node, _whole, _order, _cell, bands"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
     f"{name} string" for name in CLASHES.split(", "))
 

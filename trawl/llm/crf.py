@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.tables import map_texts, whole_text, worker_memo
+from trawl.llm.tables import RECORD, map_texts, whole_text, worker_memo
 
 #: Labelled rows per language that the field is fitted to, and languages at most (the most frequent).
 SAMPLE_ROWS = 120
@@ -415,11 +415,13 @@ def _chunks(texts: pa.Array) -> Iterator[list[str]]:
         yield chunk
 
 
-def drop_unclear(docs: DataFrame, least: float = LEAST_SCORE, **columns: str) -> DataFrame:
+def drop_unclear(
+    docs: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+) -> DataFrame:
     """Rows whose text has a language with at least this score; all columns unchanged.
 
     Texts in two or three languages stay; what goes has no letters, or no language for a third of its words.
     """
-    record = docs.select("*", F.struct(F.col("*")).alias("_whole"))
-    found = languages(record, keep=["_whole"], **columns)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("kept._whole.*")
+    named = (F.col(column).alias(name) for column, name in ((id_col, "doc_id"), (text_col, "text"), (lang_col, "lang")))
+    found = languages(docs.select(F.struct(F.col("*")).alias(RECORD), *named), keep=[RECORD])
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(f"kept.{RECORD}.*")

@@ -7,7 +7,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.session import scratch_dir
@@ -46,7 +46,7 @@ def same_text(left: str = "doc_id", right: str = "lost_id") -> Column:
 def keep_one(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that ``keyed (doc_id, digest, kept)`` keeps, each once, all columns unchanged.
 
-    ``kept`` is one value for rows with equal id and text. The texts are read again rather than
+    ``kept`` is one value for rows with equal id and text; of those one stays, always the same. The texts are read again rather than
     copied, and shuffled to the lost rows, which are the smaller side of every partition.
     """
     each = stored(keyed.groupBy("doc_id", "digest", "kept").agg(F.count("*").alias("n")))
@@ -57,9 +57,10 @@ def keep_one(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str) -> D
         F.col(id_col).alias("doc_id"), digest_of(whole_text(text_col)).alias("digest"), F.struct(F.col("*")).alias(RECORD))
     left = marked.join(lost.hint(SMALLER), same_text(), "left_anti")
     if not repeated.isEmpty():
-        one = Window.partitionBy("doc_id", "digest").orderBy(F.lit(0))
-        first = left.join(repeated, same_text(), "left_semi").withColumn("turn", F.row_number().over(one)).filter("turn = 1")
-        left = left.join(repeated, same_text(), "left_anti").unionByName(first.drop("turn"))
+        # Of rows that differ in other columns the one whose JSON comes first; they collapse before the shuffle.
+        again = left.join(repeated, same_text(), "left_semi")
+        first = again.groupBy("doc_id", "digest").agg(F.min_by(RECORD, F.to_json(RECORD)).alias(RECORD))
+        left = left.join(repeated, same_text(), "left_anti").unionByName(first)
     return left.select(f"{RECORD}.*")
 
 
