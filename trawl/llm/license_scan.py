@@ -2,10 +2,11 @@
 
 Template texts are indexed by their words. Document frequencies over the whole corpus give every
 template word its IDF. In a file, the license words of highest IDF look up their postings
-``(template, position)``; hits that agree on the place where the template would begin are counted,
-and where enough of them agree, the aligned words are compared and the template's mandatory key
-phrases are looked for nearby. Plain phrases are found by the same index: a phrase is a template
-of which every word must stand in its place.
+``(template, position)``; hits that agree, give or take a few words, on the place where the template
+would begin are counted. Where enough of them agree, the template's words are matched in order within
+the window, so that words put in or left out do no harm, and its mandatory key phrases are looked
+for there. Plain phrases are found by the same index: a phrase is a template of which every word
+must stand in its place.
 """
 
 from __future__ import annotations
@@ -33,22 +34,41 @@ TEMPLATES = [
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
             "associated documentation files", ["free of charge", "obtaining a copy"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial "
+            "portions of the software", ["substantial portions of the software"]),
     ("apache", "licensed under the apache license version 2 0", ["apache license"]),
     ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is "
                "distributed on an as is basis", ["agreed to in writing"]),
     ("gpl", "this work is licensed under the gnu general public license version 3", ["general public license"]),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
             "general public license", ["general public license"]),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu "
+             "lesser general public license as published by the free software foundation", ["lesser general public license"]),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+             "affero general public license as published by the free software foundation", ["affero general public license"]),
     ("cc", "licensed under cc by nc 4 0", ["licensed under", "cc by"]),
     ("cc", "this work is licensed under a creative commons attribution license", ["creative commons"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
      ["source and binary forms"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+            "following disclaimer in the documentation and or other materials provided with the distribution",
+     ["list of conditions"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+            "granted provided that the above copyright notice and this permission notice appear in all copies",
+     ["with or without fee"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held "
+             "liable for any damages arising from the use of this software", ["authors be held liable"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["public domain"]),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software "
+              "and accompanying documentation covered by this license", ["person or organization"]),
     ("mpl", "this source code form is subject to the terms of the mozilla public license", ["mozilla public license"]),
 ]
 #: Rarest words of a template that are looked up in its postings.
 RARE_WORDS = 6
 #: Part of a template's IDF that must be found in place.
 COVERAGE = 0.7
+#: Words by which places may differ, and by which a window is wider than its template on either side.
+SLACK = 4
 
 #: Maps A-Z to a-z and every byte that is not of a word to a blank; bytes of other scripts stay.
 _PLAIN = bytes(
@@ -100,8 +120,32 @@ def build_index(frequencies: dict[str, int], documents: int, templates=TEMPLATES
     return Index(parsed, whole_idf, rare_idf, fixed, idf, dict(postings), dict(anchors))
 
 
-def _has(words: list[bytes], phrase: list[bytes], start: int, end: int) -> bool:
-    return any(words[i:i + len(phrase)] == phrase for i in range(max(0, start), min(end, len(words) - len(phrase) + 1)))
+def _has(words: list[bytes], phrase: list[bytes]) -> bool:
+    return any(words[i:i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
+
+
+def in_order(template: list[bytes], window: list[bytes], idf: dict[bytes, float]) -> float:
+    """The most IDF of template words that stand in the window in the template's order."""
+    best = [0.0] * (len(window) + 1)
+    for word in template:
+        weight, diagonal = idf[word], 0.0
+        for i, found in enumerate(window, 1):
+            above = best[i]
+            best[i] = max(above, best[i - 1], diagonal + weight if found == word else 0.0)
+            diagonal = above
+    return best[-1]
+
+
+def agreeing(index: Index, number: int, begins: dict[int, set[int]]) -> Iterator[int]:
+    """Places that a rare word in its place gives as the template's begin and that enough others agree with.
+
+    ``begins`` has the places of rare words in the template, by the begin they give. Each counts once.
+    """
+    template = index.templates[number][1]
+    for begin in sorted(begins):
+        near = set().union(*(begins.get(begin + d, ()) for d in range(-SLACK, SLACK + 1)))
+        if sum(index.idf[template[place]] for place in near) >= COVERAGE * index.rare_idf[number]:
+            yield begin
 
 
 def scan(index: Index, words: list[bytes]) -> tuple[list[int], set[str], set[str], float]:
@@ -110,7 +154,7 @@ def scan(index: Index, words: list[bytes]) -> tuple[list[int], set[str], set[str
     starts, base, labels, score = [], set(), set(), 0.0
     if not lookups:
         return starts, base, labels, score
-    votes: dict[tuple[int, int], float] = Counter()
+    begins: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
     for at, word in enumerate(words):
         if word not in lookups:
             continue
@@ -120,17 +164,15 @@ def scan(index: Index, words: list[bytes]) -> tuple[list[int], set[str], set[str
                 starts.append(at - place)
                 base.add(label)
         for number, place in index.postings.get(word, ()):
-            votes[number, at - place] += index.idf[word]
-    for (number, start), found in votes.items():
-        if found < COVERAGE * index.rare_idf[number]:
-            continue
+            begins[number][at - place].add(place)
+    for number, found in begins.items():
         label, template, keys = index.templates[number]
-        inside = [(w, i) for i, w in enumerate(template, start) if 0 <= i < len(words)]
-        covered = sum(index.idf[w] for w, i in inside if words[i] == w) / index.whole_idf[number]
-        end = start + len(template)
-        if covered >= COVERAGE and all(_has(words, key, start - 2, end + 2) for key in keys):
-            labels.add(label)
-            score = max(score, min(1.0, covered))
+        for begin in agreeing(index, number, found):
+            window = words[max(0, begin - SLACK):max(0, begin + len(template) + SLACK)]
+            covered = round(in_order(template, window, index.idf) / index.whole_idf[number], 12)
+            if covered >= COVERAGE and all(_has(window, key) for key in keys):
+                labels.add(label)
+                score = max(score, min(1.0, covered))
     if base:
         score = max(score, COVERAGE)
     return starts, base, base | labels, score
@@ -165,7 +207,7 @@ def licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, id_col: str
     ``starts`` lists the first words of all phrase places. A text without words, or null, has none
     of anything and score 0. Of several matches of one label only the label counts; a tie between
     templates changes nothing, since labels are sets. ``score`` is the largest part of a matched
-    template's IDF found in place, at least ``COVERAGE`` where a phrase stands, else 0.
+    template's IDF found in order, at least ``COVERAGE`` where a phrase stands, else 0.
     """
     index = build_index(*document_frequencies(docs, vocabulary(templates, phrases), text_col), templates, phrases)
     named = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
