@@ -119,3 +119,49 @@ def test_no_topics(spark):
 
 def test_norm(spark):
     assert table(spark, [("a", [3.0, 4.0])]).select(norm(F.col("embedding"))).first()[0] == 5.0
+
+
+def test_floors_keep_rows_out_of_the_merge(spark, data, monkeypatch):
+    docs, topics = data
+    # Eight tasks, which the copies do not fill.
+    others = [d for d in docs if not "d100" <= d[0] < "d240"]
+    df = spark.sparkContext.parallelize(others, 8).toDF("id string, embedding array<double>")
+    docs, asked = others, table(spark, topics, "qid", "vector")
+    monkeypatch.setattr(dense, "SLAB_BYTES", 20 * 8 * 8)
+    monkeypatch.setattr(dense, "FLOOR_ROWS", 120)
+    monkeypatch.setattr(dense, "FLOORS_FROM", float("inf"))
+    without = dense.candidates(df, asked, 10).count()
+    monkeypatch.setattr(dense, "FLOORS_FROM", 0)
+    assert dense.candidates(df, asked, 10).count() < 0.7 * without
+    for n in (1, 10, 150, 1000):
+        assert result(cosine_top_k(df, asked, n)) == brute(docs, topics, n)
+    parted = df.withColumn("lang", F.when(F.col("id") < "d350", "a").otherwise("b"))
+    rows = cosine_top_k(parted, asked, 20, by=("lang",)).collect()
+    for lang, own in (("a", [d for d in docs if d[0] < "d350"]), ("b", [d for d in docs if d[0] >= "d350"])):
+        assert {(r.qid, r.id): (round(r.score, 6), r["rank"]) for r in rows if r.lang == lang} == brute(own, topics, 20)
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_scratch_addresses(spark, data, tmp_path, monkeypatch, scheme):
+    docs, topics = data
+    monkeypatch.setattr(dense, "scratch_dir", lambda _: f"{scheme}{tmp_path}/s")
+    assert result(cosine_top_k(table(spark, docs), table(spark, topics, "qid", "vector"), 3)) == brute(docs, topics, 3)
+
+
+def test_queries_that_are_gone_are_an_error(spark, data, tmp_path, monkeypatch):
+    docs, topics = data
+    monkeypatch.setattr(dense, "scratch_dir", lambda _: str(tmp_path / "s"))
+    hits = cosine_top_k(table(spark, docs), table(spark, topics, "qid", "vector"), 3)
+    gone = next((tmp_path / "s" / "topics").glob("*.parquet"))
+    gone.unlink()
+    with pytest.raises(Exception, match="No such file|FileNotFound"):
+        hits.collect()
+
+
+def test_corpora_of_any_type(spark):
+    import datetime
+
+    rows = [("a", [1.0, 0.0], datetime.date(2020, 1, 1), 1.5, True), ("b", [0.0, 1.0], None, 2.5, False)]
+    docs = spark.createDataFrame(rows, "id string, embedding array<double>, day date, x double, yes boolean")
+    found = cosine_top_k(docs, table(spark, [("q", [1.0, 1.0])], "qid", "vector"), 5, by=("day", "x", "yes")).collect()
+    assert {(r.id, r.day, r.x, r.yes, r["rank"]) for r in found} == {("a", datetime.date(2020, 1, 1), 1.5, True, 1), ("b", None, 2.5, False, 1)}
