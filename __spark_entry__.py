@@ -315,6 +315,12 @@ def q_index_whitespace(spark, sf):
     return _shown(search(_topics(spark, sf), [index], n=HITS, analyzer="plain"))
 
 
+def q_index_fts5(spark, sf):
+    """Contents stored as stems, which the index folds and stems once more, ids with them."""
+    index = index_contents(load_sparse(_docs(spark, sf), "english"), "fts5")
+    return _shown(search(_topics(spark, sf), [index], flavour="fts5", n=HITS))
+
+
 def q_phrase_match(spark, sf):
     clauses = _topics(spark, sf).select(F.explode_outer(F.split("contents", r"[.,\n]+")).alias("clause"))
     phrases = clauses.select(plain_tokens(F.col("clause")).alias("phrase")).filter(F.size("phrase") > 1)
@@ -352,6 +358,12 @@ def q_ts_rank_norm(spark, sf):
     return _shown(best(index, ts_rank_terms(index, _topics(spark, sf), norm=1), HITS))
 
 
+def q_ts_rank_english(spark, sf):
+    """English analysis and scores divided by the logarithm of the length."""
+    index = _index(spark, sf, analyzer="english")
+    return _shown(best(index, ts_rank_terms(index, _topics(spark, sf), norm=1), HITS))
+
+
 def q_ts_rank_by_group(spark, sf):
     return _shown(sparse_hits(_group_index(spark, sf, analyzer="simple"), _topics(spark, sf), "ts_rank", HITS))
 

@@ -5,6 +5,8 @@ Core SQL only: no full-text extension. Each statement stands alone; shared CTEs
 
 from __future__ import annotations
 
+import re
+
 from trawl.functions.stem import STEP_2, STEP_3, STEP_4
 
 PLAIN = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -243,6 +245,50 @@ ENGLISH = rf"""list_transform(list_filter(
         regexp_extract_all({_MARKED}, '{_LETTERS}(?:[^\p{{L}}\p{{N}}_\s]{_MARK}{_LETTERS})*'),
         lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]')), lambda t: regexp_replace(replace(t, '{_MARK}', ''), '[''’＇]s$', ''))"""
 
+WHITE = r"regexp_extract_all({}, '\S+')"
+
+
+def analysed(source: str, name: str, key: str) -> str:
+    """CTE ``name (key, contents)``: English analysis of a table with the same columns, stems joined by blanks."""
+    return f"""{name}_cut AS (SELECT {key}, list_filter({ENGLISH}, lambda t: NOT list_contains({STOP}, t)) AS tokens FROM {source}),
+        {name}_places AS (SELECT {key}, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS place FROM {name}_cut),
+        {name}_joined AS (SELECT {key}, string_agg(stem, ' ' ORDER BY place) AS contents FROM {name}_places JOIN stems USING (word) GROUP BY {key}),
+        {name} AS (SELECT r.{key}, coalesce(j.contents, '') AS contents FROM {source} r LEFT JOIN {name}_joined j USING ({key}))"""
+
+
+_RAW = """raw_docs AS (SELECT doc_id::VARCHAR AS id, text AS contents FROM documents),
+        raw_topics AS (SELECT item_id::VARCHAR AS qid, text AS contents FROM benchmark)"""
+_RAW_WORDS = f"""words AS (SELECT DISTINCT unnest({ENGLISH}) AS word FROM (SELECT contents FROM raw_docs UNION ALL SELECT contents FROM raw_topics))"""
+#: Documents and topics after English analysis.
+STEMMED = f"""{_RAW}, {_RAW_WORDS}, {stems('words')}, {analysed('raw_docs', 'docs', 'id')}, {analysed('raw_topics', 'topics', 'qid')}"""
+_AGAIN = stems("twice_words")
+for _name in re.findall(r"(\w+) AS \(", _AGAIN):
+    _AGAIN = re.sub(rf"\b{_name}\b", f"again_{_name}", _AGAIN)
+
+ENGLISH_TS_RANK = f"""{index_ctes(WHITE, docs=STEMMED)},
+    qwords AS (SELECT DISTINCT qid, unnest({WHITE.format('contents')}) AS term FROM topics),
+    qsize AS (SELECT qid, count(*) AS terms FROM qwords GROUP BY qid),
+    ts AS (SELECT q.qid, p.id, sum(0.1 / 1.64493406685 * list_sum(list_transform(range(1, least(tf, 255) + 1), lambda j: 1.0::DOUBLE / (j * j))))
+            / any_value(z.terms) / log2(any_value(d.len) + 1) AS score
+        FROM qwords q JOIN postings p USING (term) JOIN qsize z ON z.qid = q.qid JOIN doclens d ON d.id = p.id GROUP BY q.qid, p.id)"""
+
+#: Stored contents are stems already; the index folds and stems them, and the ids, once more.
+TWICE_STEMMED = f"""{STEMMED},
+    pieces AS (SELECT id, NULL AS qid, list_concat({FOLDED.format('id')}, {FOLDED.format('contents')}) AS tokens FROM docs
+        UNION ALL SELECT NULL, qid, {FOLDED.format('contents')} FROM topics),
+    spots AS (SELECT id, qid, unnest(tokens) AS word FROM pieces),
+    twice_words AS (SELECT DISTINCT word FROM spots), {_AGAIN},
+    stemmed AS (SELECT id, qid, stem AS term FROM spots JOIN again_stems USING (word)),
+    postings AS (SELECT id, term, count(*) AS tf FROM stemmed WHERE id IS NOT NULL GROUP BY id, term),
+    vocab AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+    doclens AS (SELECT id, len(tokens) AS len FROM pieces WHERE id IS NOT NULL),
+    stats AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avgdl FROM doclens),
+    qcounts AS (SELECT qid, term, count(*) AS qtf FROM stemmed WHERE qid IS NOT NULL GROUP BY qid, term),
+    twice AS (SELECT q.qid, p.id, sum(q.qtf
+            * CASE WHEN s.n - v.df + 0.5 <= v.df + 0.5 THEN 1e-6 ELSE ln((s.n - v.df + 0.5) / (v.df + 0.5)) END
+            * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * d.len / s.avgdl))) AS score
+        FROM qcounts q JOIN postings p USING (term) JOIN vocab v USING (term) JOIN doclens d ON d.id = p.id, stats s GROUP BY q.qid, p.id)"""
+
 ORACLES: dict[str, str] = {
     "load_sparse": f"SELECT doc_id::VARCHAR AS id, array_to_string({PLAIN.format('text')}, ' ') AS contents FROM documents",
     "load_dense": """SELECT vec_id::VARCHAR AS id, len(embedding) AS dim,
@@ -309,6 +355,8 @@ ORACLES: dict[str, str] = {
         {without_self(ranked('fused', 10, 'lang, qid', None), 'lang, qid')}""",
     "ts_rank_topk": f"WITH {ts_rank(0)} {top('ts', 10)}",
     "ts_rank_norm": f"WITH {ts_rank(1)} {top('ts', 10)}",
+    "ts_rank_english": f"WITH {ENGLISH_TS_RANK} {top('ts', 10)}",
+    "index_fts5": f"WITH {TWICE_STEMMED} {without_self(top('twice', 10))}",
     "search_sparse": f"WITH {BM25} {without_self(top('bm25', 10))}",
     "dense_topk": f"WITH {COSINE} {top('cosine', 10)}",
     "self_filter": f"WITH {COSINE} {without_self(top('cosine', 10))}",
