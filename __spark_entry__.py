@@ -32,10 +32,11 @@ from trawl.operators.topk import drop_self, top_k
 from trawl.plans.search import index_contents, search, sparse_hits
 from trawl.session import checkpoint, scratch_dir
 from trawl.sources.corpus import (
-    load_dense, load_sparse, num_rows, parse_json_lines, parse_tsv_lines, read_parquet_rows, read_raw, read_table,
+    load_dense, load_sparse, num_rows, open_table, parse_json_lines, parse_tsv_lines, read_parquet_rows, read_raw, read_table,
     read_topics, write_parsed, write_table,
 )
 from trawl.sources.trec import read_qrels, read_run, run_lines, run_tag, write_run
+from trawl.streaming.follow import follow_index, follow_table
 
 SMALL = "/root/testdata/sf0.001"
 DIMENSION = 64
@@ -186,7 +187,22 @@ def q_table_appended(spark, sf):
     write_table(_turns(spark, sf), path)
     write_table(_docs(spark, sf), path)
     write_table(_turns(spark, sf), path, append=True)
-    return spark.read.parquet(path).select("id", F.length("contents").alias("chars"))
+    return open_table(spark, path).select("id", F.length("contents").alias("chars"))
+
+
+def _growing(spark: SparkSession, sf: str, follow: Callable[[str], None]) -> None:
+    """A folder that holds the documents at first, the turns of the conversations as well later on."""
+    folder = scratch_dir(spark)
+    for name, rows in (("a", _docs(spark, sf)), ("b", _turns(spark, sf))):
+        _files(rows, f"{folder}/{name}", ".jsonl", write_parsed)
+        follow(f"{folder}/*")
+
+
+def q_table_followed(spark, sf):
+    """A stored table to which only the new files of a folder are added."""
+    path, checkpoint_dir = scratch_dir(spark), scratch_dir(spark)
+    _growing(spark, sf, lambda folder: follow_table(spark, folder, path, "sparse", checkpoint_dir, pretokenized=True))
+    return open_table(spark, path).select("id", F.length("contents").alias("chars"))
 
 
 def q_nul_replaced(spark, sf):
@@ -309,6 +325,13 @@ def q_index_extended(spark, sf):
     return _shown(sparse_hits(open_index(spark, path), _topics(spark, sf), "bm25", HITS))
 
 
+def q_index_followed(spark, sf):
+    """An index to which only the new files of a folder are added."""
+    path, checkpoint_dir = scratch_dir(spark), scratch_dir(spark)
+    _growing(spark, sf, lambda folder: follow_index(spark, folder, path, checkpoint_dir, analyzer="plain"))
+    return _shown(search(_topics(spark, sf), [open_index(spark, path)], n=HITS, analyzer="plain"))
+
+
 def q_index_whitespace(spark, sf):
     """Contents analysed before they were stored, and read again by blanks alone."""
     index = index_contents(load_sparse(_docs(spark, sf), "plain"), "bm25")

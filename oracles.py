@@ -331,6 +331,7 @@ ORACLES: dict[str, str] = {
     "bm25_padded_by_group": f"WITH {BM25_BY_GROUP}, {PADDED_BY_GROUP} {top('padded', 1500, 'lang, qid')}",
     "index_reopened": f"WITH {BM25} {top('bm25', 10)}",
     "index_extended": f"WITH {bm25(docs=MORE_DOCS)} {top('bm25', 10)}",
+    "index_followed": f"WITH {bm25(docs=MORE_DOCS)} {without_self(top('bm25', 10))}",
     "index_whitespace": f"WITH {BM25} {without_self(top('bm25', 10))}",
     "bm25_by_group": f"WITH {BM25_BY_GROUP} {top('bm25', 10, 'lang, qid')}",
     "phrase_match": rf"""WITH {index_ctes(PLAIN)}, {TOPICS},
@@ -388,6 +389,8 @@ ORACLES: dict[str, str] = {
         printf('%.8f', embedding[-1]::DOUBLE) AS last FROM embeddings""",
     "table_appended": f"""WITH {TURNS} SELECT doc_id::VARCHAR AS id, length(text) AS chars FROM documents
         UNION ALL SELECT id, length(text) FROM turns""",
+    "table_followed": f"""WITH {TURNS} SELECT doc_id::VARCHAR AS id, length(text) AS chars FROM documents
+        UNION ALL SELECT id, length(text) FROM turns""",
     "nul_replaced": "SELECT doc_id::VARCHAR AS id, lang || chr(65533) || text AS contents FROM documents",
     "read_topics": f"""WITH {TOPICS}, {VECTORS}, {FULL_TOPICS} SELECT qid, contents, len(vector) AS dim,
         round(sqrt(list_sum(list_transform(vector, lambda x: x * x))), 6) AS norm FROM full_topics""",

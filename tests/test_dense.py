@@ -87,11 +87,11 @@ def test_corpora_have_rankings_of_their_own(spark, data):
 
 
 def test_stored_norms_are_used(spark, tmp_path):
-    from trawl.sources.corpus import write_table
+    from trawl.sources.corpus import open_table, write_table
 
     docs = table(spark, [("a", [3.0, 4.0]), ("b", [0.0, 2.0])])
     write_table(docs, str(tmp_path / "t"))
-    stored = spark.read.parquet(str(tmp_path / "t"))
+    stored = open_table(spark, str(tmp_path / "t"))
     assert {r.id: r.norm for r in stored.collect()} == {"a": 5.0, "b": 2.0}
     topics = table(spark, [("q", [1.0, 0.0])], "qid", "vector")
     assert result(cosine_top_k(stored, topics, 2)) == result(cosine_top_k(docs, topics, 2))

@@ -106,9 +106,9 @@ def test_write_table_replaces_and_appends(spark, tmp_path):
     one = spark.createDataFrame([("1", "a")], "id string, contents string")
     corpus.write_table(one, path)
     corpus.write_table(one.withColumn("id", F.lit("2")), path, append=True)
-    assert corpus.num_rows(spark.read.parquet(path)).first().num_rows == 2
+    assert corpus.num_rows(corpus.open_table(spark, path)).first().num_rows == 2
     corpus.write_table(one, path)
-    assert corpus.num_rows(spark.read.parquet(path)).first().num_rows == 1
+    assert corpus.num_rows(corpus.open_table(spark, path)).first().num_rows == 1
 
 
 def test_topics(spark, tmp_path):
@@ -144,4 +144,36 @@ def test_an_append_of_known_ids_is_an_error(spark, tmp_path):
     corpus.write_table(one, path)
     with pytest.raises(ValueError, match="duplicate id"):
         corpus.write_table(one, path, append=True)
-    assert spark.read.parquet(path).count() == 1
+    assert corpus.open_table(spark, path).count() == 1
+
+
+def test_a_replacement_that_breaks_off_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    one = spark.createDataFrame([("1", "a")], "id string, contents string")
+    corpus.write_table(one, path)
+    opened = corpus.open_table(spark, path)
+    fails = one.withColumn("contents", F.raise_error(F.lit("lost")).cast("string"))
+    for append in (False, True):
+        with pytest.raises(Exception, match="lost|duplicate"):
+            corpus.write_table(fails, path, append)
+    with monkeypatch.context() as patch:
+        patch.setattr(corpus.manifest, "publish", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            corpus.write_table(one.withColumn("contents", F.lit("b")), path)
+    assert corpus.open_table(spark, path).collect() == [("1", "a")]
+    # Whoever opened the table before a replacement can go on with it; of two before nothing is left.
+    corpus.write_table(one.withColumn("contents", F.lit("b")), path)
+    assert opened.collect() == [("1", "a")] and corpus.open_table(spark, path).collect() == [("1", "b")]
+    corpus.write_table(one.withColumn("contents", F.lit("c")), path)
+    named = [p["name"] for p in corpus.manifest.newest(spark, path)["parts"]]
+    assert len(named) == 1 and corpus.open_table(spark, path).collect() == [("1", "c")]
+    with pytest.raises(ValueError, match="no table"):
+        corpus.open_table(spark, str(tmp_path / "none"))
+
+
+def test_a_batch_is_added_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one, two = (spark.createDataFrame([(i, "a")], "id string, contents string") for i in "12")
+    for batch, rows in (("s/0", one), ("s/1", two), ("s/1", two), ("s/0", one)):
+        corpus.write_table(rows, path, append=True, batch=batch)
+    assert sorted(r.id for r in corpus.open_table(spark, path).collect()) == ["1", "2"]

@@ -15,7 +15,6 @@ breaks off leaves the index as it was, and a rebuild leaves no time without one.
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 import uuid
 from dataclasses import dataclass
@@ -23,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from trawl import manifest
 from trawl.functions.text import ANALYZERS
 from trawl.session import plan_bytes, qualified, quoted, scratch_dir, shuffle_partitions
 
@@ -212,62 +212,23 @@ def _table_name(folder: str) -> str:
     return f"trawl_{hashlib.md5(folder.encode()).hexdigest()}_postings"
 
 
-def _hadoop(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    hadoop, system = _hadoop(spark, path)
-    system.delete(hadoop, True)
-
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    """Names of what stands in a folder, none if there is no such folder."""
-    hadoop, system = _hadoop(spark, path)
-    return sorted(status.getPath().getName() for status in system.listStatus(hadoop)) if system.exists(hadoop) else []
-
-
-def _generations(spark: SparkSession, path: str) -> list[str]:
-    return [name for name in _names(spark, f"{path}/manifests") if name.endswith(".json")]
-
-
 def _manifest(spark: SparkSession, path: str) -> dict:
     """What the newest manifest says."""
-    every = _generations(spark, path)
-    if not every:
+    facts = manifest.newest(spark, path)
+    if facts is None:
         raise ValueError(f"no index in {path}")
-    return _read_json(spark, f"{path}/manifests/{every[-1]}")
-
-
-def _read_json(spark: SparkSession, file: str) -> dict:
-    hadoop, system = _hadoop(spark, file)
-    stream = system.open(hadoop)
-    try:
-        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-
-
-def _publish(spark: SparkSession, path: str, manifest: dict) -> None:
-    """Make ``manifest`` the newest: written aside, then given the next number by a rename."""
-    every = _generations(spark, path)
-    number = 1 + int(every[-1].split(".")[0]) if every else 1
-    aside, system = _hadoop(spark, f"{path}/manifests/.{uuid.uuid4().hex}")
-    out = system.create(aside)
-    out.write(bytearray(json.dumps(manifest), "utf-8"))
-    out.close()
-    target, _ = _hadoop(spark, f"{path}/manifests/{number:08d}.json")
-    if system.exists(target) or not system.rename(aside, target):
-        raise RuntimeError(f"another build or extension of {path} came first")
-    # A reader that opened the build before this one can go on; of older builds nothing stays.
-    older = {name: _read_json(spark, f"{path}/manifests/{name}")["build"] for name in every}
-    before = [build for build in older.values() if build != manifest["build"]]
-    for name, build in older.items():
-        if build not in (manifest["build"], *before[-1:]):
-            for gone in (f"manifests/{name}", build):
-                _remove(spark, f"{path}/{gone}")
-            spark.sql(f"DROP TABLE IF EXISTS {_table_name(f'{path}/{build}')}")
+    return facts
+
+
+def _publish(spark: SparkSession, path: str, facts: dict) -> None:
+    """Make ``facts`` the newest manifest. The build before this one stays, for who has it open; older ones go."""
+    older = manifest.publish(spark, path, facts)
+    before = [held["build"] for held in older.values() if held["build"] != facts["build"]]
+    for name, held in older.items():
+        if held["build"] not in (facts["build"], *before[-1:]):
+            for gone in (f"{manifest.FOLDER}/{name}", held["build"]):
+                manifest.remove(spark, f"{path}/{gone}")
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(f'{path}/{held['build']}')}")
 
 
 def _append(flat: DataFrame, folder: str, buckets: int) -> dict:
@@ -330,12 +291,14 @@ def build_index(
     positional: bool = False,
     path: str | None = None,
     buckets: int | None = None,
+    batch: str | None = None,
 ) -> Index:
     """Analyse ``docs (by, id, contents)`` once and write the index tables.
 
     ``path`` defaults to a new folder under the shared checkpoint folder; an index that stands there
     is replaced, in one step and after all else. ``positional`` stores the places of terms, for
-    phrases. An id that occurs twice in a corpus is an error.
+    phrases. An id that occurs twice in a corpus is an error. ``batch`` names these documents for
+    ``extend_index``.
     """
     spark = docs.sparkSession
     path = qualified(spark, path or scratch_dir(spark))
@@ -344,10 +307,10 @@ def build_index(
         "with_id": with_id, "positional": positional, "frequent": _frequent_words(docs, analyzer) if positional else [],
         "versions": [], "vocab": [],
     }
-    return _add(docs, path, facts, 1)
+    return _add(docs, path, facts, 1, batch)
 
 
-def _add(docs: DataFrame, path: str, facts: dict, version: int) -> Index:
+def _add(docs: DataFrame, path: str, facts: dict, version: int, batch: str | None) -> Index:
     """Write ``docs`` as a version of a build, and what follows from them alone; then publish it."""
     spark, by = docs.sparkSession, tuple(facts["by"])
     folder = f"{path}/{facts['build']}"
@@ -356,11 +319,11 @@ def _add(docs: DataFrame, path: str, facts: dict, version: int) -> Index:
     if facts["versions"]:
         _catalogued(spark, folder, facts["fields"], facts["buckets"])
     counted = _append(flat, folder, facts["buckets"])
-    facts["versions"] = [*facts["versions"], {"version": version, **counted}]
+    facts["versions"] = [*facts["versions"], {"version": version, "batch": batch, **counted}]
     table = _rows(spark.table(_table_name(folder)), facts)
     twice = table.filter(F.col("kind") == DOCUMENT).groupBy(*by, "id").count().filter("count > 1").select("id").take(3)
     if twice:
-        _remove(spark, f"{folder}/postings/version={version}")
+        manifest.remove(spark, f"{folder}/postings/version={version}")
         raise ValueError(f"duplicate id: {[row[0] for row in twice]}")
     own = table.filter(F.col("version") == version)
     bounds = own.filter(F.col("kind") == POSTING).groupBy(*by, "term", "block").agg(
@@ -385,7 +348,7 @@ def _merged(spark: SparkSession, folder: str, by: tuple[str, ...], vocab: list[d
         both = spark.read.parquet(*(f"{folder}/vocab/{part['name']}" for part in vocab[-2:]))
         sums = both.groupBy(*by, "term").agg(F.sum("df").alias("df")).sortWithinPartitions("term")
         # What a merge that broke off has left is written over.
-        _remove(spark, f"{folder}/vocab/{name}")
+        manifest.remove(spark, f"{folder}/vocab/{name}")
         vocab = [*vocab[:-2], {"name": name, "rows": _write(sums, f"{folder}/vocab/{name}")}]
     return vocab
 
@@ -452,25 +415,27 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return _opened(spark, path, facts, table)
 
 
-def extend_index(docs: DataFrame, path: str) -> Index:
+def extend_index(docs: DataFrame, path: str, batch: str | None = None) -> Index:
     """Add documents to a written index; only they are analysed and counted.
 
     Of what was indexed before, only the ids are read. An id the index has already, or that occurs
-    twice, is an error and changes nothing.
+    twice, is an error and changes nothing. A ``batch`` that the index holds is not added again.
     """
     spark = docs.sparkSession
     path = qualified(spark, path)
     facts = _manifest(spark, path)
+    if batch is not None and batch in [v["batch"] for v in facts["versions"]]:
+        return open_index(spark, path)
     # A version whose extension broke off keeps its number; its rows count no more.
-    used = [int(name.split("=")[1]) for name in _names(spark, f"{path}/{facts['build']}/postings") if name.startswith("version=")]
+    used = [int(name.split("=")[1]) for name in manifest.names(spark, f"{path}/{facts['build']}/postings") if name.startswith("version=")]
     used += [v["version"] for v in facts["versions"]]
-    return _add(docs, path, facts, 1 + max(used))
+    return _add(docs, path, facts, 1 + max(used), batch)
 
 
 def drop_index(spark: SparkSession, path: str) -> None:
     """Remove an index, its files and its names in the session's catalog."""
     path = qualified(spark, path)
-    for name in _names(spark, path):
+    for name in manifest.names(spark, path):
         if name.startswith("build-"):
             spark.sql(f"DROP TABLE IF EXISTS {_table_name(f'{path}/{name}')}")
-    _remove(spark, path)
+    manifest.remove(spark, path)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl import manifest
 from trawl.functions.text import replace_nul, tokenize
 from trawl.functions.vectors import as_vector, norm, text_precision
-from trawl.session import spread
+from trawl.session import qualified, spread
 
 SPARSE, DENSE = "sparse", "dense"
 DEFAULT_DIMENSION = 768
@@ -158,16 +161,43 @@ def read_table(
     return require_unique(table)
 
 
-def write_table(df: DataFrame, path: str, append: bool = False) -> None:
+def write_table(df: DataFrame, path: str, append: bool = False, batch: str | None = None) -> None:
     """Create, replace or extend a stored sparse or dense table; a dense one stores the norms too.
 
-    An id that an append would bring twice is an error, and nothing is written.
+    The rows are written to a folder of their own and then take effect in one step: a replacement
+    that breaks off leaves the table as it was. An id that an append would bring twice is an error,
+    and nothing is added. A ``batch`` that the table holds is not added again.
     """
-    columns = ["id", "contents"] if kind_of(df) == SPARSE else ["id", "embedding", norm(F.col("embedding")).alias("norm")]
-    if append:
-        known = df.sparkSession.read.parquet(path).select("id")
-        require_unique(df.select("id").unionByName(known))
-    df.select(*columns).write.mode("append" if append else "overwrite").parquet(path)
+    spark = df.sparkSession
+    path = qualified(spark, path)
+    kind = kind_of(df)
+    columns = ["id", "contents"] if kind == SPARSE else ["id", "embedding", norm(F.col("embedding")).alias("norm")]
+    held = manifest.newest(spark, path) if append else None
+    parts = held["parts"] if held else []
+    if batch is not None and batch in [part["batch"] for part in parts]:
+        return
+    if parts:
+        require_unique(df.select("id").unionByName(open_table(spark, path).select("id")))
+    part = {"name": f"part-{uuid.uuid4().hex}", "batch": batch}
+    df.select(*columns).write.parquet(f"{path}/{part['name']}")
+    older = manifest.publish(spark, path, {"kind": kind, "parts": [*parts, part]})
+    if not parts:
+        # The table before this one stays, for who has it open; older ones go.
+        for name, before in list(older.items())[:-1]:
+            kept = {p["name"] for p in list(older.values())[-1]["parts"]}
+            manifest.remove(spark, f"{path}/{manifest.FOLDER}/{name}")
+            for gone in before["parts"]:
+                if gone["name"] not in kept:
+                    manifest.remove(spark, f"{path}/{gone['name']}")
+
+
+def open_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``write_table`` stored."""
+    path = qualified(spark, path)
+    held = manifest.newest(spark, path)
+    if held is None:
+        raise ValueError(f"no table in {path}")
+    return spark.read.parquet(*(f"{path}/{part['name']}" for part in held["parts"]))
 
 
 def num_rows(df: DataFrame) -> DataFrame:
