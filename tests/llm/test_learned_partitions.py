@@ -32,14 +32,26 @@ def vectors(spark):
 
 
 def test_one_part_is_exact(vectors):
+    vectors = vectors.filter("vec_id < 300")
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in vectors.collect()]
     got, want = result(vectors), by_hand(rows)
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert all(abs(g[3] - w[3]) < 1e-11 for g, w in zip(got, want))
 
 
+@pytest.mark.parametrize("sf, parts", [("sf0.01", 2), ("sf0.1", 8)])
+def test_recall_on_given_tables_comes_from_several_parts(spark, monkeypatch, sf, parts):
+    fitted, fit_parts = [], learned_partitions.fit
+    monkeypatch.setattr(learned_partitions, "fit", lambda sample, n: (fitted.append(n), fit_parts(sample, n))[1])
+    vectors = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in vectors.collect()]
+    got, want = result(vectors), by_hand(rows)
+    hits = {g[:1] + g[2:3] for g in got} & {w[:1] + w[2:3] for w in want}
+    assert fitted == [parts] and len(got) == len(want) and len(hits) / len(want) >= 0.95
+
+
 def test_recall_with_many_parts(vectors, monkeypatch):
-    monkeypatch.setattr(learned_partitions, "ROWS_PER_PART", 40)
+    monkeypatch.setattr(learned_partitions, "SAMPLE_PER_PART", 40)
     monkeypatch.setattr(learned_partitions, "BLOCK_ROWS", 30)
     monkeypatch.setattr(learned_partitions, "BLOCK_QUERIES", 4)
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in vectors.collect()]
@@ -69,6 +81,7 @@ def test_no_rows_and_no_queries(spark):
 
 def test_copies_of_one_vector(spark, monkeypatch):
     monkeypatch.setattr(learned_partitions, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(learned_partitions, "SAMPLE_PER_PART", 1000)
     df = spark.range(900).select(
         F.col("id").alias("vec_id"),
         F.when(F.col("id") % 3 == 0, F.array(F.lit(0.6), F.lit(0.8))).otherwise(

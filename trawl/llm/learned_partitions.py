@@ -24,9 +24,8 @@ SAMPLE_ROWS = 8192
 #: Neighbours per node of the graph, and nodes compared with all others at a time.
 DEGREE = 10
 GRAPH_ROWS = 128
-#: One part for so many rows, up to MAX_PARTS parts.
-ROWS_PER_PART = 2000
-MAX_PARTS = 32
+#: One part for so many vectors of the sample.
+SAMPLE_PER_PART = 250
 #: A part may hold this much more than its even share of the sample.
 IMBALANCE = 1.05
 #: Part of the sample's true neighbours that the visited parts must hold.
@@ -225,7 +224,7 @@ def nearest(
     rate = min(1.0, 1.2 * SAMPLE_ROWS / max(1, total))
     hashed = usable.filter(F.pmod(F.xxhash64(F.lit("sample"), "vec_id"), F.lit(1 << 30)) <= int(rate * (1 << 30)))
     sample = np.array([r[0] for r in hashed.select("vector").limit(SAMPLE_ROWS).collect()])
-    parts = int(np.clip(total // ROWS_PER_PART, 1, MAX_PARTS))
+    parts = max(1, len(sample) // SAMPLE_PER_PART)
     router = fit(sample, parts) if len(sample) else Router(np.zeros((1, 1)), np.zeros(1), 1)
     shared = spark.sparkContext.broadcast(router)
 
