@@ -23,6 +23,7 @@ from trawl.functions.vectors import norm
 from trawl.operators.dense import cosine_top_k
 from trawl.operators.evaluate import combine_topics, judge_by_runs, mean_ndcg, ndcg
 from trawl.operators.fusion import rrf
+from trawl.operators.grouped import group_table, grouped_top_k
 from trawl.operators.index import (
     Index, build_index, corpus_stats, doc_freq, doc_lengths, extend_index, open_index, postings_of,
 )
@@ -406,6 +407,11 @@ def q_dense_topk(spark, sf):
     return _shown(cosine_top_k(_vectors(spark, sf), _full_topics(spark, sf), HITS))
 
 
+def q_dense_grouped(spark, sf):
+    """The same from a table in groups around pivots, whose bounds tell what need not be read."""
+    return _shown(grouped_top_k(group_table(_vectors(spark, sf)), _full_topics(spark, sf), HITS))
+
+
 def q_dense_by_group(spark, sf):
     return _shown(search(_full_topics(spark, sf), [_group_vectors(spark, sf)], n=HITS, by=("lang",)))
 

@@ -360,6 +360,7 @@ ORACLES: dict[str, str] = {
     "index_fts5": f"WITH {TWICE_STEMMED} {without_self(top('twice', 10))}",
     "search_sparse": f"WITH {BM25} {without_self(top('bm25', 10))}",
     "dense_topk": f"WITH {COSINE} {top('cosine', 10)}",
+    "dense_grouped": f"WITH {COSINE} {top('cosine', 10)}",
     "self_filter": f"WITH {COSINE} {without_self(top('cosine', 10))}",
     "rrf_row_number": f"""WITH {BM25_PADDED}, {COSINE_TAIL}, {fused('padded', 1000, 'row_number')}
         {ranked('fused', 1000, digits=None)}""",

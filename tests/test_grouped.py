@@ -1,0 +1,79 @@
+import numpy as np
+import pytest
+
+from trawl.operators import grouped
+from trawl.operators.dense import cosine_top_k
+from trawl.operators.grouped import group_table, grouped_top_k, open_groups
+
+SCHEMA = "id string, embedding array<double>"
+ASKED = "qid string, vector array<double>"
+
+
+def clustered(seed=3, rows=1200, centres=30, dim=16):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dim))
+    vectors = middle[rng.integers(centres, size=rows)] + 0.15 * rng.normal(size=(rows, dim))
+    vectors[100:500] = vectors[7]  # a third of all rows are copies
+    topics = [(f"q{i}", (middle[i] + 0.1 * rng.normal(size=dim)).tolist()) for i in range(8)] + [("copy", vectors[7].tolist())]
+    return [(f"d{i:04d}", v.tolist()) for i, v in enumerate(vectors)], topics
+
+
+def lists(df):
+    return sorted((r.qid, r["rank"], r.id, r.score) for r in df.collect())
+
+
+@pytest.mark.parametrize("n", [1, 10, 450, 2000])
+def test_hits_are_those_of_a_full_search(spark, n):
+    docs, topics = clustered()
+    df, asked = spark.createDataFrame(docs, SCHEMA).repartition(4), spark.createDataFrame(topics, ASKED)
+    assert lists(grouped_top_k(group_table(df), asked, n)) == lists(cosine_top_k(df, asked, n))
+
+
+def test_hits_without_any_structure(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(f"d{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(300, 12)))], SCHEMA)
+    asked = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(5, 12)))], ASKED)
+    for pivots in (1, 5, 60):
+        assert lists(grouped_top_k(group_table(df, pivots=pivots), asked, 7)) == lists(cosine_top_k(df, asked, 7))
+
+
+def test_most_groups_are_not_read(spark, monkeypatch):
+    docs, topics = clustered()
+    df, asked = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(topics[:3], ASKED)
+    table = group_table(df)
+    read, search = [], grouped.candidates
+
+    def spy(rows, some, *args, **kwargs):
+        read.append(rows.count())
+        assert "In(group" in rows._jdf.queryExecution().executedPlan().toString() or rows.count() < 600
+        return search(rows, some, *args, **kwargs)
+
+    monkeypatch.setattr(grouped, "candidates", spy)
+    monkeypatch.setattr(grouped, "cosine_top_k", lambda *_: pytest.fail("everything was read"))
+    assert lists(grouped_top_k(table, asked, 5)) == lists(cosine_top_k(df, asked, 5))
+    assert sum(read) < 0.5 * len(docs) and table.groups.count() > 15
+
+
+def test_bounds_hold_and_a_stored_table_opens_again(spark, tmp_path):
+    docs, _ = clustered()
+    group_table(spark.createDataFrame(docs, SCHEMA), str(tmp_path / "g"))
+    table = open_groups(spark, str(tmp_path / "g"))
+    pivots = {r.group: r for r in table.groups.collect()}
+    assert sum(r["size"] for r in pivots.values()) == len(docs) == table.rows.count()
+    for r in table.rows.collect():
+        unit = np.array(r.embedding) / np.linalg.norm(r.embedding)
+        angle = np.arccos(np.clip(unit @ np.array(pivots[r.group].pivot), -1, 1))
+        assert pivots[r.group].least - 1e-6 <= angle <= pivots[r.group].most + 1e-6
+
+
+def test_rows_and_topics_without_a_cosine(spark):
+    nan = float("nan")
+    docs = [("a", [1.0, 0.0]), ("z", [0.0, 0.0]), ("n", None), ("nan", [nan, 1.0]), ("hole", [None, 1.0]), ("b", [0.0, 2.0])]
+    df = spark.createDataFrame(docs, SCHEMA)
+    asked = spark.createDataFrame([("q", [2.0, 0.0]), ("zero", [0.0, 0.0]), ("null", None)], ASKED)
+    assert lists(grouped_top_k(group_table(df), asked, 5)) == [("q", 1, "a", 1.0), ("q", 2, "b", 0.0)]
+    none = spark.createDataFrame([], SCHEMA)
+    assert lists(grouped_top_k(group_table(none), asked, 5)) == []
+    assert lists(grouped_top_k(group_table(df), asked.filter("qid = 'none'"), 5)) == []
+    with pytest.raises(Exception, match="embedding lengths"):
+        grouped_top_k(group_table(df), spark.createDataFrame([("q", [1.0])], ASKED), 5).collect()
