@@ -228,7 +228,7 @@ def _publish(spark: SparkSession, path: str, facts: dict) -> None:
         if held["build"] not in (facts["build"], *before[-1:]):
             for gone in (f"{manifest.FOLDER}/{name}", held["build"]):
                 manifest.remove(spark, f"{path}/{gone}")
-            spark.sql(f"DROP TABLE IF EXISTS {_table_name(f'{path}/{held['build']}')}")
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(path + '/' + held['build'])}")
 
 
 def _append(flat: DataFrame, folder: str, buckets: int) -> dict:
