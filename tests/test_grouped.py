@@ -22,7 +22,7 @@ def lists(df):
     return sorted((r.qid, r["rank"], r.id, r.score) for r in df.collect())
 
 
-@pytest.mark.parametrize("n", [1, 10, 450, 2000])
+@pytest.mark.parametrize("n", [10, 450])
 def test_hits_are_those_of_a_full_search(spark, n):
     docs, topics = clustered()
     df, asked = spark.createDataFrame(docs, SCHEMA).repartition(4), spark.createDataFrame(topics, ASKED)
@@ -33,7 +33,7 @@ def test_hits_without_any_structure(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(f"d{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(300, 12)))], SCHEMA)
     asked = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(5, 12)))], ASKED)
-    for pivots in (1, 5, 60):
+    for pivots in (1, 20):
         assert lists(grouped_top_k(group_table(df, pivots=pivots), asked, 7)) == lists(cosine_top_k(df, asked, 7))
 
 

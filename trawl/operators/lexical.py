@@ -36,8 +36,6 @@ CELL = 4096
 HOT_SHARE = 1e-4
 # Up to this many query terms are pushed down to the Parquet pages of the postings.
 FEW_TERMS = 2000
-# Up to this many distinct query terms thin out the postings before a shuffled join.
-BROADCAST_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -102,8 +100,8 @@ def join_postings(index: Index, weighted: Weighted, on: list[str], columns: list
         postings = postings.filter(F.col("term").isin(weighted.few))
     if weighted.small:
         return postings.join(F.broadcast(weights), on)
-    words = weights.select("term").distinct()
-    if weighted.rows <= BROADCAST_TERMS:
+    words, size = stored(weights.select("term").distinct())
+    if 2 * size["bytes"] <= BROADCAST_BYTES:
         # Only postings of query terms travel.
         postings = postings.join(F.broadcast(words), "term", "left_semi")
     total = index.stats.agg(F.sum("postings")).first()[0] or 0

@@ -145,9 +145,14 @@ def best(
     """
     if not wants_pruning(index, weighted, prune):
         return top_k(score_all(index, weighted), n, index.by, digits, index.buckets)
+    chunks = max(1, -(-weighted.rows // CHUNK_TERMS))
+    if chunks > 1:
+        # One query cannot be divided; where it is longer than a chunk, all matches are scored.
+        longest = weighted.terms.groupBy(*index.by, "qid").count().agg(F.max("count")).first()[0]
+        if (longest or 0) > CHUNK_TERMS:
+            return top_k(score_all(index, weighted), n, index.by, digits, index.buckets)
     # Wide enough for scores that only rounding makes equal to the floor.
     slack = 1e-9 if digits is None else 10.0 ** -digits + 1e-9
-    chunks = max(1, -(-weighted.rows // CHUNK_TERMS))
     terms = weighted.terms
     found = None
     for nth in range(chunks):
