@@ -1,13 +1,14 @@
 import hashlib
 import io
-import json
+import gzip
+import re
 import struct
 import zipfile
 import zlib
 
 import pytest
 from trawl.llm import warc_zip
-from trawl.llm.warc_zip import DATA, INDEX, archived, data_start, members, parse_record, read_packages, write_packages
+from trawl.llm.warc_zip import DATA, INDEX, archived, cdxj_entries, cdxj_key, data_start, members, parse_record, read_packages, write_packages
 
 
 class Bytes:
@@ -120,12 +121,54 @@ def test_packages_roll_over_and_records_stand_where_the_index_says(spark, tmp_pa
         with zipfile.ZipFile(uri.removeprefix("file://")) as z:  # readable for others, too
             assert z.testzip() is None and set(z.namelist()) == {DATA, INDEX, "datapackage.json"}
             data = z.read(DATA)
-            for line in z.read(INDEX).decode().split("\n"):
-                entry = json.loads(line)
+            lines = z.read(INDEX).decode().split("\n")
+            assert lines == sorted(lines) and all(re.match(r"a\)/\d+ 20240101000000 \{", line) for line in lines)
+            for entry in cdxj_entries("\n".join(lines)):
                 record = zlib.decompress(data[entry["offset"]:entry["offset"] + entry["length"]], 31)
                 headers, payload = parse_record(record)
-                assert int(headers["X-Page-ID"]) == entry["page"] and payload.decode() == rows[entry["page"]][2]
-                assert headers["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(payload).hexdigest()
+                assert int(headers["x-page-id"]) == entry["page"] and payload.decode() == rows[entry["page"]][2]
+                assert headers["warc-payload-digest"] == "sha256:" + hashlib.sha256(payload).hexdigest()
     read = {r.page_id: (r.url, bytes(r.payload).decode()) for r in read_packages(packages).collect()}
     assert read == {i: (u, h) for i, u, h in rows}
     assert struct.calcsize("<Q") == 8
+
+
+def foreign(kind, url, block, content_type, digest=None):
+    """A record as another tool writes it: other header order and case, a SHA-1 digest, an HTTP message."""
+    lines = ["WARC/1.0", f"content-type:{content_type}", f"WARC-Type: {kind}", f"WARC-Target-URI:  {url}", "WARC-Date: 2020-05-06T07:08:09Z"]
+    lines += [f"WARC-Payload-Digest: {digest}"] if digest else []
+    return gzip.compress("\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_a_package_of_another_writer(spark, tmp_path):
+    body, other = b"<p>hello</p>\r\n\r\nmore", b"x" * 5000
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    info = foreign("warcinfo", "", b"software: any", "application/warc-fields")
+    one = foreign("response", "http://a.org/1", http + body, "application/http; msgtype=response", "sha1:ABC")
+    asked = foreign("request", "http://a.org/1", b"GET /1 HTTP/1.1\r\n\r\n", "application/http; msgtype=request")
+    two = foreign("response", "http://b.org/2", http + other, "application/http;msgtype=response")
+    plain = foreign("resource", "urn:thing", b"plain \r\n\r\n block", "text/plain")
+    line = lambda key, **place: f"{key} 20200506070809 " + __import__("json").dumps(place)
+    first = "\n".join(["!meta {\"format\": \"cdxj\"}", line("org,a)/1", url="http://a.org/1", offset=str(len(info)), length=str(len(one)), filename="x.warc.gz"), ""])
+    second = "\n".join([line("org,b)/2", offset=0, length=len(two), filename="y.warc.gz"),
+                        line("urn:thing", offset=len(two), length=len(plain), filename="y.warc.gz")])
+    data = package({
+        "pages/pages.jsonl": b"{}", "archive/x.warc.gz": info + one + asked, "indexes/index.cdx.gz": gzip.compress(first.encode()),
+        "archive/y.warc.gz": two + plain, "indexes/more.cdxj": second.encode(), "datapackage.json": b"{}"}, b"a comment", force=True)
+    (tmp_path / "other.wacz").write_bytes(data)
+    packages = spark.createDataFrame([(f"file://{tmp_path}/other.wacz",)], "package string")
+    read = {r.url: (r.record_type, bytes(r.payload), r.stated_digest, r.page_id, r.refers_to) for r in read_packages(packages).collect()}
+    assert read == {
+        "http://a.org/1": ("response", body, "sha1:ABC", None, None), "http://b.org/2": ("response", other, None, None, None),
+        "urn:thing": ("resource", b"plain \r\n\r\n block", None, None, None)}
+
+
+def test_a_package_without_an_index_fails(spark, tmp_path):
+    (tmp_path / "bare.wacz").write_bytes(package({DATA: b""}))
+    with pytest.raises(Exception, match="no index"):
+        read_packages(spark.createDataFrame([(f"file://{tmp_path}/bare.wacz",)], "package string")).collect()
+
+
+def test_search_keys():
+    assert cdxj_key("https://www.Example.org:8080/A b?Q=1") == "org,example,www)/a%20b?q=1"
+    assert cdxj_key(None) == ")/" and cdxj_key("http://[bad") == "http%3A//%5Bbad" and " " not in cdxj_key("odd \n address")

@@ -1,10 +1,12 @@
 """WARC archives inside ZIP packages: written by tasks, read back by byte ranges.
 
-A package holds stored (uncompressed) members: ``archive/data.warc.gz`` with one gzip member per
-record, ``indexes/index.cdxj`` with the place of every record, and ``datapackage.json``. Reading
-finds the end record at the tail of the package (with its ZIP64 form), the central directory, and
-through the members' local headers the place of their bytes; then the index, and then every record
-by its byte range. Nothing is unpacked or copied.
+A package holds stored (uncompressed) members: WARC archives under ``archive/`` with one gzip member
+per record, CDXJ indexes under ``indexes/`` with the place of every record, and ``datapackage.json``.
+Reading finds the end record at the tail of the package (with its ZIP64 form), the central directory,
+and through the members' local headers the place of their bytes; then the indexes, and then every
+record by its byte range. Nothing is unpacked or copied. Packages may come from other writers: with
+several archives and indexes, gzipped indexes, records that no index names, and responses that hold
+an HTTP message.
 
 Packages lie in the shared checkpoint folder and are opened through Arrow's file systems, which
 know local, HDFS and S3 addresses.
@@ -12,12 +14,15 @@ know local, HDFS and S3 addresses.
 
 from __future__ import annotations
 
+import gzip
 import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -36,7 +41,8 @@ PACKAGE_RECORDS = 100_000
 RANGE_BYTES = 1024 * 1024
 #: Fixed date of the records, so that equal tables give equal archives.
 DATE = "2024-01-01T00:00:00Z"
-DATA, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
+ARCHIVES, INDEXES = "archive/", "indexes/"
+DATA, INDEX, ABOUT = f"{ARCHIVES}data.warc.gz", f"{INDEXES}index.cdxj", "datapackage.json"
 
 _END, _END64_PLACE, _END64, _ENTRY, _LOCAL = (
     b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04")
@@ -139,15 +145,36 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers, by lower-case names, and the payload: the block, or the body of the HTTP message in it."""
     head, _, rest = record.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = dict(line.split(": ", 1) for line in lines[1:])
-    length = int(headers["Content-Length"])
+    headers = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
+    length = int(headers["content-length"])
     if len(rest) < length:
         raise ValueError("record cut short")
-    return headers, rest[:length]
+    block = rest[:length]
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        block = block.partition(b"\r\n\r\n")[2]
+    return headers, block
+
+
+def cdxj_key(url: str | None) -> str:
+    """The search key of an address: its host turned round, then the rest, without blanks."""
+    try:
+        parts = urlsplit(url or "")
+        host = ",".join(reversed((parts.hostname or "").split(".")))
+    except ValueError:  # no address by the rules
+        return quote(url)
+    return quote(f"{host}){parts.path.lower() or '/'}" + (f"?{parts.query.lower()}" if parts.query else ""), safe="/:?&=,)%+;@!$'*~")
+
+
+def cdxj_entries(text: str) -> Iterator[dict]:
+    """The JSON of CDXJ lines, which follows a key and a time; lines that begin with ! are about the index."""
+    for line in text.split("\n"):
+        if line.strip() and not line.startswith("!"):
+            yield json.loads(line[line.index("{"):])
 
 
 class _Package:
@@ -163,16 +190,17 @@ class _Package:
         self.lines: list[str] = []
         self.bytes = 0
 
-    def add(self, page_id, record: bytes) -> None:
+    def add(self, page_id, url, record: bytes) -> None:
         packer = zlib.compressobj(1, zlib.DEFLATED, 31)
         packed = packer.compress(record) + packer.flush()
         self.data.write(packed)
-        self.lines.append(json.dumps({"page": page_id, "offset": self.bytes, "length": len(packed)}))
+        place = {"url": url, "page": page_id, "offset": self.bytes, "length": len(packed), "filename": DATA.removeprefix(ARCHIVES)}
+        self.lines.append(f"{cdxj_key(url)} {re.sub('[^0-9]', '', DATE)} {json.dumps(place)}")
         self.bytes += len(packed)
 
     def close(self) -> tuple[str, int]:
         self.data.close()
-        self.zip.writestr(zipfile.ZipInfo(INDEX), "\n".join(self.lines))
+        self.zip.writestr(zipfile.ZipInfo(INDEX), "\n".join(sorted(self.lines)))
         self.zip.writestr(zipfile.ZipInfo(ABOUT), json.dumps({"profile": "data-package", "wacz_version": "1.1.1"}))
         self.zip.close()
         self.stream.close()
@@ -207,7 +235,8 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 package = package or _Package(folder)
                 payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
                 page_id = page_id.as_py()
-                package.add(page_id, record_bytes(page_id, url.as_py(), payload, digest.as_py(), first.as_py(), again.as_py()))
+                url = url.as_py()
+                package.add(page_id, url, record_bytes(page_id, url, payload, digest.as_py(), first.as_py(), again.as_py()))
                 if package.bytes >= PACKAGE_BYTES or len(package.lines) >= PACKAGE_RECORDS:
                     done.append(package.close())
                     package = None
@@ -220,44 +249,54 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return stored(map_texts(marked, write, "package string, records long"))
 
 
+def _places(reader, directory: dict[str, dict]) -> list[tuple[int, int]]:
+    """``(start, length)`` of every record that an index of the package names, in the order of the package."""
+    archives = {name.removeprefix(ARCHIVES): data_start(reader, member) for name, member in directory.items()
+                if name.startswith(ARCHIVES) and name.endswith(".warc.gz")}
+    indexes = [name for name in directory if name.startswith(INDEXES) and re.search(r"\.cdxj?(\.gz)?$", name)]
+    if not indexes:
+        raise ValueError("no index in the package")
+    places = set()
+    for name in indexes:
+        data = reader.read(data_start(reader, directory[name]), directory[name]["size"])
+        for entry in cdxj_entries((gzip.decompress(data) if name.endswith(".gz") else data).decode()):
+            # Some writers give the numbers as text, and no file name where there is one archive.
+            base = archives[entry["filename"]] if "filename" in entry else next(iter(archives.values()))
+            places.add((base + int(entry["offset"]), int(entry["length"])))
+    return sorted(places)
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Byte ranges of neighbouring records of each package, from its index member."""
+    """Byte ranges of neighbouring records of each package, from its indexes."""
     for batch in batches:
         for package in batch.column("package"):
             uri, rows = package.as_py(), []
             with RangeReader(uri) as reader:
-                directory = members(reader)
-                base = data_start(reader, directory[DATA])
-                index = directory[INDEX]
-                lines = reader.read(data_start(reader, index), index["size"]).decode().split("\n")
-            start, lengths = 0, []
-            for line in filter(None, lines):
-                entry = json.loads(line)
-                if lengths and entry["offset"] + entry["length"] - start > RANGE_BYTES:
-                    rows.append((uri, base + start, lengths))
-                    start, lengths = entry["offset"], []
-                lengths.append(entry["length"])
-            if lengths:
-                rows.append((uri, base + start, lengths))
+                places = _places(reader, members(reader))
+            for start, length in places:
+                if not rows or start + length - rows[-1][1] > RANGE_BYTES:
+                    rows.append((uri, start, [], []))
+                rows[-1][2].append(start - rows[-1][1])
+                rows[-1][3].append(length)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
-                names=["package", "start", "lengths"])
+                 pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
+                names=["package", "start", "offsets", "lengths"])
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for package, start, lengths in zip(*(batch.column(i) for i in range(3))):
+        for package, start, offsets, lengths in zip(*(batch.column(i) for i in range(4))):
+            offsets, lengths = offsets.as_py(), lengths.as_py()
             with RangeReader(package.as_py()) as reader:
-                lengths = lengths.as_py()
-                data = reader.read(start.as_py(), sum(lengths))
-            rows, at = [], 0
-            for length in lengths:
+                data = reader.read(start.as_py(), offsets[-1] + lengths[-1])
+            rows = []
+            for at, length in zip(offsets, lengths):
                 headers, payload = parse_record(zlib.decompress(data[at:at + length], 31))
-                at += length
-                page, first = headers.get("X-Page-ID"), headers.get("X-Refers-To-Page-ID")
-                rows.append((None if page is None else int(page), headers.get("WARC-Target-URI"), headers["WARC-Type"],
-                             headers["WARC-Payload-Digest"].removeprefix("sha256:"), None if first is None else int(first), payload))
+                page, first = headers.get("x-page-id"), headers.get("x-refers-to-page-id")
+                stated = headers.get("warc-payload-digest")
+                rows.append((None if page is None else int(page), headers.get("warc-target-uri"), headers["warc-type"],
+                             None if stated is None else stated.removeprefix("sha256:"), None if first is None else int(first), payload))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)],
@@ -267,12 +306,14 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_packages(packages: DataFrame) -> DataFrame:
     """``page_id, url, record_type, stated_digest, refers_to, payload`` of every record of ``package`` rows.
 
-    Each package's directory and index are read by one task; its records are then dealt out as byte
-    ranges of about ``RANGE_BYTES`` over all tasks. The payload of a revisit is empty.
+    Each package's directory and indexes are read by one task; its records are then dealt out as byte
+    ranges of about ``RANGE_BYTES`` over all tasks. The payload of a revisit is empty. ``page_id`` and
+    ``refers_to`` are null in packages of other writers; a digest by another function than SHA-256 keeps
+    its name. A package without an index, or that is compressed, fails.
     """
     let_workers_import(packages.sparkSession)
     ranges = stored(packages.select("package").repartition("package").mapInArrow(
-        _ranges, "package string, start long, lengths array<long>"))
+        _ranges, "package string, start long, offsets array<long>, lengths array<long>"))
     dealt = ranges.repartition(F.xxhash64("package", "start"))
     return dealt.mapInArrow(
         _records, "page_id long, url string, record_type string, stated_digest string, refers_to long, payload binary")
