@@ -507,3 +507,26 @@ def test_padding_by_corpus_at_any_density(spark, monkeypatch):
         for qid in ("q1", "q2"):
             want = sorted((-known.get((c, qid, i), 0.0), i) for d, i, _ in rows if d == c)[:6]
             assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if (r.c, r.qid) == (c, qid)] == [i for _, i in want]
+
+
+def test_a_bucket_is_sorted_by_term_alone(spark, toy_docs):
+    """The postings of 32 MB of input meet in a task, which sorts them by term and not by columns that are alike there."""
+    assert default_buckets(spark.range(50_000_000)) >= 12
+    index = build_index(toy_docs.repartition(3), "plain", positional=True, buckets=2)
+    files = index.postings.inputFiles()
+    table = next(t.name for t in spark.catalog.listTables() if t.name.startswith("trawl_") and index.path in spark.sql(
+        f"DESCRIBE EXTENDED {t.name}").filter("col_name = 'Location'").first().data_type)
+    described = {row.col_name: row.data_type for row in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+    assert described["Num Buckets"] == "2" and described.get("Sort Columns", "[]") == "[]"
+    for file in files:
+        terms = [row.term for row in spark.read.parquet(file).select("term").collect()]
+        assert terms == sorted(terms)
+
+
+def test_places_of_odd_tokens(spark):
+    """Places are sorted with the text of their token, whatever characters it holds."""
+    docs = spark.createDataFrame([("d", "a\x01 a 000 a ab a\x01 1000000003 a")], "id string, contents string")
+    counts = count_terms(analyse(docs, "whitespace"), positional=True, frequent=("a",)).first().counts
+    found = {c.term: (c.tf, list(c.positions)) for c in counts}
+    assert found["a"] == (3, [1, 3, 7]) and found["a\x01"] == (2, [0, 5]) and found["1000000003"] == (1, [6])
+    assert found["a 000"] == (1, [2 - 1]) and found["000 a"] == (1, [2]) and found["a\x01 a"] == (1, [0])

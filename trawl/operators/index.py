@@ -28,8 +28,8 @@ from trawl.session import plan_bytes, qualified, quoted, scratch_dir, shuffle_pa
 
 # Documents of the sample that score bounds are taken from, about; a smaller index is sampled whole.
 SAMPLE_DOCUMENTS = 50_000
-# Default number of buckets: one per so many bytes of input.
-BUCKET_BYTES = 256 * 1024 * 1024
+# Default number of buckets: one per so many bytes of input. The postings of a bucket are sorted in one task.
+BUCKET_BYTES = 32 * 1024 * 1024
 # Sizes above this are no estimate: Spark knows nothing about the input.
 UNKNOWN_BYTES = 1 << 60
 # Documents of a block.
@@ -42,6 +42,13 @@ FREQUENT_SHARE = 0.3
 FREQUENT_FROM = 400
 # Kinds of rows of the postings table, a partition each.
 DOCUMENT, POSTING, PAIR = 0, 1, 2
+# Files a task of a build writes at once: a few buckets with all kinds of rows.
+OPEN_FILES = 12
+WRITERS_CONF = "spark.sql.maxConcurrentOutputFileWriters"
+# Between a token and its place; no analyzer leaves a line feed in a token.
+PLACE_MARK = "\n"
+# Added to places, so that all are written with the same number of digits.
+PLACE_BASE = 1_000_000_000
 
 
 @dataclass(frozen=True)
@@ -93,49 +100,50 @@ def count_terms(
     """``(by, id, len, counts)``, counts being ``array<struct<term, tf[, positions]>>``: a narrow step.
 
     Equal tokens lie side by side once sorted; a term's count is the distance between run starts.
+    Places are sorted as part of the token's text, which is far quicker than sorting structs.
     ``with_id`` says that the tokens hold the separator of ``analyse``. Two neighbouring tokens of
     which one is ``frequent`` are counted as a term of their own too, joined by a blank.
     """
-    tokens = F.col("tokens")
+    tokens = F.filter("tokens", lambda t: t != "") if with_id else F.col("tokens")
+    kept = analysed.select(*by, "id", "tokens", F.size(tokens).alias("len"))
+    every = tokens
     if positional:
-        tokens = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at")))
-    if with_id:
-        tokens = F.filter(tokens, lambda t: (t["term"] if positional else t) != "")
-    kept = analysed.select(*by, "id", "tokens", tokens.alias("kept"))
-    size = F.size("kept")
-    every = F.col("kept")
+        marked = lambda i: F.concat(F.lit(PLACE_MARK), (i + PLACE_BASE).cast("string"))
+        every = F.transform("tokens", lambda t, i: F.concat(t, marked(i)))
+        if with_id:
+            every = F.filter(every, lambda t: ~t.startswith(PLACE_MARK))
     if positional and frequent:
         known = list(frequent)
 
         def pair(t: Column, i: Column) -> Column:
             after = F.get("tokens", i + 1)
             apart = F.lit(False) if not with_id else (t == "") | (after == "")
-            joined = F.when((t.isin(known) | after.isin(known)) & ~apart, F.concat_ws(" ", t, after))
-            return F.struct(F.when(after.isNotNull(), joined).alias("term"), i.alias("at"))
-
-        pairs = F.filter(F.transform("tokens", pair), lambda p: p["term"].isNotNull())
-        every = F.concat("kept", pairs)
-    kept = kept.select(*by, "id", size.alias("len"), F.sort_array(every).alias("sorted"))
-    sized = kept.select(*by, "id", "len", "sorted", F.size("sorted").alias("entries"))
-
-    def term(place: Column) -> Column:
-        found = F.get("sorted", place)
-        return found["term"] if positional else found
+            # Null where there is no token after this one.
+            return F.when((t.isin(known) | after.isin(known)) & ~apart, F.concat(t, F.lit(" "), after, marked(i)))
 
+        every = F.concat(every, F.filter(F.transform("tokens", pair), lambda p: p.isNotNull()))
+    kept = kept.select(*by, "id", "len", F.sort_array(every).alias("sorted"))
+    if positional:
+        # The digits have a fixed number, the mark is one more.
+        digits = len(str(PLACE_BASE))
+        kept = kept.select(
+            *by, "id", "len", F.transform("sorted", lambda t: F.substring_index(t, PLACE_MARK, 1)).alias("sorted"),
+            F.transform("sorted", lambda t: F.right(t, F.lit(digits)).cast("int") - PLACE_BASE).alias("places"))
+    places = ["places"] if positional else []
+    sized = kept.select(*by, "id", "len", "sorted", *places, F.size("sorted").alias("entries"))
     run_starts = F.filter(
-        F.sequence(F.lit(1), F.col("entries")), lambda i: (i == 1) | (term(i - 1) != term(i - 2)),
+        F.sequence(F.lit(1), F.col("entries")), lambda i: (i == 1) | (F.get("sorted", i - 1) != F.get("sorted", i - 2)),
     )
     starts = sized.select(
-        *by, "id", "len", "sorted", "entries",
+        *by, "id", "len", "sorted", *places, "entries",
         F.when(F.col("entries") > 0, run_starts).otherwise(F.array().cast("array<int>")).alias("starts"),
     )
 
     def run(start: Column, nth: Column) -> Column:
         end = F.coalesce(F.get("starts", nth + 1), F.col("entries") + 1)
-        parts = [term(start - 1).alias("term"), (end - start).alias("tf")]
+        parts = [F.get("sorted", start - 1).alias("term"), (end - start).alias("tf")]
         if positional:
-            places = F.transform(F.slice("sorted", start, end - start), lambda t: t["at"])
-            parts.append(places.alias("positions"))
+            parts.append(F.slice("places", start, end - start).alias("positions"))
         return F.struct(*parts)
 
     return starts.select(*by, "id", "len", F.transform("starts", run).alias("counts"))
@@ -232,17 +240,26 @@ def _publish(spark: SparkSession, path: str, facts: dict) -> None:
 
 
 def _append(flat: DataFrame, folder: str, buckets: int) -> dict:
-    """Write rows of one version; gives the counts that come with the write."""
-    seen = Observation()
+    """Write rows of one version; gives the counts that come with the write.
+
+    A task holds one bucket and sorts it by term itself: Spark's own sort for a partitioned and
+    bucketed table begins with columns that are alike in the whole task, and is much slower.
+    """
+    spark, seen = flat.sparkSession, Observation()
     document, posting = F.col("kind") == DOCUMENT, F.col("kind") == POSTING
     flat = flat.observe(
         seen, F.count_if(document).alias("n"), F.coalesce(F.sum(F.when(document, F.col("len").cast("long"))), F.lit(0)).alias("tokens"),
         F.count_if(posting).alias("postings"))
-    (
-        flat.write.mode("append").format("parquet").option("path", f"{folder}/postings")
-        .option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("version", "kind")
-        .bucketBy(buckets, "id").sortBy("term", "block").saveAsTable(_table_name(folder))
+    writer = (
+        flat.sortWithinPartitions("term", "block").write.mode("append").format("parquet").option("path", f"{folder}/postings")
+        .option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("version", "kind").bucketBy(buckets, "id")
     )
+    before = spark.conf.get(WRITERS_CONF)
+    spark.conf.set(WRITERS_CONF, OPEN_FILES)
+    try:
+        writer.saveAsTable(_table_name(folder))
+    finally:
+        spark.conf.set(WRITERS_CONF, before)
     return seen.get
 
 
@@ -252,7 +269,7 @@ def _catalogued(spark: SparkSession, folder: str, fields: list[str], buckets: in
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     spark.sql(
         f"CREATE TABLE {table} ({', '.join(fields)}, version INT, kind INT) USING parquet PARTITIONED BY (version, kind) "
-        f"CLUSTERED BY (id) SORTED BY (term, block) INTO {buckets} BUCKETS LOCATION {quoted(folder + '/postings')}"
+        f"CLUSTERED BY (id) INTO {buckets} BUCKETS LOCATION {quoted(folder + '/postings')}"
     )
     spark.catalog.recoverPartitions(table)
     return spark.table(table)
