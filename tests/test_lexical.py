@@ -530,3 +530,19 @@ def test_places_of_odd_tokens(spark):
     found = {c.term: (c.tf, list(c.positions)) for c in counts}
     assert found["a"] == (3, [1, 3, 7]) and found["a\x01"] == (2, [0, 5]) and found["1000000003"] == (1, [6])
     assert found["a 000"] == (1, [2 - 1]) and found["000 a"] == (1, [2]) and found["a\x01 a"] == (1, [0])
+
+
+def test_a_phrase_of_one_stored_pair_is_looked_up_once(spark, monkeypatch):
+    """Only phrases of several units need the documents that hold all of them and the places there."""
+    import trawl.operators.lexical as lexical
+
+    docs = spark.createDataFrame([(f"d{i}", f"the cat the cat x{i} owl") for i in range(5)], "id string, contents string")
+    index = build_index(docs, "plain", positional=True)
+    phrases = spark.createDataFrame([(["the", "cat"],)], "phrase array<string>")
+    longer = spark.createDataFrame([(["x1", "owl", "zzz"],), (["cat", "x1", "owl"],)], "phrase array<string>")
+    asked, met = [], lexical._met
+    monkeypatch.setattr(lexical, "_met", lambda *args: (asked.append(1), met(*args))[1])
+    assert sorted((r.id, r.tf, r.len) for r in match_phrases(index, phrases).collect()) == [(f"d{i}", 2, 6) for i in range(5)]
+    assert not asked
+    both = match_phrases(index, phrases.unionByName(longer)).collect()
+    assert asked and sorted((len(r.phrase), r.id, r.tf) for r in both) == [*((2, f"d{i}", 2) for i in range(5)), (3, "d1", 1)]

@@ -25,6 +25,8 @@ FTS5_K1, FTS5_B = 1.2, 0.75
 MAX_POSITIONS = 255
 LABEL_WEIGHT = 0.1
 SQUARES_LIMIT = 1.64493406685
+# Matches it takes before score bounds are tried for ts_rank, as a multiple of those of the other scorers.
+EVEN = 1000
 # Floor of the FTS5 idf.
 MIN_IDF = 1e-6
 
@@ -49,6 +51,7 @@ class Weighted:
     small     whether the terms were measured to fit a broadcast
     few       the terms themselves if there are only a few
     prunable  whether no part can be negative
+    even      how many times as many matches it takes until bounds pay, for parts that differ little
     matches   how many postings they match, over all queries
     """
 
@@ -59,6 +62,7 @@ class Weighted:
     few: list[str] | None = None
     prunable: bool = True
     matches: int = 0
+    even: int = 1
 
 
 def query_terms(topics: DataFrame, analyzer: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -206,8 +210,8 @@ def match_phrases(index: Index, phrases: DataFrame) -> DataFrame:
     """``(by, phrase, id, tf, len)``: documents holding the tokens of a phrase next to each other, in order.
 
     The units of a phrase, none of which is a frequent word of its own, are looked up twice: for the
-    documents that hold all of them, and for their places there. All postings of a document lie in
-    one bucket, so they meet without a shuffle.
+    documents that hold all of them, and for their places there; a phrase of one unit is looked up
+    once, without places. All postings of a document lie in one bucket, so they meet without a shuffle.
     """
     if not index.positional:
         raise ValueError("phrases need an index with positions")
@@ -216,10 +220,26 @@ def match_phrases(index: Index, phrases: DataFrame) -> DataFrame:
     numbered = distinct.withColumn("number", F.monotonically_increasing_id())
     units = numbered.withColumn("units", phrase_units(F.col("phrase"), index.frequent))
     units, counted = stored(units.select(*shared, "phrase", "number", F.size("units").alias("needed"), F.inline_outer("units")))
-    few = sorted({r.term for r in units.select("term").collect()}) if counted["rows"] <= FEW_TERMS else None
-    small = 2 * counted["bytes"] <= BROADCAST_BYTES
-    weighted = Weighted(units, F.lit(0.0), counted["rows"], small, few)
+    small, few = 2 * counted["bytes"] <= BROADCAST_BYTES, counted["rows"] <= FEW_TERMS
     units_of = replace(index, postings=index.units)
+
+    def weighted(some: DataFrame) -> Weighted:
+        named = sorted({r.term for r in some.select("term").collect()}) if few else None
+        return Weighted(some, F.lit(0.0), counted["rows"], small, named)
+
+    # A phrase that is one stored pair stands wherever the pair does: the posting tells all.
+    single, several = units.filter("needed = 1"), units.filter("needed > 1")
+    held = join_postings(units_of, weighted(single), [*shared, "term"], ["number"]).select(*by, "number", "id", F.col("tf").cast("int").alias("tf"), "len")
+    if not several.isEmpty():
+        held = held.unionByName(_met(index, units_of, weighted(several), shared))
+    # Every phrase has one unit at its very beginning.
+    names = units.filter("offset = 0").select("number", "phrase")
+    return held.join(F.broadcast(names) if small else names, "number").select(*by, "phrase", "id", "tf", "len")
+
+
+def _met(index: Index, units_of: Index, weighted: Weighted, shared: list[str]) -> DataFrame:
+    """``(by, number, id, tf, len)`` of phrases of several units."""
+    by = list(index.by)
     # Documents that hold all units somewhere; their places are read for these alone.
     present = join_postings(units_of, weighted, [*shared, "term"], ["number", "needed"]).select(*by, "number", "needed", "id")
     whole = present.groupBy(*by, "number", "needed", "id").count().filter(F.col("count") == F.col("needed"))
@@ -230,10 +250,7 @@ def match_phrases(index: Index, phrases: DataFrame) -> DataFrame:
     starts = found.select(*by, "number", "needed", "id", "len", F.explode(begins).alias("start"))
     # Where all units of a phrase agree on its beginning.
     met = starts.groupBy(*by, "number", "needed", "id", "start").agg(F.count("*").alias("n"), F.max("len").alias("len"))
-    held = met.filter(F.col("n") == F.col("needed")).groupBy(*by, "number", "id").agg(F.count("*").cast("int").alias("tf"), F.max("len").alias("len"))
-    # Every phrase has one unit at its very beginning.
-    names = units.filter("offset = 0").select("number", "phrase")
-    return held.join(F.broadcast(names) if small else names, "number").select(*by, "phrase", "id", "tf", "len")
+    return met.filter(F.col("n") == F.col("needed")).groupBy(*by, "number", "id").agg(F.count("*").cast("int").alias("tf"), F.max("len").alias("len"))
 
 
 def fts5_terms(index: Index, phrases: DataFrame, k1: float = FTS5_K1, b: float = FTS5_B) -> Weighted:
@@ -322,7 +339,9 @@ def ts_rank_terms(index: Index, topics: DataFrame, norm: int = 0, cap: int | Non
         raise ValueError(f"norm must be 0 or 1, got {norm}")
     weight = LABEL_WEIGHT / SQUARES_LIMIT / F.col("terms")
     terms = ts_query(topics, index.analyzer, index.by)
-    return weigh(index, terms, part, F.lit(LABEL_WEIGHT) / F.col("terms"), weight=weight)
+    weighted = weigh(index, terms, part, F.lit(LABEL_WEIGHT) / F.col("terms"), weight=weight)
+    # All words weigh the same and repetitions add little, so bounds leave most documents.
+    return replace(weighted, even=EVEN)
 
 
 def ts_rank(index: Index, topics: DataFrame, norm: int = 0, cap: int | None = MAX_POSITIONS) -> DataFrame:

@@ -10,11 +10,11 @@ from trawl.operators.dense import cosine_top_k
 from trawl.operators.fusion import rrf
 from trawl.operators.index import Index, build_index
 from trawl.operators.lexical import (
-    PART_COLUMNS, bm25_terms, fts5_terms, join_postings, long_phrases, pad, phrase_scores, query_phrases, score_all, ts_rank_terms,
+    PART_COLUMNS, bm25_terms, fts5_terms, long_phrases, pad, phrase_scores, query_phrases, score_all, ts_rank_terms,
 )
 from trawl.operators.pruned import best, wants_pruning
 from trawl.operators.topk import DIGITS, drop_self, top_k
-from trawl.session import stored
+from trawl.session import BROADCAST_BYTES, stored
 from trawl.sources.corpus import DENSE, SPARSE, kind_of
 
 HYBRID = "hybrid"
@@ -63,11 +63,16 @@ def _fts5_hits(index: Index, topics: DataFrame, n: int, digits: int | None, prun
     if not wants_pruning(index, singles, prune):
         both = score_all(index, singles).unionByName(added)
         return top_k(both.groupBy(*keys).agg(F.sum("score").alias("score")), n, index.by, digits)
-    added, _ = stored(added)
+    added, size = stored(added)
     holders = added.select(*keys)
     by_words = best(index, singles, n, None, True).select(*keys, "score").join(holders, keys, "left_anti")
-    words = join_postings(index, singles, [*index.by, "term"], ["qid", *PART_COLUMNS]).join(holders, keys, "left_semi")
-    both = words.select(*keys, singles.part.alias("score")).unionByName(added)
+    # Postings meet the holders by document, where they lie, before they are multiplied by queries.
+    weights = singles.terms.select(*index.by, "qid", "term", *PART_COLUMNS)
+    asked = weights.select(*index.by, "term").distinct()
+    postings = index.postings.join(F.broadcast(asked) if singles.small else asked, [*index.by, "term"], "left_semi")
+    held = F.broadcast(holders) if 2 * size["bytes"] <= BROADCAST_BYTES else holders
+    words = postings.join(held, [*index.by, "id"]).join(F.broadcast(weights) if singles.small else weights, [*index.by, "qid", "term"])
+    both = words.groupBy(*keys).agg(F.sum(singles.part).alias("score")).unionByName(added)
     whole = both.groupBy(*keys).agg(F.sum("score").alias("score"))
     return top_k(by_words.unionByName(whole), n, index.by, digits)
 
