@@ -158,3 +158,13 @@ def test_blocks_without_hits_are_not_read(spark, always, monkeypatch):
     every = rows_read(index.postings.filter(F.col("term").isin("hot", "cold")))
     assert rows_read(left) < every / 5 and every >= 12000
     same(index, weighted, 3)
+
+
+def test_bounds_are_tried_later_for_ts_rank(spark, monkeypatch):
+    """Its bounds leave most documents, and floors cost as much as scoring the whole sample."""
+    assert pruned.PRUNE_FROM >= 10_000_000
+    monkeypatch.setattr(pruned, "PRUNE_FROM", 1)
+    docs, topics = corpus(spark, 300), queries(spark, 10)
+    index = build_index(docs, "simple")
+    assert pruned._worth_it(index, bm25_terms(index, topics))
+    assert not pruned._worth_it(index, ts_rank_terms(index, topics, norm=1))

@@ -27,8 +27,9 @@ from trawl.operators.lexical import PART_COLUMNS, Weighted, join_postings, score
 from trawl.operators.topk import DIGITS, top_k
 from trawl.session import BROADCAST_BYTES, stored
 
-# Below this number of matches a core, as the document frequencies tell, scoring all of them is quicker.
-PRUNE_FROM = 2_500_000
+# Below this number of matches a core, as the document frequencies tell, scoring all of them is quicker:
+# the floors cost as much as scoring all of the sample.
+PRUNE_FROM = 20_000_000
 # Query terms searched together: their table and what is joined to it stay below the broadcast limit.
 CHUNK_TERMS = 200_000
 # Weak terms together stay below this share of the floor.
@@ -41,7 +42,7 @@ def _worth_it(index: Index, weighted: Weighted) -> bool:
     """Whether frequent words would make many rows."""
     if index.sample is None or not weighted.prunable:
         return False
-    return weighted.matches >= PRUNE_FROM * index.postings.sparkSession.sparkContext.defaultParallelism
+    return weighted.matches >= weighted.even * PRUNE_FROM * index.postings.sparkSession.sparkContext.defaultParallelism
 
 
 def wants_pruning(index: Index, weighted: Weighted, prune: bool | None) -> bool:
