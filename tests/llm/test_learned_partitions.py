@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -108,6 +109,16 @@ def test_parts_are_balanced_and_cut_few_edges():
     assert 1 <= router.visits < 4
 
 
+def test_graph_of_a_full_sample_takes_little_memory():
+    units = unit(np.random.default_rng(5).normal(size=(learned_partitions.SAMPLE_ROWS, 8)))
+    tracemalloc.start()
+    graph = neighbours(units, np.arange(len(units)), 10)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # Beside the graph itself one block of rows against all others, not one for every block.
+    assert graph.shape == (len(units), 10) and most < 64e6
+
+
 def test_equal_vectors_share_a_score():
     vectors = np.random.default_rng(1).normal(size=(7, 64))
     rows = np.concatenate([vectors, vectors, vectors])

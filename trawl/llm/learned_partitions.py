@@ -60,7 +60,8 @@ def neighbours(units: np.ndarray, queries: np.ndarray, count: int) -> np.ndarray
         rows = queries[at:at + GRAPH_ROWS]
         scores = units[rows] @ units.T
         scores[np.arange(len(rows)), rows] = -np.inf
-        found.append(np.argpartition(-scores, count - 1, axis=1)[:, :count])
+        # A copy: a slice would keep the whole row of places alive for every node.
+        found.append(np.argpartition(-scores, count - 1, axis=1)[:, :count].copy())
     return np.concatenate(found)
 
 
