@@ -7,7 +7,7 @@ from helpers import topics_of
 
 from trawl.operators.dense import cosine_top_k
 from trawl.operators.index import build_index, doc_freq, postings_of
-from trawl.operators.lexical import bm25, ts_rank
+from trawl.operators.lexical import bm25, pad, ts_rank
 from trawl.operators.topk import top_k
 
 
@@ -55,3 +55,10 @@ def test_text_is_analysed_once(spark, sf_dir):
         assert plan.count("regexp_extract_all") == 1
         assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan or "ReadSchema: struct<text:string>" in plan
     assert "Exchange" not in plan_of(postings_of(docs))
+
+
+def test_padding_scores_the_documents_once(spark, index):
+    topics = topics_of(spark, "cat dog")
+    plan = plan_of(pad(top_k(bm25(index, topics), 3), index, topics, 3))
+    # What is padded was written, so the postings are not searched again for the lists.
+    assert "Bucketed: true" not in plan

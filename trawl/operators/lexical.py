@@ -429,6 +429,8 @@ def pad(hits: DataFrame, index: Index, topics: DataFrame, n: int, matches: DataF
     """
     keys = [*index.by, "qid"]
     every = _all_lists(index, topics)
+    # Read twice below, for the places and for the lists; n rows of a query are little to write.
+    hits, _ = stored(hits.select(*keys, "id", "score"))
     first = 2 * n if matches is None else None
     ranked, _ = stored(_ranked_ids(index, first))
     sizes = index.stats.select(*index.by, (F.least("n", F.lit(first)) if first else F.col("n")).cast("long").alias("limit"))
@@ -442,4 +444,4 @@ def pad(hits: DataFrame, index: Index, topics: DataFrame, n: int, matches: DataF
     free, size = stored(_free_places(lists, placed, keys, n))
     named = ranked.join(F.broadcast(free) if 2 * size["bytes"] <= BROADCAST_BYTES else free, [*index.by, "pos"])
     zeros = named.select(*keys, "id", F.lit(0.0).alias("score"))
-    return top_k(hits.select(*keys, "id", "score").unionByName(zeros), n, index.by, digits=None)
+    return top_k(hits.unionByName(zeros), n, index.by, digits=None)
