@@ -4,7 +4,7 @@ import pytest
 from helpers import topics_of
 from pyspark.sql import functions as F
 
-from trawl.operators.evaluate import combine_topics, mean_ndcg, ndcg
+from trawl.operators.evaluate import combine_topics, judge_by_runs, mean_ndcg, ndcg
 from trawl.operators.fusion import rrf
 from trawl.operators.topk import top_k
 
@@ -96,3 +96,14 @@ def test_judgements_by_shared_runs(spark):
     topics = topics_of(spark, "b c d", "a b c d", "c d", "")
     got = sorted(tuple(r) for r in judge_by_runs(docs, topics, 3, ("corpus",)).collect())
     assert got == [("x", "q1", "1", 1), ("x", "q2", "1", 1), ("y", "q1", "1", 1), ("y", "q2", "1", 1)]
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_judgements_by_hand(spark, monkeypatch, limit):
+    monkeypatch.setattr("trawl.operators.evaluate.BROADCAST_BYTES", limit)
+    docs = [("1", "a b c d"), ("2", "a b. A b a-b"), ("3", "b c"), ("4", ""), ("5", None), ("6", "c b a"), ("7", "x d b c")]
+    docs = spark.createDataFrame(docs, "id string, contents string")
+    got = judge_by_runs(docs, topics_of(spark, "A b b c", "b a b", "d", "b c b c b", ""), 2).collect()
+    assert sorted((r.qid, r.id, r.rel) for r in got) == [
+        ("q1", "1", 1), ("q1", "2", 1), ("q1", "3", 1), ("q1", "7", 1), ("q2", "1", 1), ("q2", "2", 1),
+        ("q2", "6", 1), ("q4", "1", 1), ("q4", "3", 1), ("q4", "6", 1), ("q4", "7", 1)]

@@ -6,6 +6,7 @@ import pytest
 from helpers import topics_of
 
 from trawl.operators.dense import cosine_top_k
+from trawl.operators.evaluate import judge_by_runs
 from trawl.operators.index import build_index, doc_freq, postings_of
 from trawl.operators.lexical import bm25, pad, ts_rank
 from trawl.operators.topk import top_k
@@ -62,3 +63,11 @@ def test_padding_scores_the_documents_once(spark, index):
     plan = plan_of(pad(top_k(bm25(index, topics), 3), index, topics, 3))
     # What is padded was written, so the postings are not searched again for the lists.
     assert "Bucketed: true" not in plan
+
+
+def test_runs_of_words_are_compiled_and_cut_out_once(spark):
+    docs = spark.createDataFrame([("1", "a b c d")], "id string, contents string")
+    plan = plan_of(judge_by_runs(docs, topics_of(spark, "b c d"), 2))
+    assert "lambdafunction" not in plan
+    # Once for the documents, once for the topics.
+    assert plan.count("regexp_extract_all") == 2

@@ -18,11 +18,16 @@ def combine_topics(topics: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
-def word_runs(words: Column, length: int) -> Column:
-    """Distinct runs of ``length`` neighbouring words, joined by blanks."""
-    starts = F.sequence(F.lit(1), F.size(words) - length + 1)
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, length), " "))
-    return F.when(F.size(words) >= length, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def word_runs(texts: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """``(keys, run)``: runs of ``length`` neighbouring ``words``, joined by blanks, one row for every place.
+
+    Each word is a row while its run is put together, which Spark compiles; functions on arrays are
+    interpreted word by word. The outer form keeps Catalyst from inferring a filter on the array, for
+    which the words would be cut out a second time.
+    """
+    places = texts.select(*keys, "words", F.posexplode_outer("words").alias("place", "word"))
+    whole = places.filter(F.col("place") <= F.size("words") - length)
+    return whole.select(*keys, F.concat_ws(" ", *(F.get("words", F.col("place") + i) for i in range(length))).alias("run"))
 
 
 def judge_by_runs(docs: DataFrame, topics: DataFrame, length: int = 8, by: tuple[str, ...] = ()) -> DataFrame:
@@ -36,10 +41,10 @@ def judge_by_runs(docs: DataFrame, topics: DataFrame, length: int = 8, by: tuple
     # The words are a column of their own: within the runs they would be cut out again for each.
     topics = topics.select("qid", plain_tokens(F.col("contents")).alias("words"))
     docs = docs.select(*by, "id", plain_tokens(F.col("contents")).alias("words"))
-    wanted = topics.select("qid", F.explode(word_runs(F.col("words"), length)).alias("run"))
+    wanted = word_runs(topics, ["qid"], length).distinct()
     _, size = measure(wanted)
     wanted = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
-    held = docs.select(*by, "id", F.explode(word_runs(F.col("words"), length)).alias("run"))
+    held = word_runs(docs, [*by, "id"], length)
     return held.join(wanted, "run").select(*by, "qid", "id", F.lit(1).alias("rel")).distinct()
 
 
