@@ -252,6 +252,13 @@ def test_buckets_follow_the_input_size(spark, sf_dir, monkeypatch):
     assert default_buckets(spark.range(1).rdd.toDF()) == 4
 
 
+def test_buckets_fill_whole_rounds_of_tasks(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for size in (10_000, 11_000, 13_000, 17_000):
+        monkeypatch.setattr("trawl.operators.index.BUCKET_BYTES", size)
+        assert default_buckets(docs) % 4 == 0
+
+
 def test_hits_give_way_to_documents_scored_zero(spark):
     docs = spark.createDataFrame(
         [*((str(i), "a b" if i == 1 else "a") for i in range(1, 7)), ("7", "c"), ("8", "c")], "id string, contents string")

@@ -8,7 +8,7 @@ from trawl.operators import index as index_module
 from trawl.operators import pruned
 from trawl.operators.index import build_index, open_index
 from trawl.operators.lexical import bm25_terms, fts5_terms, query_phrases, score_all, ts_rank_terms
-from trawl.operators.pruned import best, split_terms
+from trawl.operators.pruned import best, split_terms, spread_sample
 from trawl.operators.topk import top_k
 
 
@@ -168,3 +168,16 @@ def test_bounds_are_tried_later_for_ts_rank(spark, monkeypatch):
     index = build_index(docs, "simple")
     assert pruned._worth_it(index, bm25_terms(index, topics))
     assert not pruned._worth_it(index, ts_rank_terms(index, topics, norm=1))
+
+
+def test_the_sample_is_scored_on_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(index_module, "SAMPLE_DOCUMENTS", 300)
+    # Two buckets of sixteen, as many as files and tasks without the shuffle.
+    index = build_index(corpus(spark, 2400), buckets=16)
+    weighted = bm25_terms(index, queries(spark, 5))
+    spread = spread_sample(index, weighted)
+    assert spread.select("id").distinct().count() > 100
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > spark.sparkContext.defaultParallelism and max(sizes) < sum(sizes) / 4
+    weights = weighted.terms.select("term").distinct()
+    assert spread.count() == index.sample.join(weights, "term", "left_semi").count()

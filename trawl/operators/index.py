@@ -183,13 +183,17 @@ def corpus_stats(docs: DataFrame, analyzer: str = "plain", by: tuple[str, ...] =
 
 
 def default_buckets(docs: DataFrame) -> int:
-    """Buckets for an index of ``docs``, by the size of its input as Catalyst knows it."""
+    """Buckets for an index of ``docs``, by the size of its input as Catalyst knows it.
+
+    They are a multiple of the cores, as the work of a build and of a search goes by buckets: a last
+    round of a few tasks would leave the other cores idle for as long as a full one takes.
+    """
     spark, size = docs.sparkSession, plan_bytes(docs)
     partitions = shuffle_partitions(spark)
     if size > UNKNOWN_BYTES:
         return partitions
     least = min(partitions, spark.sparkContext.defaultParallelism)
-    return max(least, math.ceil(size / BUCKET_BYTES))
+    return least * max(1, math.ceil(size / (BUCKET_BYTES * least)))
 
 
 def _flat(counts: DataFrame, by: tuple[str, ...], version: int) -> DataFrame:

@@ -17,6 +17,7 @@ of middling terms, but a candidate then has to earn the other half from essentia
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
@@ -52,6 +53,19 @@ def wants_pruning(index: Index, weighted: Weighted, prune: bool | None) -> bool:
     return _worth_it(index, weighted) if prune is None else prune
 
 
+def spread_sample(index: Index, weighted: Weighted) -> DataFrame:
+    """The postings of the sample that hold query terms, by document on all cores.
+
+    The sample lies in the few files of its buckets, a task each. The number of tasks shares no factor
+    with that of the buckets, which come from the same hash: else their documents would meet again.
+    """
+    words = F.broadcast(weighted.terms.select(*index.by, "term").distinct())
+    asked = index.sample.join(words, [*index.by, "term"], "left_semi")
+    most = 3 * asked.sparkSession.sparkContext.defaultParallelism
+    tasks = next(n for n in range(most, 0, -1) if math.gcd(n, index.buckets or 1) == 1)
+    return asked.repartition(tasks, "id")
+
+
 def split_terms(index: Index, weighted: Weighted, n: int, slack: float) -> DataFrame:
     """The weighted terms with ``floor``, ``essential`` and ``rest``.
 
@@ -61,7 +75,7 @@ def split_terms(index: Index, weighted: Weighted, n: int, slack: float) -> DataF
     weakest_first = Window.partitionBy(*keys).orderBy(F.asc("ceiling"), F.desc("df"), F.asc("term"))
     upto = F.sum("ceiling").over(weakest_first.rowsBetween(Window.unboundedPreceding, 0))
     weights = F.broadcast(weighted.terms.select(*keys, "term", *PART_COLUMNS))
-    sampled = index.sample.join(weights, [*index.by, "term"])
+    sampled = spread_sample(index, weighted).join(weights, [*index.by, "term"])
     best = top_k(sampled.groupBy(*keys, "id").agg(F.sum(weighted.part).alias("score")), n, index.by, digits=None)
     floors = best.groupBy(*keys).agg(F.min("score").alias("floor"), F.count("*").alias("held"))
     floors = floors.filter(F.col("held") == n).select(*keys, (F.col("floor") - slack).alias("floor"))
