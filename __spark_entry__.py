@@ -31,7 +31,7 @@ from trawl.operators.lexical import bm25, bm25_terms, match_any, match_phrases,
 from trawl.operators.pruned import best
 from trawl.operators.topk import drop_self, top_k
 from trawl.plans.search import index_contents, search, sparse_hits
-from trawl.session import checkpoint, scratch_dir
+from trawl.session import checkpoint, scratch_dir, stored
 from trawl.sources.corpus import (
     load_dense, load_sparse, num_rows, open_table, parse_json_lines, parse_tsv_lines, read_parquet_rows, read_raw, read_table,
     read_topics, write_parsed, write_table,
@@ -299,7 +299,7 @@ def q_bm25_padded(spark, sf):
 def q_bm25_padded_classic(spark, sf):
     """Frequent words weigh less than nothing here, so hits give way to documents scored 0."""
     index, topics = _index(spark, sf), _topics(spark, sf)
-    every = checkpoint(bm25(index, topics, idf="classic"))
+    every, _ = stored(bm25(index, topics, idf="classic"))
     return _shown(pad(top_k(every, DEEP_HITS), index, topics, DEEP_HITS, every))
 
 

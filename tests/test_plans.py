@@ -8,7 +8,7 @@ from helpers import topics_of
 from trawl.operators.dense import cosine_top_k
 from trawl.operators.evaluate import judge_by_runs
 from trawl.operators.index import build_index, doc_freq, postings_of
-from trawl.operators.lexical import bm25, pad, ts_rank
+from trawl.operators.lexical import _free_places, bm25, pad, ts_rank
 from trawl.operators.topk import top_k
 
 
@@ -71,3 +71,14 @@ def test_runs_of_words_are_compiled_and_cut_out_once(spark):
     assert "lambdafunction" not in plan
     # Once for the documents, once for the topics.
     assert plan.count("regexp_extract_all") == 2
+
+
+def test_places_of_matches_are_not_broadcast(spark, tmp_path):
+    # Five bytes a row at most on disk, though every match of every query has one.
+    places = spark.range(0, 200_000, 2).selectExpr("'q' AS qid", "id AS pos")
+    places.write.parquet(f"{tmp_path}/placed")
+    lists = spark.createDataFrame([("q", 200_000)], "qid string, limit long")
+    free = _free_places(lists, spark.read.parquet(f"{tmp_path}/placed"), ["qid"], 5000)
+    built = re.findall(r"HashJoin \[qid#\d+, cell#\d+L?\], .*?(Build\w+)", plan_of(free))
+    assert built == ["BuildRight"]
+    assert [r.pos for r in free.orderBy("pos").collect()] == list(range(1, 10_000, 2))

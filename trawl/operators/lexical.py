@@ -404,15 +404,19 @@ def _free_places(lists: DataFrame, placed: DataFrame, keys: list[str], n: int) -
     earlier = F.coalesce(F.sum("taken").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = F.coalesce(F.lag("cell").over(in_order), F.lit(-1))
     seen = every.select(*keys, "limit", "cell", "taken", earlier.alias("earlier"), last.alias("last"))
+    # Read twice below; a row of it stands for up to a cell of places.
+    seen, size = stored(seen)
     begin = (F.col("last") + 1) * CELL
     stop = F.least(F.col("cell") * CELL, F.col("limit"))
     gaps = seen.select(*keys, begin.alias("begin"), stop.alias("stop"), (begin - F.col("earlier")).alias("free"))
     gaps = gaps.filter((F.col("free") < n) & (F.col("begin") < F.col("stop")))
     between = gaps.select(*keys, F.explode(F.sequence("begin", F.least("stop", F.col("begin") + n - F.col("free")) - 1)).alias("pos"))
     first = F.col("cell") * CELL
-    size = F.least(F.lit(CELL).cast("long"), F.col("limit") - first)
-    mixed = seen.filter((first - F.col("earlier") < n) & (F.col("taken") > 0) & (F.col("taken") < size)).select(
-        *keys, "cell", size.alias("size"), (F.lit(n) - first + F.col("earlier")).cast("int").alias("wanted"))
+    places = F.least(F.lit(CELL).cast("long"), F.col("limit") - first)
+    mixed = seen.filter((first - F.col("earlier") < n) & (F.col("taken") > 0) & (F.col("taken") < places)).select(
+        *keys, "cell", places.alias("size"), (F.lit(n) - first + F.col("earlier")).cast("int").alias("wanted"))
+    # The places, one for every match, stay where they are: their files are far smaller than they are in memory.
+    mixed = F.broadcast(mixed) if 2 * size["bytes"] <= BROADCAST_BYTES else mixed
     held = placed.withColumn("cell", F.floor(F.col("pos") / CELL)).join(mixed, [*keys, "cell"])
     held = held.groupBy(*keys, "cell", "size", "wanted").agg(F.collect_list("pos").alias("taken"))
     free = F.array_except(F.sequence(first, first + F.col("size") - 1), "taken")
