@@ -66,6 +66,51 @@ def test_every_latin_letter(tokenizer):
     assert words.ids(every) == want
 
 
+class Counted:
+    """Passes calls on and keeps what was asked for."""
+
+    def __init__(self, inner, name):
+        self.asked, self.call = [], getattr(inner, name)
+        setattr(self, name, self.ask)
+
+    def ask(self, what, **more):
+        self.asked.extend([what] if isinstance(what, str) else what)
+        return self.call(what, **more)
+
+
+@pytest.fixture()
+def counted(tokenizer):
+    with open(PACKING_TOKENIZER, encoding="utf-8") as file:
+        words = WordIds(file.read())
+    words.model, words.tokenizer = Counted(words.model, "tokenize"), Counted(words.tokenizer, "encode_batch_fast")
+
+    def ids(texts):
+        found = words.ids(texts)
+        assert found == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return words, ids
+
+
+def test_words_with_marks_go_to_the_merges_once(counted):
+    words, ids = counted
+    ids(["Verheit VERHEIT, verheit!! Verheit$$$", "verheit; (verheit été été*** été. été?!", ""])
+    assert sorted(words.model.asked) == sorted(["verheit", "".join(map(words.letters.get, "été".encode()))])
+    assert sorted(words.tokenizer.asked) == sorted(["", ",", "!!", "$$$", ";", "***", ".", "?!", "(verheit"])
+
+
+def test_words_met_again_stay_in_a_full_memory(counted, monkeypatch):
+    words, ids = counted
+    monkeypatch.setattr(packing, "MEMO_WORDS", 80)
+    name = iter(a + b + c for a in "abcdefgh" for b in "klmnopqr" for c in "stuvwxyz")
+    for _ in range(16):
+        ids([" ".join(["common", "дом", *(next(name) for _ in range(30))])])
+    assert words.model.asked.count("common") == 1 and words.tokenizer.asked.count("дом") == 1
+    ids(["x" * 1000 + " " + "д" * 1000])
+    held = [*words.simple, *words.simple_before, *words.others, *words.others_before]
+    # Two halves, each with the words of one more batch.
+    assert len(held) <= 80 + 2 * 33 and max(map(len, held)) <= packing.MEMO_CHARS
+
+
 def check(rows, ids_of, window=2048):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:

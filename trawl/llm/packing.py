@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +29,10 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces packed together; more buckets mean more half-filled last windows, one or two per bucket.
 BUCKET_PIECES = 4096
-#: Words a Python worker remembers with their ids, and characters it works on at a time.
+#: Words a Python worker remembers with their ids, the longest of them, and characters it works on at a time.
 MEMO_WORDS = 500_000
-CHUNK_CHARS = 500_000
+MEMO_CHARS = 64
+CHUNK_CHARS = 2_000_000
 #: Rows of a file that are counted together to find the place of each piece in the whole order.
 CELL_ROWS = 4096
 #: Columns of the place of a piece's row in its table, and of the rows counted together with it.
@@ -88,14 +91,19 @@ class WordIds:
     """Token ids of texts as little-endian 32-bit numbers.
 
     Where the tokenizer drops white space, lower-cases, splits runs of letters from all else and
-    works on bytes, as its own description tells, each distinct word is encoded once: Latin words go
-    straight to its merges, and a full stop or comma behind a word is looked up apart. With any other
-    tokenizer texts are encoded whole.
+    works on bytes, as its own description tells, each distinct word of a batch is looked up once:
+    Latin words go straight to its merges, and the marks behind a word are looked up apart. With any
+    other tokenizer texts are encoded whole.
+
+    Ids of words are remembered. Half of the memory takes new words; when it is full, it becomes the
+    other half, which is dropped then but for the words that were met again.
     """
 
     #: Letters up to here have one lower-case form each, the same in every library, but for one.
     LATIN = 0x250
     ODD = "\u0130"
+    #: Split from the letters before them; nothing composes with them.
+    MARKS = string.punctuation
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
@@ -103,7 +111,11 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
+        # Latin words and marks, with A-Z in lower case; and other words as they stand in the texts.
+        self.simple: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        self.simple_before: dict[str, bytes] = {}
+        self.others_before: dict[str, bytes] = {}
         described = json.loads(text)
         normal = [n.get("type") for n in (described.get("normalizer") or {}).get("normalizers", [])]
         split = [p.get("type") for p in (described.get("pre_tokenizer") or {}).get("pretokenizers", [])]
@@ -114,60 +126,88 @@ class WordIds:
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    def _whole(self, words: list[str]) -> dict[str, bytes]:
+    def _whole(self, words: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {word: array("I", e.ids).tobytes() for word, e in zip(words, encoded)}
+        return [array("I", e.ids).tobytes() for e in encoded]
 
-    def _latin(self, word: str) -> bytes | None:
-        """Ids of a word of Latin letters, else None."""
+    def _new(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters, or of marks, else None."""
         if not word.isalpha():
+            return None if word.strip(self.MARKS) else self._whole([word])[0]
+        if word.isascii():
+            written = word
+        elif max(word) < chr(self.LATIN) and self.ODD not in word:
+            written = "".join(map(self.letters.__getitem__, word.lower().encode()))
+        else:
             return None
-        lower = word.lower()
-        found = self.memo.get(lower)
-        if found is None:
-            if word.isascii():
-                written = lower
-            elif max(word) < chr(self.LATIN) and self.ODD not in word:
-                written = "".join(map(self.letters.__getitem__, lower.encode()))
-            else:
-                return None
-            found = array("I", [token.id for token in self.model.tokenize(written)]).tobytes()
-            self.memo[lower] = found
+        return array("I", [token.id for token in self.model.tokenize(written)]).tobytes()
+
+    def _simple(self, words: list[str]) -> list[bytes | None]:
+        found = list(map(self.simple.get, words))
+        for at, ids in enumerate(found):
+            if ids is None:
+                word = words[at]
+                ids = self.simple_before.get(word)
+                if ids is None:
+                    ids = self._new(word)
+                if ids is not None:
+                    found[at] = ids
+                    if len(word) <= MEMO_CHARS:
+                        self.simple[word] = ids
         return found
 
-    def _new(self, words: set[str]) -> dict[str, bytes]:
-        fresh, rest, ends = {}, [], self._whole([".", ","])
-        for word in words:
-            end = ends.get(word[-1:], b"")
-            found = self._latin(word[:-1] if end else word)
-            if found is None:
-                rest.append(word)
-            else:
-                fresh[word] = found + end
-        return fresh | self._whole(rest)
+    def _others(self, words: list[str]) -> list[bytes]:
+        known = {word: self.others.get(word, self.others_before.get(word)) for word in words}
+        fresh = [word for word, ids in known.items() if ids is None]
+        known.update(zip(fresh, self._whole(fresh)))
+        self.others.update((word, ids) for word, ids in known.items() if len(word) <= MEMO_CHARS)
+        return [known[word] for word in words]
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of each of these words, all different."""
+        if len(self.simple) + len(self.others) > MEMO_WORDS // 2:
+            self.simple_before, self.simple = self.simple, {}
+            self.others_before, self.others = self.others, {}
+        # Every word becomes two, its marks at the end being the second.
+        cuts = np.repeat(_offsets(words), 2)[:-1]
+        cuts[1::2] += pc.binary_length(pc.ascii_rtrim(words, self.MARKS)).to_numpy()
+        halves = pa.Array.from_buffers(pa.large_string(), 2 * len(words), [None, pa.py_buffer(cuts), _bytes(words)])
+        coded = pc.ascii_lower(halves).dictionary_encode()
+        found = self._simple(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        codes = coded.indices.to_numpy().astype("int64")
+        rest = np.flatnonzero(np.array([ids is None for ids in found], bool)[codes[::2]])
+        codes[2 * rest] = len(found) + np.arange(len(rest))
+        found += self._others(words.take(pa.array(rest)).to_pylist())
+        codes[2 * rest + 1] = len(found)
+        found.append(b"")
+        ids = pa.array(found, pa.large_binary()).take(pa.array(codes))
+        return _joined(ids, np.arange(0, len(ids) + 1, 2))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         if not self.plain:
             every = self.tokenizer.encode_batch(texts, add_special_tokens=False)
             return [array("I", e.ids).tobytes() for e in every]
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        words = [word for parts in split for word in parts]
-        ids = list(map(memo.get, words))
-        unknown = [i for i, found in enumerate(ids) if found is None]
-        if unknown:
-            fresh = self._new({words[i] for i in unknown})
-            for i in unknown:
-                ids[i] = fresh[words[i]]
-            memo.update(fresh)
-        found, at = [], 0
-        for parts in split:
-            found.append(b"".join(ids[at:at + len(parts)]))
-            at += len(parts)
-        return found
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array([text.replace("\n", " ") for text in texts], pa.large_string()), " ")
+        coded = split.values.dictionary_encode()
+        return _joined(self._words(coded.dictionary).take(coded.indices), split.offsets.to_numpy()).to_pylist()
+
+
+def _offsets(values: pa.Array) -> np.ndarray:
+    """Where each of ``values`` begins in their bytes, and the end."""
+    return np.frombuffer(values.buffers()[1], "<i8")[values.offset:values.offset + len(values) + 1]
+
+
+def _bytes(values: pa.Array) -> pa.Buffer:
+    return values.buffers()[2] or pa.py_buffer(b"")
+
+
+def _joined(parts: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """What stands in ``parts`` from each of ``bounds`` to the next, as one each."""
+    cuts = pa.py_buffer(_offsets(parts)[bounds])
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, cuts, _bytes(parts)])
 
 
 def _chunks(texts: pa.Array) -> Iterator[list[str]]:
